@@ -148,7 +148,7 @@ def first_non_null(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFram
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Non-null count per column as ``(column, n)``: one pass, then a turn of the single result row."""
     names = list(columns or df.columns)
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in names])
+    counts = df.agg(*[F.expr(f"count(`{c}`) AS `{c}`") for c in names])
     return counts.unpivot([], names, "column", "n")
 
 

@@ -8,8 +8,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.functions.columns import join_numbers, round_half_even
+from cohortlens.functions.columns import join_numbers, round_half_even, split_numbers
 
 CELLS = ("high_0", "high_1", "low_0", "low_1")
 # Aggregates per pass over a wide table; keeps generated code within limits.
@@ -25,12 +26,9 @@ def high_low_counts(df: DataFrame, group: str, columns: Sequence[str]) -> DataFr
     parts = []
     for at in range(0, len(columns), COLUMNS_PER_PASS):
         names = list(columns[at : at + COLUMNS_PER_PASS])
-        totals = df.groupBy(group).agg(
-            *[
-                F.struct(F.count_if(F.col(c) == 1).alias("high"), F.count_if(F.col(c) == 0).alias("low")).alias(c)
-                for c in names
-            ]
-        )
+        totals = df.groupBy(group).agg(*[
+            F.expr(f"named_struct('high', count_if(`{c}` = 1), 'low', count_if(`{c}` = 0)) AS `{c}`") for c in names
+        ])
         long = totals.unpivot([group], names, "lab", "n")
         parts.append(long.select("lab", group, F.col("n.high").alias("high"), F.col("n.low").alias("low")))
     whole = parts[0]
@@ -49,7 +47,7 @@ def contingency(counts: DataFrame, group: str, groups: tuple = (0, 1)) -> DataFr
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(stat: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution with one degree of freedom."""
     return stat.map(lambda x: math.erfc(math.sqrt(x / 2.0)), na_action="ignore").astype("float64")
@@ -113,6 +111,14 @@ def enrichment(screened: DataFrame) -> DataFrame:
     )
 
 
+def ratios_from_text(cells: DataFrame) -> DataFrame:
+    """Observed over expected from the ``observed`` and ``expctd`` text cells."""
+    observed, expected = (split_numbers(F.col(c), len(CELLS)) for c in ("observed", "expctd"))
+    return cells.select(
+        "*", *[F.try_divide(o, e).alias(f"ratio_{c}") for o, e, c in zip(observed, expected, CELLS)]
+    )
+
+
 # --- histogram -----------------------------------------------------------------------
 
 _INTEGERS = {"tinyint", "smallint", "int", "bigint"}
