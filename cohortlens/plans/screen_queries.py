@@ -86,8 +86,8 @@ _PROFILE = _MEMBERS + ", fx_profile AS (" + " UNION ALL ".join(
 
 def profile(study: Study, cluster: int) -> DataFrame:
     """Non-null counts in one cluster."""
-    members = lab_members(study)
-    inside = co.inner(members, fr.cluster_members(members, cluster, "patient_id"), "patient_id")
+    members = co.inner(cohort_ids(study), study.labs(), "patient_id")
+    inside = co.inner(members, fr.cluster_members(study.groups(), cluster, "patient_id"), "patient_id")
     names = [c for c in inside.columns if c not in ("patient_id", "cluster", "n_encounters")]
     return fr.column_profile(inside, names)
 
