@@ -87,3 +87,8 @@ def zscore(v: Column) -> Column:
         return let(spread, lambda s: F.when(s > 0, F.transform(centred, lambda x: x / s)))
 
     return let(v, lambda a: let(vector_mean(a), lambda m: let(F.transform(a, lambda x: x - m), standardised)))
+
+
+def lookup(values: Sequence, index: Column) -> Column:
+    """Element of a short list of numbers by position; null outside it."""
+    return F.get(F.expr(f"array({', '.join(repr(v) for v in values)})"), index)

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Points per block: two blocks of this size and their distances take tens of megabytes.
 BLOCK = 2048
@@ -52,9 +53,8 @@ def nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def with_nearest(df: DataFrame, centres: np.ndarray, vector: str = "vec", index: str = "centre", gap: str | None = None) -> DataFrame:
     """Add the nearest of a bounded set of centres to each row, batch by batch."""
-    schema = df.schema.add(index, "int")
-    if gap:
-        schema = schema.add(gap, "double")
+    added = [T.StructField(index, T.IntegerType())] + ([T.StructField(gap, T.DoubleType())] if gap else [])
+    schema = T.StructType(df.schema.fields + added)
 
     def assign(batches):
         for pdf in batches:

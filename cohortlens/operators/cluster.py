@@ -10,7 +10,9 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cohortlens.functions.columns import lookup
 from cohortlens.operators import blocks
 from cohortlens.session import materialize
 
@@ -56,7 +58,7 @@ def _ward(df: DataFrame, key: str, k: int, vector: str, seed: int, micro: int) -
         centres, sizes = centres[sizes > 0], sizes[sizes > 0]
     labels = ward_labels(centres, sizes, k)
     placed = blocks.with_nearest(df.select(key, vector), centres, vector)
-    return placed.select(key, F.get(F.array(*[F.lit(int(x)) for x in labels]), F.col("centre")).alias("cluster"))
+    return placed.select(key, lookup([int(x) for x in labels], F.col("centre")).alias("cluster"))
 
 
 def ward_labels(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
@@ -91,78 +93,82 @@ def ward_labels(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def silhouette_points(df: DataFrame, cluster: str = "cluster", vector: str = "vec", metric: str = "euclidean", block: int = blocks.BLOCK) -> DataFrame:
-    """``(cluster, vec, n, silhouette)``: one row per distinct labelled position, ``n`` points on it.
+    """``(position, cluster, n, silhouette)``: one row per distinct labelled position, ``n`` points on it.
 
     Points on one position share their silhouette, so positions are counted
     first and copies cost nothing. ``sqeuclidean`` needs only sums per cluster
     and is linear. ``euclidean`` needs every distance; it runs block against
-    block, and each task sends on one partial sum per point and cluster.
+    block, and each task sends on one partial sum per position and cluster.
     """
-    positions = df.groupBy(F.col(cluster).alias("cluster"), F.col(vector).alias("vec")).agg(F.count("*").alias("n"))
+    counted = df.groupBy(F.col(cluster).alias("cluster"), F.col(vector).alias("vec")).agg(F.count("*").alias("n"))
+    positions = materialize(counted.withColumn("position", F.monotonically_increasing_id()), "positions")
     if metric == "sqeuclidean":
         sums = _squared_sums(positions)
     elif metric == "euclidean":
         sums = _distance_sums(positions, block)
     else:
         raise ValueError(f"unknown metric {metric!r}")
-    own = F.max(F.when(F.col("cluster") == F.col("other"), F.struct("total", "size")))
-    foreign = F.min(F.when(F.col("cluster") != F.col("other"), F.col("total") / F.col("size")))
-    rows = sums.groupBy("cluster", "vec", "n").agg(own.alias("own"), foreign.alias("b"))
+    own = F.get(F.filter("per", lambda p: p["other"] == F.col("cluster")), 0)
+    foreign = F.array_min(F.transform(F.filter("per", lambda p: p["other"] != F.col("cluster")), lambda p: p["total"] / p["size"]))
+    rows = sums.select("position", "cluster", "n", own.alias("own"), foreign.alias("b"))
     a = F.when(F.col("own.size") > 1, F.col("own.total") / (F.col("own.size") - 1))
-    widest = F.greatest(a, F.col("b"))
-    score = F.when(a.isNull(), 0.0).when(widest == 0, 0.0).otherwise((F.col("b") - a) / widest)
-    return rows.select("cluster", "vec", "n", score.alias("silhouette"))
+    rows = rows.select("position", "cluster", "n", "b", a.alias("a")).withColumn("widest", F.greatest("a", "b"))
+    score = F.when(F.col("a").isNull() | (F.col("widest") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.col("widest"))
+    return rows.select("position", "cluster", "n", score.alias("silhouette"))
 
 
 def silhouette(df: DataFrame, cluster: str = "cluster", vector: str = "vec", metric: str = "euclidean", block: int = blocks.BLOCK) -> DataFrame:
     """Mean silhouette over all points, as one row."""
     scored = silhouette_points(df, cluster, vector, metric, block)
-    return scored.agg((F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("silhouette"), F.sum("n").cast("long").alias("n_points"))
+    return scored.agg((F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("silhouette"), F.sum("n").alias("n_points"))
 
 
 def _squared_sums(positions: DataFrame) -> DataFrame:
-    """Sum of squared distances to each cluster from that cluster's size, vector sum and sum of squares."""
+    """Sum of squared distances to each cluster from its size, coordinate sums and sum of squares.
+
+    ``size * |x|^2 - 2 x.s + q`` per row; the moments are one short row per
+    cluster and coordinate.
+    """
     moments = positions.select("cluster", "n", F.posexplode("vec").alias("i", "x")).groupBy("cluster", "i").agg(
         F.sum(F.col("n") * F.col("x")).alias("s"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("q"), F.sum("n").alias("size")
     )
-    # One row per cluster and coordinate comes out of this; the array is one number per coordinate.
-    clusters = moments.groupBy("cluster").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("s"), F.sum("q").alias("q"), F.max("size").alias("size")
-    )
-    table = [(r["cluster"], list(r["s"]), r["q"], r["size"]) for r in clusters.collect()]
-
-    def total(s, q, size):
-        norm = F.aggregate(F.col("vec"), F.lit(0.0), lambda acc, x: acc + x * x)
-        dot = F.aggregate(F.zip_with(F.col("vec"), F.array(*[F.lit(v) for v in s]), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-        return F.lit(float(size)) * norm - 2.0 * dot + F.lit(q)
-
-    others = F.array(*[
-        F.struct(F.lit(c).alias("other"), total(s, q, size).alias("total"), F.lit(size).alias("size")) for c, s, q, size in table
-    ])
-    return positions.select("cluster", "vec", "n", F.inline(others))
+    table: dict = {}
+    for row in moments.orderBy("cluster", "i").collect():
+        table.setdefault(row["cluster"], []).append((row["s"], row["q"], row["size"]))
+    entries = []
+    for label, cells in table.items():
+        dot = " + ".join(f"vec[{i}] * {s!r}D" for i, (s, _, _) in enumerate(cells))
+        square = sum(q for _, q, _ in cells)
+        total = f"greatest(0D, {cells[0][2]}D * norm - 2D * ({dot}) + {square!r}D)"
+        entries.append(F.struct(F.lit(label).alias("other"), F.expr(total).alias("total"), F.lit(cells[0][2]).alias("size")))
+    norm = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    return positions.withColumn("norm", norm).select("position", "cluster", "n", F.array(*entries).alias("per"))
 
 
 def _distance_sums(positions: DataFrame, block: int) -> DataFrame:
     """Distance sums per position and cluster, block against block."""
-    labelled = positions.withColumn("id", F.struct("cluster", "vec"))
-    stored = materialize(labelled.select("cluster", "vec", "n"), "positions")
-    count = blocks.block_count(stored.count(), block)
-    placed = stored.withColumn("at", blocks.block_of(F.struct("cluster", "vec"), count))
+    count = blocks.block_count(positions.count(), block)
+    placed = positions.withColumn("at", blocks.block_of(F.col("position"), count))
     every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = placed.select(F.col("at").alias("a"), every.alias("b"), "cluster", "vec", "n")
-    right = placed.select(every.alias("a"), F.col("at").alias("b"), "cluster", "vec", "n")
-    schema = stored.select("cluster", "vec", "n").schema.add("other", stored.schema["cluster"].dataType).add("total", "double")
+    left = placed.select(F.col("at").alias("a"), every.alias("b"), "position", "cluster", "n", "vec")
+    right = placed.select(every.alias("a"), F.col("at").alias("b"), "cluster", "n", "vec")
+    kept = positions.select("position", "cluster", "n").schema.fields
+    added = [T.StructField("other", positions.schema["cluster"].dataType), T.StructField("total", T.DoubleType())]
+    schema = T.StructType(kept + added)
+    names = schema.names
 
     def sums(rows: pd.DataFrame, against: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(against):
-            return pd.DataFrame({f.name: [] for f in schema})
+            return pd.DataFrame({name: [] for name in names})
         gaps = blocks.distances(blocks.matrix(rows["vec"]), blocks.matrix(against["vec"])) * against["n"].to_numpy()
         parts = []
         for label, members in against.groupby("cluster").indices.items():
-            parts.append(rows[["cluster", "vec", "n"]].assign(other=label, total=gaps[:, members].sum(axis=1)))
+            parts.append(rows[["position", "cluster", "n"]].assign(other=label, total=gaps[:, members].sum(axis=1)))
         return pd.concat(parts)
 
     partial = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(sums, schema)
-    totals = partial.groupBy("cluster", "vec", "n", "other").agg(F.sum("total").alias("total"))
-    sizes = stored.groupBy(F.col("cluster").alias("other")).agg(F.sum("n").alias("size"))
-    return totals.join(sizes, "other")
+    totals = partial.groupBy("position", "cluster", "n", "other").agg(F.sum("total").alias("total"))
+    sizes = positions.groupBy(F.col("cluster").alias("other")).agg(F.sum("n").alias("size"))
+    # One entry per cluster, so the list is as short as the clustering is coarse.
+    per = F.collect_list(F.struct("other", "total", "size")).alias("per")
+    return totals.join(sizes, "other").groupBy("position", "cluster", "n").agg(per)

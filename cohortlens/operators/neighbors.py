@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.ml.clustering import PowerIterationClustering
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.operators import blocks
+from cohortlens.functions.columns import lookup
+from cohortlens.operators import blocks, skew
 from cohortlens.session import materialize
 
 # Cells the space is cut into; bounds every table held on the driver.
@@ -51,8 +53,8 @@ def knn_graph(
     # Per cell: blocks of its own points, and blocks of the candidates sent to it. At most MAX_PIVOTS rows each.
     own = {r["cell"]: blocks.block_count(r["count"], block) for r in placed.groupBy("cell").count().collect()}
     sent = {r["target"]: blocks.block_count(r["count"], block) for r in routed.groupBy("target").count().collect()}
-    own_blocks = F.get(F.array(*[F.lit(own.get(c, 1)) for c in range(len(pivots))]), F.col("cell"))
-    sent_blocks = F.get(F.array(*[F.lit(sent.get(c, 1)) for c in range(len(pivots))]), F.col("cell"))
+    own_blocks = lookup([own.get(c, 1) for c in range(len(pivots))], F.col("cell"))
+    sent_blocks = lookup([sent.get(c, 1) for c in range(len(pivots))], F.col("cell"))
     rows = placed.select("cell", "id", "vec").withColumn("a", blocks.block_of(F.col("id"), own_blocks))
     rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), sent_blocks - 1)))
     others = routed.select(F.col("target").alias("cell"), "id", "vec").withColumn("b", blocks.block_of(F.col("id"), sent_blocks))
@@ -74,14 +76,15 @@ def _reach(placed: DataFrame, candidates: DataFrame, pivots: np.ndarray, k: int)
         radius[row["cell"]] = row["r"]
     # The k+1 candidates nearest to each pivot: a bounded list per cell.
     near = candidates.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy("gap", "id"))).where(F.col("at") <= k + 1)
-    gaps = [(r["cell"], r["gap"]) for r in near.select("cell", "gap").collect()]
+    listed = near.select("cell", "gap").collect()
+    cells, gaps = np.array([r["cell"] for r in listed]), np.array([r["gap"] for r in listed])
     between = blocks.distances(pivots, pivots)
     reach = np.full(len(pivots), np.inf)
-    for c in range(len(pivots)):
-        # From any point of the cell: to its pivot, on to the candidate's pivot, on to the candidate.
-        bounds = np.sort([radius[c] + between[c, j] + g for j, g in gaps])
-        if len(bounds) > k:
-            reach[c] = bounds[k] + radius[c]
+    if len(listed) > k:
+        for c in range(len(pivots)):
+            # From any point of the cell: to its pivot, on to the candidate's pivot, on to the candidate.
+            bound = np.partition(radius[c] + between[c, cells] + gaps, k)[k]
+            reach[c] = bound + radius[c]
     return reach * (1 + 1e-9) + 1e-12
 
 
@@ -151,8 +154,8 @@ def fuzzy_weights(graph: DataFrame) -> DataFrame:
         "src", "near", F.coalesce(F.array_min(F.transform(F.filter("near", lambda p: p["dist"] > 0), lambda p: p["dist"])), F.lit(0.0)).alias("rho")
     )
     lists = lists.withColumn("past", F.transform("near", lambda p: F.greatest(F.lit(0.0), p["dist"] - F.col("rho"))))
-    sigma = _sigma(lists.select("src", "past"))
-    weighted = lists.join(sigma, "src").select("src", F.explode(F.arrays_zip("near", "past")).alias("e"), "sigma").select(
+    lists = lists.withColumn("sigma", _sigma("past"))
+    weighted = lists.select("src", F.explode(F.arrays_zip("near", "past")).alias("e"), "sigma").select(
         "src", F.col("e.near.dst").alias("dst"),
         F.when(F.col("e.past") <= 0, 1.0).otherwise(F.exp(-F.col("e.past") / F.col("sigma"))).alias("w"),
     )
@@ -163,28 +166,21 @@ def fuzzy_weights(graph: DataFrame) -> DataFrame:
     return both.select("src", "dst", (F.col("s") - F.col("p")).alias("weight"))
 
 
-def _sigma(lists: DataFrame) -> DataFrame:
+@F.pandas_udf(T.DoubleType())
+def _sigma(past: pd.Series) -> pd.Series:
     """Solve for sigma by halving, all points of a batch at once."""
-    id_type = lists.schema["src"].dataType.simpleString()
-
-    def solve(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            sizes = pdf["past"].map(len).to_numpy()
-            past = np.full((len(pdf), sizes.max()), np.inf)
-            for i, values in enumerate(pdf["past"]):
-                past[i, : len(values)] = values
-            goal = np.log2(sizes)
-            low, high, mid = np.zeros(len(pdf)), np.full(len(pdf), np.inf), np.ones(len(pdf))
-            for _ in range(_HALVINGS):
-                over = np.exp(-past / mid[:, None]).sum(axis=1) > goal
-                high = np.where(over, mid, high)
-                low = np.where(over, low, mid)
-                mid = np.where(np.isinf(high), mid * 2, (low + high) / 2)
-            yield pd.DataFrame({"src": pdf["src"], "sigma": np.maximum(mid, 1e-12)})
-
-    return lists.mapInPandas(solve, f"src {id_type}, sigma double")
+    sizes = past.map(len).to_numpy()
+    table = np.full((len(past), sizes.max(initial=1)), np.inf)
+    for i, values in enumerate(past):
+        table[i, : len(values)] = values
+    goal = np.log2(np.maximum(sizes, 1))
+    low, high, mid = np.zeros(len(past)), np.full(len(past), np.inf), np.ones(len(past))
+    for _ in range(_HALVINGS):
+        over = np.exp(-table / mid[:, None]).sum(axis=1) > goal
+        high = np.where(over, mid, high)
+        low = np.where(over, low, mid)
+        mid = np.where(np.isinf(high), mid * 2, (low + high) / 2)
+    return pd.Series(np.maximum(mid, 1e-12))
 
 
 # --- layout and clusters -------------------------------------------------------------
@@ -203,46 +199,54 @@ def spectral_embedding(graph: DataFrame, dims: int = 2, rounds: int = 12, steps:
     width = dims + 1 + extra
     edges = graph.select("src", "dst", "weight").unionAll(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     edges = materialize(edges, "edges")
-    degree = edges.groupBy("src").agg(F.sum("weight").alias("degree"))
-    scaled = edges.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("degree").alias("far")), "dst")
-    scaled = materialize(scaled.select("src", "dst", (F.col("weight") / F.sqrt(F.col("degree") * F.col("far"))).alias("w")), "scaled")
+    degree = materialize(edges.groupBy("src").agg(F.sum("weight").alias("degree")), "degree")
+    near = skew.salted_inner(edges, degree, "src", F.col("dst"))
+    both = skew.salted_inner(near, degree.select(F.col("src").alias("dst"), F.col("degree").alias("far")), "dst", F.col("src"))
+    scaled = both.select("src", "dst", (F.col("weight") / F.sqrt(F.col("degree") * F.col("far"))).alias("w"))
+    hot = materialize(skew.hot_keys(edges, "dst"), "hot")
+    if hot.isEmpty():
+        hot = None
+    else:
+        scaled = skew.salted(scaled, hot, "dst", F.col("src"))
+    scaled = materialize(scaled, "scaled")
     # The leading vector is known: the square root of the degree. The rest start pseudo-random.
     noise = [(F.pmod(F.xxhash64("src", F.lit(i)), F.lit(1 << 20)) / float(1 << 20) - 0.5) for i in range(width - 1)]
     state = materialize(degree.select(F.col("src").alias("id"), F.array(F.sqrt("degree"), *noise).alias("v")), "state")
     state = _orthonormal(state, width)
     for _ in range(rounds):
         for _ in range(steps):
-            state = _half_step(scaled, state, width)
+            state = _half_step(scaled, state, width, hot)
         state = _orthonormal(materialize(state, "state"), width)
     # Best combinations within the span, then drop the constant direction.
-    image = _half_step(scaled, state, width).select("id", F.col("v").alias("u"))
+    image = _half_step(scaled, state, width, hot).select("id", F.col("v").alias("u"))
     pair = materialize(state.join(image, "id"), "pair")
     projected = _products(pair, "v", "u", width)
     _, rotation = np.linalg.eigh((projected + projected.T) / 2)
     chosen = rotation[:, ::-1][:, 1 : dims + 1]
-    coordinates = [_dot("v", chosen[:, i]) for i in range(dims)]
-    laid = pair.select("id", *[c.alias(f"{prefix}{i + 1}") for i, c in enumerate(coordinates)])
+    laid = pair.selectExpr("id", *[f"{_dot('v', chosen[:, i])} AS {prefix}{i + 1}" for i in range(dims)])
     return _signed(laid, [f"{prefix}{i + 1}" for i in range(dims)])
 
 
-def _half_step(scaled: DataFrame, state: DataFrame, width: int) -> DataFrame:
-    """One application of the operator to all vectors."""
-    pulled = scaled.join(state.select(F.col("id").alias("dst"), "v"), "dst")
-    sums = [F.sum(F.col("w") * F.get("v", i)).alias(f"s{i}") for i in range(width)]
-    moved = pulled.groupBy(F.col("src").alias("id")).agg(*sums)
-    both = state.join(moved, "id")
-    return both.select("id", F.array(*[(F.get("v", i) + F.col(f"s{i}")) / 2.0 for i in range(width)]).alias("v"))
+def _half_step(scaled: DataFrame, state: DataFrame, width: int, hot: DataFrame | None) -> DataFrame:
+    """One application of the operator to all vectors. Edges into a hub are already spread by their salt."""
+    sources = state.select(F.col("id").alias("dst"), "v")
+    if hot is None:
+        pulled = scaled.join(sources, "dst")
+    else:
+        pulled = scaled.join(skew.replicated(sources, hot, "dst"), ["dst", "salt"])
+    moved = pulled.groupBy(F.col("src").alias("id")).agg(*[F.expr(f"sum(w * v[{i}]) AS s{i}") for i in range(width)])
+    halves = ", ".join(f"(v[{i}] + s{i}) / 2D" for i in range(width))
+    return state.join(moved, "id").selectExpr("id", f"array({halves}) AS v")
 
 
 def _products(df: DataFrame, left: str, right: str, width: int) -> np.ndarray:
     """The width-by-width matrix of inner products."""
-    cells = [F.sum(F.get(left, i) * F.get(right, j)) for i in range(width) for j in range(width)]
-    return np.array(df.agg(*[c.alias(f"g{n}") for n, c in enumerate(cells)]).first(), dtype=float).reshape(width, width)
+    cells = [F.expr(f"sum({left}[{i}] * {right}[{j}]) AS g{i}_{j}") for i in range(width) for j in range(width)]
+    return np.array(df.agg(*cells).first(), dtype=float).reshape(width, width)
 
 
-def _dot(column: str, weights: np.ndarray):
-    terms = [F.get(column, i) * F.lit(float(w)) for i, w in enumerate(weights)]
-    return sum(terms[1:], terms[0])
+def _dot(column: str, weights: np.ndarray) -> str:
+    return " + ".join(f"{column}[{i}] * {float(w)!r}D" for i, w in enumerate(weights))
 
 
 def _orthonormal(state: DataFrame, width: int) -> DataFrame:
@@ -252,7 +256,8 @@ def _orthonormal(state: DataFrame, width: int) -> DataFrame:
     # Directions lost to rounding stay zero rather than being blown up.
     scale = np.where(values > values[0] * 1e-14, 1.0 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
     turn = vectors * scale
-    return state.select("id", F.array(*[_dot("v", turn[:, i]) for i in range(width)]).alias("v"))
+    columns = ", ".join(_dot("v", turn[:, i]) for i in range(width))
+    return state.selectExpr("id", f"array({columns}) AS v")
 
 
 def _signed(laid: DataFrame, columns: list[str]) -> DataFrame:

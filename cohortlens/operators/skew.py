@@ -1,0 +1,39 @@
+"""Equi-joins with keys that hold very many rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Rows of one key beyond which it is cut into parts.
+HOT_ROWS = 1_000_000
+
+
+def hot_keys(df: DataFrame, on: str, limit: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``limit`` rows and the number of parts to cut them into.
+
+    Counting merges before the shuffle. The result has fewer than
+    ``rows / limit`` rows, which is what makes it safe to broadcast.
+    """
+    counts = df.groupBy(on).agg(F.count("*").alias("rows")).where(F.col("rows") > limit)
+    return counts.select(on, F.ceil(F.col("rows") / limit).cast("int").alias("parts"))
+
+
+def salted(df: DataFrame, hot: DataFrame, on: str, by: Column) -> DataFrame:
+    """Add ``salt``: a part number for rows of hot keys, spread by the hash of ``by``; 0 elsewhere."""
+    parts = F.coalesce(F.col("parts"), F.lit(1))
+    return df.join(F.broadcast(hot), on, "left").withColumn("salt", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts")
+
+
+def replicated(df: DataFrame, hot: DataFrame, on: str) -> DataFrame:
+    """Add ``salt`` by repeating rows of hot keys once per part."""
+    copies = F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)
+    return df.join(F.broadcast(hot), on, "left").withColumn("salt", F.explode(copies)).drop("parts")
+
+
+def salted_inner(big: DataFrame, small: DataFrame, on: str, by: Column, limit: int = HOT_ROWS) -> DataFrame:
+    """Inner join in which the rows of a hot key in ``big`` are spread over several tasks."""
+    hot = hot_keys(big, on, limit)
+    if hot.isEmpty():
+        return big.join(small, on)
+    return salted(big, hot, on, by).join(replicated(small, hot, on), [on, "salt"]).drop("salt")
