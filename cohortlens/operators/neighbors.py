@@ -186,15 +186,16 @@ def _sigma(past: pd.Series) -> pd.Series:
 # --- layout and clusters -------------------------------------------------------------
 
 
-def spectral_embedding(graph: DataFrame, dims: int = 2, rounds: int = 12, steps: int = 4, extra: int = 6, prefix: str = "Embedding_") -> DataFrame:
+def spectral_embedding(graph: DataFrame, dims: int = 2, steps: int = 14, extra: int = 9, prefix: str = "Embedding_") -> DataFrame:
     """Coordinates from the smoothest non-constant functions on the graph.
 
-    Block power iteration on half the sum of the identity and the normalised
-    adjacency: every vertex carries a short array, one for all wanted vectors and
-    a few extra that speed up convergence. A step is one join with the edges and
-    one sum per vertex (partial before the shuffle). After ``steps`` steps the
-    vectors are made orthonormal through their small Gram matrix, and the round
-    is written out to cut lineage.
+    These are the leading eigenvectors of the normalised adjacency ``A`` after
+    the trivial one. They are found in the span of ``T_0 V .. T_steps V``
+    (Chebyshev polynomials of ``A`` on a few vectors): a step is one join of the edges with a short array per
+    vertex and one sum per vertex, partial before the shuffle, and is written
+    out, so that the plan of a step does not hold the steps before it. The best
+    combinations then follow from the small matrix of inner products. A few
+    ``extra`` vectors make up for close eigenvalues.
     """
     width = dims + 1 + extra
     edges = graph.select("src", "dst", "weight").unionAll(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -209,55 +210,83 @@ def spectral_embedding(graph: DataFrame, dims: int = 2, rounds: int = 12, steps:
     else:
         scaled = skew.salted(scaled, hot, "dst", F.col("src"))
     scaled = materialize(scaled, "scaled")
-    # The leading vector is known: the square root of the degree. The rest start pseudo-random.
-    noise = [(F.pmod(F.xxhash64("src", F.lit(i)), F.lit(1 << 20)) / float(1 << 20) - 0.5) for i in range(width - 1)]
-    state = materialize(degree.select(F.col("src").alias("id"), F.array(F.sqrt("degree"), *noise).alias("v")), "state")
-    state = _orthonormal(state, width)
-    for _ in range(rounds):
-        for _ in range(steps):
-            state = _half_step(scaled, state, width, hot)
-        state = _orthonormal(materialize(state, "state"), width)
-    # Best combinations within the span, then drop the constant direction.
-    image = _half_step(scaled, state, width, hot).select("id", F.col("v").alias("u"))
-    pair = materialize(state.join(image, "id"), "pair")
-    projected = _products(pair, "v", "u", width)
-    _, rotation = np.linalg.eigh((projected + projected.T) / 2)
-    chosen = rotation[:, ::-1][:, 1 : dims + 1]
-    laid = pair.selectExpr("id", *[f"{_dot('v', chosen[:, i])} AS {prefix}{i + 1}" for i in range(dims)])
-    return _signed(laid, [f"{prefix}{i + 1}" for i in range(dims)])
-
-
-def _half_step(scaled: DataFrame, state: DataFrame, width: int, hot: DataFrame | None) -> DataFrame:
-    """One application of the operator to all vectors. Edges into a hub are already spread by their salt."""
-    sources = state.select(F.col("id").alias("dst"), "v")
+    # The trivial vector is known, the square root of the degree; the others start pseudo-random.
+    noise = [f"pmod(xxhash64(src, {i}), 1048576) / 1048576D - 0.5D" for i in range(width - 1)]
+    state = degree.selectExpr("src AS id", f"array(sqrt(degree), {', '.join(noise)}) AS v")
+    chain = [materialize(state, "step")]
+    for _ in range(steps):
+        chain.append(materialize(_next_block(scaled, chain[-1], chain[-2] if len(chain) > 1 else None, width, hot), "step"))
+    basis = chain[0].select("id", F.lit(0).alias("at"), "v")
+    for at, block in enumerate(chain[1:], 1):
+        basis = basis.unionAll(block.select("id", F.lit(at).alias("at"), "v"))
+    # One short array per step, so the list of a vertex is bounded by the steps.
+    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda p: p["v"]))
+    basis = materialize(basis.groupBy("id").agg(joined.alias("v")), "basis")
+    turn = _ritz(_gram(basis, "v"), width, steps)[:, 1 : dims + 1]
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def project(v: pd.Series) -> pd.Series:
+        return pd.Series(list(blocks.matrix(v) @ turn))
+
+    names = [f"{prefix}{i + 1}" for i in range(dims)]
+    placed = basis.select("id", project("v").alias("x"))
+    laid = materialize(placed.select("id", *[F.get("x", i).alias(n) for i, n in enumerate(names)]), "layout")
+    return _signed(laid, names)
+
+
+def _next_block(scaled: DataFrame, last: DataFrame, before: DataFrame | None, width: int, hot: DataFrame | None) -> DataFrame:
+    """``2 A last - before``, at first ``A last``. Edges into a hub are spread by their salt."""
+    sources = last.withColumnRenamed("id", "dst")
     if hot is None:
         pulled = scaled.join(sources, "dst")
     else:
         pulled = scaled.join(skew.replicated(sources, hot, "dst"), ["dst", "salt"])
     moved = pulled.groupBy(F.col("src").alias("id")).agg(*[F.expr(f"sum(w * v[{i}]) AS s{i}") for i in range(width)])
-    halves = ", ".join(f"(v[{i}] + s{i}) / 2D" for i in range(width))
-    return state.join(moved, "id").selectExpr("id", f"array({halves}) AS v")
+    if before is None:
+        return moved.selectExpr("id", f"array({', '.join(f's{i}' for i in range(width))}) AS v")
+    block = ", ".join(f"2D * s{i} - v[{i}]" for i in range(width))
+    return before.join(moved, "id").selectExpr("id", f"array({block}) AS v")
 
 
-def _products(df: DataFrame, left: str, right: str, width: int) -> np.ndarray:
-    """The width-by-width matrix of inner products."""
-    cells = [F.expr(f"sum({left}[{i}] * {right}[{j}]) AS g{i}_{j}") for i in range(width) for j in range(width)]
-    return np.array(df.agg(*cells).first(), dtype=float).reshape(width, width)
+def _gram(df: DataFrame, column: str) -> np.ndarray:
+    """Inner products of the array's components over all rows: one small matrix per task, added up."""
 
-
-def _dot(column: str, weights: np.ndarray) -> str:
-    return " + ".join(f"{column}[{i}] * {float(w)!r}D" for i, w in enumerate(weights))
-
-
-def _orthonormal(state: DataFrame, width: int) -> DataFrame:
-    gram = _products(state, "v", "v", width)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    values, vectors = values[::-1], vectors[:, ::-1]
-    # Directions lost to rounding stay zero rather than being blown up.
-    scale = np.where(values > values[0] * 1e-14, 1.0 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-    turn = vectors * scale
-    columns = ", ".join(_dot("v", turn[:, i]) for i in range(width))
-    return state.selectExpr("id", f"array({columns}) AS v")
+    def partial(batches):
+        total = 0.0
+        for pdf in batches:
+            if len(pdf):
+                x = blocks.matrix(pdf[column])
+                total = total + x.T @ x
+        if not np.isscalar(total):
+            yield pd.DataFrame({"g": [total.ravel()]})
+
+    parts = df.select(column).mapInPandas(partial, "g array<double>")
+    cells = parts.select(F.posexplode("g").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+    values = np.zeros(len(cells))
+    for row in cells:
+        values[row["at"]] = row["x"]
+    side = math.isqrt(len(values))
+    return values.reshape(side, side)
+
+
+def _ritz(gram: np.ndarray, width: int, steps: int) -> np.ndarray:
+    """Weights of the ``width`` leading approximate eigenvectors over all blocks but the last.
+
+    ``A T_j`` is the mean of the blocks on either side of ``T_j``, so the inner
+    products with ``A`` are already in the Gram matrix.
+    """
+    size = width * steps
+    block = lambda j: slice(j * width, (j + 1) * width)
+    image = np.zeros((size, size))
+    for j in range(steps):
+        image[:, block(j)] = (gram[:size, block(j + 1)] + gram[:size, block(abs(j - 1))]) / 2
+    image = (image + image.T) / 2
+    values, vectors = np.linalg.eigh(gram[:size, :size])
+    sound = values > values[-1] * 1e-11
+    root = vectors[:, sound] / np.sqrt(values[sound])
+    _, found = np.linalg.eigh(root.T @ image @ root)
+    weights = root @ found[:, ::-1][:, :width]
+    return np.vstack([weights, np.zeros((width, weights.shape[1]))])
 
 
 def _signed(laid: DataFrame, columns: list[str]) -> DataFrame:
