@@ -297,5 +297,5 @@ def _signed(laid: DataFrame, columns: list[str]) -> DataFrame:
 
 def graph_cluster(graph: DataFrame, k: int = 2, iterations: int = 20) -> DataFrame:
     """``(id, cluster)`` by power iteration on the weighted graph."""
-    model = PowerIterationClustering(k=k, maxIter=iterations, initMode="degree", srcCol="src", dstCol="dst", weightCol="weight")
+    model = PowerIterationClustering(k=k, maxIter=iterations, initMode="random", srcCol="src", dstCol="dst", weightCol="weight")
     return model.assignClusters(graph.select("src", "dst", "weight")).select("id", F.col("cluster").cast("int").alias("cluster"))
