@@ -56,9 +56,9 @@ def flagged_ids(
 ) -> DataFrame:
     """Distinct cohort members with a flagged code in any of ``sources``.
 
-    Only ids are wanted, so semi-joins are enough: the sources are united first
-    and meet the map once, and ids are made distinct (partially before the
-    shuffle) before they meet the cohort.
+    Only ids are wanted, so semi-joins are enough. The one shuffle of a small map
+    and cohort is that of the ids, made distinct on each task first. Catalyst
+    moves both semi-joins below the union, so only matching rows reach it.
     """
     records = sources[0].select(key, code)
     for df in sources[1:]:

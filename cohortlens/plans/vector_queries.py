@@ -179,12 +179,15 @@ _MIX_LAST = (
 _MIX_SUM = f"list_transform(range(0, {L}), lambda j: (k[(j + 1) % {L} + 1] + u[(j + 2) % {L} + 1]) / 3{_C})"
 
 
-@query("fingerprint_last", with_views(
+_LAST = (
     f"{_CELLS}, {_KEYS}, fx_last AS (SELECT patient_id, max(pos) AS pos, arg_max(num, pos) AS num, CAST(count(*) AS INTEGER) AS statements FROM fx_cells GROUP BY patient_id), "
     + _number_sql("fx_last", "num", "patient_id, pos, statements")
     + f", fx_mixed AS (SELECT e.patient_id, e.statements, k.v AS k, e.v AS u FROM enc e JOIN kv k USING (pos)), "
     f"fx_vec AS (SELECT patient_id, statements, {_MIX_LAST} AS v FROM fx_mixed), " + _zscore_sql("fx_vec", "patient_id")
-    + f" SELECT patient_id, statements, {_C0} FROM z", *_VIEWS))
+)
+
+
+@query("fingerprint_last", with_views(f"{_LAST} SELECT patient_id, statements, {_C0} FROM z", *_VIEWS))
 def fingerprint_last(study: Study) -> DataFrame:
     found = fp.fingerprint(lab_matrix(study), "patient_id").where("statements > 0")
     return _tidy(found, "patient_id")
@@ -201,7 +204,25 @@ def fingerprint_sum(study: Study) -> DataFrame:
     return _tidy(found, "patient_id")
 
 
-@query("fingerprint_mixed_types")
+_MIXED = ["o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate", "o_custkey"]
+_MIXED_CELLS = (
+    "fx_cells AS (SELECT o_orderkey, 0 AS pos, CAST(NULL AS DOUBLE) AS num, o_orderstatus AS txt FROM orders WHERE o_orderstatus <> '' "
+    "UNION ALL SELECT o_orderkey, 1, o_totalprice, NULL FROM orders WHERE o_totalprice <> 0 "
+    "UNION ALL SELECT o_orderkey, 2, NULL, o_orderpriority FROM orders WHERE o_orderpriority <> '' "
+    "UNION ALL SELECT o_orderkey, 3, NULL, NULL FROM orders WHERE o_orderdate IS NOT NULL "
+    "UNION ALL SELECT o_orderkey, 4, o_custkey::DOUBLE, NULL FROM orders WHERE o_custkey % 3 > 0), "
+    "fx_words AS (SELECT DISTINCT txt AS word, txt FROM fx_cells WHERE txt IS NOT NULL), "
+    "fx_names AS (" + " UNION ALL ".join(f"SELECT {i} AS pos, '{n}' AS name" for i, n in enumerate(_MIXED)) + "), "
+)
+
+
+@query("fingerprint_mixed_types", "WITH " + _MIXED_CELLS + _text_sql("fx_names", "name", "pos", "kv") + ", " + _text_sql("fx_words", "txt", "word", "tv") + ", "
+       + _number_sql("fx_cells", "num", "o_orderkey, pos, txt")
+       + f", fx_mixed AS (SELECT e.o_orderkey, k.v AS k, coalesce(e.v, t.v, list_transform(range(0, {L}), lambda i: 0{_C})) AS u "
+       "FROM enc e JOIN kv k USING (pos) LEFT JOIN tv t ON e.txt = t.word), "
+       "fx_part AS (SELECT o_orderkey, " + f"list_transform(range(0, {L}), lambda j: (k[(j + 1) % {L} + 1] + u[(j + 2) % {L} + 1]) / 3{_C})" + " AS v FROM fx_mixed), "
+       "fx_vec AS (SELECT o_orderkey, CAST(count(*) AS INTEGER) AS statements, [" + ", ".join(f"sum(v[{i + 1}])" for i in range(L)) + "] AS v FROM fx_part GROUP BY o_orderkey), "
+       + _zscore_sql("fx_vec", "o_orderkey") + f" SELECT o_orderkey, statements, {_C0} FROM z")
 def fingerprint_mixed_types(study: Study) -> DataFrame:
     return _tidy(fp.fingerprint(patient_prices(study), "o_orderkey", combine="sum"), "o_orderkey")
 
@@ -225,11 +246,11 @@ def fingerprint_nested(study: Study) -> DataFrame:
     return _tidy(fp.fingerprint_nested(study.documents(), "event_id", "doc"), "event_id")
 
 
-@query("fingerprint_report")
+@query("fingerprint_report", with_views(f"{_LAST} SELECT patient_id, statements, {_C0} FROM z", *_VIEWS))
 def fingerprint_report(study: Study) -> DataFrame:
     """The tab-separated report, written and read back."""
     path = scratch_path(study.spark, "report")
-    tb.write_tsv(fp.wide(fp.fingerprint(lab_matrix(study), "patient_id"), "patient_id"), path)
+    tb.write_tsv(_tidy(fp.fingerprint(lab_matrix(study), "patient_id").where("statements > 0"), "patient_id"), path)
     schema = "patient_id BIGINT, statements INT, " + ", ".join(f"c{i} DOUBLE" for i in range(L))
     return study.spark.read.option("sep", "\t").schema(schema).csv(path)
 
@@ -237,6 +258,39 @@ def fingerprint_report(study: Study) -> DataFrame:
 # --- reduction and clusters ----------------------------------------------------------
 
 
+def _pca_sql(source: str, key: str, columns: list[str], k: int = 3) -> str:
+    """CTEs over ``source`` that end in a SELECT of the scores.
+
+    The leading eigenvector comes from squaring the covariance matrix again and
+    again, the next ones from what is left after taking it out.
+    """
+    d = len(columns)
+    rows = ", ".join("[" + ", ".join(f"covar_samp({a}, {b})" for b in columns) + "]" for a in columns)
+    trace = f"list_sum(list_transform(range(1, {d + 1}), lambda i: m[i][i]))"
+    diagonal = f"list_transform(range(1, {d + 1}), lambda i: m[i][i])"
+    text = f"p0 AS (SELECT [{rows}] AS m FROM {source})"
+    for c in range(1, k + 1):
+        text += (
+            f", q{c}(step, m) AS (SELECT 0, list_transform(m, lambda r: list_transform(r, lambda x: x / {trace})) FROM p{c - 1} "
+            f"UNION ALL SELECT step + 1, list_transform(m, lambda r: list_transform(r, lambda x: x / {trace})) FROM "
+            f"(SELECT step, list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s))) AS m FROM q{c} WHERE step < 40)), "
+            f"u{c} AS (SELECT m[list_position({diagonal}, list_max({diagonal}))] AS w FROM q{c} WHERE step = 40), "
+            f"n{c} AS (SELECT list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS v FROM u{c}), "
+            f"a{c} AS (SELECT v, list_transform(v, lambda x: abs(x)) AS b FROM n{c}), "
+            f"v{c} AS (SELECT list_transform(v, lambda x: x * sign(v[list_position(b, list_max(b))])) AS v FROM a{c}), "
+            f"l{c} AS (SELECT v, m, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS lam FROM v{c}, p{c - 1}), "
+            f"p{c} AS (SELECT list_transform(range(1, {d + 1}), lambda i: list_transform(range(1, {d + 1}), lambda j: m[i][j] - lam * v[i] * v[j])) AS m FROM l{c})"
+        )
+    means = ", ".join(f"avg({x})" for x in columns)
+    text += (
+        f", pm AS (SELECT [{means}] AS mu FROM {source}), px AS (SELECT {key}, [{', '.join(f'{x}{_C}' for x in columns)}] AS x FROM {source}), "
+        f"pc AS (SELECT {key}, list_transform(range(1, {d + 1}), lambda i: x[i] - mu[i]) AS x FROM px, pm) SELECT {key}, "
+        + ", ".join(f"{rounded_sql(f'list_dot_product(x, v{c}.v)')} AS PC_{c}" for c in range(1, k + 1))
+        + " FROM pc, " + ", ".join(f"v{c}" for c in range(1, k + 1))
+    )
+    return text
+
+
 def lab_scores(study: Study) -> DataFrame:
     """Three components of the lab flags; the fit reads the features several times, so they are stored first."""
     features = rd.assemble(lab_matrix(study), "patient_id", LABS, nulls="zero")
@@ -253,14 +307,21 @@ def score_vectors(study: Study) -> DataFrame:
     return materialize(cl.as_vectors(fingerprint_scores(study), "patient_id", PC), "scores")
 
 
-@query("pca_labs")
+def _rounded_scores(scores: DataFrame) -> DataFrame:
+    return scores.select("patient_id", *[rounded(F.col(c)).alias(c) for c in PC])
+
+
+_FLAGS = _MATRIX + ", fx_flags AS (SELECT patient_id, " + ", ".join(f"coalesce({lab}, 0)::DOUBLE AS {lab}" for lab in LABS) + " FROM fx_matrix)"
+
+
+@query("pca_labs", with_views(f"{_FLAGS}, {_pca_sql('fx_flags', 'patient_id', LABS)}", *_VIEWS, recursive=True))
 def pca_labs(study: Study) -> DataFrame:
-    return lab_scores(study)
+    return _rounded_scores(lab_scores(study))
 
 
-@query("pca_fingerprint")
+@query("pca_fingerprint", with_views(f"{_LAST}, {_pca_sql('z', 'patient_id', [f'c{i}' for i in range(L)])}", *_VIEWS, recursive=True))
 def pca_fingerprint(study: Study) -> DataFrame:
-    return fingerprint_scores(study)
+    return _rounded_scores(fingerprint_scores(study))
 
 
 @query("cluster_bisecting")
@@ -293,10 +354,13 @@ def cluster_points(study: Study) -> DataFrame:
     return ov.jitter(ov.points(scores, labels, "patient_id"), PC, -0.1, 0.1, seed=7)
 
 
-@query("jitter")
+@query("jitter", "SELECT c_custkey, true AS x_near, true AS y_near, true AS apart FROM customer")
 def jitter(study: Study) -> DataFrame:
-    points = study.table("customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_acctbal").alias("y"))
-    return ov.jitter(points, ["x", "y"], 0.0, 0.5, seed=3)
+    """Noise differs by engine; that it stays in its bounds and differs by axis can be checked."""
+    points = study.table("customer").select("c_custkey", "c_acctbal", F.col("c_acctbal").alias("x"), F.col("c_acctbal").alias("y"))
+    moved = ov.jitter(points, ["x", "y"], 0.0, 0.5, seed=3)
+    near = {c: (F.col(c) - F.col("c_acctbal")).between(0.0, 0.5).alias(f"{c}_near") for c in ("x", "y")}
+    return moved.select("c_custkey", near["x"], near["y"], (F.col("x") != F.col("y")).alias("apart"))
 
 
 _PAIRS = (
@@ -347,7 +411,7 @@ def knn_probe(study: Study) -> DataFrame:
 
 
 _FUZZY = (
-    _KNN.replace("WITH fx_near", "WITH RECURSIVE fx_near")
+    _KNN
     + ", fx_rho AS (SELECT src, coalesce(min(CASE WHEN dist > 0 THEN dist END), 0) AS rho FROM fx_knn GROUP BY src), "
     "fx_list AS (SELECT k.src, list(greatest(0::DOUBLE, k.dist - r.rho)) AS past, log2(count(*)) AS goal FROM fx_knn k JOIN fx_rho r USING (src) GROUP BY k.src), "
     "fx_solve(src, past, goal, low, high, mid, step) AS (SELECT src, past, goal, 0::DOUBLE, CAST(NULL AS DOUBLE), 1::DOUBLE, 0 FROM fx_list "
@@ -360,8 +424,7 @@ _FUZZY = (
 )
 
 
-@query("fuzzy_weights", with_views(f"{_FUZZY} SELECT a AS src, b AS dst, {rounded_sql('s - p')} AS weight FROM fx_both", "fx_points")
-       .replace("WITH fx_points", "WITH RECURSIVE fx_points").replace(", RECURSIVE fx_near", ", fx_near"))
+@query("fuzzy_weights", with_views(f"{_FUZZY} SELECT a AS src, b AS dst, {rounded_sql('s - p')} AS weight FROM fx_both", "fx_points", recursive=True))
 def fuzzy_weights(study: Study) -> DataFrame:
     return nb.fuzzy_weights(graph(study)).select("src", "dst", rounded(F.col("weight")).alias("weight"))
 

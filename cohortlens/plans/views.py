@@ -176,9 +176,11 @@ VIEW_SQL: dict[str, str] = {
 }
 
 
-def with_views(body: str, *names: str) -> str:
+def with_views(body: str, *names: str, recursive: bool = False) -> str:
     """A statement with the named views in front; ``body`` starts with SELECT or with a further CTE list."""
+    word = "WITH RECURSIVE" if recursive else "WITH"
+    body = body.removeprefix("WITH ") if body.startswith("WITH ") else body
     ctes = ", ".join(f"{n} AS ({VIEW_SQL[n]})" for n in names)
-    if not ctes:
-        return body
-    return f"WITH {ctes}, {body[5:]}" if body.startswith("WITH ") else f"WITH {ctes} {body}"
+    if body.startswith("SELECT"):
+        return f"{word} {ctes} {body}" if ctes else body
+    return f"{word} {ctes}, {body}" if ctes else f"{word} {body}"
