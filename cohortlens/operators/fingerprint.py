@@ -77,7 +77,7 @@ def statements(df: DataFrame, key: str) -> DataFrame:
     """One row per kept cell: ``(key, pos, parent, name, num, txt)``."""
     names, cells = _cells(df, key)
     labels = F.array(*[F.lit(n) for n in names])
-    rows = df.select(F.col(key), F.explode(cells).alias("c"))
+    rows = df.select(F.col(key), F.explode_outer(cells).alias("c")).where("c IS NOT NULL")
     return rows.select(
         key, F.col("c.pos").alias("pos"), F.lit("root").alias("parent"),
         F.get(labels, F.col("c.pos")).alias("name"), F.col("c.num").alias("num"), F.col("c.txt").alias("txt"),
@@ -238,8 +238,10 @@ def nested_statements(df: DataFrame, key: str, doc: str, max_depth: int = 8) ->
 def nested_triples(df: DataFrame, key: str, doc: str, max_depth: int = 8) -> DataFrame:
     """Statement triples of every level: ``(key, depth, parent, name, num, txt)``."""
     levels = nested_statements(df, key, doc, max_depth)
-    rows = levels.select(key, F.posexplode("levels").alias("depth", "level")).select(key, "depth", F.explode("level").alias("s"))
-    return rows.select(
+    # The outer forms, filtered afterwards: a plain explode makes the optimizer test the
+    # size of its input first, which here would compute every document several times.
+    rows = levels.select(key, F.posexplode_outer("levels").alias("depth", "level")).select(key, "depth", F.explode_outer("level").alias("s"))
+    return rows.where("s IS NOT NULL").select(
         key, "depth", F.col("s.parent").alias("parent"), F.col("s.key").alias("name"), F.col("s.num").alias("num"), F.col("s.txt").alias("txt")
     )
 

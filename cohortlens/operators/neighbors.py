@@ -15,8 +15,9 @@ from cohortlens.functions.columns import lookup
 from cohortlens.operators import blocks, skew
 from cohortlens.session import materialize
 
-# Cells the space is cut into; bounds every table held on the driver.
-MAX_PIVOTS = 256
+# Most cells the space is cut into; bounds every table held on the driver (pivots and
+# the k + 1 nearest candidates of each). Pivots are points, so crowded regions get more.
+MAX_PIVOTS = 2048
 
 
 def knn_graph(
@@ -50,7 +51,7 @@ def knn_graph(
     reach = _reach(placed, candidates, pivots, k) if method == "exact" else None
     routed = materialize(_route(candidates, pivots, reach, probe), "routed")
 
-    # Per cell: blocks of its own points, and blocks of the candidates sent to it. At most MAX_PIVOTS rows each.
+    # Per cell: blocks of its own points, and blocks of the candidates sent to it. One row per cell.
     own = {r["cell"]: blocks.block_count(r["count"], block) for r in placed.groupBy("cell").count().collect()}
     sent = {r["target"]: blocks.block_count(r["count"], block) for r in routed.groupBy("target").count().collect()}
     own_blocks = lookup([own.get(c, 1) for c in range(len(pivots))], F.col("cell"))

@@ -285,7 +285,7 @@ def _pca_sql(source: str, key: str, columns: list[str], k: int = 3) -> str:
     text += (
         f", pm AS (SELECT [{means}] AS mu FROM {source}), px AS (SELECT {key}, [{', '.join(f'{x}{_C}' for x in columns)}] AS x FROM {source}), "
         f"pc AS (SELECT {key}, list_transform(range(1, {d + 1}), lambda i: x[i] - mu[i]) AS x FROM px, pm) SELECT {key}, "
-        + ", ".join(f"{rounded_sql(f'list_dot_product(x, v{c}.v)')} AS PC_{c}" for c in range(1, k + 1))
+        + ", ".join(f"{rounded_sql(f'list_dot_product(x, v{c}.v)', 4)} AS PC_{c}" for c in range(1, k + 1))
         + " FROM pc, " + ", ".join(f"v{c}" for c in range(1, k + 1))
     )
     return text
@@ -308,7 +308,7 @@ def score_vectors(study: Study) -> DataFrame:
 
 
 def _rounded_scores(scores: DataFrame) -> DataFrame:
-    return scores.select("patient_id", *[rounded(F.col(c)).alias(c) for c in PC])
+    return scores.select("patient_id", *[rounded(F.col(c), 4).alias(c) for c in PC])
 
 
 _FLAGS = _MATRIX + ", fx_flags AS (SELECT patient_id, " + ", ".join(f"coalesce({lab}, 0)::DOUBLE AS {lab}" for lab in LABS) + " FROM fx_matrix)"
