@@ -151,7 +151,10 @@ def _distance_sums(positions: DataFrame, block: int) -> DataFrame:
     placed = positions.withColumn("at", blocks.block_of(F.col("position"), count))
     every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = placed.select(F.col("at").alias("a"), every.alias("b"), "position", "cluster", "n", "vec")
-    right = placed.select(every.alias("a"), F.col("at").alias("b"), "cluster", "n", "vec")
+    # Both sides read one table: new names on this side keep its columns apart from the other's.
+    right = placed.select(
+        every.alias("a"), F.col("at").alias("b"), F.col("cluster").alias("other"), F.col("n").alias("weight"), F.col("vec").alias("place")
+    )
     kept = positions.select("position", "cluster", "n").schema.fields
     added = [T.StructField("other", positions.schema["cluster"].dataType), T.StructField("total", T.DoubleType())]
     schema = T.StructType(kept + added)
@@ -160,9 +163,9 @@ def _distance_sums(positions: DataFrame, block: int) -> DataFrame:
     def sums(rows: pd.DataFrame, against: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(against):
             return pd.DataFrame({name: [] for name in names})
-        gaps = blocks.distances(blocks.matrix(rows["vec"]), blocks.matrix(against["vec"])) * against["n"].to_numpy()
+        gaps = blocks.distances(blocks.matrix(rows["vec"]), blocks.matrix(against["place"])) * against["weight"].to_numpy()
         parts = []
-        for label, members in against.groupby("cluster").indices.items():
+        for label, members in against.groupby("other").indices.items():
             parts.append(rows[["position", "cluster", "n"]].assign(other=label, total=gaps[:, members].sum(axis=1)))
         return pd.concat(parts)
 

@@ -115,6 +115,7 @@ def test_silhouette(spark, block):
     df = frame(spark, points, labels)
     row = cl.silhouette(df, block=block).first()
     assert row.silhouette == pytest.approx(direct_silhouette(points, labels)) and row.n_points == len(points)
+    assert cl.silhouette(df, block=block).count() == 1  # also when no column of the result is asked for
     squared = cl.silhouette(df, metric="sqeuclidean").first().silhouette
     assert squared == pytest.approx(direct_silhouette(points, labels, squared=True))
 
