@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.columns import join_numbers, round_half_even, split_numbers
+from cohortlens.session import materialize
 
 CELLS = ("high_0", "high_1", "low_0", "low_1")
 # Aggregates per pass over a wide table; keeps generated code within limits.
@@ -23,6 +24,9 @@ def high_low_counts(df: DataFrame, group: str, columns: Sequence[str]) -> DataFr
     The wide rows are aggregated as they are, so only one short row per group
     and task is shuffled; the turn to long form happens on the totals.
     """
+    if len(columns) > COLUMNS_PER_PASS:
+        # Several passes: store the cells once, so that each pass reads only its own columns.
+        df = materialize(df.select(group, *columns), "cells")
     parts = []
     for at in range(0, len(columns), COLUMNS_PER_PASS):
         names = list(columns[at : at + COLUMNS_PER_PASS])

@@ -81,13 +81,13 @@ def cohort_coverage(study: Study) -> DataFrame:
     return joined.groupBy("patient_id").agg(F.count("diagnosis_id").alias("n_problems"), F.count("flag").alias("n_mapped"))
 
 
-@query("cohort_union", with_views(f"{COHORT_CTES} SELECT patient_id, 1 AS ibd FROM fx_ids", *COHORT_VIEWS))
+@query("cohort_union", with_views(f"{COHORT_CTES} SELECT patient_id, 1 AS member FROM fx_ids", *COHORT_VIEWS))
 def cohort_union(study: Study) -> DataFrame:
     """Record by record, then a set union of the two id lists."""
     p = co.flagged_records(problem_list(study), dx_map(study), study.cohort(), "flag")
     encounters = co.explode_codes(study.encounters(), "diagnosis_id")
     e = co.flagged_records(encounters, dx_map(study), study.cohort(), "flag")
-    return fr.with_constant(fr.union_distinct(e.select("patient_id"), p.select("patient_id")), "ibd", 1)
+    return fr.with_constant(fr.union_distinct(e.select("patient_id"), p.select("patient_id")), "member", 1)
 
 
 @query("cohort_ids", with_views(f"{COHORT_CTES} SELECT patient_id FROM fx_ids", *COHORT_VIEWS))
@@ -99,7 +99,7 @@ def cohort_ids_query(study: Study) -> DataFrame:
     f"{COHORT_CTES} SELECT patient_id, {', '.join(LABS)} FROM fx_ids JOIN fx_labs USING (patient_id)", *COHORT_VIEWS, "fx_labs"))
 def cohort_labs(study: Study) -> DataFrame:
     """Cohort joined to the wide lab table, without the marker, the encounter column, dates and sign counts."""
-    joined = co.inner(fr.with_constant(cohort_ids(study), "ibd", 1), study.labs(), "patient_id")
+    joined = co.inner(fr.with_constant(cohort_ids(study), "member", 1), study.labs(), "patient_id")
     features = fr.slice_columns(joined, 2, key="patient_id")
     return fr.drop_matching(features, ["first", "last", "neg", "pos"])
 

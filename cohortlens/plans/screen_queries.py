@@ -95,17 +95,17 @@ def column_profile(study: Study) -> DataFrame:
 
 
 @query("column_profile_pruned", with_views(
-    f"""{_PROFILE} SELECT "column", n FROM fx_profile WHERE "column" NOT LIKE '%ibd%' AND "column" NOT LIKE '%first%'
+    f"""{_PROFILE} SELECT "column", n FROM fx_profile WHERE "column" NOT LIKE '%member%' AND "column" NOT LIKE '%first%'
     AND "column" NOT LIKE '%last%' AND "column" NOT LIKE '%neg%' AND "column" NOT LIKE '%pos%'""", *VIEWS))
 def column_profile_pruned(study: Study) -> DataFrame:
-    return fr.drop_matching_rows(profile(study, 0), "column", ["ibd", "first", "last", "neg", "pos"])
+    return fr.drop_matching_rows(profile(study, 0), "column", ["member", "first", "last", "neg", "pos"])
 
 
 @query("labs_kept_by_profile", with_views(f"SELECT patient_id, {', '.join(LABS)} FROM fx_labs", "fx_labs"))
 def labs_kept_by_profile(study: Study) -> DataFrame:
     """Keep the columns that the pruned profile names (one short list of column names)."""
     labs = study.labs()
-    names = [r[0] for r in fr.drop_matching_rows(fr.column_profile(labs, labs.columns[2:]), "column", ["ibd", "first", "last", "neg", "pos"]).select("column").collect()]
+    names = [r[0] for r in fr.drop_matching_rows(fr.column_profile(labs, labs.columns[2:]), "column", ["member", "first", "last", "neg", "pos"]).select("column").collect()]
     return fr.select_listed(labs, names, key="patient_id")
 
 

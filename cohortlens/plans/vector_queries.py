@@ -107,10 +107,9 @@ def encode_string(study: Study) -> DataFrame:
     return spread(study.table("part").select("p_partkey", en.encode_string(F.col("p_name")).alias("v")), ["p_partkey"])
 
 
-@query("encode_text", "WITH " + _text_sql("documents", "text", "doc_id") + " " + _spread_sql("doc_id"))
+@query("encode_text", "WITH " + _text_sql("documents", "text", "doc_id") + " " + _spread_sql("doc_id", "documents LEFT JOIN enc USING (doc_id)"))
 def encode_text(study: Study) -> DataFrame:
-    texts = study.table("documents").where("text <> ''")
-    return spread(texts.select("doc_id", en.encode_text(F.col("text")).alias("v")), ["doc_id"])
+    return spread(study.table("documents").select("doc_id", en.encode_text(F.col("text")).alias("v")), ["doc_id"])
 
 
 # --- statements and fingerprints -----------------------------------------------------
@@ -123,10 +122,10 @@ def lab_matrix(study: Study) -> DataFrame:
 
 
 def patient_prices(study: Study) -> DataFrame:
-    """Orders as a mixed-type record: a real number, texts, a date, an integer."""
+    """Orders as a mixed-type record: a real number, texts, a date, an integer that is null at times."""
     return study.table("orders").select(
         "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate",
-        F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey")).alias("o_custkey"),
+        F.when(F.col("o_totalprice") >= 100000, F.col("o_custkey")).alias("o_custkey"),
     )
 
 
@@ -159,6 +158,8 @@ def _tidy(df: DataFrame, key: str) -> DataFrame:
 
 
 _C0 = ", ".join(f"c{i}" for i in range(L))
+# Rows without a kept cell stay, with a null vector.
+_ALL_ROWS = f"SELECT m.patient_id, coalesce(z.statements, 0) AS statements, {_C0} FROM fx_matrix m LEFT JOIN z USING (patient_id)"
 
 
 @query("statements", with_views(f"{_CELLS} SELECT patient_id, CAST(pos AS INTEGER) AS pos, name, num FROM fx_cells", *_VIEWS))
@@ -187,10 +188,9 @@ _LAST = (
 )
 
 
-@query("fingerprint_last", with_views(f"{_LAST} SELECT patient_id, statements, {_C0} FROM z", *_VIEWS))
+@query("fingerprint_last", with_views(f"{_LAST} {_ALL_ROWS}", *_VIEWS))
 def fingerprint_last(study: Study) -> DataFrame:
-    found = fp.fingerprint(lab_matrix(study), "patient_id").where("statements > 0")
-    return _tidy(found, "patient_id")
+    return _tidy(fp.fingerprint(lab_matrix(study), "patient_id"), "patient_id")
 
 
 @query("fingerprint_sum", with_views(
@@ -198,10 +198,9 @@ def fingerprint_last(study: Study) -> DataFrame:
     + f", fx_mixed AS (SELECT e.patient_id, k.v AS k, e.v AS u FROM enc e JOIN kv k USING (pos)), "
     f"fx_part AS (SELECT patient_id, {_MIX_SUM} AS v FROM fx_mixed), "
     f"fx_vec AS (SELECT patient_id, CAST(count(*) AS INTEGER) AS statements, [" + ", ".join(f"sum(v[{i + 1}])" for i in range(L)) + "] AS v FROM fx_part GROUP BY patient_id), "
-    + _zscore_sql("fx_vec", "patient_id") + f" SELECT patient_id, statements, {_C0} FROM z", *_VIEWS))
+    + _zscore_sql("fx_vec", "patient_id") + f" {_ALL_ROWS}", *_VIEWS))
 def fingerprint_sum(study: Study) -> DataFrame:
-    found = fp.fingerprint(lab_matrix(study), "patient_id", combine="sum").where("statements > 0")
-    return _tidy(found, "patient_id")
+    return _tidy(fp.fingerprint(lab_matrix(study), "patient_id", combine="sum"), "patient_id")
 
 
 _MIXED = ["o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate", "o_custkey"]
@@ -210,7 +209,7 @@ _MIXED_CELLS = (
     "UNION ALL SELECT o_orderkey, 1, o_totalprice, NULL FROM orders WHERE o_totalprice <> 0 "
     "UNION ALL SELECT o_orderkey, 2, NULL, o_orderpriority FROM orders WHERE o_orderpriority <> '' "
     "UNION ALL SELECT o_orderkey, 3, NULL, NULL FROM orders WHERE o_orderdate IS NOT NULL "
-    "UNION ALL SELECT o_orderkey, 4, o_custkey::DOUBLE, NULL FROM orders WHERE o_custkey % 3 > 0), "
+    "UNION ALL SELECT o_orderkey, 4, o_custkey::DOUBLE, NULL FROM orders WHERE o_totalprice >= 100000), "
     "fx_words AS (SELECT DISTINCT txt AS word, txt FROM fx_cells WHERE txt IS NOT NULL), "
     "fx_names AS (" + " UNION ALL ".join(f"SELECT {i} AS pos, '{n}' AS name" for i, n in enumerate(_MIXED)) + "), "
 )
@@ -246,11 +245,11 @@ def fingerprint_nested(study: Study) -> DataFrame:
     return _tidy(fp.fingerprint_nested(study.documents(), "event_id", "doc"), "event_id")
 
 
-@query("fingerprint_report", with_views(f"{_LAST} SELECT patient_id, statements, {_C0} FROM z", *_VIEWS))
+@query("fingerprint_report", with_views(f"{_LAST} {_ALL_ROWS}", *_VIEWS))
 def fingerprint_report(study: Study) -> DataFrame:
     """The tab-separated report, written and read back."""
     path = scratch_path(study.spark, "report")
-    tb.write_tsv(_tidy(fp.fingerprint(lab_matrix(study), "patient_id").where("statements > 0"), "patient_id"), path)
+    tb.write_tsv(_tidy(fp.fingerprint(lab_matrix(study), "patient_id"), "patient_id"), path)
     schema = "patient_id BIGINT, statements INT, " + ", ".join(f"c{i} DOUBLE" for i in range(L))
     return study.spark.read.option("sep", "\t").schema(schema).csv(path)
 

@@ -28,11 +28,11 @@ def test_nan_keys(spark):
 
 
 def test_columns(spark):
-    frame = spark.range(1).select("id", *[F.lit(1).alias(c) for c in ("ibd", "enc", "a", "a_first", "a_last", "a_neg", "a_pos")])
+    frame = spark.range(1).select("id", *[F.lit(1).alias(c) for c in ("member", "enc", "a", "a_first", "a_last", "a_neg", "a_pos")])
     assert fr.slice_columns(frame, 2, key="id").columns == ["id", "a", "a_first", "a_last", "a_neg", "a_pos"]
     assert fr.slice_columns(frame, 0, 1).columns == ["id"]
-    assert fr.drop_matching(frame, ["first", "last", "neg", "pos"]).columns == ["id", "ibd", "enc", "a"]
-    assert fr.select_listed(frame, ["a", "ibd"], key="id").columns == ["id", "ibd", "a"]
+    assert fr.drop_matching(frame, ["first", "last", "neg", "pos"]).columns == ["id", "member", "enc", "a"]
+    assert fr.select_listed(frame, ["a", "member"], key="id").columns == ["id", "member", "a"]
     doubled = frame.select("id", "a", F.lit(9).alias("a"))
     assert fr.dedup_columns(doubled).collect() == [(0, 1)]
     assert fr.rename(frame, {"id": "patient"}).columns[0] == "patient"
