@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -154,21 +155,14 @@ def zscore_rows(v: np.ndarray) -> np.ndarray:
     return np.divide(centred, spread, out=np.full_like(centred, np.nan), where=spread > 0)
 
 
-class TextVectors:
-    """Vectors of texts within one batch; repeated short texts are computed once."""
-
-    def __init__(self, length: int, decay: float):
-        self.length, self.decay = length, decay
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(self.length)
-        if len(text) > _BLOCK:
-            return text_vector(text, self.length, self.decay)
-        if text not in self.known:
-            self.known[text] = text_vector(text, self.length, self.decay)
-        return self.known[text]
+def text_vectors(texts: pa.Array, length: int = LENGTH, decay: float = STRING_DECAY) -> np.ndarray:
+    """Vectors of a whole array of texts, each different text computed once; null and empty give zeros."""
+    coded = texts.dictionary_encode()
+    table = np.zeros((len(coded.dictionary) + 1, length))
+    for i, text in enumerate(coded.dictionary.to_pylist()):
+        if text:
+            table[i + 1] = text_vector(text, length, decay)
+    return table[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False) + 1]
 
 
 def _running_mean(codes: np.ndarray, decay: float) -> np.ndarray:
@@ -202,9 +196,8 @@ def encode_text(x: Column, length: int = LENGTH, decay: float = STRING_DECAY) ->
 
     @F.arrow_udf("array<double>")
     def encode(texts: pa.Array) -> pa.Array:
-        vector = TextVectors(length, decay)
-        found = texts.to_pylist()
-        return list_array(np.array([vector(t) for t in found]).reshape(-1, length), np.array([bool(t) for t in found], dtype=bool))
+        some = pc.fill_null(pc.greater(pc.utf8_length(texts), 0), False)
+        return list_array(text_vectors(texts, length, decay), some.to_numpy(zero_copy_only=False))
 
     return encode(x)
 

@@ -23,12 +23,12 @@ from cohortlens.functions.encoding import (
     EXPONENT_WEIGHT,
     LENGTH,
     STRING_DECAY,
-    TextVectors,
     list_array,
     mix_last,
     mix_sum,
     number_vectors,
     text_vector,
+    text_vectors,
     zscore_rows,
 )
 
@@ -119,12 +119,9 @@ def fingerprint(
     return rows.select(key, "statements", vectors.alias("fp"))
 
 
-def _values(num: pa.Array, txt: pa.Array, length: int, exp_weight: float, text: TextVectors) -> np.ndarray:
-    """Vectors of cells: numbers all at once, texts one by one, zeros for the rest."""
-    value = number_vectors(num.to_numpy(zero_copy_only=False).astype(float), length, exp_weight)
-    for i in np.flatnonzero(txt.is_valid().to_numpy(zero_copy_only=False)):
-        value[i] = text(txt[i].as_py())
-    return value
+def _values(num: pa.Array, txt: pa.Array, length: int, exp_weight: float, decay: float) -> np.ndarray:
+    """Vectors of cells, each a number, a text or neither; one of the two summands is always zeros."""
+    return number_vectors(num.to_numpy(zero_copy_only=False).astype(float), length, exp_weight) + text_vectors(txt, length, decay)
 
 
 def _finished(rows: np.ndarray, decimals: int | None) -> pa.Array:
@@ -139,7 +136,7 @@ def _last_cells(key_vectors: np.ndarray, exp_weight: float, decay: float, decima
 
     @F.arrow_udf("array<double>")
     def vectors(pos: pa.Array, num: pa.Array, txt: pa.Array) -> pa.Array:
-        value = _values(num, txt, length, exp_weight, TextVectors(length, decay))
+        value = _values(num, txt, length, exp_weight, decay)
         some = pos.is_valid().to_numpy(zero_copy_only=False)
         key = key_vectors[pos.fill_null(0).to_numpy(zero_copy_only=False)]
         mixed = mix_last(np.zeros_like(value), key, value)
@@ -154,7 +151,7 @@ def _summed_cells(key_vectors: np.ndarray, exp_weight: float, decay: float, deci
 
     @F.arrow_udf("array<double>")
     def vectors(pos: pa.Array, num: pa.Array, txt: pa.Array) -> pa.Array:
-        value = _values(num.flatten(), txt.flatten(), length, exp_weight, TextVectors(length, decay))
+        value = _values(num.flatten(), txt.flatten(), length, exp_weight, decay)
         key = key_vectors[pos.flatten().to_numpy(zero_copy_only=False)]
         sizes = pos.value_lengths().to_numpy(zero_copy_only=False)
         return _finished(_row_sums(mix_sum(np.zeros_like(value), key, value), sizes), decimals)
@@ -285,11 +282,12 @@ def _nested_cells(length: int, exp_weight: float, decay: float, decimals: int |
     @F.arrow_udf("array<double>")
     def vectors(outer: pa.Array, parent: pa.Array, key: pa.Array, num: pa.Array, txt: pa.Array) -> pa.Array:
         sizes = key.value_lengths().to_numpy(zero_copy_only=False)
-        text = TextVectors(length, decay)
-        inner = np.concatenate([np.arange(n) >= first for n, first in zip(sizes, outer.to_pylist())] or [np.zeros(0, bool)])
-        base = np.array([text(p) if i else text(None) for p, i in zip(parent.flatten().to_pylist(), inner)]).reshape(-1, length)
-        names = np.array([text(k) for k in key.flatten().to_pylist()]).reshape(-1, length)
-        value = _values(num.flatten(), txt.flatten(), length, exp_weight, text)
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(sizes.sum()) - np.repeat(starts, sizes)
+        base = text_vectors(parent.flatten(), length, decay)
+        base[place < np.repeat(outer.to_numpy(zero_copy_only=False), sizes)] = 0.0
+        names = text_vectors(key.flatten(), length, decay)
+        value = _values(num.flatten(), txt.flatten(), length, exp_weight, decay)
         mix = mix_last if combine == "last" else mix_sum
         return _finished(_row_sums(mix(base, names, value), sizes), decimals)
 

@@ -65,11 +65,11 @@ class Study:
         """One row per patient: encounter count, then five columns per lab. Unused ones are pruned by the optimizer."""
         lines = self._lines().select(
             F.col("o_custkey").alias("patient_id"), "o_orderkey", F.col("l_quantity").alias("q"),
-            F.col("l_shipdate").cast("date").alias("d"), F.regexp_replace("p_brand", "#", "").alias("b"),
+            F.col("l_shipdate").cast("date").alias("d"), F.col("p_brand").alias("b"),
         )
         columns = ["count(DISTINCT o_orderkey) AS n_encounters"]
         for brand, lab in zip(BRANDS, LABS):
-            q, d = (f"CASE WHEN b = '{brand}' THEN {c} END" for c in ("q", "d"))
+            q, d = (f"CASE WHEN b = '{brand.replace('Brand', 'Brand#')}' THEN {c} END" for c in ("q", "d"))
             columns += [
                 f"CASE WHEN max({q}) >= {HIGH} THEN 1 WHEN max({q}) < {HIGH} THEN 0 END AS {lab}",
                 f"min({d}) AS {lab}_first",
