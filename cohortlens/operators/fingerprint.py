@@ -4,7 +4,7 @@ Every row becomes an array of *statements* (key and value of each kept cell),
 and the vector is computed from that array inside the row: nothing is shuffled.
 Cells are chosen by column expressions; the vectors are then computed for whole
 Arrow batches at once. Higher-order functions over the slots give the same
-numbers (see ``functions.encoding``) but took ten times as long when measured.
+numbers (see ``functions.encoding``) but were about eight times slower when measured.
 
 ``combine="last"`` reproduces the reference result, in which each statement
 replaces the vector of the one before, so that only the last kept column
