@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import sharding
+from cohortlens.llm import packing, sharding, warc
 from cohortlens.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -42,9 +42,38 @@ FROM (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGI
 """
 
 
-@query("op1_sharding")
+@query("op1_sharding", OP1_SQL)
 def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in 40 shards of equal weight; ``grown_shard`` with one more."""
     shards = {s: 1.0 for s in range(SHARDS)}
     out = sharding.shard_documents(table(spark, folder, "documents"), shards, {SHARDS: 1.0})
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+# --- 4: best-fit packing -------------------------------------------------------------
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+# --- 10: archives --------------------------------------------------------------------
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM q
+"""
+
+
+@query("op10_warc", OP10_SQL)
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to archives, and what the archives hold."""
+    target = warc.archive_folder(spark)
+    archives = warc.write(table(spark, folder, "pages"), target)
+    return warc.read(archives, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
