@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import packing, sharding, warc
+from cohortlens.llm import packing, sharding, toxicity, warc
 from cohortlens.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -77,3 +77,12 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     target = warc.archive_folder(spark)
     archives = warc.write(table(spark, folder, "pages"), target)
     return warc.read(archives, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# --- 5: toxicity ---------------------------------------------------------------------
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's toxicity, learned from two thirds of the labelled ids."""
+    return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
