@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import packing, sharding, toxicity, warc
+from cohortlens.llm import packing, quality, sharding, toxicity, warc
 from cohortlens.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -86,3 +86,12 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's toxicity, learned from two thirds of the labelled ids."""
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+# --- 7: quality ----------------------------------------------------------------------
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality, learned from two thirds of the labelled ids."""
+    return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
