@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.llm.common import mix, pick
-from cohortlens.llm.labelled import FIT_ROWS, held_out, labelled_sample
+from cohortlens.llm.labelled import held_out, labelled_sample
 
-BUCKETS, DIMENSIONS, EPOCHS = 1 << 16, 16, 8
+BUCKETS, DIMENSIONS, EPOCHS = 1 << 16, 16, 6
+# Labelled documents fitted on, at most.
+FIT_ROWS = 4000
 # Lengths of character n-grams (in bytes).
 GRAMS = (3, 4)
 # Bytes of a text that are looked at together; a longer one is worked off part after part, to its end.
 PART = 1 << 20
+RATE = 2.0
+# Texts of the sample that must hold a feature for it to count.
+SEEN = 3
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -90,21 +95,22 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def fit(labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Learn embeddings and softmax weights by stochastic gradient descent, one document a step (AdaGrad).
+    """Learn embeddings and softmax weights by stochastic gradient descent, one document a step.
 
-    A document is the mean of its features' vectors; classes weigh by the square root of their imbalance.
+    A document is the mean of its features' vectors, so what many documents share moves further than the
+    words of one. The rate falls in a line to 0; classes weigh by the square root of their imbalance.
     Returned is, per bucket, the difference of the two classes' outputs for its vector, and the
-    difference of the biases: for two classes the softmax needs no more. With one class only every
+    difference of the biases: for two classes the softmax needs no more. Buckets of fewer than ``SEEN`` texts are 0. With one class only every
     vector is 0 and the bias says which.
     """
     rng = np.random.default_rng(seed)
     n1, n0 = float((labels == 1).sum()), float((labels == 0).sum())
     if not n1 or not n0:
         return np.zeros(BUCKETS), float(np.log((n1 + 0.5) / (n0 + 0.5)))
-    e = rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS))
-    w, bias = rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)
-    ge, gw, gb = np.full(BUCKETS, 1e-10), np.full((DIMENSIONS, 2), 1e-8), np.full(2, 1e-8)
+    e = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
+    w, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
     weight = np.sqrt(np.array([(n1 + n0) / (2 * n0), (n1 + n0) / (2 * n1)]))
+    steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             ids, share = rows[i]
@@ -114,16 +120,13 @@ def fit(labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], epochs: i
             p = np.exp(z - z.max())
             p /= p.sum()
             p[labels[i]] -= 1.0
-            p *= weight[labels[i]]
-            dh = w @ p
-            dw = np.outer(h, p)
-            ge[ids] += share * share * (dh @ dh)
-            e[ids] = vectors - (0.2 * share / np.sqrt(ge[ids]))[:, None] * dh
-            gw += dw * dw
-            gb += p * p
-            w -= 0.1 * dw / np.sqrt(gw)
-            bias -= 0.1 * p / np.sqrt(gb)
-    return e @ (w[:, 1] - w[:, 0]), float(bias[1] - bias[0])
+            p *= weight[labels[i]] * RATE * (1 - done / steps)
+            e[ids] = vectors - share[:, None] * (w @ p)
+            w -= np.outer(h, p)
+            bias -= 0.1 * p
+            done += 1
+    seen = np.bincount(np.concatenate([ids for ids, _ in rows]), minlength=BUCKETS)
+    return np.where(seen >= SEEN, e @ (w[:, 1] - w[:, 0]), 0.0), float(bias[1] - bias[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
