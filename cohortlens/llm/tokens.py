@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from cohortlens.llm.common import pick
 
-# Words whose ids are remembered by a Python worker; the table starts anew beyond that.
-REMEMBERED_WORDS = 400_000
+# Words, and runs without white space, whose ids a Python worker remembers; a full table starts anew.
+REMEMBERED_WORDS, REMEMBERED_RUNS = 600_000, 400_000
 # The tokenizer's own splitting rule and special tokens: fixed values.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -29,39 +30,51 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordIds(dict):
-    """Ids of lower-case words as little-endian 32-bit numbers, learned from the tokenizer on first sight.
+    """Ids of runs of characters without white space, as little-endian 32-bit numbers, learned on first sight.
 
-    The tokenizer splits a text into words before it merges letters, so a text's ids are those of its
-    words in turn. Texts outside Latin-1, with separator control characters or with a special token
-    are left to the tokenizer as a whole.
+    The tokenizer splits a text into words before it merges letters, and white space always parts words, so
+    a text's ids are those of its runs in turn, and a run's those of its words. Texts outside Latin-1, with
+    separator control characters or with a special token are left to the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, limit: int = REMEMBERED_WORDS):
+    def __init__(self, path: str, words: int = REMEMBERED_WORDS, runs: int = REMEMBERED_RUNS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.most_words, self.most_runs = Tokenizer.from_file(path), words, runs
+        self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
-    def learn(self, words: list[str]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self))
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-        if len(stops) != len(new):  # a word the tokenizer splits further: ask for each
-            for w in new:
-                self[w] = self.whole(w)
-            return
-        data, at = ids.tobytes(), 0
-        for w, stop in zip(new, stops):
-            self[w] = data[4 * at : 4 * stop]
-            at = stop
-
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def learn(self, runs: list[str]) -> None:
+        """Look up new runs: split each into words, and ask the tokenizer for all new words at once."""
+        split = {}
+        for run in runs:
+            if run.isalpha():
+                split[run] = [run]
+            elif run[-1] in ".,!?" and run[:-1].isalpha():
+                split[run] = [run[:-1], run[-1]]
+            else:
+                split[run] = WORDS.findall(run)
+        new = list({w for words in split.values() for w in words if w not in self.words})
+        if new:
+            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(new):
+                data, at = ids.tobytes(), 0
+                for w, stop in zip(new, stops):
+                    self.words[w] = data[4 * at : 4 * stop]
+                    at = stop
+            else:  # a word of which the tokenizer makes several: ask for each
+                self.words.update({w: self.whole(w) for w in new})
+        for run, words in split.items():
+            self[run] = b"".join(map(self.words.__getitem__, words))
+
     def encode(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
@@ -69,14 +82,22 @@ class WordIds(dict):
             return self.whole(text)
         if _PLAIN.search(text) or any(s in text for s in SPECIAL):
             return self.whole(text)
-        words = WORDS.findall(text.lower())
+        runs = text.lower().split()
         try:
-            return b"".join(map(self.__getitem__, words))
+            return b"".join(map(self.__getitem__, runs))
         except KeyError:
-            if len(self) > self.limit:
+            if len(self) > self.most_runs:
                 self.clear()
-            self.learn(words)
-            return b"".join(map(self.__getitem__, words))
+            if len(self.words) > self.most_words:
+                self.words.clear()
+            self.learn([r for r in dict.fromkeys(runs) if r not in self])
+            return b"".join(map(self.__getitem__, runs))
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One table per Python worker, kept from task to task."""
+    return WordIds(path)
 
 
 def token_pieces(
@@ -96,7 +117,7 @@ def token_pieces(
     final = int(end).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
