@@ -133,4 +133,4 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         drop_table(stars)
         table = fresh
     # A star now: every id but the smallest points at the smallest.
-    return table.groupBy("a").agg(F.min("b").alias("c")).select(F.col("a").alias("id"), F.col("c").alias("component"))
+    return table.union(table.select("b", "b")).groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")

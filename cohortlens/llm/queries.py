@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import packing, quality, sharding, toxicity, warc
+from cohortlens.llm import minhash, packing, quality, sharding, toxicity, warc
 from cohortlens.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -95,3 +95,28 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality, learned from two thirds of the labelled ids."""
     return quality.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+# --- 9: MinHash near-duplicates --------------------------------------------------------
+
+OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM words
+), items AS (SELECT doc_id, md5_number_lower(unnest(s)) AS h FROM sets),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM items x JOIN items y USING (h) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM both_ JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * n >= 80 * (len(p.s) + len(q.s) - n)
+), reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT b, c FROM reach JOIN links ON a = reach.doc_id)
+SELECT sets.doc_id, len(s)::BIGINT AS n_shingles, min(c) AS component_id, sets.doc_id = min(c) AS kept
+FROM sets JOIN reach USING (doc_id) GROUP BY sets.doc_id, s
+"""
+
+
+@query("op9_minhash", OP9_SQL)
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, on sets of four-word shingles, linked from a similarity of 0.8."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), n=4)
