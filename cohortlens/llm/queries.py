@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import minhash, packing, quality, sharding, toxicity, warc
+from cohortlens.llm import ann, linededup, minhash, neardup_vectors, packing, quality, sharding, toxicity, warc
 from cohortlens.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -120,3 +120,40 @@ FROM sets JOIN reach USING (doc_id) GROUP BY sets.doc_id, s
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, on sets of four-word shingles, linked from a similarity of 0.8."""
     return minhash.near_duplicates(table(spark, folder, "documents"), n=4)
+
+
+# --- 3 and 8: embeddings -----------------------------------------------------------------
+
+
+@query("op3_nearest")
+def op3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding among all others, by inner product."""
+    return ann.nearest(table(spark, folder, "embeddings"))
+
+
+OP8_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS l FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.l > 0 AND b.l > 0
+  AND list_inner_product(a.x, b.x) / (a.l * b.l) >= 0.9
+), reach AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT b, c FROM reach JOIN links ON a = reach.vec_id),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a), least AS (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM least LEFT JOIN n ON a = vec_id
+"""
+
+
+@query("op8_near_vectors", OP8_SQL)
+def op8_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings, linked from a cosine of 0.9."""
+    return neardup_vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+# --- 6: line dedup -------------------------------------------------------------------------
+
+
+@query("op6_lines")
+def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the runs of lines that stood earlier."""
+    out = linededup.dedup_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "text", "lines_deleted", "words_deleted")
