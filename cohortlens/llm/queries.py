@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ann, linededup, minhash, neardup_vectors, packing, quality, sharding, toxicity, warc
+from cohortlens.llm import ann, linededup, minhash, neardup_vectors, packing, quality, segment, sharding, toxicity, warc
 from cohortlens.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -157,3 +157,13 @@ def op6_lines(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the runs of lines that stood earlier."""
     out = linededup.dedup_lines(table(spark, folder, "documents"))
     return out.select("doc_id", "text", "lines_deleted", "words_deleted")
+
+
+# --- 2: sampled segmentations --------------------------------------------------------------
+
+
+@query("op2_segmentations")
+def op2_segmentations(spark: SparkSession, folder: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, their ids as a checksum."""
+    out = segment.segmentations(table(spark, folder, "documents"))
+    return out.select("doc_id", "sample", F.crc32("ids").alias("ids_crc32"), "n_pieces", "log_prob", "perturbed", "inclusion")
