@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,8 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return fit(np.array([g[0] for g in got], dtype=int), rows_)
 
 
-def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", score: str = "score") -> DataFrame:
-    """Add ``score`` between 0 and 1 to every row, from its whole text; a null text counts as empty, and an empty one has the bias alone."""
+def score(model: tuple[np.ndarray, float], text: Column) -> Column:
+    """A number between 0 and 1 from a whole text alone; a null text counts as empty, and an empty one has the bias alone."""
     kept = pickle.dumps((model[0].astype(np.float32), model[1]))
 
     @F.pandas_udf(T.DoubleType())
@@ -158,11 +158,11 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "te
                 out[i] = 1.0 / (1.0 + np.exp(-min(50.0, max(-50.0, z))))
             yield pd.Series(out)
 
-    return docs.withColumn(score, scored(docs[text]))
+    return scored(text)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, held_out, score, predicted`` for every row; repeated rows give repeated results, a null id is kept."""
     model = train(docs, labels, "quality", rows, key, text)
-    out = with_score(pick(docs, key=key, text=text), model).select("key", held_out("key").alias("held_out"), "score")
+    out = pick(docs, key=key, text=text).select("key", held_out("key").alias("held_out"), score(model, F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnRenamed("key", key)

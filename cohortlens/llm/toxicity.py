@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,8 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     return fit(np.array([p[0] for p in pairs], dtype=int), [np.frombuffer(p[1], dtype="<i4") for p in pairs])
 
 
-def with_score(docs: DataFrame, machine: Machine, text: str = "text", score: str = "score") -> DataFrame:
-    """Add ``score`` between 0 and 1 to every row, from its whole text alone; a null text counts as empty."""
+def score(machine: Machine, text: Column) -> Column:
+    """A number between 0 and 1 from a whole text alone; a null text counts as empty."""
     kept = pickle.dumps((machine.slots, machine.bias, machine.w, machine.v))
 
     @F.pandas_udf(T.DoubleType())
@@ -166,11 +166,11 @@ def with_score(docs: DataFrame, machine: Machine, text: str = "text", score: str
                 out[i] = own.score(sorted(found))
             yield pd.Series(out)
 
-    return docs.withColumn(score, scored(docs[text]))
+    return scored(text)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, held_out, score, predicted`` for every row; repeated rows give repeated results, a null id is kept."""
     machine = train(docs, labels, "toxic", rows, key, text)
-    out = with_score(pick(docs, key=key, text=text), machine).select("key", held_out("key").alias("held_out"), "score")
+    out = pick(docs, key=key, text=text).select("key", held_out("key").alias("held_out"), score(machine, F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnRenamed("key", key)

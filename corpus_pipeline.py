@@ -22,13 +22,13 @@ TOXIC_FROM, GOOD_FROM = 0.7, 0.5
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below ``TOXIC_FROM``."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, machine, score="__score").where(F.col("__score") < TOXIC_FROM).drop("__score")
+    return docs.where(toxicity.score(machine, docs["text"]) < TOXIC_FROM)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality is at least ``GOOD_FROM``."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, score="__score").where(F.col("__score") >= GOOD_FROM).drop("__score")
+    return docs.where(quality.score(model, docs["text"]) >= GOOD_FROM)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
