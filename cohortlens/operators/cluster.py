@@ -22,16 +22,19 @@ def as_vectors(df: DataFrame, key: str, columns: Sequence[str], name: str = "vec
     return df.select(key, F.array(*[F.col(c).cast("double") for c in columns]).alias(name))
 
 
-def cluster(df: DataFrame, key: str, k: int = 2, method: str = "bisecting", vector: str = "vec", seed: int = 1, micro: int = 512) -> DataFrame:
+def cluster(df: DataFrame, key: str, k: int = 2, method: str = "bisecting", vector: str = "vec", seed: int = 1, micro: int = 512, most: int = 20_000) -> DataFrame:
     """``(key, cluster)`` with labels ``0..k-1``.
 
-    ``bisecting`` splits the cluster whose split lowers the within-cluster sum
-    of squares most. ``ward`` merges by the same measure: exactly when the
-    points have at most ``micro`` distinct positions, else on ``micro``
-    distributed k-means centres weighted by their size.
+    ``bisecting`` splits the cluster whose split lowers the within-cluster sum of squares most.
+    ``ward`` merges by the same measure, exactly, at every size: the distinct positions and
+    their counts go to the driver, so more than ``most`` of them is an error.
+    ``ward_centres`` is for any number of rows: Ward on ``micro`` distributed k-means centres
+    weighted by their size. Which of the two runs is the caller's choice alone.
     """
     if method == "ward":
-        return _ward(df, key, k, vector, seed, micro)
+        return _ward(df, key, k, vector, most)
+    if method == "ward_centres":
+        return _ward_centres(df, key, k, vector, seed, micro)
     if method != "bisecting":
         raise ValueError(f"unknown method {method!r}")
     ready = df.select(key, array_to_vector(vector).alias("features"))
@@ -39,54 +42,70 @@ def cluster(df: DataFrame, key: str, k: int = 2, method: str = "bisecting", vect
     return model.transform(ready).select(key, "cluster")
 
 
-def _ward(df: DataFrame, key: str, k: int, vector: str, seed: int, micro: int) -> DataFrame:
-    weights = df.groupBy(vector).agg(F.count("*").alias("n"))
-    # One row more than allowed tells the two cases apart; never more than micro + 1 rows.
-    distinct = weights.limit(micro + 1).collect()
-    if len(distinct) <= micro:
-        distinct.sort(key=lambda r: list(r[vector]))
-        centres = np.array([r[vector] for r in distinct])
-        sizes = np.array([r.n for r in distinct], dtype=float)
-    else:
-        ready = df.select(array_to_vector(vector).alias("features"))
-        model = KMeans(k=micro, seed=seed, featuresCol="features").fit(ready)
-        centres = np.array(model.clusterCenters())
-        share = blocks.with_nearest(df.select(vector), centres, vector).groupBy("centre").count().collect()
-        sizes = np.zeros(len(centres))
-        for row in share:
-            sizes[row["centre"]] = row["count"]
-        centres, sizes = centres[sizes > 0], sizes[sizes > 0]
-    labels = ward_labels(centres, sizes, k)
+def _ward(df: DataFrame, key: str, k: int, vector: str, most: int) -> DataFrame:
+    counted = df.groupBy(vector).agg(F.count("*").alias("n"))
+    distinct = counted.limit(most + 1).collect()
+    if len(distinct) > most:
+        raise ValueError(f"more than {most} distinct positions: use method='ward_centres' or raise `most`")
+    distinct.sort(key=lambda r: list(r[vector]))
+    labels = ward_labels(np.array([r[vector] for r in distinct]), np.array([r.n for r in distinct], dtype=float), k)
+    # Every position has its label: a join on the position, not a search.
+    table = df.sparkSession.createDataFrame([(list(r[vector]), int(c)) for r, c in zip(distinct, labels)], T.StructType([
+        T.StructField("__at", df.schema[vector].dataType), T.StructField("cluster", T.IntegerType())
+    ]))
+    return df.select(key, vector).join(table, F.col(vector) == F.col("__at")).select(key, "cluster")
+
+
+def _ward_centres(df: DataFrame, key: str, k: int, vector: str, seed: int, micro: int) -> DataFrame:
+    ready = df.select(array_to_vector(vector).alias("features"))
+    centres = np.array(KMeans(k=micro, seed=seed, featuresCol="features").fit(ready).clusterCenters())
+    sizes = np.zeros(len(centres))
+    for row in blocks.with_nearest(df.select(vector), centres, vector).groupBy("centre").count().collect():
+        sizes[row["centre"]] = row["count"]
+    centres, sizes = centres[sizes > 0], sizes[sizes > 0]
+    order = np.lexsort(centres.T[::-1])
+    centres = centres[order]
+    labels = ward_labels(centres, sizes[order], k)
     placed = blocks.with_nearest(df.select(key, vector), centres, vector)
     return placed.select(key, lookup([int(x) for x in labels], F.col("centre")).alias("cluster"))
 
 
 def ward_labels(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
-    """Merge weighted points until ``k`` groups are left; a bounded table, a few hundred rows.
+    """Merge weighted points until ``k`` groups are left; a bounded table.
 
-    Each step joins the two groups whose union raises the within-group sum of
-    squares least. Labels are numbered by the first member of each group.
+    Each merge joins the two groups whose union raises the within-group sum of squares least. A group and its
+    nearest neighbour that are each other's nearest will merge at some time whatever else does, so chains of
+    nearest neighbours find all merges in quadratic time and linear memory; the ``n - k`` cheapest of
+    them are the first ``n - k``. Labels are numbered by the first member of each group.
     """
+    n = len(centres)
     means, weight = centres.astype(float).copy(), sizes.astype(float).copy()
-    owner = np.arange(len(means))
-    alive = np.ones(len(means), dtype=bool)
-    gaps = ((means[:, None, :] - means[None, :, :]) ** 2).sum(axis=2)
-    cost = gaps * (weight[:, None] * weight[None, :]) / (weight[:, None] + weight[None, :])
-    cost[np.tril_indices(len(means))] = np.inf
-    for _ in range(len(means) - k):
-        a, b = np.unravel_index(np.argmin(cost), cost.shape)
-        total = weight[a] + weight[b]
-        means[a] = (means[a] * weight[a] + means[b] * weight[b]) / total
-        weight[a] = total
-        alive[b] = False
-        owner[owner == b] = a
-        cost[b, :] = cost[:, b] = np.inf
-        fresh = ((means - means[a]) ** 2).sum(axis=1) * weight * total / (weight + total)
-        fresh[~alive] = np.inf
-        cost[a, a + 1 :] = fresh[a + 1 :]
-        cost[:a, a] = fresh[:a]
-    order = {o: i for i, o in enumerate(dict.fromkeys(owner))}
-    return np.array([order[o] for o in owner])
+    alive = np.ones(n, dtype=bool)
+    merges, chain = [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        a = chain[-1]
+        cost = ((means - means[a]) ** 2).sum(axis=1) * (weight * weight[a] / (weight + weight[a]))
+        cost[~alive] = np.inf
+        cost[a] = np.inf
+        b = int(cost.argmin())
+        if len(chain) > 1 and cost[chain[-2]] <= cost[b]:
+            b = chain[-2]
+            chain = chain[:-2]
+            total = weight[a] + weight[b]
+            low, high = min(a, b), max(a, b)
+            merges.append((float(cost[b]), len(merges), low, high))
+            means[low] = (means[a] * weight[a] + means[b] * weight[b]) / total
+            weight[low], alive[high] = total, False
+        else:
+            chain.append(b)
+    owner = np.arange(n)
+    for _, _, low, high in sorted(merges)[: max(0, n - k)]:
+        a, b = owner[low], owner[high]
+        owner[owner == max(a, b)] = min(a, b)
+    order = {o: i for i, o in enumerate(dict.fromkeys(owner.tolist()))}
+    return np.array([order[o] for o in owner.tolist()])
 
 
 # --- separation ----------------------------------------------------------------------
@@ -126,23 +145,31 @@ def silhouette(df: DataFrame, cluster: str = "cluster", vector: str = "vec", met
 def _squared_sums(positions: DataFrame) -> DataFrame:
     """Sum of squared distances to each cluster from its size, coordinate sums and sum of squares.
 
-    ``size * |x|^2 - 2 x.s + q`` per row; the moments are one short row per
-    cluster and coordinate.
+    ``size * |x|^2 - 2 x.s + q`` per row, with all points moved so that their mean is 0: far from the
+    origin the terms would cancel each other's digits. A cluster's moments are one short row; every position
+    meets each of them, which is what the result lists.
     """
-    moments = positions.select("cluster", "n", F.posexplode("vec").alias("i", "x")).groupBy("cluster", "i").agg(
+    axes = positions.select("n", F.posexplode("vec").alias("i", "x")).groupBy("i").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mean"))
+    means = axes.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda p: p["mean"]).alias("mean"))
+    one = F.lit(0).alias("one")
+    # Tables of one row, met on a constant: the mean is as long as a vector, the moments one entry per cluster.
+    centred = positions.withColumn("one", F.lit(0)).join(F.broadcast(means.select("mean", one)), "one")
+    centred = centred.withColumn("vec", F.zip_with("vec", "mean", lambda x, m: x - m)).drop("mean")
+    moments = centred.select("cluster", "n", F.posexplode("vec").alias("i", "x")).groupBy("cluster", "i").agg(
         F.sum(F.col("n") * F.col("x")).alias("s"), F.sum(F.col("n") * F.col("x") * F.col("x")).alias("q"), F.sum("n").alias("size")
     )
-    table: dict = {}
-    for row in moments.orderBy("cluster", "i").collect():
-        table.setdefault(row["cluster"], []).append((row["s"], row["q"], row["size"]))
-    entries = []
-    for label, cells in table.items():
-        dot = " + ".join(f"vec[{i}] * {s!r}D" for i, (s, _, _) in enumerate(cells))
-        square = sum(q for _, q, _ in cells)
-        total = f"greatest(0D, {cells[0][2]}D * norm - 2D * ({dot}) + {square!r}D)"
-        entries.append(F.struct(F.lit(label).alias("other"), F.expr(total).alias("total"), F.lit(cells[0][2]).alias("size")))
+    rows = moments.groupBy("cluster").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("s"), F.sum("q").alias("q"), F.first("size").alias("size")
+    )
+    every = rows.agg(F.collect_list(F.struct(F.col("cluster").alias("other"), "s", "q", "size")).alias("clusters"))
     norm = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
-    return positions.withColumn("norm", norm).select("position", "cluster", "n", F.array(*entries).alias("per"))
+
+    def total(c):
+        dot = F.aggregate(F.zip_with("vec", c["s"], lambda x, s: x * s), F.lit(0.0), lambda acc, x: acc + x)
+        return F.struct(c["other"].alias("other"), F.greatest(F.lit(0.0), c["size"] * F.col("norm") - 2.0 * dot + c["q"]).alias("total"), c["size"].alias("size"))
+
+    met = centred.withColumn("norm", norm).join(F.broadcast(every.select("clusters", one)), "one")
+    return met.select("position", "cluster", "n", F.transform("clusters", total).alias("per"))
 
 
 def _distance_sums(positions: DataFrame, block: int) -> DataFrame:

@@ -13,10 +13,13 @@ counts. ``combine="sum"`` adds the statements up and uses every column.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.functions.columns import is_real
 from cohortlens.functions.encoding import (
@@ -176,65 +179,71 @@ def wide(fingerprints: DataFrame, key: str, length: int = LENGTH) -> DataFrame:
 
 # --- nested documents ----------------------------------------------------------------
 
-_OBJECT = "map<string,variant>"
-_KEPT = f"""CASE s.kind
-  WHEN 'VOID' THEN false
-  WHEN 'BIGINT' THEN true
-  WHEN 'BOOLEAN' THEN true
-  WHEN 'STRING' THEN try_variant_get(s.v, '$', 'string') <> ''
-  WHEN 'OBJECT' THEN size(try_variant_get(s.v, '$', '{_OBJECT}')) > 0
-  WHEN 'ARRAY' THEN size(try_variant_get(s.v, '$', 'array<variant>')) > 0
-  ELSE try_variant_get(s.v, '$', 'double') <> 0 END"""
-
-
-def _kept_fields(parent: str, entries: str) -> str:
-    """SQL for the kept statements of one object given as an array of (key, value)."""
-    typed = (
-        f"transform({entries}, e -> named_struct('parent', {parent}, 'key', e.key, "
-        "'kind', coalesce(regexp_extract(schema_of_variant(e.value), '^[A-Z]+', 0), 'VOID'), 'v', e.value))"
-    )
-    return f"filter({typed}, s -> {_KEPT})"
-
-
-def nested_statements(df: DataFrame, key: str, doc: str, max_depth: int = 8) -> DataFrame:
+_STATEMENT = T.StructType([
+    T.StructField("parent", T.StringType()), T.StructField("key", T.StringType()), T.StructField("num", T.DoubleType()), T.StructField("txt", T.StringType())
+])
+
+
+def _is_kept(value) -> bool:
+    """Whole numbers and booleans always, reals unless 0, texts, lists and objects unless empty; never null."""
+    if value is None:
+        return False
+    if isinstance(value, int):
+        return True
+    return value != 0 if isinstance(value, float) else len(value) > 0
+
+
+def _document_levels(text: str) -> list[list[tuple]]:
+    """Kept statements of each level, walked once; a level's objects stand in the order of the level before."""
+    top = json.loads(text, parse_constant=_refuse)
+    if not isinstance(top, dict):
+        raise ValueError(f"not a JSON object: {text[:80]!r}")
+    levels, objects = [], [("root", top)]
+    while objects:
+        level, inner = [], []
+        for parent, fields in objects:
+            for name, value in fields.items():
+                if not _is_kept(value):
+                    continue
+                num = txt = None
+                if isinstance(value, dict):
+                    num = float(sum(map(_is_kept, value.values())))
+                    inner.append((name, value))
+                elif isinstance(value, str):
+                    txt = value
+                elif not isinstance(value, list):
+                    num = float(value)
+                level.append((parent, name, num, txt))
+        if level or not levels:
+            levels.append(level)
+        objects = inner
+    return levels
+
+
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON number")
+
+
+@F.udf(T.ArrayType(T.ArrayType(_STATEMENT)), useArrow=True)
+def _levels(text: str | None):
+    return None if text is None else _document_levels(text)
+
+
+def nested_statements(df: DataFrame, key: str, doc: str) -> DataFrame:
     """``(key, levels)``: the kept statements ``(parent, key, num, txt)`` of each level of a JSON document.
 
     An object met as a value is replaced by the number of its own kept fields;
     lists are leaves without a number or text. At the outermost level the order
     is that of the document, and a repeated key keeps its first place and its
-    last value. Text that is no JSON object, or goes deeper than ``max_depth``,
-    fails the job: no part of a document is left out.
+    last value. Documents are parsed once and walked level by level in linear time, to any depth the parser
+    takes. Text that is no JSON object fails the job; a null document has a null result.
     """
-    fields = F.from_json(doc, _OBJECT, {"mode": "FAILFAST"})
-    merged = (
-        "transform(array_distinct(map_keys(fields)), k -> "
-        "element_at(filter(map_entries(fields), e -> e.key = k), -1))"
-    )
-    out = df.select(key, fields.alias("fields")).select(
-        key,
-        F.expr(f"CASE WHEN size(array_distinct(map_keys(fields))) = size(fields) THEN map_entries(fields) ELSE {merged} END").alias("top"),
-    )
-    out = out.select(key, F.expr(_kept_fields("'root'", "top")).alias("l0"))
-    for depth in range(1, max_depth + 1):
-        inside = _kept_fields("o.key", f"map_entries(try_variant_get(o.v, '$', '{_OBJECT}'))")
-        # Levels below the last object are empty arrays, so unused depth costs next to nothing.
-        out = out.withColumn(f"l{depth}", F.expr(f"transform(filter(l{depth - 1}, s -> s.kind = 'OBJECT'), o -> {inside})"))
-        counted = (
-            f"transform(l{depth - 1}, (s, i) -> named_struct('parent', s.parent, 'key', s.key, 'num', CASE "
-            f"WHEN s.kind = 'OBJECT' THEN double(size(l{depth}[size(filter(slice(l{depth - 1}, 1, i), p -> p.kind = 'OBJECT'))])) "
-            "WHEN s.kind NOT IN ('STRING', 'ARRAY') THEN coalesce(try_variant_get(s.v, '$', 'double'), double(try_variant_get(s.v, '$', 'boolean'))) END, "
-            "'txt', CASE WHEN s.kind = 'STRING' THEN try_variant_get(s.v, '$', 'string') END))"
-        )
-        out = out.withColumn(f"c{depth - 1}", F.expr(counted)).withColumn(f"l{depth}", F.flatten(f"l{depth}"))
-    too_deep = F.size(f"l{max_depth}") > 0
-    levels = F.array(*[f"c{i}" for i in range(max_depth)])
-    deep = F.raise_error(F.lit(f"document deeper than {max_depth} levels")).cast("array<int>")
-    return out.select(key, F.when(too_deep, deep).alias("_deep"), levels.alias("levels")).where("_deep IS NULL").select(key, "levels")
-
-
-def nested_triples(df: DataFrame, key: str, doc: str, max_depth: int = 8) -> DataFrame:
+    return df.select(key, _levels(F.col(doc)).alias("levels"))
+
+
+def nested_triples(df: DataFrame, key: str, doc: str) -> DataFrame:
     """Statement triples of every level: ``(key, depth, parent, name, num, txt)``."""
-    levels = nested_statements(df, key, doc, max_depth)
+    levels = nested_statements(df, key, doc)
     # The outer forms, filtered afterwards: a plain explode makes the optimizer test the
     # size of its input first, which here would compute every document several times.
     rows = levels.select(key, F.posexplode_outer("levels").alias("depth", "level")).select(key, "depth", F.explode_outer("level").alias("s"))
@@ -252,7 +261,6 @@ def fingerprint_nested(
     decimals: int | None = 3,
     exp_weight: float = EXPONENT_WEIGHT,
     decay: float = STRING_DECAY,
-    max_depth: int = 8,
 ) -> DataFrame:
     """Fingerprint of a JSON document column.
 
@@ -260,7 +268,7 @@ def fingerprint_nested(
     of the outermost object decides. A field inside another has its parent's key
     vector as base; at the outermost level the base is zeros.
     """
-    levels = nested_statements(df, key, doc, max_depth)
+    levels = nested_statements(df, key, doc)
     size = F.aggregate("levels", F.lit(0), lambda acc, level: acc + F.size(level))
     if combine == "last":
         cells = F.filter(F.array(F.try_element_at(F.get("levels", 0), F.lit(-1))), lambda c: c.isNotNull())

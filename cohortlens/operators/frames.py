@@ -145,11 +145,15 @@ def first_non_null(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFram
     return df.groupBy(key).agg(*[first(c) for c in df.columns if c != key])
 
 
-def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Non-null count per column as ``(column, n)``: one pass, then a turn of the single result row."""
-    names = list(columns or df.columns)
-    counts = df.agg(*[F.expr(f"count(`{c}`) AS `{c}`") for c in names])
-    return counts.unpivot([], names, "column", "n")
+def column_profile(df: DataFrame, columns: Sequence[str] | None = None, group: str | None = None) -> DataFrame:
+    """Non-null count per column as ``(column, n)``, with ``group`` for each of its values, in one pass.
+
+    The wide rows are counted as they are; the turn to long form happens on one row per group.
+    """
+    by = [group] if group else []
+    names = [c for c in columns or df.columns if c != group]
+    counts = df.groupBy(*by).agg(*[F.expr(f"count(`{c}`) AS `{c}`") for c in names])
+    return counts.unpivot(by, names, "column", "n")
 
 
 def shape(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.columns import lookup
-from cohortlens.operators import blocks, skew
+from cohortlens.operators import blocks
 from cohortlens.session import materialize
 
 # Most cells the space is cut into; bounds every table held on the driver (pivots and
@@ -202,21 +202,16 @@ def spectral_embedding(graph: DataFrame, dims: int = 2, steps: int = 14, extra:
     edges = graph.select("src", "dst", "weight").unionAll(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     edges = materialize(edges, "edges")
     degree = materialize(edges.groupBy("src").agg(F.sum("weight").alias("degree")), "degree")
-    near = skew.salted_inner(edges, degree, "src", F.col("dst"))
-    both = skew.salted_inner(near, degree.select(F.col("src").alias("dst"), F.col("degree").alias("far")), "dst", F.col("src"))
+    far = degree.select(F.col("src").alias("dst"), F.col("degree").alias("far"))
+    both = edges.join(degree, "src").join(far, "dst")
     scaled = both.select("src", "dst", (F.col("weight") / F.sqrt(F.col("degree") * F.col("far"))).alias("w"))
-    hot = materialize(skew.hot_keys(edges, "dst"), "hot")
-    if hot.isEmpty():
-        hot = None
-    else:
-        scaled = skew.salted(scaled, hot, "dst", F.col("src"))
     scaled = materialize(scaled, "scaled")
     # The trivial vector is known, the square root of the degree; the others start pseudo-random.
     noise = [f"pmod(xxhash64(src, {i}), 1048576) / 1048576D - 0.5D" for i in range(width - 1)]
     state = degree.selectExpr("src AS id", f"array(sqrt(degree), {', '.join(noise)}) AS v")
     chain = [materialize(state, "step")]
     for _ in range(steps):
-        chain.append(materialize(_next_block(scaled, chain[-1], chain[-2] if len(chain) > 1 else None, width, hot), "step"))
+        chain.append(materialize(_next_block(scaled, chain[-1], chain[-2] if len(chain) > 1 else None, width), "step"))
     basis = chain[0].select("id", F.lit(0).alias("at"), "v")
     for at, block in enumerate(chain[1:], 1):
         basis = basis.unionAll(block.select("id", F.lit(at).alias("at"), "v"))
@@ -235,13 +230,9 @@ def spectral_embedding(graph: DataFrame, dims: int = 2, steps: int = 14, extra:
     return _signed(laid, names)
 
 
-def _next_block(scaled: DataFrame, last: DataFrame, before: DataFrame | None, width: int, hot: DataFrame | None) -> DataFrame:
-    """``2 A last - before``, at first ``A last``. Edges into a hub are spread by their salt."""
-    sources = last.withColumnRenamed("id", "dst")
-    if hot is None:
-        pulled = scaled.join(sources, "dst")
-    else:
-        pulled = scaled.join(skew.replicated(sources, hot, "dst"), ["dst", "salt"])
+def _next_block(scaled: DataFrame, last: DataFrame, before: DataFrame | None, width: int) -> DataFrame:
+    """``2 A last - before``, at first ``A last``. Adaptive execution splits the edges into a hub."""
+    pulled = scaled.join(last.withColumnRenamed("id", "dst"), "dst")
     moved = pulled.groupBy(F.col("src").alias("id")).agg(*[F.expr(f"sum(w * v[{i}]) AS s{i}") for i in range(width)])
     if before is None:
         return moved.selectExpr("id", f"array({', '.join(f's{i}' for i in range(width))}) AS v")

@@ -33,7 +33,13 @@ def overlay_counts(marked: DataFrame, column: str = "cluster") -> DataFrame:
     return marked.groupBy(column, "marker").agg(F.count("*").alias("n"))
 
 
-def jitter(df: DataFrame, columns: Sequence[str], low: float, high: float, seed: int = 0) -> DataFrame:
-    """Add uniform noise in ``[low, high)`` to each column, a stream of its own per column."""
-    moved = {c: F.col(c) + F.lit(low) + F.lit(high - low) * F.rand(seed + i) for i, c in enumerate(columns)}
-    return df.withColumns(moved)
+def jitter(df: DataFrame, columns: Sequence[str], low: float, high: float, key: str, seed: int = 0) -> DataFrame:
+    """Add uniform noise in ``[low, high)`` to each column, a stream of its own per column.
+
+    The noise comes from the MD5 of ``key:column number:seed``, so a point moves alike however the rows are dealt.
+    """
+    def noise(i: int):
+        text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{i}:{seed}"))
+        return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+
+    return df.withColumns({c: F.col(c) + (F.lit(low) + F.lit(high - low) * noise(i)) for i, c in enumerate(columns)})

@@ -11,11 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.columns import join_numbers, round_half_even, split_numbers
-from cohortlens.session import materialize
 
 CELLS = ("high_0", "high_1", "low_0", "low_1")
-# Aggregates per pass over a wide table; keeps generated code within limits.
-COLUMNS_PER_PASS = 400
 
 
 def high_low_counts(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
@@ -24,21 +21,11 @@ def high_low_counts(df: DataFrame, group: str, columns: Sequence[str]) -> DataFr
     The wide rows are aggregated as they are, so only one short row per group
     and task is shuffled; the turn to long form happens on the totals.
     """
-    if len(columns) > COLUMNS_PER_PASS:
-        # Several passes: store the cells once, so that each pass reads only its own columns.
-        df = materialize(df.select(group, *columns), "cells")
-    parts = []
-    for at in range(0, len(columns), COLUMNS_PER_PASS):
-        names = list(columns[at : at + COLUMNS_PER_PASS])
-        totals = df.groupBy(group).agg(*[
-            F.expr(f"named_struct('high', count_if(`{c}` = 1), 'low', count_if(`{c}` = 0)) AS `{c}`") for c in names
-        ])
-        long = totals.unpivot([group], names, "lab", "n")
-        parts.append(long.select("lab", group, F.col("n.high").alias("high"), F.col("n.low").alias("low")))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    totals = df.groupBy(group).agg(*[
+        F.expr(f"named_struct('high', count_if(`{c}` = 1), 'low', count_if(`{c}` = 0)) AS `{c}`") for c in columns
+    ])
+    long = totals.unpivot([group], list(columns), "lab", "n")
+    return long.select("lab", group, F.col("n.high").alias("high"), F.col("n.low").alias("low"))
 
 
 def contingency(counts: DataFrame, group: str, groups: tuple = (0, 1)) -> DataFrame:
@@ -130,11 +117,12 @@ _SPLITS = 1024
 
 
 def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], low: float, high: float) -> dict[int, float]:
-    """Exact values at 0-based ``ranks`` of a sorted column, without sorting it.
+    """Exact values at 0-based ``ranks`` of a sorted column of finite numbers, without sorting it.
 
     Each round counts rows in equal steps between two bounds and keeps the step
     that holds the rank, until a step holds one value. A round is one aggregate
-    with a bounded result.
+    with a bounded result. A span is at most half of the one before: its width falls by
+    ``_SPLITS``, or, where steps would be finer than numbers are, its few distinct values are counted one by one.
     """
     found: dict[int, float] = {}
     spans = {r: (low, high, r) for r in ranks}
@@ -142,13 +130,17 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], low: floa
     while spans:
         tagged = []
         for lo, hi in {(lo, hi) for lo, hi, _ in spans.values()}:
-            width = (hi - lo) / _SPLITS
-            step = F.least(F.floor((x - lo) / width), F.lit(_SPLITS - 1)) if width > 0 else F.lit(0)
-            tagged.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), step.cast("int").alias("step"))))
+            width = hi / _SPLITS - lo / _SPLITS
+            finest = max(math.ulp(lo), math.ulp(hi))
+            if width > finest:
+                step = F.least(F.floor(x / F.lit(width) - F.lit(lo / width)), F.lit(_SPLITS - 1)).cast("double")
+            else:
+                step = x
+            tagged.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), step.alias("step"))))
         hits = df.select(x.alias("x"), F.explode(F.array_compact(F.array(*tagged))).alias("s"))
         counted = hits.groupBy("s.lo", "s.hi", "s.step").agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b"))
         steps: dict[tuple, list] = {}
-        for row in counted.orderBy("step").collect():  # at most ranks x _SPLITS rows
+        for row in counted.orderBy("a").collect():  # some _SPLITS rows for each rank
             steps.setdefault((row.lo, row.hi), []).append((row.n, row.a, row.b))
         for rank, (lo, hi, offset) in list(spans.items()):
             for n, a, b in steps[(lo, hi)]:
@@ -163,21 +155,25 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], low: floa
     return found
 
 
-def auto_histogram(df: DataFrame, column: str) -> DataFrame:
+def auto_histogram(df: DataFrame, column: str, filled: bool = False) -> DataFrame:
     """Histogram with the number of bins chosen from the data.
 
     The bin width is the smaller of the Sturges and the Freedman-Diaconis
     widths, Sturges alone when the quartiles coincide, and at least 1 for
-    integer columns. Bins are half-open, the last one closed.
+    integer columns. Bins are half-open, the last one closed. Null, NaN and infinite values take no part. A
+    heavy tail makes many bins, most of them empty: ``filled`` returns only those with rows.
     """
-    values = df.where(F.col(column).isNotNull())
+    x = F.col(column).cast("double")
+    values = df.where(F.col(column).isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     stats = values.agg(F.min(column), F.max(column), F.count(column)).first()
     low, high, n = stats[0], stats[1], stats[2]
-    schema = "bin INT, low DOUBLE, high DOUBLE, n BIGINT"
+    schema = "bin BIGINT, low DOUBLE, high DOUBLE, n BIGINT"
     if not n:
         return df.sparkSession.createDataFrame([], schema)
     low, high = float(low), float(high)
     spread = high - low
+    if math.isinf(spread):
+        raise ValueError("the range of the column is wider than a number can say")
     bins = 1
     if spread > 0:
         def quartile(q: float) -> tuple[int, int, float]:
@@ -192,15 +188,18 @@ def auto_histogram(df: DataFrame, column: str) -> DataFrame:
         width = min(sturges, freedman) if freedman > 0 else sturges
         if dict(df.dtypes)[column] in _INTEGERS:
             width = max(width, 1.0)
-        bins = math.ceil(spread / width)
+        bins = math.ceil(spread / width) if width > 0 and spread / width < 2**62 else 1
     else:
         low, high = low - 0.5, high + 0.5
     step = (high - low) / bins
-    at = F.least(F.floor((F.col(column).cast("double") - low) / F.lit(step)), F.lit(bins - 1)).cast("int")
+    if step == 0:
+        bins, step = 1, high - low
+    at = F.least(F.floor((x - low) / F.lit(step)), F.lit(bins - 1)).cast("long")
     counted = values.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
-    edges = df.sparkSession.range(bins).select(
-        F.col("id").cast("int").alias("bin"),
-        (F.lit(low) + F.col("id") * F.lit(step)).alias("low"),
-        (F.lit(low) + (F.col("id") + 1) * F.lit(step)).alias("high"),
+    if not filled:
+        every = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
+        counted = every.join(counted, "bin", "left")
+    return counted.select(
+        "bin", (F.lit(low) + F.col("bin") * F.lit(step)).alias("low"), (F.lit(low) + (F.col("bin") + 1) * F.lit(step)).alias("high"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
     )
-    return edges.join(counted, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

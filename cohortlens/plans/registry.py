@@ -25,17 +25,12 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-# Just above one half, so that short decimals never lie on the edge between two results,
-# where the last bit of a sum would decide.
-_EDGE = 0.5123456789
-
-
 def rounded(x: Column, digits: int = 6) -> Column:
-    """Rounding spelled out so that Spark and SQL do the same double arithmetic."""
+    """Half-even rounding spelled out so that Spark and SQL do the same double arithmetic."""
     scale = F.lit(float(10**digits))
-    return F.floor(x * scale + F.lit(_EDGE)) / scale
+    return F.rint(x * scale) / scale
 
 
 def rounded_sql(x: str, digits: int = 6) -> str:
     scale = f"{10**digits}::DOUBLE"
-    return f"(floor(({x}) * {scale} + {_EDGE}::DOUBLE) / {scale})"
+    return f"(round_even(({x})::DOUBLE * {scale}, 0) / {scale})"

@@ -13,6 +13,7 @@ from cohortlens.operators import frames as fr
 from cohortlens.operators import neighbors as nb
 from cohortlens.operators import overlay as ov
 from cohortlens.operators import reduce as rd
+from cohortlens.operators import screen as sc
 from cohortlens.plans.cohort_queries import COHORT_CTES, COHORT_VIEWS, cohort_ids
 from cohortlens.plans.registry import query, rounded, rounded_sql
 from cohortlens.plans.views import LABS, Study, with_views
@@ -232,6 +233,55 @@ def nested_triples(study: Study) -> DataFrame:
     return fp.nested_triples(study.documents(), "event_id", "doc").select("event_id", "depth", "parent", "name", "num")
 
 
+# Orders as nested documents: order, customer, nation, region, with an empty text, a null, a 0, a false, an object of
+# nulls and a list among the fields.
+_ORDER_TABLES = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+def order_documents(study: Study) -> DataFrame:
+    orders, customer, nation, region = (study.table(t) for t in ("orders", "customer", "nation", "region"))
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    joined = joined.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    none = F.lit(None).cast("string").alias("none")
+    place = F.struct(F.col("n_name").alias("name"), F.struct(F.col("r_name").alias("name"), none).alias("region"))
+    buyer = F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), place.alias("nation"))
+    doc = F.struct(
+        F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), buyer.alias("customer"), F.lit("").alias("empty"), none,
+        F.lit(0).alias("zero"), F.lit(False).alias("off"), F.struct(none).alias("hollow"), F.array(F.lit(1)).alias("list"),
+    )
+    return joined.select("o_orderkey", F.to_json(doc, {"ignoreNullFields": "false"}).alias("doc"))
+
+
+_ORDER_TRIPLES = "fx_nested AS (" + " UNION ALL ".join(
+    f"SELECT o_orderkey, {depth} AS depth, '{parent}' AS parent, '{name}' AS name, {num}::DOUBLE AS num, {txt}::VARCHAR AS txt FROM {_ORDER_TABLES}" + (f" WHERE {kept}" if kept else "")
+    for depth, parent, name, num, txt, kept in [
+        (0, "root", "status", "NULL", "o_orderstatus", "o_orderstatus <> ''"),
+        (0, "root", "price", "o_totalprice", "NULL", "o_totalprice <> 0"),
+        (0, "root", "customer", "(CASE WHEN c_name <> '' THEN 1 ELSE 0 END + CASE WHEN c_acctbal <> 0 THEN 1 ELSE 0 END + 1)", "NULL", ""),
+        (0, "root", "zero", "0", "NULL", ""),
+        (0, "root", "off", "0", "NULL", ""),
+        (0, "root", "hollow", "0", "NULL", ""),
+        (0, "root", "list", "NULL", "NULL", ""),
+        (1, "customer", "name", "NULL", "c_name", "c_name <> ''"),
+        (1, "customer", "balance", "c_acctbal", "NULL", "c_acctbal <> 0"),
+        (1, "customer", "nation", "2", "NULL", ""),
+        (2, "nation", "name", "NULL", "n_name", "n_name <> ''"),
+        (2, "nation", "region", "1", "NULL", ""),
+        (3, "region", "name", "NULL", "r_name", "r_name <> ''"),
+    ]
+) + ")"
+
+
+@query("nested_order_triples", f"WITH {_ORDER_TRIPLES} SELECT o_orderkey, depth, parent, name, num, txt FROM fx_nested")
+def nested_order_triples(study: Study) -> DataFrame:
+    return fp.nested_triples(order_documents(study), "o_orderkey", "doc")
+
+
+@query("nested_order_counts", f"WITH {_ORDER_TRIPLES} SELECT o_orderkey, CAST(count(*) AS INTEGER) AS statements FROM fx_nested GROUP BY o_orderkey")
+def nested_order_counts(study: Study) -> DataFrame:
+    return fp.fingerprint_nested(order_documents(study), "o_orderkey", "doc", combine="sum").select("o_orderkey", "statements")
+
+
 _DOC_KEY = "fx_names AS (SELECT 0 AS pos, 'k' AS name), " + _text_sql("fx_names", "name", "pos", "kv")
 
 
@@ -330,36 +380,137 @@ def cluster_bisecting(study: Study) -> DataFrame:
 
 @query("cluster_ward")
 def cluster_ward(study: Study) -> DataFrame:
-    return cl.cluster(score_vectors(study), "patient_id", k=2, method="ward")
+    return cl.cluster(score_vectors(study), "patient_id", k=2, method="ward_centres")
 
 
 @query("cluster_ward_three")
 def cluster_ward_three(study: Study) -> DataFrame:
-    return cl.cluster(score_vectors(study), "patient_id", k=3, method="ward")
+    return cl.cluster(score_vectors(study), "patient_id", k=3, method="ward_centres")
 
 
 @query("cluster_silhouette")
 def cluster_silhouette(study: Study) -> DataFrame:
     """The separation of the two Ward clusters in component space."""
     vectors = score_vectors(study)
-    return cl.silhouette(co.inner(vectors, cl.cluster(vectors, "patient_id", k=2, method="ward"), "patient_id"))
+    return cl.silhouette(co.inner(vectors, cl.cluster(vectors, "patient_id", k=2, method="ward_centres"), "patient_id"))
 
 
 @query("cluster_points")
 def cluster_points(study: Study) -> DataFrame:
     """Points with their label, jittered for display."""
     scores = materialize(fingerprint_scores(study), "scores")
-    labels = cl.cluster(cl.as_vectors(scores, "patient_id", PC), "patient_id", k=2, method="ward")
-    return ov.jitter(ov.points(scores, labels, "patient_id"), PC, -0.1, 0.1, seed=7)
+    labels = cl.cluster(cl.as_vectors(scores, "patient_id", PC), "patient_id", k=2, method="ward_centres")
+    return ov.jitter(ov.points(scores, labels, "patient_id"), PC, -0.1, 0.1, "patient_id", seed=7)
+
+
+def _noise_sql(key: str, i: int, low: float, high: float, seed: int) -> str:
+    bits = f"('0x' || substr(md5({key}::VARCHAR || ':{i}:{seed}'), 1, 13))::BIGINT"
+    return f"({low}{_C} + {high - low}{_C} * ({bits}{_C} / 4503599627370496{_C}))"
 
 
-@query("jitter", "SELECT c_custkey, true AS x_near, true AS y_near, true AS apart FROM customer")
+@query("jitter", f"SELECT c_custkey, {rounded_sql(f'c_acctbal + {_noise_sql('c_custkey', 0, 0.0, 0.5, 3)}')} AS x, {rounded_sql(f'c_acctbal + {_noise_sql('c_custkey', 1, 0.0, 0.5, 3)}')} AS y FROM customer")
 def jitter(study: Study) -> DataFrame:
-    """Noise differs by engine; that it stays in its bounds and differs by axis can be checked."""
-    points = study.table("customer").select("c_custkey", "c_acctbal", F.col("c_acctbal").alias("x"), F.col("c_acctbal").alias("y"))
-    moved = ov.jitter(points, ["x", "y"], 0.0, 0.5, seed=3)
-    near = {c: (F.col(c) - F.col("c_acctbal")).between(0.0, 0.5).alias(f"{c}_near") for c in ("x", "y")}
-    return moved.select("c_custkey", near["x"], near["y"], (F.col("x") != F.col("y")).alias("apart"))
+    points = study.table("customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_acctbal").alias("y"))
+    moved = ov.jitter(points, ["x", "y"], 0.0, 0.5, "c_custkey", seed=3)
+    return moved.select("c_custkey", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
+
+
+# Points moved far apart by a planted group, so that every sound clustering has one answer. Clusters are
+# named by their smallest id.
+def planted(study: Study, groups: int) -> DataFrame:
+    shift = (F.col("cluster") % groups) * 40.0
+    points = study.points().where(F.col("cluster").isNotNull())
+    return points.select("id", F.transform("vec", lambda x: x + shift).alias("vec"))
+
+
+def named_by_least(labels: DataFrame) -> DataFrame:
+    least = labels.groupBy("cluster").agg(F.min("id").alias("cluster_id"))
+    return labels.join(least, "cluster").select("id", "cluster_id")
+
+
+def _planted_sql(groups: int) -> str:
+    return with_views(f"SELECT id, min(id) OVER (PARTITION BY cluster % {groups}) AS cluster_id FROM fx_points WHERE cluster IS NOT NULL", "fx_points")
+
+
+@query("cluster_bisecting_planted", _planted_sql(2))
+def cluster_bisecting_planted(study: Study) -> DataFrame:
+    return named_by_least(cl.cluster(materialize(planted(study, 2), "planted"), "id", k=2))
+
+
+@query("cluster_ward_planted", _planted_sql(2))
+def cluster_ward_planted(study: Study) -> DataFrame:
+    return named_by_least(cl.cluster(materialize(planted(study, 2), "planted"), "id", k=2, method="ward_centres"))
+
+
+@query("cluster_ward_three_planted", _planted_sql(3))
+def cluster_ward_three_planted(study: Study) -> DataFrame:
+    return named_by_least(cl.cluster(materialize(planted(study, 3), "planted"), "id", k=3, method="ward_centres"))
+
+
+@query("cluster_points_planted", with_views(
+    "SELECT id, cluster_id, " + ", ".join(rounded_sql(f"vec[{i + 1}] + 40{_C} * (cluster % 2) + {_noise_sql('id', i, -0.1, 0.1, 7)}") + f" AS x{i}" for i in range(2))
+    + " FROM (SELECT *, min(id) OVER (PARTITION BY cluster % 2) AS cluster_id FROM fx_points WHERE cluster IS NOT NULL)", "fx_points"))
+def cluster_points_planted(study: Study) -> DataFrame:
+    """Labelled points, jittered for display."""
+    at = materialize(planted(study, 2), "planted")
+    labels = named_by_least(cl.cluster(at, "id", k=2, method="ward_centres"))
+    flat = at.select("id", *[F.get("vec", i).alias(f"x{i}") for i in range(2)])
+    moved = ov.jitter(ov.points(flat, labels, "id", "cluster_id"), ["x0", "x1"], -0.1, 0.1, "id", seed=7)
+    return moved.select("id", "cluster_id", *[rounded(F.col(c)).alias(c) for c in ("x0", "x1")])
+
+
+# The whole chain on labs whose split is known: the last kept number of a patient is small in one group and large
+# in the other, all other labs are flags from a hash.
+_CHAIN_LABS = [f"chain_{i}" for i in range(6)]
+
+
+def _chain_labs(study: Study) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    flags = [(F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{i}"))), 1, 4), 16, 10).cast("int") % (i + 2) == 0).cast("int").alias(lab) for i, lab in enumerate(_CHAIN_LABS)]
+    return study.table("customer").select(F.col("c_custkey").alias("patient_id"), *flags, F.when(F.col("c_custkey") % 3 == 0, 7000.0).otherwise(2.0).alias("level"))
+
+
+_CHAIN = (
+    "chain AS (SELECT c_custkey AS patient_id, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS side, "
+    + ", ".join(f"CASE WHEN ('0x' || substr(md5(c_custkey::VARCHAR || '/{i}'), 1, 4))::INT % {i + 2} = 0 THEN 1 ELSE 0 END AS {lab}" for i, lab in enumerate(_CHAIN_LABS))
+    + " FROM customer), named AS (SELECT *, CASE WHEN side = first_value(side) OVER (ORDER BY patient_id) THEN 0 ELSE 1 END AS cluster FROM chain)"
+)
+
+
+def chain_clusters(study: Study) -> tuple[DataFrame, DataFrame]:
+    """Labs with their computed cluster: fingerprint, components, two clusters, numbered by their smallest member."""
+    labs = materialize(_chain_labs(study), "labs")
+    prints = fp.fingerprint(labs, "patient_id").where("fp IS NOT NULL").select("patient_id", F.col("fp").alias("vec"))
+    scores = rd.pca(materialize(prints, "prints"), "patient_id")
+    vectors = materialize(cl.as_vectors(scores, "patient_id", PC), "scores")
+    found = cl.cluster(vectors, "patient_id", k=2, method="ward_centres").select(F.col("patient_id").alias("id"), "cluster")
+    labels = named_by_least(found)
+    low = labels.agg(F.min("cluster_id")).first()[0]
+    return labs, labels.select(F.col("id").alias("patient_id"), (F.col("cluster_id") != low).cast("int").alias("cluster"))
+
+
+@query("screen_of_clusters", with_views(
+    _CHAIN + ", cells AS (" + " UNION ALL ".join(f"SELECT '{lab}' AS lab, cluster, {lab} AS v FROM named" for lab in _CHAIN_LABS) + "), "
+    "t AS (SELECT lab, count(*) FILTER (WHERE v = 1 AND cluster = 0) AS a, count(*) FILTER (WHERE v = 1 AND cluster = 1) AS b, "
+    "count(*) FILTER (WHERE v = 0 AND cluster = 0) AS c, count(*) FILTER (WHERE v = 0 AND cluster = 1) AS d FROM cells GROUP BY lab), "
+    f"s AS (SELECT *, pow(greatest(0{_C}, abs(a{_C} * d - b{_C} * c) - (a + b + c + d) / 2{_C}), 2) * (a + b + c + d) / ((a + b){_C} * (c + d) * (a + c) * (b + d)) AS chi FROM t) "
+    f"SELECT CAST(row_number() OVER (ORDER BY chi DESC, lab) - 1 AS INTEGER) AS rank, lab, a AS high_0, b AS high_1, c AS low_0, d AS low_1, {rounded_sql('chi', 5)} AS chi_stat FROM s"))
+def screen_of_clusters(study: Study) -> DataFrame:
+    """Fingerprint, components, clusters, and the chi-square screen of the labs between the clusters found."""
+    labs, labels = chain_clusters(study)
+    counts = sc.high_low_counts(co.inner(labs, labels, "patient_id"), "cluster", _CHAIN_LABS)
+    ranked = fr.rank_desc(sc.chi2_screen(sc.contingency(counts, "cluster"), p_value=False), "chi_stat", "lab")
+    return ranked.select(F.col("rank").cast("int").alias("rank"), "lab", *sc.CELLS, rounded(F.col("chi_stat"), 5).alias("chi_stat"))
+
+
+@query("overlay_of_clusters", with_views(
+    _CHAIN + " SELECT cluster, CASE WHEN dx_urgent = 1 AND dx_low = 1 THEN 'both' WHEN dx_urgent = 1 THEN 'urgent' WHEN dx_low = 1 THEN 'low' END AS marker, "
+    "count(*) AS n FROM named JOIN fx_diag USING (patient_id) GROUP BY ALL", "fx_diag"))
+def overlay_of_clusters(study: Study) -> DataFrame:
+    """Known conditions counted in the clusters found."""
+    _, labels = chain_clusters(study)
+    rules = [("both", ["dx_urgent", "dx_low"]), ("urgent", ["dx_urgent"]), ("low", ["dx_low"])]
+    return ov.overlay_counts(ov.overlay(labels, study.diagnoses(), "patient_id", rules))
 
 
 _PAIRS = (
@@ -443,4 +594,4 @@ def layout_cluster(study: Study) -> DataFrame:
     """Ward clusters in the layout of the neighbour graph."""
     laid = nb.spectral_embedding(materialize(nb.fuzzy_weights(graph(study)), "graph"))
     vectors = materialize(cl.as_vectors(laid, "id", ["Embedding_1", "Embedding_2"]), "layout")
-    return cl.cluster(vectors, "id", k=2, method="ward")
+    return cl.cluster(vectors, "id", k=2, method="ward_centres")

@@ -26,22 +26,19 @@ def get_session(app: str = "cohortlens", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
+    """The folder ``spark.checkpoint.dir`` names, which the driver and all executors reach.
 
-    Only a local session may fall back to a temporary folder: on a cluster a
-    machine-local path would vanish with its executor.
+    A plain local session without the setting gets a temporary folder, once. Any other must set it: on a
+    cluster a machine-local path would vanish with its executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="cohortlens-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix="cohortlens-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A keyed JSON object is one value that no reader can split, so its file size is
-# checked against this before it is read.
-MAX_OBJECT_BYTES = 128 * 1024 * 1024
-
 
 def read_table(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Scan a catalog table or view, all columns or the listed ones."""
@@ -61,19 +57,10 @@ def _json_key(col):
     return quoted.substr(F.lit(2), F.length(quoted) - 2)
 
 
-def read_keyed_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+def read_keyed_json(spark: SparkSession, path: str) -> DataFrame:
     """Read ``{key: {..record..}}`` JSON as ``(key, doc)`` rows, ``doc`` being JSON text.
 
-    ``lines=True`` expects one such object per line, each holding one or more
-    records; the files split and scale. ``lines=False`` takes each file as one
-    object, which a single task must hold, so larger files are refused.
+    Each line is one such object with one or more records, so files of any size split.
     """
-    if lines:
-        raw = spark.read.text(path)
-    else:
-        largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
-        if largest > MAX_OBJECT_BYTES:
-            raise ValueError(f"{path}: a {largest} byte JSON object cannot be split; use one record per line")
-        raw = spark.read.text(path, wholetext=True)
     records = F.map_entries(F.from_json("value", "map<string,string>"))
-    return raw.select(F.explode(records).alias("e")).select(F.col("e.key").alias("key"), F.col("e.value").alias("doc"))
+    return spark.read.text(path).select(F.explode(records).alias("e")).select(F.col("e.key").alias("key"), F.col("e.value").alias("doc"))

@@ -1,6 +1,7 @@
 """Kept cells, both combinations, missing rows and nested documents."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -108,9 +109,23 @@ def test_repeated_key_keeps_place_and_last_value(spark):
     assert {(r.name, r.num) for r in fp.nested_triples(frame, "id", "doc").collect()} == {("a", 3.0), ("b", 2.0)}
 
 
-def test_too_deep_fails(spark):
-    with pytest.raises(PySparkException, match="deeper than 2"):
-        fp.fingerprint_nested(documents(spark), "id", "doc", max_depth=2).collect()
+def test_deep_documents(spark):
+    doc = 1
+    for i in range(300):
+        doc = {f"k{i}": doc, "leaf": 0}
+    rows = fp.nested_triples(spark.createDataFrame([(1, json.dumps(doc))], "id int, doc string"), "id", "doc").collect()
+    assert len(rows) == 600 and max(r.depth for r in rows) == 299
+
+
+def test_time_is_linear_in_fields(spark):
+    def seconds(m):
+        text = json.dumps({f"o{i}": {"a": i, "b": "x"} for i in range(m)})
+        start = time.perf_counter()
+        assert len(fp._document_levels(text)[1]) == 2 * m
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert min(seconds(64_000) for _ in range(3)) < 3.5 * min(seconds(32_000) for _ in range(3))
 
 
 def test_not_json_fails(spark):

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from cohortlens.operators import cohort as co
 from cohortlens.operators import frames as fr
 from cohortlens.operators import overlay as ov
-from cohortlens.operators import skew
 from cohortlens.session import scratch_path
 from cohortlens.sources import tables as tb
 
@@ -82,24 +81,15 @@ def test_explode_drops_null_and_empty(spark):
     assert [r.id for r in fr.where_longer(frame, "c", 1).collect()] == [1]
 
 
-def test_hot_key_join(spark):
-    big = spark.range(1000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), "id")
-    small = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    plain = sorted(big.join(small, "k").collect())
-    hot = skew.hot_keys(big, "k", 100)
-    assert [tuple(r) for r in hot.collect()] == [(7, 7)]
-    assert sorted(skew.salted_inner(big, small, "k", F.col("id"), limit=100).select("k", "id", "w").collect()) == plain
-    assert skew.salted(big, hot, "k", F.col("id")).where("k = 7").select("salt").distinct().count() == 7
-    assert sorted(skew.salted_inner(big, small, "k", F.col("id")).select("k", "id", "w").collect()) == plain
-
-
 def test_overlay_and_jitter(spark):
     groups = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0)], "id int, cluster int")
     flags = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 0, 0)], "id int, a int, b int")
     marked = ov.overlay(groups, flags, "id", [("both", ["a", "b"]), ("a", ["a"])])
     assert {r.id: r.marker for r in marked.collect()} == {1: "both", 2: "a", 3: None}
     assert {(r.cluster, r.marker, r.n) for r in ov.overlay_counts(marked).collect()} == {(0, "both", 1), (1, "a", 1), (1, None, 1)}
-    moved = ov.jitter(spark.range(500).select(F.lit(1.0).alias("x"), F.lit(1.0).alias("y")), ["x", "y"], -0.1, 0.1, seed=4).collect()
+    still = spark.range(500).select("id", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    moved = ov.jitter(still, ["x", "y"], -0.1, 0.1, "id", seed=4).collect()
+    assert sorted(moved) == sorted(ov.jitter(still.repartition(7), ["x", "y"], -0.1, 0.1, "id", seed=4).collect())
     assert all(0.9 <= r.x < 1.1 for r in moved) and len({r.x for r in moved}) > 400 and any(r.x != r.y for r in moved)
 
 
@@ -119,18 +109,15 @@ def test_named_tables(spark):
     assert sorted(r[0] for r in tb.query_table(spark, "named", ["twice"]).collect()) == [0, 2]
 
 
-def test_keyed_json(spark, monkeypatch):
+def test_keyed_json(spark):
     docs = spark.createDataFrame([('a"b', '{"x": 1}'), ("c", '{"y": {"z": 0.0}}')], "k string, doc string")
     path = scratch_path(spark, "lines")
     tb.write_keyed_lines(docs, path, "k")
     back = {r.key: json.loads(r.doc) for r in tb.read_keyed_json(spark, path).collect()}
     assert back == {'a"b': {"x": 1}, "c": {"y": {"z": 0.0}}}
-    whole = scratch_path(spark, "whole")
-    spark.createDataFrame([('{"p":\n {"x": 1},\n "q": {"x": 2}}',)], "value string").write.text(whole)
-    assert {r.key for r in tb.read_keyed_json(spark, whole, lines=False).collect()} == {"p", "q"}
-    monkeypatch.setattr(tb, "MAX_OBJECT_BYTES", 4)
-    with pytest.raises(ValueError, match="one record per line"):
-        tb.read_keyed_json(spark, whole, lines=False)
+    several = scratch_path(spark, "several")
+    spark.createDataFrame([('{"p": {"x": 1}, "q": {"x": 2}}',)], "value string").write.text(several)
+    assert {r.key for r in tb.read_keyed_json(spark, several).collect()} == {"p", "q"}
 
 
 def test_tsv(spark):

@@ -54,8 +54,7 @@ def test_counts_and_missing_group(spark):
     assert tuple(table["a"])[1:] == (2, 0, 1, 0) and tuple(table["b"])[1:] == (1, 0, 0, 0)
 
 
-def test_counts_over_several_passes(spark, monkeypatch):
-    monkeypatch.setattr(sc, "COLUMNS_PER_PASS", 2)
+def test_counts_of_several_columns(spark):
     frame = spark.range(20).select((F.col("id") % 2).alias("cluster"), *[(F.col("id") % n == 0).cast("int").alias(f"x{n}") for n in range(2, 7)])
     got = {(r.lab, r.cluster): (r.high, r.low) for r in sc.high_low_counts(frame, "cluster", [f"x{n}" for n in range(2, 7)]).collect()}
     for n in range(2, 7):
@@ -93,6 +92,29 @@ def test_histogram_matches_numpy(spark, kind):
     assert np.allclose([r.low for r in rows] + [rows[-1].high], edges)
 
 
+INF, TINY = float("inf"), 5e-324
+
+
+@pytest.mark.parametrize("odd", [[INF], [-INF, INF], [float("nan")], [None], [INF, float("nan"), None]])
+def test_histogram_leaves_out_what_is_not_finite(spark, odd):
+    plain = [float(x) for x in range(50)]
+    def bins(values):
+        return sorted(sc.auto_histogram(spark.createDataFrame([(v,) for v in values], "x double"), "x").collect())
+
+    assert bins(plain + odd) == bins(plain)
+
+
+def test_histogram_of_subnormal_and_heavy_tailed_values(spark):
+    tiny = spark.createDataFrame([(i * TINY,) for i in range(7)], "x double")
+    assert sum(r.n for r in sc.auto_histogram(tiny, "x").collect()) == 7
+    close = spark.createDataFrame([(1.0,), (math.nextafter(1.0, 2.0),)] * 5, "x double")
+    assert sum(r.n for r in sc.auto_histogram(close, "x").collect()) == 10
+    tail = [float(i % 10) for i in range(400)] + [1e15]
+    rows = sc.auto_histogram(spark.createDataFrame([(v,) for v in tail], "x double"), "x", filled=True).collect()
+    assert sum(r.n for r in rows) == 401 and len(rows) <= 11
+    assert sc.auto_histogram(spark.createDataFrame([(INF,), (None,)], "x double"), "x").count() == 0
+
+
 def test_order_statistics(spark):
     rng = np.random.default_rng(3)
     values = np.sort(np.concatenate([rng.lognormal(0, 4, 300), np.full(150, 2.0)]))

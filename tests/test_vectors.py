@@ -80,10 +80,36 @@ def test_ward_is_exact_on_few_positions(spark, k):
 
 def test_ward_on_centres(spark):
     points = blobs(n=60)
-    rows = cl.cluster(frame(spark, points), "id", k=3, method="ward", micro=20).orderBy("id").collect()
+    rows = cl.cluster(frame(spark, points), "id", k=3, method="ward_centres", micro=20).orderBy("id").collect()
     assert same_partition([r.cluster for r in rows], np.repeat([0, 1, 2], 60))
 
 
+@pytest.mark.parametrize("n", [511, 513])
+def test_ward_is_one_algorithm_at_every_size(spark, n):
+    points = np.random.default_rng(n).random((n, 3))
+    rows = cl.cluster(frame(spark, points), "id", k=2, method="ward").orderBy("id").collect()
+    means, sizes, groups = points.copy(), np.ones(n), [[i] for i in range(n)]
+    while len(groups) > 2:
+        cost = ((means[:, None] - means[None]) ** 2).sum(axis=2) * sizes[:, None] * sizes[None] / (sizes[:, None] + sizes[None])
+        np.fill_diagonal(cost, np.inf)
+        a, b = sorted(np.unravel_index(cost.argmin(), cost.shape))
+        means[a] = (means[a] * sizes[a] + means[b] * sizes[b]) / (sizes[a] + sizes[b])
+        sizes[a] += sizes[b]
+        groups[a] += groups.pop(b)
+        means, sizes = np.delete(means, b, axis=0), np.delete(sizes, b)
+    want = np.zeros(n, dtype=int)
+    want[groups[1]] = 1
+    assert same_partition([r.cluster for r in rows], want)
+
+
+def test_ward_on_many_positions(spark):
+    points = np.vstack([np.random.default_rng(1).normal(c, 1, (1000, 3)) for c in (0, 20, 60)])
+    rows = cl.cluster(frame(spark, points), "id", k=3, method="ward").orderBy("id").collect()
+    assert same_partition([r.cluster for r in rows], np.repeat([0, 1, 2], 1000))
+    with pytest.raises(ValueError, match="ward_centres"):
+        cl.cluster(frame(spark, points), "id", k=3, method="ward", most=2999)
+
+
 def test_bisecting(spark):
     points = np.vstack([blobs()[:40], blobs()[40:80]])
     rows = cl.cluster(frame(spark, points), "id", k=2).orderBy("id").collect()
@@ -201,10 +227,7 @@ def cliques(spark):
     return spark.createDataFrame(CLIQUES, "src long, dst long, weight double").cache()
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 2])
-def test_spectral_embedding(spark, cliques, hot_rows, monkeypatch):
-    monkeypatch.setattr(nb.skew.hot_keys, "__defaults__", (hot_rows,))
-    monkeypatch.setattr(nb.skew.salted_inner, "__defaults__", (hot_rows,))
+def test_spectral_embedding(spark, cliques):
     rows = nb.spectral_embedding(cliques, steps=4, extra=1).orderBy("id").collect()
     x = np.array([r.Embedding_1 for r in rows])
     w = np.zeros((8, 8))
