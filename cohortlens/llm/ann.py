@@ -21,7 +21,7 @@ from cohortlens.session import materialize
 PROJECTIONS, COLLIDING, TIMES, EXTRA = 160, 0.6, 6, 0.1
 WIDTH, GROWTH, ROUNDS = 0.5, 1.1, 14
 # Rows, and queries, that meet in one task.
-ROW_BLOCK, QUERY_BLOCK = 1 << 16, 256
+ROW_BLOCK, QUERY_BLOCK = 1 << 16, 512
 
 
 class Collisions:

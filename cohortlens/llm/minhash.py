@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: s
     A null or empty text has no shingles and links with nothing. A null id has a null component and is kept.
     Repeated rows have one id and so one fate; ids must be whole numbers.
     """
-    rows = pick(docs, id=key, text=text)
+    rows = pick(docs, id=key, text=text).withColumn("id", F.col("id").cast("long"))
     found = materialize(sketches(rows, n), "sketches")
     known = found.where("id IS NOT NULL AND digest IS NOT NULL")
     classes = known.groupBy("digest").agg(F.min(F.struct("id", "sig", "bands")).alias("one")).select("digest", "one.*")

@@ -207,7 +207,7 @@ def near_duplicates(
     rows = materialize(sound_vectors(df, key, vector), "vectors")
     classes = materialize(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
     sample = [np.array(r.vec) for r in classes.orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("vec").collect()]
-    every = df.select(df[key].alias("id"), df[vector].cast("array<double>").alias("vec"))
+    every = df.select(df[key].cast("long").alias("id"), df[vector].cast("array<double>").alias("vec"))
     if not sample:
         return every.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     width = classes.agg(F.max(F.size("vec"))).first()[0]

@@ -18,7 +18,7 @@ def sound(vector: Column) -> Column:
 
 def sound_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Distinct ``(id, vec)`` with an id and a sound vector, in double precision."""
-    rows = pick(df, id=key, vec=vector).withColumn("vec", F.col("vec").cast("array<double>"))
+    rows = pick(df, id=key, vec=vector).select(F.col("id").cast("long"), F.col("vec").cast("array<double>"))
     return rows.where(F.col("id").isNotNull() & sound(F.col("vec"))).distinct()
 
 
