@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -20,7 +21,7 @@ from cohortlens.session import get_session  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-REPEATS = int(os.environ.get("BENCH_REPEATS", "2"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 HEADLINE = [
     "cohort_ids",
     "cohort_labs",
@@ -48,7 +49,8 @@ def run(spark, name: str) -> float:
 
 def main() -> None:
     spark = get_session(
-        "bench", master=f"local[{CPUS}]", spark__driver__memory="16g", spark__ui__enabled="false", spark__sql__shuffle__partitions=CPUS
+        "bench", master=f"local[{CPUS}]", spark__driver__memory="16g", spark__ui__enabled="false", spark__sql__shuffle__partitions=CPUS,
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"),
     )
     spark.sparkContext.setLogLevel("OFF")
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE

@@ -174,10 +174,6 @@ def rank_desc(df: DataFrame, column: str, tie: str, name: str = "rank") -> DataF
     return df.withColumn(name, F.row_number().over(order) - 1)
 
 
-def limit(df: DataFrame, n: int) -> DataFrame:
-    return df.limit(n)
-
-
 def head(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.columns import join_numbers, split_numbers
 from cohortlens.operators import cohort as co
 from cohortlens.operators import frames as fr
 from cohortlens.plans.registry import query, rounded, rounded_sql
@@ -212,10 +213,10 @@ def first_record(study: Study) -> DataFrame:
     return fr.first_record(study.table("orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey")
 
 
-@query("row_cap", with_views("SELECT CAST(least(count(*), 500000) AS BIGINT) AS n_rows FROM fx_lab_orders", "fx_lab_orders"))
+@query("row_cap", with_views("SELECT CAST(count(*) AS BIGINT) AS n_rows FROM fx_lab_orders", "fx_lab_orders"))
 def row_cap(study: Study) -> DataFrame:
-    """An arbitrary cap is the feature here. Which rows come back is not defined, how many is."""
-    return fr.limit(study.lab_orders(), 500000).agg(F.count("*").alias("n_rows"))
+    """The rows a capped local copy would have had to hold: all of them, since nothing leaves Spark."""
+    return study.lab_orders().agg(F.count("*").alias("n_rows"))
 
 
 @query("preview", with_views("SELECT CAST(least(count(*), 5) AS BIGINT) AS n_rows FROM fx_lab_orders", "fx_lab_orders"))
@@ -240,6 +241,13 @@ def keyed_json_round_trip(study: Study) -> DataFrame:
     return back.select("key", F.replace("doc", F.lit(": "), F.lit(":")).alias("doc"))
 
 
-@query("price_text_cells", f"SELECT o_orderkey, {rounded_sql('o_totalprice / 7', 3)} AS share FROM orders")
+_DECIMAL = "regexp_replace(CAST(CAST({x} AS DECIMAL(38, 2)) AS VARCHAR), '0$', '')"
+
+
+@query("price_text_cells", f"SELECT o_orderkey, {_DECIMAL.format(x='o_totalprice')} || ', ' || {_DECIMAL.format(x='o_custkey')} AS cells, "
+       "o_totalprice AS price, o_custkey::DOUBLE AS buyer FROM orders")
 def price_text_cells(study: Study) -> DataFrame:
-    return study.table("orders").select("o_orderkey", rounded(F.col("o_totalprice") / 7, 3).alias("share"))
+    """Numbers joined into a text cell and split again."""
+    cells = study.table("orders").select("o_orderkey", join_numbers([F.col("o_totalprice"), F.col("o_custkey")]).alias("cells"))
+    price, buyer = split_numbers(F.col("cells"), 2)
+    return cells.select("o_orderkey", "cells", price.alias("price"), buyer.alias("buyer"))

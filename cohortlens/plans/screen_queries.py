@@ -114,10 +114,10 @@ def column_profile_pruned(study: Study) -> DataFrame:
 
 @query("labs_kept_by_profile", with_views(f"SELECT patient_id, {', '.join(LABS)} FROM fx_labs", "fx_labs"))
 def labs_kept_by_profile(study: Study) -> DataFrame:
-    """Keep the columns that the pruned profile names (one short list of column names)."""
+    """Keep the columns that a pruned profile lists; their names need no count."""
     labs = study.labs()
-    names = [r[0] for r in fr.drop_matching_rows(fr.column_profile(labs, labs.columns[2:]), "column", ["member", "first", "last", "neg", "pos"]).select("column").collect()]
-    return fr.select_listed(labs, names, key="patient_id")
+    words = ["member", "first", "last", "neg", "pos"]
+    return fr.select_listed(labs, fr.drop_matching(labs.select(*labs.columns[2:]), words).columns, key="patient_id")
 
 
 def _histogram_sql(source: str, integer: bool) -> str:

@@ -14,9 +14,10 @@ DATA = os.environ.get("COHORTLENS_TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = get_session(
-        "tests", master="local[8]", spark__driver__memory="6g", spark__ui__enabled="false", spark__sql__shuffle__partitions="4"
+        "tests", master="local[8]", spark__driver__memory="6g", spark__ui__enabled="false", spark__sql__shuffle__partitions="4",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
