@@ -91,6 +91,20 @@ def in_blocks(df: DataFrame, rows: Column, block: int, key: Column) -> DataFrame
     return placed.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")}).drop("other")
 
 
+_REMEMBERED: dict = {}
+
+
+def remembered(name, make):
+    """A table of a Python worker, kept from task to task; the table of another name takes its place.
+
+    A worker serves one operator after the other, and so holds the table of one of them only.
+    """
+    if name not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[name] = make()
+    return _REMEMBERED[name]
+
+
 class Forest:
     """Groups of rows that links have joined so far, for a block of bounded size."""
 

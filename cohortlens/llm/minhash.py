@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import GOLDEN, Forest, components, groups, in_blocks, mix, pick
+from cohortlens.llm.common import GOLDEN, Forest, components, groups, in_blocks, mix, pick, remembered
 from cohortlens.session import materialize
 
 # Minima per document, those of one band, and the low bits that are kept of each.
@@ -99,7 +99,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = remembered("words", WordHashes)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -196,7 +196,7 @@ def confirmed_links(docs: DataFrame, candidates: DataFrame, sigs: DataFrame, n:
     placed = in_blocks(texts, F.col("size"), GROUP_BLOCK, F.col("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = remembered("words", WordHashes)
         for table in groups(batches, keys):
             left, right = _sides(table)
             sig, ids = _signatures(table), table["id"].to_pylist()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import mix, pick
+from cohortlens.llm.common import mix, pick, remembered
 from cohortlens.llm.labelled import held_out, labelled_sample
 
 BUCKETS, DIMENSIONS, EPOCHS = 1 << 16, 16, 6
@@ -146,6 +146,7 @@ def score(model: tuple[np.ndarray, float], text: Column) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        remembered("quality", dict)  # lets go of what another operator has left
         value, bias = pickle.loads(kept)
         for batch in batches:
             out = np.empty(len(batch))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections.abc import Iterator
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import GOLDEN, mix, pick, uniforms
+from cohortlens.llm.common import GOLDEN, mix, pick, remembered, uniforms
 
 # Sampled segmentations per text; how sharply they follow the piece weights.
 SAMPLES, SHARPNESS = 2, 1.0
@@ -97,10 +96,9 @@ class Vocabulary:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def vocabulary(path: str, prior: str, sharpness: float) -> Vocabulary:
-    """One per Python worker."""
-    return Vocabulary(path, prior, sharpness)
+    """The worker's vocabulary."""
+    return remembered(("pieces", path, prior, sharpness), lambda: Vocabulary(path, prior, sharpness))
 
 
 def prefix_sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

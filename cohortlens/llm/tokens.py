@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -13,10 +12,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cohortlens.llm.common import pick
+from cohortlens.llm.common import pick, remembered
 
 # Words, and runs without white space, whose ids a Python worker remembers; a full table starts anew.
-REMEMBERED_WORDS, REMEMBERED_RUNS = 600_000, 400_000
+REMEMBERED_WORDS, REMEMBERED_RUNS = 500_000, 300_000
 # The tokenizer's own splitting rule and special tokens: fixed values.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
@@ -94,10 +93,9 @@ class WordIds(dict):
             return b"".join(map(self.__getitem__, runs))
 
 
-@functools.lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One table per Python worker, kept from task to task."""
-    return WordIds(path)
+    """The worker's table."""
+    return remembered(("ids", path), lambda: WordIds(path))
 
 
 def token_pieces(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import pick
+from cohortlens.llm.common import pick, remembered
 from cohortlens.llm.labelled import FIT_ROWS, held_out, labelled_sample
 
 SLOTS = 1 << 20
@@ -53,7 +53,7 @@ def term_slots(docs: DataFrame) -> DataFrame:
     """``(label, slots)``: the distinct term slots of each text as little-endian 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Remembered(chunk_terms)
+        known = remembered("terms", lambda: Remembered(chunk_terms))
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
@@ -149,12 +149,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
 def score(machine: Machine, text: Column) -> Column:
     """A number between 0 and 1 from a whole text alone; a null text counts as empty."""
     kept = pickle.dumps((machine.slots, machine.bias, machine.w, machine.v))
+    name = xxhash.xxh3_64_hexdigest(kept)
 
     @F.pandas_udf(T.DoubleType())
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Machine(*pickle.loads(kept))
         place = own.position
-        known = Remembered(lambda chunk: tuple(place[s] for s in chunk_terms(chunk) if s in place))
+        known = remembered(("toxicity", name), lambda: Remembered(lambda chunk: tuple(place[s] for s in chunk_terms(chunk) if s in place)))
         for part in parts:
             out = np.empty(len(part))
             for i, t in enumerate(part):
