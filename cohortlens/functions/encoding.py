@@ -115,11 +115,16 @@ def text_vector(text: str, length: int = LENGTH, decay: float = STRING_DECAY) ->
     return weights / total if total != 0 else weights
 
 
-def number_vectors(x: np.ndarray, length: int = LENGTH, exp_weight: float = EXPONENT_WEIGHT) -> np.ndarray:
-    """Mantissa/exponent vectors of a whole array of numbers; NaN and 0 give zeros."""
+def number_vectors(x: np.ndarray, length: int = LENGTH, exp_weight: float = EXPONENT_WEIGHT, method: str = "ME") -> np.ndarray:
+    """Vectors of a whole array of numbers, ``ME`` by mantissa and exponent, ``mod`` by the slot ``x mod L``; NaN and 0 give zeros."""
+    if method not in ("ME", "mod"):
+        raise ValueError(f"unknown number coding {method!r}")
     out = np.zeros((len(x), length))
     rows = np.flatnonzero(np.isfinite(x) & (x != 0))
     d = x[rows]
+    if method == "mod":
+        out[rows, (d % length).astype(int) % length] = 1.0
+        return unit_rows(out)
     exponent = np.trunc(np.log10(np.abs(d)))
     at = d / 10.0**exponent * (length / 10.0)
     over = np.abs(at - np.trunc(at))

@@ -99,9 +99,12 @@ def fingerprint(
     decimals: int | None = 3,
     exp_weight: float = EXPONENT_WEIGHT,
     decay: float = STRING_DECAY,
+    numeric: str = "ME",
 ) -> DataFrame:
     """``(key, statements, fp)`` for a flat frame; ``fp`` is null for a row without kept cells.
 
+    ``numeric`` is the coding of numbers: ``ME`` (mantissa and exponent) or ``mod``.
+
     Column names are known before the job starts, so their vectors are part of
     the plan (``length`` numbers per column) and only values cost per row.
     """
@@ -109,7 +112,7 @@ def fingerprint(
     key_vectors = np.array([text_vector(n, length, decay) for n in names])
     rows = df.select(key, cells.alias("cells"))
     size = F.size("cells").alias("statements")
-    options = (key_vectors, exp_weight, decay, decimals)
+    options = (key_vectors, exp_weight, decay, decimals, numeric)
     if combine == "last":
         last = F.try_element_at("cells", F.lit(-1))
         rows = rows.select(key, size, last["pos"].alias("pos"), last["num"].alias("num"), last["txt"].alias("txt"))
@@ -122,9 +125,24 @@ def fingerprint(
     return rows.select(key, "statements", vectors.alias("fp"))
 
 
-def _values(num: pa.Array, txt: pa.Array, length: int, exp_weight: float, decay: float) -> np.ndarray:
+# Cells whose vectors a task holds at once; a row with more of them is taken alone.
+CELLS_AT_ONCE = 32_768
+
+
+def _values(num: pa.Array, txt: pa.Array, length: int, exp_weight: float, decay: float, numeric: str) -> np.ndarray:
     """Vectors of cells, each a number, a text or neither; one of the two summands is always zeros."""
-    return number_vectors(num.to_numpy(zero_copy_only=False).astype(float), length, exp_weight) + text_vectors(txt, length, decay)
+    return number_vectors(num.to_numpy(zero_copy_only=False).astype(float), length, exp_weight, numeric) + text_vectors(txt, length, decay)
+
+
+def _portions(sizes: np.ndarray) -> list[tuple[slice, slice]]:
+    """Rows and their cells in portions of bounded size."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out, at = [], 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + CELLS_AT_ONCE, side="right")) - 1)
+        out.append((slice(at, stop), slice(int(ends[at]), int(ends[stop]))))
+        at = stop
+    return out
 
 
 def _finished(rows: np.ndarray, decimals: int | None) -> pa.Array:
@@ -134,12 +152,12 @@ def _finished(rows: np.ndarray, decimals: int | None) -> pa.Array:
     return list_array(rows if decimals is None else np.round(rows, decimals), valid)
 
 
-def _last_cells(key_vectors: np.ndarray, exp_weight: float, decay: float, decimals: int | None):
+def _last_cells(key_vectors: np.ndarray, exp_weight: float, decay: float, decimals: int | None, numeric: str):
     length = key_vectors.shape[1]
 
     @F.arrow_udf("array<double>")
     def vectors(pos: pa.Array, num: pa.Array, txt: pa.Array) -> pa.Array:
-        value = _values(num, txt, length, exp_weight, decay)
+        value = _values(num, txt, length, exp_weight, decay, numeric)
         some = pos.is_valid().to_numpy(zero_copy_only=False)
         key = key_vectors[pos.fill_null(0).to_numpy(zero_copy_only=False)]
         mixed = mix_last(np.zeros_like(value), key, value)
@@ -149,15 +167,18 @@ def _last_cells(key_vectors: np.ndarray, exp_weight: float, decay: float, decima
     return vectors
 
 
-def _summed_cells(key_vectors: np.ndarray, exp_weight: float, decay: float, decimals: int | None):
+def _summed_cells(key_vectors: np.ndarray, exp_weight: float, decay: float, decimals: int | None, numeric: str):
     length = key_vectors.shape[1]
 
     @F.arrow_udf("array<double>")
     def vectors(pos: pa.Array, num: pa.Array, txt: pa.Array) -> pa.Array:
-        value = _values(num.flatten(), txt.flatten(), length, exp_weight, decay)
-        key = key_vectors[pos.flatten().to_numpy(zero_copy_only=False)]
-        sizes = pos.value_lengths().to_numpy(zero_copy_only=False)
-        return _finished(_row_sums(mix_sum(np.zeros_like(value), key, value), sizes), decimals)
+        sizes = pos.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        place, num, txt = pos.flatten().to_numpy(zero_copy_only=False), num.flatten(), txt.flatten()
+        out = np.zeros((len(sizes), length))
+        for rows, cells in _portions(sizes):
+            value = _values(num[cells], txt[cells], length, exp_weight, decay, numeric)
+            out[rows] = _row_sums(mix_sum(np.zeros_like(value), key_vectors[place[cells]], value), sizes[rows])
+        return _finished(out, decimals)
 
     return vectors
 
@@ -261,6 +282,7 @@ def fingerprint_nested(
     decimals: int | None = 3,
     exp_weight: float = EXPONENT_WEIGHT,
     decay: float = STRING_DECAY,
+    numeric: str = "ME",
 ) -> DataFrame:
     """Fingerprint of a JSON document column.
 
@@ -280,23 +302,27 @@ def fingerprint_nested(
         raise ValueError(f"unknown combine {combine!r}")
     rows = levels.select(key, size.alias("statements"), cells.alias("cells"), outer.alias("outer"))
     rows = rows.select(key, "statements", "outer", *[F.transform("cells", lambda c: c[f]).alias(f) for f in ("parent", "key", "num", "txt")])
-    vectors = _nested_cells(length, exp_weight, decay, decimals, combine)("outer", "parent", "key", "num", "txt")
+    vectors = _nested_cells(length, exp_weight, decay, decimals, combine, numeric)("outer", "parent", "key", "num", "txt")
     return rows.select(key, "statements", vectors.alias("fp"))
 
 
-def _nested_cells(length: int, exp_weight: float, decay: float, decimals: int | None, combine: str):
+def _nested_cells(length: int, exp_weight: float, decay: float, decimals: int | None, combine: str, numeric: str):
     """Vectors of documents from their statements; the first ``outer`` of a row stand at the outermost level."""
+    mix = mix_last if combine == "last" else mix_sum
 
     @F.arrow_udf("array<double>")
     def vectors(outer: pa.Array, parent: pa.Array, key: pa.Array, num: pa.Array, txt: pa.Array) -> pa.Array:
-        sizes = key.value_lengths().to_numpy(zero_copy_only=False)
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(sizes.sum()) - np.repeat(starts, sizes)
-        base = text_vectors(parent.flatten(), length, decay)
-        base[place < np.repeat(outer.to_numpy(zero_copy_only=False), sizes)] = 0.0
-        names = text_vectors(key.flatten(), length, decay)
-        value = _values(num.flatten(), txt.flatten(), length, exp_weight, decay)
-        mix = mix_last if combine == "last" else mix_sum
-        return _finished(_row_sums(mix(base, names, value), sizes), decimals)
+        sizes = key.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        first = outer.fill_null(0).to_numpy(zero_copy_only=False)
+        parent, key, num, txt = parent.flatten(), key.flatten(), num.flatten(), txt.flatten()
+        out = np.zeros((len(sizes), length))
+        for rows, cells in _portions(sizes):
+            own = sizes[rows]
+            place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            base = text_vectors(parent[cells], length, decay)
+            base[place < np.repeat(first[rows], own)] = 0.0
+            value = _values(num[cells], txt[cells], length, exp_weight, decay, numeric)
+            out[rows] = _row_sums(mix(base, text_vectors(key[cells], length, decay), value), own)
+        return _finished(out, decimals)
 
     return vectors

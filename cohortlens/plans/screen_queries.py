@@ -169,6 +169,14 @@ def chi2_screen(study: Study) -> DataFrame:
     return _chi_columns(screened(study))
 
 
+@query("chi2_array_cells", with_views(
+    f"{_CHI} SELECT lab, " + ", ".join(f"{c}::DOUBLE AS observed_{i}, {rounded_sql(f'exp_{c}')} AS expected_{i}" for i, c in enumerate(sc.CELLS)) + " FROM fx_chi", *VIEWS))
+def chi2_array_cells(study: Study) -> DataFrame:
+    """The cells as arrays, spelled out."""
+    found = sc.with_array_cells(screened(study))
+    return found.select("lab", *[x for i in range(4) for x in (F.get("observed", i).alias(f"observed_{i}"), rounded(F.get("expected", i)).alias(f"expected_{i}"))])
+
+
 @query("chi2_screen_uncorrected", with_views(f"{_stats(False)} {_CHI_SELECT}", *VIEWS))
 def chi2_screen_uncorrected(study: Study) -> DataFrame:
     return _chi_columns(screened(study, correction=False))

@@ -373,6 +373,18 @@ def pca_fingerprint(study: Study) -> DataFrame:
     return _rounded_scores(fingerprint_scores(study))
 
 
+@query("assemble_mean", with_views("SELECT patient_id, " + ", ".join(rounded_sql(f"coalesce({lab}::DOUBLE, avg({lab}) OVER ())") + f" AS v{i}" for i, lab in enumerate(LABS[:3])) + " FROM fx_labs", "fx_labs"))
+def assemble_mean(study: Study) -> DataFrame:
+    found = rd.assemble(study.labs(), "patient_id", LABS[:3], nulls="mean")
+    return found.select("patient_id", *[rounded(F.get("vec", i)).alias(f"v{i}") for i in range(3)])
+
+
+@query("assemble_drop", with_views("SELECT patient_id, " + ", ".join(f"{lab}::DOUBLE AS v{i}" for i, lab in enumerate(LABS[:3])) + " FROM fx_labs WHERE " + " AND ".join(f"{lab} IS NOT NULL" for lab in LABS[:3]), "fx_labs"))
+def assemble_drop(study: Study) -> DataFrame:
+    found = rd.assemble(study.labs(), "patient_id", LABS[:3], nulls="drop")
+    return found.select("patient_id", *[rounded(F.get("vec", i)).alias(f"v{i}") for i in range(3)])
+
+
 @query("cluster_bisecting")
 def cluster_bisecting(study: Study) -> DataFrame:
     return cl.cluster(score_vectors(study), "patient_id", k=2)

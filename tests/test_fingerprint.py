@@ -54,6 +54,23 @@ def test_flat_is_independent_of_partitions(spark, combine):
     assert one == sorted(fp.fingerprint(frame.repartition(7), "id", combine=combine).collect())
 
 
+def test_number_coding_is_a_choice(spark):
+    frame = spark.createDataFrame([(i, float(x)) for i, x in enumerate([1, 2.5, -7.25, 31, 1e6, 0.3])], "id int, a double")
+    code = {r.id: r.v for r in frame.select("id", en.encode_number(F.col("a"), method="mod").alias("v")).collect()}
+    for combine, mix in (("last", en.mix_last), ("sum", en.mix_sum)):
+        for r in fp.fingerprint(frame, "id", combine=combine, decimals=None, numeric="mod").collect():
+            total = mix(np.zeros((1, 30)), en.text_vector("a")[None], np.array([code[r.id]]))[0]
+            assert np.allclose(r.fp, (total - total.mean()) / total.std())
+
+
+def test_portions_of_any_size():
+    whole = [np.array([3, 0, 5, 40_000, 2]), np.array([], dtype=int), np.zeros(4, dtype=int)]
+    for sizes in whole:
+        parts = fp._portions(sizes)
+        assert [i for rows, _ in parts for i in range(rows.start, rows.stop)] == list(range(len(sizes)))
+        assert all(c.stop - c.start == sizes[r].sum() for r, c in parts)
+
+
 def test_wide_table(spark):
     frame = spark.createDataFrame([(1, 2.5)], "id int, a double")
     assert fp.wide(fp.fingerprint(frame, "id"), "id").columns == ["id", "statements"] + [f"c{i}" for i in range(30)]
