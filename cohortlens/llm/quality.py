@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.llm.common import mix, pick, remembered
-from cohortlens.llm.labelled import held_out, labelled_sample
+from cohortlens.llm.labelled import Sample, held_out, labelled_sample
 
 BUCKETS, DIMENSIONS, EPOCHS = 1 << 16, 16, 6
 # Labelled documents fitted on, at most.
-FIT_ROWS = 4000
+FIT_ROWS = 3000
 # Lengths of character n-grams (in bytes).
 GRAMS = (3, 4)
 # Bytes of a text that are looked at together; a longer one is worked off part after part, to its end.
@@ -113,7 +113,8 @@ def fit(labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], epochs: i
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            ids, share = rows[i]
+            ids, times = rows[i]
+            share = times / times.sum()
             vectors = e[ids]
             h = share @ vectors
             z = h @ w + bias
@@ -125,19 +126,16 @@ def fit(labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], epochs: i
             w -= np.outer(h, p)
             bias -= 0.1 * p
             done += 1
-    seen = np.bincount(np.concatenate([ids for ids, _ in rows]), minlength=BUCKETS)
+    seen = np.zeros(BUCKETS, dtype=np.int64)
+    for ids, _ in rows:
+        seen[ids] += 1
     return np.where(seen >= SEEN, e @ (w[:, 1] - w[:, 0]), 0.0), float(bias[1] - bias[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
     """Fit on a bounded sample; what reaches the driver is at most ``rows`` lists of bucket counts."""
-    sample = counts(labelled_sample(docs, labels, label, rows, key, text)).toArrow()
-    got = sorted(set(zip(sample["label"].to_pylist(), sample["buckets"].to_pylist(), sample["n"].to_pylist())))
-    rows_ = []
-    for _, b, n in got:
-        times = np.frombuffer(n, dtype="<u4").astype(np.float64)
-        rows_.append((np.frombuffer(b, dtype="<u2").astype(np.int64), times / times.sum()))
-    return fit(np.array([g[0] for g in got], dtype=int), rows_)
+    sample = Sample(counts(labelled_sample(docs, labels, label, rows, key, text)), ["buckets", "n"])
+    return fit(sample.labels, [(sample.numbers(0, i, "<u2"), sample.numbers(1, i, "<u4")) for i in range(len(sample))])
 
 
 def score(model: tuple[np.ndarray, float], text: Column) -> Column:

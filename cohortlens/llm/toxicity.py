@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.llm.common import pick, remembered
-from cohortlens.llm.labelled import FIT_ROWS, held_out, labelled_sample
+from cohortlens.llm.labelled import FIT_ROWS, Sample, held_out, labelled_sample
 
 SLOTS = 1 << 20
 TERMS, FACTORS, EPOCHS = 2048, 8, 40
@@ -112,10 +112,10 @@ def fit(labels: np.ndarray, slots: list[np.ndarray], terms: int = TERMS, factors
     chosen = np.sort(seen[best[: max(ALWAYS, min(terms, int((gain >= GAIN).sum())))]])
     place = np.full(SLOTS, -1)
     place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), len(chosen)), dtype=np.float32)
+    x = np.zeros((len(y), len(chosen)), dtype=np.uint8)
     for i, s in enumerate(slots):
         at = place[s]
-        x[i, at[at >= 0]] = 1.0
+        x[i, at[at >= 0]] = 1
     weight = np.sqrt(np.where(y == 1, (n1 + n0) / (2 * n1), (n1 + n0) / (2 * n0)))
     bias, w, v = 0.0, np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), factors))
     gb, gw, gv = 1e-8, np.full(len(chosen), 1e-8), np.full((len(chosen), factors), 1e-8)
@@ -141,9 +141,8 @@ def fit(labels: np.ndarray, slots: list[np.ndarray], terms: int = TERMS, factors
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> Machine:
     """Fit on a bounded sample; what reaches the driver is at most ``rows`` lists of term slots."""
-    sample = term_slots(labelled_sample(docs, labels, label, rows, key, text)).toArrow()
-    pairs = sorted(set(zip(sample["label"].to_pylist(), sample["slots"].to_pylist())))  # copies count once
-    return fit(np.array([p[0] for p in pairs], dtype=int), [np.frombuffer(p[1], dtype="<i4") for p in pairs])
+    sample = Sample(term_slots(labelled_sample(docs, labels, label, rows, key, text)), ["slots"])
+    return fit(sample.labels, [sample.numbers(0, i, "<i4") for i in range(len(sample))])
 
 
 def score(machine: Machine, text: Column) -> Column:
