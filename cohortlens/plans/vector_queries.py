@@ -25,8 +25,8 @@ PC = ["PC_1", "PC_2", "PC_3"]
 
 
 def spread(df: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:
-    """One rounded column per component."""
-    return df.select(*keys, *[rounded(F.get(vector, i)).alias(f"c{i}") for i in range(L)])
+    """One rounded column per component; at ten digits, since components are often short decimals that lie on an edge at six."""
+    return df.select(*keys, *[rounded(F.get(vector, i), 10).alias(f"c{i}") for i in range(L)])
 
 
 # --- SQL of the encodings ------------------------------------------------------------
@@ -82,7 +82,7 @@ def _text_sql(source: str, x: str, key: str, name: str = "enc") -> str:
 
 
 def _spread_sql(keys: str, source: str = "enc") -> str:
-    return f"SELECT {keys}, " + ", ".join(f"{rounded_sql(f'v[{i + 1}]')} AS c{i}" for i in range(L)) + f" FROM {source}"
+    return f"SELECT {keys}, " + ", ".join(f"{rounded_sql(f'v[{i + 1}]', 10)} AS c{i}" for i in range(L)) + f" FROM {source}"
 
 
 @query("frexp10", f"SELECT o_orderkey, {rounded_sql(_mantissa('o_totalprice'), 9)} AS mantissa, {_exponent('o_totalprice')} AS exponent FROM orders")
