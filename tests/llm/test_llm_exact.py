@@ -150,6 +150,21 @@ def test_nearest_recall(spark):
     assert len(small) == len(got)
 
 
+def test_nearest_recall_of_unequal_lengths(spark):
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    rng = np.random.default_rng(6)
+    lone = np.where(ids == 7, 4.0, 1.0)
+    for factor in (lone, np.where(rng.random(len(x)) < 0.01, 3.0, 1.0), np.exp(0.5 * rng.normal(size=len(x)))):
+        y = x * factor[:, None]
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, y)], "vec_id bigint, embedding array<double>")
+        got = {}
+        for r in ann.nearest(df).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        best = {q: [i for i in ids[np.lexsort((ids, -(y @ y[ids == q][0])))] if i != q][:20] for q in ids[ids % 20 == 0].tolist()}
+        assert sum(len(got[q] & set(b)) for q, b in best.items()) / sum(map(len, best.values())) >= 0.95
+
+
 def test_near_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(600, 24))
