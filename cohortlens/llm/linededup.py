@@ -30,12 +30,16 @@ def line_hashes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(hashes: np.ndarray, words: np.ndarray, least: int = LEAST_WORDS, sure: int = SURE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the runs winnowing selects.
+    """Positions and hashes of the runs winnowing selects, and of all runs of just ``sure`` words.
 
     From each line starts the shortest run of at least ``least`` words (a gram) and the shortest of at least
     ``sure`` words (a window). A window selects the gram with the smallest hash among those that lie inside it, the
     last of equal ones. Both are settled by the lines they hold, so two texts that share a run of ``sure`` words
     or more select the same gram in it. Runs that the text's end cuts short are neither grams nor windows.
+
+    A gram may have stood earlier without the lines around it. So the windows themselves are listed as well, and for
+    each line the shortest run of at least ``sure`` words that ends with it: these cover every line of a run
+    of ``sure`` words or more, and stood wherever it stood.
     """
     n = len(hashes)
     before = np.concatenate([[0], np.cumsum(words)])
@@ -50,7 +54,14 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, least: int = LEAST_WORDS
         power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, GOLDEN)]))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.where(words > 0, mix(hashes) * power[rank], np.uint64(0)))])
         inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(GOLDEN), -1, 1 << 64)))]))
-        gram = mix((total[gram_end[starts]] - total[starts]) * inverse[rank[starts]])
+
+        def hashed(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+            return mix((total[stop] - total[first]) * inverse[rank[first]])
+
+        gram = hashed(starts, gram_end[starts])
+        ahead = np.flatnonzero((window_end <= n) & (words > 0))
+        stops = np.flatnonzero((before[1:] >= sure) & (words > 0)) + 1
+        behind = np.searchsorted(before, before[stops] - sure, side="right") - 1
     ends = gram_end[starts]
     chosen = set()
     for i, start in enumerate(starts.tolist()):
@@ -61,11 +72,15 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, least: int = LEAST_WORDS
         own = gram[i:inside]
         chosen.add(inside - 1 - int(own[::-1].argmin()))
     picked = np.array(sorted(chosen), dtype=np.int64)
-    return starts[picked], gram[picked].view(np.int64)
+    firsts = np.concatenate([starts[picked], ahead, behind])
+    lasts = np.concatenate([ends[picked], window_end[ahead], stops])
+    firsts, lasts = np.unique(np.stack([firsts, lasts]), axis=1)
+    with np.errstate(over="ignore"):
+        return firsts, hashed(firsts, lasts).view(np.int64)
 
 
 def sketches(docs: DataFrame, least: int, sure: int) -> DataFrame:
-    """``(id, th, hashes, words, prints)`` of ``docs(id, th, text)``: packed line hashes, word counts, selected grams."""
+    """``(id, th, hashes, words, prints)`` of ``docs(id, th, text)``: packed line hashes, word counts, grams and windows."""
     schema = "id bigint, th bigint, hashes binary, words binary, prints array<struct<at:int,gram:bigint>>"
     kind = pa.list_(pa.struct([("at", pa.int32()), ("gram", pa.int64())]))
 
@@ -164,9 +179,9 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, sure: int = SURE_WORD
 
     Documents are ordered by id. A run of lines that a selected gram shares with the gram's first occurrence,
     as far as the lines around agree as well, is deleted from the later place, be it in another document or
-    in the same. No run of fewer than ``least`` words is deleted. Of a run of ``sure`` words or more
-    that stood earlier, a gram of at least ``least`` words is always found, and with it all lines around that the
-    gram's first occurrence shares. Every deleted line remains in an earlier place. Lines are equal without the
+    in the same. No run of fewer than ``least`` words is deleted. A run of ``sure`` words or more
+    that stood earlier is always deleted as a whole, also if parts of it had stood still earlier without
+    the rest. Every deleted line remains in an earlier place. Lines are equal without the
     white space at their ends; blank lines inside a deleted run go with it and otherwise do not count.
 
     A null text stays null and an empty one empty. Rows that repeat an id and a text are cut

@@ -312,6 +312,25 @@ def test_line_dedup_small(spark):
     assert rows == {0: docs[0], 1: f"{words('c', 9)}\nend", 2: docs[2], 3: "", 4: ""}
 
 
+def test_line_dedup_takes_whole_passages(spark):
+    """Copies of a passage go entirely, also when lines of it stood earlier on their own."""
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    docs, after = {}, {}
+    for c in range(24):  # whichever of a passage's grams have the smallest hash
+        a, b, d = words(f"a{c}_", 18), words(f"l{c}_", 22), words(f"b{c}_", 15)
+        passage = f"{a}\n{b}\n{d}"
+        # Alone before the passage, with a line so short that only the gram of the middle line can be selected.
+        for i, (text, kept) in enumerate(((f"{b}\n{words(f'x{c}_', 19)}", None), (passage, None), (passage, ""), (f"end\n{passage}\nend", "end\nend"))):
+            docs[10 * c + i] = text
+            if kept is not None:
+                after[10 * c + i] = kept
+    rows = linededup.dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).collect()
+    check_lines(rows, docs)
+    assert {r["doc_id"]: r["text"] for r in rows if r["doc_id"] in after} == after
+
+
 # --- 9 ---------------------------------------------------------------------------------
 
 
