@@ -18,19 +18,27 @@ from cohortlens.session import materialize
 # Most cells the space is cut into; bounds every table held on the driver (pivots and
 # the k + 1 nearest candidates of each). Pivots are points, so crowded regions get more.
 MAX_PIVOTS = 2048
+# Points whose true neighbours are found by brute force, to choose how many cells ``probe`` looks into.
+SAMPLE = 256
 
 
 def knn_graph(
-    df: DataFrame, k: int = 15, method: str = "exact", vector: str = "vec", key: str = "id", probe: int = 4, block: int = blocks.BLOCK
+    df: DataFrame, k: int = 15, method: str = "exact", vector: str = "vec", key: str = "id", probe: int = 4, block: int = blocks.BLOCK,
+    pivots: int | None = None, recall: float = 0.9,
 ) -> DataFrame:
     """``(src, dst, dist, rank)``: the ``k`` nearest other points of every point, ties by lower key.
 
     Points are assigned to the nearest of a few pivots. The triangle inequality
     then bounds how far the k-th neighbour of a cell's points can be, and which
     points can be that near, so far cells are skipped without losing a
-    neighbour. ``probe`` looks only into the ``probe`` nearest cells and is
-    approximate. Both kinds work block against block: a crowded cell is cut into
-    blocks and no pair becomes a row.
+    neighbour. ``probe`` sends a candidate only to its ``probe`` nearest cells and is
+    approximate. It takes as many more cells as bring the share of true neighbours
+    found to ``recall``, as measured by brute force on up to ``SAMPLE`` points and less
+    two standard errors, and fills cells that were sent too few candidates from the cells
+    around, so that a point lacks neighbours only where there are not ``k`` others. Both
+    kinds work block against block: a crowded cell is cut into blocks and no pair becomes
+    a row. ``pivots`` is the number of cells, at most ``MAX_PIVOTS``; a quarter of the
+    root of the number of points if not given.
 
     Of identical points only the ``k + 1`` with the lowest keys can be anyone's
     neighbour, so copies beyond that are not candidates; they still get their own
@@ -41,15 +49,21 @@ def knn_graph(
     points = df.select(F.col(key).alias("id"), F.col(vector).alias("vec"))
     # Any points may serve as pivots; a fixed pseudo-random choice keeps runs alike.
     total = points.count()
-    wanted = max(1, min(MAX_PIVOTS, math.isqrt(total) // 4))
+    wanted = max(1, min(MAX_PIVOTS, pivots or math.isqrt(total) // 4))
     pivots = np.array([r["vec"] for r in points.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()])
     pivots = np.unique(pivots, axis=0)
     placed = materialize(blocks.with_nearest(points, pivots, "vec", "cell", "gap"), "cells")
 
     copies = Window.partitionBy("vec").orderBy("id")
     candidates = placed.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
-    reach = _reach(placed, candidates, pivots, k) if method == "exact" else None
-    routed = materialize(_route(candidates, pivots, reach, probe), "routed")
+    if method == "exact":
+        routed = _route(candidates, pivots, _reach(placed, candidates, pivots, k), probe)
+    else:
+        candidates = materialize(candidates, "candidates")
+        probe = _probe(placed, candidates, pivots, k, probe, recall)
+        homes = {r["cell"]: r["count"] for r in candidates.groupBy("cell").count().collect()}
+        routed = _route(candidates, pivots, None, probe, _filled(homes, pivots, k))
+    routed = materialize(routed, "routed")
 
     # Per cell: blocks of its own points, and blocks of the candidates sent to it. One row per cell.
     own = {r["cell"]: blocks.block_count(r["count"], block) for r in placed.groupBy("cell").count().collect()}
@@ -89,7 +103,56 @@ def _reach(placed: DataFrame, candidates: DataFrame, pivots: np.ndarray, k: int)
     return reach * (1 + 1e-9) + 1e-12
 
 
-def _route(candidates: DataFrame, pivots: np.ndarray, reach: np.ndarray | None, probe: int) -> DataFrame:
+def _probe(placed: DataFrame, candidates: DataFrame, pivots: np.ndarray, k: int, least: int, recall: float) -> int:
+    """Cells a candidate must be sent to, ``least`` at the fewest, so that a sample of points finds enough neighbours."""
+    asked = placed.orderBy(F.xxhash64("id", F.lit(1)), "id").select("id", "cell", "vec").limit(SAMPLE).toPandas()
+    if not len(asked):
+        return least
+    names, cells, vectors = asked["id"].to_numpy(), asked["cell"].to_numpy(), blocks.matrix(asked["vec"])
+    id_type = candidates.schema["id"].dataType.simpleString()
+
+    def search(batches):
+        best = None
+        for pdf in batches:
+            for at in range(0, len(pdf), blocks.BLOCK):
+                part = pdf.iloc[at : at + blocks.BLOCK]
+                theirs = blocks.matrix(part["vec"])
+                places = np.argsort(np.argsort(blocks.distances(theirs, pivots), axis=1, kind="stable"), axis=1)
+                gaps = blocks.distances(vectors, theirs)
+                gaps[names[:, None] == part["id"].to_numpy()[None, :]] = np.inf
+                near = np.argsort(gaps, axis=1, kind="stable")[:, : k + 1]
+                rows = np.repeat(np.arange(len(names)), near.shape[1])
+                found = pd.DataFrame({
+                    "query": rows.astype("int32"), "dst": part["id"].to_numpy()[near.ravel()], "dist": gaps[rows, near.ravel()],
+                    "place": places[near.ravel(), cells[rows]].astype("int32"),
+                })
+                best = pd.concat([best, found[np.isfinite(found["dist"])]]) if best is not None else found[np.isfinite(found["dist"])]
+                best = best.sort_values(["query", "dist", "dst"]).groupby("query").head(k)
+        if best is not None:
+            yield best
+
+    found = candidates.select("id", "vec").mapInPandas(search, f"query int, dst {id_type}, dist double, place int")
+    order = Window.partitionBy("query").orderBy("dist", "dst")
+    true = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "place").toPandas()
+    for probe in range(least, len(pivots)):
+        share = (true["place"] < probe).groupby(true["query"]).mean().to_numpy()
+        if len(share) and share.mean() - 2 * share.std() / math.sqrt(len(share)) >= recall:
+            return probe
+    return max(least, len(pivots))
+
+
+def _filled(homes: dict[int, int], pivots: np.ndarray, k: int) -> np.ndarray:
+    """``[home, target]``: whether a cell's candidates go to a target that would else have fewer than ``k + 1``."""
+    count = np.array([homes.get(c, 0) for c in range(len(pivots))])
+    out = np.zeros((len(pivots), len(pivots)), dtype=bool)
+    for c in np.flatnonzero(count < k + 1):
+        around = np.argsort(blocks.distances(pivots[c : c + 1], pivots)[0], kind="stable")
+        enough = int(np.searchsorted(np.cumsum(count[around]), k + 1)) + 1
+        out[around[:enough], c] = True
+    return out
+
+
+def _route(candidates: DataFrame, pivots: np.ndarray, reach: np.ndarray | None, probe: int, filled: np.ndarray | None = None) -> DataFrame:
     """Send each candidate to every cell that may need it."""
     id_type = candidates.schema["id"].dataType.simpleString()
 
@@ -101,9 +164,10 @@ def _route(candidates: DataFrame, pivots: np.ndarray, reach: np.ndarray | None,
                 if reach is not None:
                     rows, targets = np.nonzero(gaps <= reach[None, :])
                 else:
-                    targets = np.argsort(gaps, axis=1, kind="stable")[:, :probe]
-                    rows = np.repeat(np.arange(len(part)), targets.shape[1])
-                    targets = targets.ravel()
+                    order = np.argsort(gaps, axis=1, kind="stable")
+                    sent = filled[order[:, 0]] if filled is not None else np.zeros(gaps.shape, dtype=bool)
+                    np.put_along_axis(sent, order[:, :probe], True, axis=1)
+                    rows, targets = np.nonzero(sent)
                 yield pd.DataFrame({
                     "target": targets.astype("int32"),
                     "id": part["id"].to_numpy()[rows],

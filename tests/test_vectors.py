@@ -195,6 +195,30 @@ def test_knn_probe_has_true_distances(spark):
     assert np.mean([r.dst in exact[r.src] for r in rows]) > 0.9
 
 
+def test_knn_probe_recall_on_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, points = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, points)], "id long, vec array<double>")
+    found = {}
+    for r in nb.knn_graph(df, 15, method="probe").collect():
+        found.setdefault(r.src, set()).add(r.dst)
+    hits = 0
+    for i, point in zip(ids[::10], points[::10]):
+        gap = np.linalg.norm(points - point, axis=1)
+        hits += len(found[i] & set([j for j in ids[np.lexsort((ids, gap))] if j != i][:15]))
+    assert set(map(len, found.values())) == {15} and len(found) == len(ids)
+    assert hits / (15 * len(ids[::10])) >= 0.9
+
+
+def test_knn_probe_fills_small_cells(spark):
+    points = np.random.default_rng(8).normal(size=(400, 3))
+    points[:200] += 1000.0 * np.arange(200)[:, None]  # far apart: cells of a few points
+    counts = {}
+    for r in nb.knn_graph(frame(spark, points), 15, method="probe", probe=1, pivots=100, recall=0.0).collect():
+        counts[r.src] = counts.get(r.src, 0) + 1
+    assert counts == {i: 15 for i in range(400)}
+
+
 def test_fuzzy_weights(spark):
     points = blobs(n=20)
     k = 6
