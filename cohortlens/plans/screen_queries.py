@@ -146,6 +146,22 @@ def profile_histogram(study: Study) -> DataFrame:
     return _histogram(materialize(profile(study, 0), "profile"), "n")
 
 
+_BOTH = _MEMBERS + ", fx_both AS (" + " UNION ALL ".join(
+    f"SELECT cluster, CAST(count({c}) AS BIGINT) AS n FROM fx_members GROUP BY cluster"
+    for lab in LABS for c in (lab, f"{lab}_first", f"{lab}_last", f"{lab}_neg", f"{lab}_pos")
+) + ") " + " UNION ALL ".join(
+    f"SELECT CAST({c} AS INTEGER) AS cluster, * FROM ({_histogram_sql(f'WITH fx_values AS (SELECT n AS v FROM fx_both WHERE cluster = {c})', True)})" for c in (0, 1)
+)
+
+
+@query("profile_histogram_by_cluster", with_views(_BOTH, *VIEWS))
+def profile_histogram_by_cluster(study: Study) -> DataFrame:
+    """The histograms of both clusters' profiles, each with bins of its own."""
+    both = materialize(column_profile_by_cluster(study), "profile")
+    parts = [_histogram(both.where(F.col("cluster") == c), "n").select(F.lit(c).alias("cluster"), "bin", "low", "high", "n") for c in (0, 1)]
+    return parts[0].unionAll(parts[1])
+
+
 @query("price_histogram", _histogram_sql("WITH fx_values AS (SELECT o_totalprice AS v FROM orders)", False))
 def price_histogram(study: Study) -> DataFrame:
     return _histogram(study.table("orders").select("o_totalprice"), "o_totalprice")
