@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from cohortlens.llm.common import pick, remembered
 
-# Words, and runs without white space, whose ids a Python worker remembers; a full table starts anew.
-REMEMBERED_WORDS, REMEMBERED_RUNS = 500_000, 300_000
-# The tokenizer's own splitting rule and special tokens: fixed values.
+# Words whose ids a Python worker remembers, beyond which it starts anew; bytes of text taken at once; marks that end words.
+REMEMBERED_WORDS, PORTION, MARKS = 400_000, 8 << 20, ".,!?"
+# The tokenizer's own splitting rule: a fixed value.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-SPECIAL = ("<|startoftext|>", "<|endoftext|>")
-_PLAIN = re.compile("[\x1c-\x1f]")
+
+# How byte-level tokenizers spell bytes: printable ones stand for themselves, the others in turn for the letters from U+0100 on.
+_SELF = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+SPELLING = {b: chr(0x100 + n) for n, b in enumerate(b for b in range(0x100) if b not in _SELF)}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,69 +31,119 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordIds(dict):
-    """Ids of runs of characters without white space, as little-endian 32-bit numbers, learned on first sight.
+class WordIds:
+    """Ids of whole texts from a table of words, learned on first sight.
 
     The tokenizer splits a text into words before it merges letters, and white space always parts words, so
-    a text's ids are those of its runs in turn, and a run's those of its words. Texts outside Latin-1, with
-    separator control characters or with a special token are left to the tokenizer as a whole.
+    a text's ids are those of its words in turn. A portion of texts is lower-cased, split at white space and reduced to
+    its different runs by Arrow, most of which are a word or a word and one mark. Only words not seen before
+    reach the tokenizer's merges. Texts outside Latin-1, with separator control characters or with a special token
+    are left to the tokenizer whole.
     """
 
-    def __init__(self, path: str, words: int = REMEMBERED_WORDS, runs: int = REMEMBERED_RUNS):
+    def __init__(self, path: str, most: int = REMEMBERED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.most_words, self.most_runs = Tokenizer.from_file(path), words, runs
-        self.words: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # The tokenizer's own last step for words that are in lower case and spelled in its letters.
+        self.merge = self.tokenizer.model.tokenize
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the table: word -> place, and for each place where its ids begin and how many there are."""
+        self.place: dict[str, int] = {}
+        self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, runs: list[str]) -> None:
-        """Look up new runs: split each into words, and ask the tokenizer for all new words at once."""
-        split = {}
-        for run in runs:
-            if run.isalpha():
-                split[run] = [run]
-            elif run[-1] in ".,!?" and run[:-1].isalpha():
-                split[run] = [run[:-1], run[-1]]
-            else:
-                split[run] = WORDS.findall(run)
-        new = list({w for words in split.values() for w in words if w not in self.words})
+    def places(self, words: list[str]) -> np.ndarray:
+        """Places of words in the table; new ones are merged and entered."""
+        new = [w for w in dict.fromkeys(words) if w not in self.place]
         if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(stops) == len(new):
-                data, at = ids.tobytes(), 0
-                for w, stop in zip(new, stops):
-                    self.words[w] = data[4 * at : 4 * stop]
-                    at = stop
-            else:  # a word of which the tokenizer makes several: ask for each
-                self.words.update({w: self.whole(w) for w in new})
-        for run, words in split.items():
-            self[run] = b"".join(map(self.words.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.whole(text)
-        if _PLAIN.search(text) or any(s in text for s in SPECIAL):
-            return self.whole(text)
-        runs = text.lower().split()
-        try:
-            return b"".join(map(self.__getitem__, runs))
-        except KeyError:
-            if len(self) > self.most_runs:
-                self.clear()
-            if len(self.words) > self.most_words:
-                self.words.clear()
-            self.learn([r for r in dict.fromkeys(runs) if r not in self])
-            return b"".join(map(self.__getitem__, runs))
+            spelled = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(SPELLING) for w in new]
+            each = [[t.id for t in self.merge(w)] for w in spelled]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(each), "<u4", sizes.sum())])
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different runs one after the other, and where each run's begin and how many there are."""
+        trimmed = pc.utf8_rtrim(runs, MARKS)
+        tail = pc.subtract(pc.binary_length(runs), pc.binary_length(trimmed)).to_numpy(zero_copy_only=False)
+        simple = pc.utf8_is_alpha(trimmed).to_numpy(zero_copy_only=False) & (tail <= 1)
+        marked = np.flatnonzero(simple & (tail == 1))
+        rest = np.flatnonzero(~simple)
+        split = [WORDS.findall(r) for r in runs.take(pa.array(rest)).to_pylist()]
+        counts = 1 + tail.astype(np.int64)
+        counts[rest] = [len(x) for x in split]
+        starts = np.cumsum(counts) - counts
+        parts = np.zeros(counts.sum(), dtype=np.int64)
+        words = trimmed.filter(pa.array(simple)).dictionary_encode()
+        parts[starts[simple]] = self.places(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+        marks = pc.utf8_slice_codeunits(runs.take(pa.array(marked)), -1).dictionary_encode()
+        parts[starts[marked] + 1] = self.places(marks.dictionary.to_pylist())[marks.indices.to_numpy(zero_copy_only=False)]
+        inner = np.arange(counts[rest].sum()) - np.repeat(np.cumsum(counts[rest]) - counts[rest], counts[rest])
+        parts[np.repeat(starts[rest], counts[rest]) + inner] = self.places(list(itertools.chain.from_iterable(split)))
+        ids, sizes = gathered(self.ids, self.first[parts], self.size[parts])
+        size = np.bincount(np.repeat(np.arange(len(runs)), counts), sizes, len(runs)).astype(np.int64)
+        return ids, np.cumsum(size) - size, size
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a portion of texts (null: empty), one after the other, and where each text's begin and end."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = _left_whole(texts)
+        if len(odd):
+            apart = np.zeros(len(texts), dtype=bool)
+            apart[odd] = True
+            whole = {int(i): np.frombuffer(self.whole(texts[int(i)].as_py()), "<u4") for i in odd}
+            texts = pc.if_else(pa.array(apart), "", texts)
+        if len(self.place) > self.most:
+            self.forget()
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        ids, first, size = self.runs(coded.dictionary)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        ids, sizes = gathered(ids, first[at], size[at])
+        bounds = split.offsets.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[bounds - bounds[0]]
+        if len(odd):
+            parts = [whole[i] if i in whole else ids[ends[i] : ends[i + 1]] for i in range(len(texts))]
+            ids, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, ends
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slices of ``data`` one after the other, and their sizes."""
+    ends = np.cumsum(sizes)
+    return data[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
+def _left_whole(texts: pa.Array) -> np.ndarray:
+    """Numbers of the texts that are outside Latin-1, hold a separator control character or perhaps a special token."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if texts.buffers()[2] is None or bounds[0] == bounds[-1]:
+        return np.zeros(0, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    hits = [np.flatnonzero((data > 0xC3) | ((data >= 0x1C) & (data <= 0x1F)))]
+    mark = np.flatnonzero(data == ord("|"))
+    hits.append(mark[(mark > 0) & (data[mark - 1] == ord("<"))])
+    return np.unique(np.searchsorted(bounds - bounds[0], np.concatenate(hits), side="right") - 1)
+
+
+def portions(sizes: np.ndarray, most: int = PORTION) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most ``most`` bytes together; a larger row is a range of its own."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, stop
+        at = stop
 
 
 def word_ids(path: str) -> WordIds:
@@ -117,20 +170,23 @@ def token_pieces(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, stop in portions(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)):
+                part = batch.slice(at, stop - at)
+                ids, ends = words.encode(part.column(1))
+                data = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 owner, pieces = [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    data = (words.encode(t) if t else b"") + final
-                    for n, first in enumerate(range(0, len(data), 4 * length)):
-                        chunk = data[first : first + 4 * length]
+                for i, (low, high) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    for n, first in enumerate(range(0, high - low + 1, length)):
+                        last = min(first + length, high - low)
+                        chunk = data[4 * (low + first) : 4 * (low + last)]
+                        chunk = bytes(chunk) + final if last - first < length else chunk
                         owner.append(i)
-                        pieces.append((n, first // 4, len(chunk) // 4, zlib.crc32(chunk), chunk))
-                number, start, size, crc, ids = zip(*pieces)
+                        pieces.append((n, first, len(chunk) // 4, zlib.crc32(chunk), bytes(chunk) if with_ids else None))
+                number, start, size, crc, held = zip(*pieces)
                 columns = [part.column(0).take(pa.array(owner, pa.int32())), pa.array(number, pa.int32())]
                 columns += [pa.array(x, pa.int64()) for x in (start, size, crc)]
                 if with_ids:
-                    columns.append(pa.array(ids, pa.binary()))
+                    columns.append(pa.array(held, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -7,9 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortlens.llm import ann, linededup, minhash, neardup_vectors, packing, quality, segment, sharding, tokens, toxicity, warc
@@ -194,7 +196,11 @@ def test_near_vectors_against_all_pairs(spark):
 def test_ids_are_the_tokenizers(text):
     words = tokens.word_ids(tokens.tokenizer_path())
     text = text.encode("utf-8", "ignore").decode()
-    assert words.encode(text) == words.whole(text)
+    given_ = [None, text, "", "the " + text, "One, two."]
+    for portion in (pa.array(given_), pa.array(["sliced off", *given_])[1:]):
+        ids, ends = words.encode(portion)
+        for t, low, high in zip(given_, ends, ends[1:]):
+            assert ids[low:high].tobytes() == words.whole(t or "")
 
 
 def test_pieces_and_packing(docs, texts):
@@ -216,6 +222,12 @@ def test_pieces_and_packing(docs, texts):
     assert len(seq) <= 1.02 * math.ceil(sum(r["length"] for r in rows) / 4096)
 
 
+def test_packing_does_not_depend_on_the_order_of_rows(docs):
+    columns = ["doc_id", "piece", "sequence_id", "offset"]
+    packed = [sorted(map(tuple, packing.pack_documents(d).select(columns).collect())) for d in (docs, docs.repartition(7, "source"), docs.orderBy(F.desc("n_chars")))]
+    assert packed[0] == packed[1] == packed[2]
+
+
 def test_sum_of_squares_rule():
     """Each placement lowers the sum of squared gap counts as far as any other would."""
     rng = np.random.default_rng(1)
