@@ -29,8 +29,8 @@ from cohortlens.session import materialize, scratch_path
 # Fixed values of the format: ids per word by selector 1 to 14 (each gets 60 // ids bits); selector 0 is an escape.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 PAYLOAD, MAGIC = 60, b"SIMPLE8B"
-# Ids of a block; ids of a file, more or less; ids decoded at once.
-BLOCK, FILE_IDS, DECODED = 4096, 8 << 20, 1 << 20
+# Ids of a block; bytes of text of a file, more or less; bytes of text packed and ids decoded at once.
+BLOCK, FILE_BYTES, PACKED, DECODED = 4096, 32 << 20, 2 << 20, 1 << 20
 
 
 # --- words ---------------------------------------------------------------------------------
@@ -189,24 +189,53 @@ class IdFileReader:
 # --- jobs ----------------------------------------------------------------------------------
 
 
-def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", end: int = 2, path: str | None = None) -> DataFrame:
-    """``(key, n, crc32, words, escapes, per_block)``: packed ids of each whole text and the ``end`` id after them."""
+class Places:
+    """The order of files: which of them a row belongs to, by its key and, among rows of one key, by its checksum.
+
+    ``bounds`` are keys in ascending order that part the rows into files of about equally many; a key that is a bound
+    several times has the rows of as many files. ``empty`` files before them hold rows without a key.
+    """
+
+    def __init__(self, bounds: list[int], empty: int):
+        self.bounds, self.empty = np.array(bounds, dtype=np.int64), empty
+        self.count = empty + len(bounds) + 1
+
+    def of(self, keys: pa.Array, crc: np.ndarray) -> np.ndarray:
+        none = keys.is_null().to_numpy(zero_copy_only=False)
+        key = keys.fill_null(0).to_numpy(zero_copy_only=False)
+        low, high = np.searchsorted(self.bounds, key, "left"), np.searchsorted(self.bounds, key, "right")
+        first, files = np.where(none, 0, self.empty + low), np.where(none, max(self.empty, 1), np.maximum(high - low, 1))
+        return first + (crc * files >> 32)
+
+
+def places(docs: DataFrame, key: str, text: str, file_bytes: int) -> Places:
+    """Files for all rows, from the bytes of their texts and the quantiles of their keys: one number a file reaches the driver."""
+    rows = pick(docs, key=key, text=text).select(F.col("key").cast("long").alias("key"), "text")
+    n, keyed, size = rows.agg(F.count("*"), F.count("key"), F.sum(F.octet_length("text"))).first()
+    files = max(1, -(-(size or 0) // file_bytes))
+    wanted = max(1, round(files * keyed / n)) if n else 1
+    marks = [i / wanted for i in range(1, wanted)]
+    bounds = rows.agg(F.percentile_approx("key", marks, 20 * wanted)).first()[0] if marks else []
+    return Places(bounds or [], -(-files * (n - keyed) // n) if n else 0)
+
+
+def encoded(docs: DataFrame, order: Places, key: str = "doc_id", text: str = "text", end: int = 2, path: str | None = None) -> DataFrame:
+    """``(place, key, n, crc32, words, escapes, per_block)``: packed ids of each whole text and the ``end`` id after them."""
     rows = pick(docs, key=key, text=text).withColumn("key", F.col("key").cast("long"))
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_ids(path)
         for batch in batches:
-            for at, stop in portions(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)):
+            for at, stop in portions(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), PACKED):
                 part = batch.slice(at, stop - at)
                 ids, ends = table.encode(part.column(1))
-                ids = np.insert(ids, ends[1:], end)
-                yield _packed(part.column(0), ids, ends + np.arange(len(ends)))
+                yield _packed(part.column(0), np.insert(ids, ends[1:], end), ends + np.arange(len(ends)), order)
 
-    return rows.mapInArrow(run, "key bigint, n bigint, crc32 bigint, words binary, escapes binary, per_block binary")
+    return rows.mapInArrow(run, "place int, key bigint, n bigint, crc32 bigint, words binary, escapes binary, per_block binary")
 
 
-def _packed(keys: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+def _packed(keys: pa.Array, ids: np.ndarray, ends: np.ndarray, order: Places) -> pa.RecordBatch:
     """Documents ``ids[ends[i]:ends[i + 1]]``, none of them empty, each cut into blocks."""
     sizes = np.diff(ends)
     blocks = -(-sizes // BLOCK)
@@ -216,42 +245,49 @@ def _packed(keys: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.RecordBatch
     words, escapes, n_words, n_escapes = pack(ids, stops)
     pairs = np.column_stack([n_words, n_escapes]).astype("<u4")
     data = memoryview(ids.astype("<u4")).cast("B")
-    crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    crc = np.array([zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], dtype=np.int64)
     upto = lambda per: np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], last])]  # noqa: E731  sums at the end of each document
     parts = [(words.astype("<u8"), 8, upto(n_words)), (escapes.astype("<u8"), 8, upto(n_escapes)), (pairs.ravel(), 4, 2 * np.concatenate([[0], last]))]
     held = [pa.Array.from_buffers(pa.large_binary(), len(keys), [None, pa.py_buffer((w * e).astype("<i8")), pa.py_buffer(x)]).cast(pa.binary()) for x, w, e in parts]
     return pa.RecordBatch.from_arrays(
-        [keys, pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), *held], names=["key", "n", "crc32", "words", "escapes", "per_block"]
+        [pa.array(order.of(keys, crc).astype(np.int32)), keys, pa.array(sizes, pa.int64()), pa.array(crc), *held],
+        names=["place", "key", "n", "crc32", "words", "escapes", "per_block"],
     )
 
 
-def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", end: int = 2, path: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
+def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", end: int = 2, path: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write the ids of all documents in ascending order of keys; the stored list ``place, path, docs, ids, bytes`` of the files.
 
     Keys are whole numbers; a row without one comes first. Rows with the same key stand in the order of the checksum and
-    number of their ids, and those that still tie in the order in which they were read. A null or empty text is the ``end`` id alone.
-    Texts are tokenized and packed where they are read; what is dealt by ranges of keys is a few bits an id. Files hold about
-    ``file_ids`` ids each, ``place`` being their order; rows that repeat a key may be dealt to several files.
-    A task that is run again writes another file; only those in the list count. An empty table gives an empty list.
+    number of their ids. A null or empty text is the ``end`` id alone. Texts are tokenized and packed where they are read; what
+    is then dealt to files by ranges of keys is some two bytes an id. Files hold about ``file_bytes`` of text each, ``place`` being their
+    order; the different texts of a key that has many rows are dealt to several files, equal rows of one key to one.
+    A task that is run again writes other files; only those in the list count. An empty table gives an empty list.
     """
-    rows = materialize(encoded(docs, key, text, end, path).withColumn("at", F.monotonically_increasing_id()), "packed-ids")
-    files = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // file_ids))
-    order = ["key", "crc32", "n", "at"]
-    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).withColumn("place", F.spark_partition_id())
+    order = places(docs, key, text, file_bytes)
+    rows = encoded(docs, order, key, text, end, path)
+    dealt = rows.repartitionById(order.count, F.col("place")).sortWithinPartitions("place", "key", "crc32", "n")
     where, root = fs.FileSystem.from_uri(folder)
     where.create_dir(root, recursive=True)
     names = ["place", "key", "n", "words", "escapes", "per_block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, place = None, 0
+        out, place = None, None
+
+        def told() -> pa.RecordBatch:
+            file, documents, ids, size = out.close()
+            return pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int32()), "path": [file], "docs": [documents], "ids": [ids], "bytes": [size]})
+
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(len(names))]):
-                if out is None:
-                    out, place = IdFile(folder), row[0]
-                out.add(*row[1:])
+            for at in range(0, batch.num_rows, 512):
+                for own, *document in zip(*[batch.column(i).slice(at, 512).to_pylist() for i in range(len(names))]):
+                    if own != place:
+                        if out is not None:
+                            yield told()
+                        out, place = IdFile(folder), own
+                    out.add(*document)
         if out is not None:
-            file, docs_, ids, size = out.close()
-            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int32()), "path": [file], "docs": [docs_], "ids": [ids], "bytes": [size]})
+            yield told()
 
     return materialize(dealt.select(*names).mapInArrow(run, "place int, path string, docs bigint, ids bigint, bytes bigint"), "id-files")
 

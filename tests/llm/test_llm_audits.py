@@ -183,8 +183,8 @@ def written(spark, df, **options):
 
 
 def test_files_round_trip(spark, docs):
-    for file_ids in (simple8b.FILE_IDS, 100_000):
-        files, rows = written(spark, docs, file_ids=file_ids)
+    for file_bytes in (simple8b.FILE_BYTES, 200_000):
+        files, rows = written(spark, docs, file_bytes=file_bytes)
         assert [(*r[:4], bytes(r[4])) for r in rows] == expected(docs.select("doc_id", "text").collect())
         assert files.count() == 1 or files.count() > 3
     ids = sum(r[2] for r in rows)
@@ -195,12 +195,20 @@ def test_files_edge_cases(spark):
     long = " ".join(f"word{i * i % 977}" for i in range(20_000))
     rows = [(5, "five"), (5, "cinq"), (5, "five"), (None, "no key"), (None, None), (-3, ""), (0, long), (9, "☃ 中文 <|endoftext|> \x1c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("x") for c in CLASHES})
-    _, got = written(spark, df, file_ids=50)
+    _, got = written(spark, df, file_bytes=50)
     assert [(*r[:4], bytes(r[4])) for r in got] == expected(rows)
     files, got = written(spark, df.limit(0))
     assert files.count() == 0 and got == []
 
 
+def test_rows_of_one_key_are_dealt_to_several_files(spark):
+    rows = [(7 if i % 3 else None if i % 2 else i, f"text {i * i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    files, got = written(spark, df, file_bytes=1000)
+    assert [(*r[:4], bytes(r[4])) for r in got] == expected(rows)
+    assert files.count() > 8 and files.agg(F.max("docs")).first()[0] < 300
+
+
 def test_broken_files_are_refused(spark, tmp_path):
     from pyarrow import fs
 
