@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,9 @@ from cohortlens.functions.columns import lookup
 from cohortlens.operators import blocks
 from cohortlens.session import materialize
 
+# Places whose surroundings are summarised for the Euclidean silhouette: the more, the closer its bounds.
+CELLS = 1024
+
 
 def as_vectors(df: DataFrame, key: str, columns: Sequence[str], name: str = "vec") -> DataFrame:
     """``(key, vec)`` from coordinate columns."""
@@ -111,35 +114,122 @@ def ward_labels(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
 # --- separation ----------------------------------------------------------------------
 
 
-def silhouette_points(df: DataFrame, cluster: str = "cluster", vector: str = "vec", metric: str = "euclidean", block: int = blocks.BLOCK) -> DataFrame:
-    """``(position, cluster, n, silhouette)``: one row per distinct labelled position, ``n`` points on it.
+def silhouette_points(
+    df: DataFrame, cluster: str = "cluster", vector: str = "vec", metric: str = "euclidean", block: int = blocks.BLOCK, tolerance: float = 0.005,
+    cells: int = CELLS,
+) -> DataFrame:
+    """``(position, cluster, n, silhouette, error)``: one row per distinct labelled position, ``n`` points on it.
 
-    Points on one position share their silhouette, so positions are counted
-    first and copies cost nothing. ``sqeuclidean`` needs only sums per cluster
-    and is linear. ``euclidean`` needs every distance; it runs block against
-    block, and each task sends on one partial sum per position and cluster.
+    Points on one position share their silhouette, so positions are counted first and copies cost nothing. The true value is
+    within ``error`` of ``silhouette``. ``sqeuclidean`` needs only sums per cluster, is linear and exact. ``euclidean`` bounds
+    the sum of a position's distances to a cluster from summaries of the cluster's cells (how many points, their mean, their
+    variance about it): the mean distance to a cell's points is at least the distance to their mean, and at most the root of its square plus
+    the variance. That is linear for a number of ``cells``. Positions whose value is left open by more than ``tolerance``, all of
+    them with a tolerance of 0, are compared with every position, block against block; each task sends on one
+    partial sum per position and cluster.
     """
     counted = df.groupBy(F.col(cluster).alias("cluster"), F.col(vector).alias("vec")).agg(F.count("*").alias("n"))
     positions = materialize(counted.withColumn("position", F.monotonically_increasing_id()), "positions")
+    exact = ["position", "cluster", "n", F.col("low").alias("silhouette"), F.lit(0.0).alias("error")]
     if metric == "sqeuclidean":
-        sums = _squared_sums(positions)
-    elif metric == "euclidean":
-        sums = _distance_sums(positions, block)
-    else:
+        return _scored(_squared_sums(positions)).select(*exact)
+    if metric != "euclidean":
         raise ValueError(f"unknown metric {metric!r}")
+    if tolerance <= 0:
+        return _scored(_distance_sums(positions, positions, block)).select(*exact)
+    bounded = materialize(_scored(_bounded_sums(positions, cells, block)).withColumn("error", (F.col("high") - F.col("low")) / 2), "bounds")
+    wide = positions.join(bounded.where(F.col("error") > tolerance).select("position"), "position", "left_semi")
+    settled = bounded.where(F.col("error") <= tolerance).select("position", "cluster", "n", ((F.col("low") + F.col("high")) / 2).alias("silhouette"), "error")
+    return settled.unionAll(_scored(_distance_sums(wide, positions, block)).select(*exact))
+
+
+def _scored(sums: DataFrame) -> DataFrame:
+    """``(position, cluster, n, low, high)``: bounds of the silhouette from ``per``, a list of ``(other, total, most, size)``.
+
+    The silhouette falls with the mean distance to the own cluster and rises with that to the nearest other one.
+    """
     own = F.get(F.filter("per", lambda p: p["other"] == F.col("cluster")), 0)
-    foreign = F.array_min(F.transform(F.filter("per", lambda p: p["other"] != F.col("cluster")), lambda p: p["total"] / p["size"]))
-    rows = sums.select("position", "cluster", "n", own.alias("own"), foreign.alias("b"))
-    a = F.when(F.col("own.size") > 1, F.col("own.total") / (F.col("own.size") - 1))
-    rows = rows.select("position", "cluster", "n", "b", a.alias("a")).withColumn("widest", F.greatest("a", "b"))
-    score = F.when(F.col("a").isNull() | (F.col("widest") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.col("widest"))
-    return rows.select("position", "cluster", "n", score.alias("silhouette"))
+    rows = sums.select("position", "cluster", "n", own.alias("own"), *[
+        F.array_min(F.transform(F.filter("per", lambda p: p["other"] != F.col("cluster")), lambda p: p[total] / p["size"])).alias(name)
+        for name, total in (("b_low", "total"), ("b_high", "most"))
+    ])
+    alone = F.col("own.size") <= 1
+    rows = rows.select("*", *[F.when(~alone, F.col(f"own.{total}") / (F.col("own.size") - 1)).alias(name) for name, total in (("a_low", "total"), ("a_high", "most"))])
+
+    def score(a: str, b: str) -> Column:
+        widest = F.greatest(a, b)
+        return F.when(F.col(a).isNull() | (widest == 0), 0.0).otherwise((F.col(b) - F.col(a)) / widest)
+
+    return rows.select("position", "cluster", "n", score("a_high", "b_low").alias("low"), score("a_low", "b_high").alias("high"))
+
+
+def silhouette(
+    df: DataFrame, cluster: str = "cluster", vector: str = "vec", metric: str = "euclidean", block: int = blocks.BLOCK, tolerance: float = 0.005,
+    cells: int = CELLS,
+) -> DataFrame:
+    """Mean silhouette over all points, as one row ``(silhouette, error, n_points)``; the true mean is within ``error``."""
+    scored = silhouette_points(df, cluster, vector, metric, block, tolerance, cells)
+    mean = [(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("silhouette", "error")]
+    return scored.agg(*mean, F.sum("n").alias("n_points"))
+
+
+def _bounded_sums(positions: DataFrame, cells: int, block: int) -> DataFrame:
+    """Least and greatest possible distance sums per position and cluster, blocks of positions against blocks of cells."""
+    pivots = np.array([r["vec"] for r in positions.orderBy(F.xxhash64("vec"), "vec").limit(cells).select("vec").collect()])
+    kind = positions.schema["cluster"].dataType.simpleString()
+    added = F.col("cluster").alias("other")
+    summaries = positions.select(added, "n", "vec").mapInPandas(_cell_sums(pivots), f"other {kind}, cell int, size double, sums array<double>, squares double")
+    width = pivots.shape[1] if len(pivots) else 0
+    total = summaries.groupBy("other", "cell").agg(F.sum("size").alias("size"), F.array(*[F.sum(F.get("sums", i)) for i in range(width)]).alias("sums"), F.sum("squares").alias("squares"))
+    total = materialize(total, "cells")
+    ours, theirs = blocks.block_count(positions.count(), block), blocks.block_count(total.count(), block)
+    placed = positions.withColumn("a", blocks.block_of(F.col("position"), ours)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
+    cells_at = total.withColumn("b", F.pmod(F.xxhash64("other", "cell"), F.lit(theirs)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(ours - 1))))
+    fields = [f for f in positions.schema.fields if f.name in ("position", "cluster", "n")]
+    more = [T.StructField("other", positions.schema["cluster"].dataType), T.StructField("total", T.DoubleType()), T.StructField("most", T.DoubleType())]
+    schema = T.StructType(sorted(fields, key=lambda f: ("position", "cluster", "n").index(f.name)) + more)
+
+    def bounds(rows: pd.DataFrame, summed: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(summed):
+            return pd.DataFrame({name: [] for name in schema.names})
+        size = summed["size"].to_numpy()
+        offset = blocks.matrix(summed["sums"]) / size[:, None]  # of the cell's mean from its pivot
+        spread = np.maximum(summed["squares"].to_numpy() / size - (offset**2).sum(axis=1), 0.0)
+        gaps = blocks.distances(blocks.matrix(rows["vec"]), pivots[summed["cell"].to_numpy()] + offset)
+        least, most = gaps * size, np.sqrt(gaps * gaps + spread) * size
+        parts = [
+            rows[["position", "cluster", "n"]].assign(other=label, total=least[:, members].sum(axis=1), most=most[:, members].sum(axis=1))
+            for label, members in summed.groupby("other").indices.items()
+        ]
+        return pd.concat(parts)
+
+    partial = placed.groupBy("a", "b").cogroup(cells_at.groupBy("a", "b")).applyInPandas(bounds, schema)
+    return _per_position(partial, positions)
+
 
+def _cell_sums(pivots: np.ndarray):
+    """Count, sums and sums of squares of the offsets from the nearest pivot, per cluster and pivot, of each batch."""
 
-def silhouette(df: DataFrame, cluster: str = "cluster", vector: str = "vec", metric: str = "euclidean", block: int = blocks.BLOCK) -> DataFrame:
-    """Mean silhouette over all points, as one row."""
-    scored = silhouette_points(df, cluster, vector, metric, block)
-    return scored.agg((F.sum(F.col("silhouette") * F.col("n")) / F.sum("n")).alias("silhouette"), F.sum("n").alias("n_points"))
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), blocks.BLOCK):
+                part = pdf.iloc[at : at + blocks.BLOCK]
+                x, n = blocks.matrix(part["vec"]), part["n"].to_numpy().astype(float)
+                cell, gap = blocks.nearest(x, pivots)
+                offset = (x - pivots[cell]) * n[:, None]
+                groups = part.assign(cell=cell).groupby(["other", "cell"])
+                found = [(*own, n[rows].sum(), offset[rows].sum(axis=0), (n[rows] * gap[rows] ** 2).sum()) for own, rows in groups.indices.items()]
+                yield pd.DataFrame(found, columns=["other", "cell", "size", "sums", "squares"]).astype({"cell": "int32"})
+
+    return sums
+
+
+def _per_position(partial: DataFrame, positions: DataFrame) -> DataFrame:
+    """Partial sums added up, with the size of the cluster beside each; one entry per cluster, so the list is as short as the clustering is coarse."""
+    totals = partial.groupBy("position", "cluster", "n", "other").agg(F.sum("total").alias("total"), F.sum("most").alias("most"))
+    sizes = positions.groupBy(F.col("cluster").alias("other")).agg(F.sum("n").alias("size"))
+    per = F.collect_list(F.struct("other", "total", "most", "size")).alias("per")
+    return totals.join(sizes, "other").groupBy("position", "cluster", "n").agg(per)
 
 
 def _squared_sums(positions: DataFrame) -> DataFrame:
@@ -166,21 +256,21 @@ def _squared_sums(positions: DataFrame) -> DataFrame:
 
     def total(c):
         dot = F.aggregate(F.zip_with("vec", c["s"], lambda x, s: x * s), F.lit(0.0), lambda acc, x: acc + x)
-        return F.struct(c["other"].alias("other"), F.greatest(F.lit(0.0), c["size"] * F.col("norm") - 2.0 * dot + c["q"]).alias("total"), c["size"].alias("size"))
+        total = F.greatest(F.lit(0.0), c["size"] * F.col("norm") - 2.0 * dot + c["q"])
+        return F.struct(c["other"].alias("other"), total.alias("total"), total.alias("most"), c["size"].alias("size"))
 
     met = centred.withColumn("norm", norm).join(F.broadcast(every.select("clusters", one)), "one")
     return met.select("position", "cluster", "n", F.transform("clusters", total).alias("per"))
 
 
-def _distance_sums(positions: DataFrame, block: int) -> DataFrame:
-    """Distance sums per position and cluster, block against block."""
-    count = blocks.block_count(positions.count(), block)
-    placed = positions.withColumn("at", blocks.block_of(F.col("position"), count))
-    every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = placed.select(F.col("at").alias("a"), every.alias("b"), "position", "cluster", "n", "vec")
+def _distance_sums(asked: DataFrame, positions: DataFrame, block: int) -> DataFrame:
+    """Distance sums of the asked positions to each cluster, block against block."""
+    ours, theirs = blocks.block_count(asked.count(), block), blocks.block_count(positions.count(), block)
+    left = asked.withColumn("a", blocks.block_of(F.col("position"), ours)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
     # Both sides read one table: new names on this side keep its columns apart from the other's.
-    right = placed.select(
-        every.alias("a"), F.col("at").alias("b"), F.col("cluster").alias("other"), F.col("n").alias("weight"), F.col("vec").alias("place")
+    right = positions.select(
+        blocks.block_of(F.col("position"), theirs).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(ours - 1))).alias("a"),
+        F.col("cluster").alias("other"), F.col("n").alias("weight"), F.col("vec").alias("place"),
     )
     kept = positions.select("position", "cluster", "n").schema.fields
     added = [T.StructField("other", positions.schema["cluster"].dataType), T.StructField("total", T.DoubleType())]
@@ -197,8 +287,4 @@ def _distance_sums(positions: DataFrame, block: int) -> DataFrame:
         return pd.concat(parts)
 
     partial = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(sums, schema)
-    totals = partial.groupBy("position", "cluster", "n", "other").agg(F.sum("total").alias("total"))
-    sizes = positions.groupBy(F.col("cluster").alias("other")).agg(F.sum("n").alias("size"))
-    # One entry per cluster, so the list is as short as the clustering is coarse.
-    per = F.collect_list(F.struct("other", "total", "size")).alias("per")
-    return totals.join(sizes, "other").groupBy("position", "cluster", "n").agg(per)
+    return _per_position(partial.withColumn("most", F.col("total")), positions)

@@ -1,4 +1,4 @@
-"""Nearest-neighbour graph, edge weights, spectral layout and clusters on the graph."""
+"""Nearest-neighbour graph and edge weights."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import PowerIterationClustering
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.columns import lookup
 from cohortlens.operators import blocks
+from cohortlens.operators.refine import refined_knn
 from cohortlens.session import materialize
 
 # Most cells the space is cut into; bounds every table held on the driver (pivots and
@@ -35,8 +36,9 @@ def knn_graph(
     approximate. It takes as many more cells as bring the share of true neighbours
     found to ``recall``, as measured by brute force on up to ``SAMPLE`` points and less
     two standard errors, and fills cells that were sent too few candidates from the cells
-    around, so that a point lacks neighbours only where there are not ``k`` others. Both
-    kinds work block against block: a crowded cell is cut into blocks and no pair becomes
+    around, so that a point lacks neighbours only where there are not ``k`` others. ``refine`` is approximate too, for many
+    points in many dimensions: it improves lists round by round until they hardly change and ``recall`` is reached, with work that
+    is bounded per point (:mod:`cohortlens.operators.refine`). The first two work block against block: a crowded cell is cut into blocks and no pair becomes
     a row. ``pivots`` is the number of cells, at most ``MAX_PIVOTS``; a quarter of the
     root of the number of points if not given.
 
@@ -44,9 +46,11 @@ def knn_graph(
     neighbour, so copies beyond that are not candidates; they still get their own
     neighbours.
     """
-    if method not in ("exact", "probe"):
+    if method not in ("exact", "probe", "refine"):
         raise ValueError(f"unknown method {method!r}")
     points = df.select(F.col(key).alias("id"), F.col(vector).alias("vec"))
+    if method == "refine":
+        return refined_knn(points, k, recall)
     # Any points may serve as pivots; a fixed pseudo-random choice keeps runs alike.
     total = points.count()
     wanted = max(1, min(MAX_PIVOTS, pivots or math.isqrt(total) // 4))
@@ -231,13 +235,13 @@ def fuzzy_weights(graph: DataFrame) -> DataFrame:
     return both.select("src", "dst", (F.col("s") - F.col("p")).alias("weight"))
 
 
-@F.pandas_udf(T.DoubleType())
-def _sigma(past: pd.Series) -> pd.Series:
+@F.arrow_udf(T.DoubleType())
+def _sigma(past: pa.Array) -> pa.Array:
     """Solve for sigma by halving, all points of a batch at once."""
-    sizes = past.map(len).to_numpy()
+    sizes = past.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     table = np.full((len(past), sizes.max(initial=1)), np.inf)
-    for i, values in enumerate(past):
-        table[i, : len(values)] = values
+    rows = np.repeat(np.arange(len(past)), sizes)
+    table[rows, np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = past.flatten().to_numpy(zero_copy_only=False)
     goal = np.log2(np.maximum(sizes, 1))
     low, high, mid = np.zeros(len(past)), np.full(len(past), np.inf), np.ones(len(past))
     for _ in range(_HALVINGS):
@@ -245,113 +249,4 @@ def _sigma(past: pd.Series) -> pd.Series:
         high = np.where(over, mid, high)
         low = np.where(over, low, mid)
         mid = np.where(np.isinf(high), mid * 2, (low + high) / 2)
-    return pd.Series(np.maximum(mid, 1e-12))
-
-
-# --- layout and clusters -------------------------------------------------------------
-
-
-def spectral_embedding(graph: DataFrame, dims: int = 2, steps: int = 14, extra: int = 9, prefix: str = "Embedding_") -> DataFrame:
-    """Coordinates from the smoothest non-constant functions on the graph.
-
-    These are the leading eigenvectors of the normalised adjacency ``A`` after
-    the trivial one. They are found in the span of ``T_0 V .. T_steps V``
-    (Chebyshev polynomials of ``A`` on a few vectors): a step is one join of the edges with a short array per
-    vertex and one sum per vertex, partial before the shuffle, and is written
-    out, so that the plan of a step does not hold the steps before it. The best
-    combinations then follow from the small matrix of inner products. A few
-    ``extra`` vectors make up for close eigenvalues.
-    """
-    width = dims + 1 + extra
-    edges = graph.select("src", "dst", "weight").unionAll(graph.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    edges = materialize(edges, "edges")
-    degree = materialize(edges.groupBy("src").agg(F.sum("weight").alias("degree")), "degree")
-    far = degree.select(F.col("src").alias("dst"), F.col("degree").alias("far"))
-    both = edges.join(degree, "src").join(far, "dst")
-    scaled = both.select("src", "dst", (F.col("weight") / F.sqrt(F.col("degree") * F.col("far"))).alias("w"))
-    scaled = materialize(scaled, "scaled")
-    # The trivial vector is known, the square root of the degree; the others start pseudo-random.
-    noise = [f"pmod(xxhash64(src, {i}), 1048576) / 1048576D - 0.5D" for i in range(width - 1)]
-    state = degree.selectExpr("src AS id", f"array(sqrt(degree), {', '.join(noise)}) AS v")
-    chain = [materialize(state, "step")]
-    for _ in range(steps):
-        chain.append(materialize(_next_block(scaled, chain[-1], chain[-2] if len(chain) > 1 else None, width), "step"))
-    basis = chain[0].select("id", F.lit(0).alias("at"), "v")
-    for at, block in enumerate(chain[1:], 1):
-        basis = basis.unionAll(block.select("id", F.lit(at).alias("at"), "v"))
-    # One short array per step, so the list of a vertex is bounded by the steps.
-    joined = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda p: p["v"]))
-    basis = materialize(basis.groupBy("id").agg(joined.alias("v")), "basis")
-    turn = _ritz(_gram(basis, "v"), width, steps)[:, 1 : dims + 1]
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def project(v: pd.Series) -> pd.Series:
-        return pd.Series(list(blocks.matrix(v) @ turn))
-
-    names = [f"{prefix}{i + 1}" for i in range(dims)]
-    placed = basis.select("id", project("v").alias("x"))
-    laid = materialize(placed.select("id", *[F.get("x", i).alias(n) for i, n in enumerate(names)]), "layout")
-    return _signed(laid, names)
-
-
-def _next_block(scaled: DataFrame, last: DataFrame, before: DataFrame | None, width: int) -> DataFrame:
-    """``2 A last - before``, at first ``A last``. Adaptive execution splits the edges into a hub."""
-    pulled = scaled.join(last.withColumnRenamed("id", "dst"), "dst")
-    moved = pulled.groupBy(F.col("src").alias("id")).agg(*[F.expr(f"sum(w * v[{i}]) AS s{i}") for i in range(width)])
-    if before is None:
-        return moved.selectExpr("id", f"array({', '.join(f's{i}' for i in range(width))}) AS v")
-    block = ", ".join(f"2D * s{i} - v[{i}]" for i in range(width))
-    return before.join(moved, "id").selectExpr("id", f"array({block}) AS v")
-
-
-def _gram(df: DataFrame, column: str) -> np.ndarray:
-    """Inner products of the array's components over all rows: one small matrix per task, added up."""
-
-    def partial(batches):
-        total = 0.0
-        for pdf in batches:
-            if len(pdf):
-                x = blocks.matrix(pdf[column])
-                total = total + x.T @ x
-        if not np.isscalar(total):
-            yield pd.DataFrame({"g": [total.ravel()]})
-
-    parts = df.select(column).mapInPandas(partial, "g array<double>")
-    cells = parts.select(F.posexplode("g").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
-    values = np.zeros(len(cells))
-    for row in cells:
-        values[row["at"]] = row["x"]
-    side = math.isqrt(len(values))
-    return values.reshape(side, side)
-
-
-def _ritz(gram: np.ndarray, width: int, steps: int) -> np.ndarray:
-    """Weights of the ``width`` leading approximate eigenvectors over all blocks but the last.
-
-    ``A T_j`` is the mean of the blocks on either side of ``T_j``, so the inner
-    products with ``A`` are already in the Gram matrix.
-    """
-    size = width * steps
-    block = lambda j: slice(j * width, (j + 1) * width)
-    image = np.zeros((size, size))
-    for j in range(steps):
-        image[:, block(j)] = (gram[:size, block(j + 1)] + gram[:size, block(abs(j - 1))]) / 2
-    image = (image + image.T) / 2
-    values, vectors = np.linalg.eigh(gram[:size, :size])
-    sound = values > values[-1] * 1e-11
-    root = vectors[:, sound] / np.sqrt(values[sound])
-    _, found = np.linalg.eigh(root.T @ image @ root)
-    weights = root @ found[:, ::-1][:, :width]
-    return np.vstack([weights, np.zeros((width, weights.shape[1]))])
-
-
-def _signed(laid: DataFrame, columns: list[str]) -> DataFrame:
-    """Make the largest coordinate of each column positive."""
-    tops = laid.agg(*[F.max_by(c, F.struct(F.abs(c), F.col("id"))).alias(c) for c in columns]).first()
-    return laid.select("id", *[(F.col(c) * (1.0 if tops[c] is None or tops[c] >= 0 else -1.0)).alias(c) for c in columns])
-
-
-def graph_cluster(graph: DataFrame, k: int = 2, iterations: int = 20) -> DataFrame:
-    """``(id, cluster)`` by power iteration on the weighted graph."""
-    model = PowerIterationClustering(k=k, maxIter=iterations, initMode="random", srcCol="src", dstCol="dst", weightCol="weight")
-    return model.assignClusters(graph.select("src", "dst", "weight")).select("id", F.col("cluster").cast("int").alias("cluster"))
+    return pa.array(np.maximum(mid, 1e-12))

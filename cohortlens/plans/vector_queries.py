@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions import encoding as en
@@ -10,6 +12,7 @@ from cohortlens.operators import cluster as cl
 from cohortlens.operators import cohort as co
 from cohortlens.operators import fingerprint as fp
 from cohortlens.operators import frames as fr
+from cohortlens.operators import graph as gr
 from cohortlens.operators import neighbors as nb
 from cohortlens.operators import overlay as ov
 from cohortlens.operators import reduce as rd
@@ -536,7 +539,7 @@ _SCORE = rounded_sql("avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE
 
 
 def _silhouette(study: Study, metric: str) -> DataFrame:
-    found = cl.silhouette(study.points(), metric=metric)
+    found = cl.silhouette(study.points(), metric=metric, tolerance=0.0)
     return found.select(rounded(F.col("silhouette")).alias("silhouette"), "n_points")
 
 
@@ -550,6 +553,17 @@ def silhouette_squared(study: Study) -> DataFrame:
     return _silhouette(study, "sqeuclidean")
 
 
+@query("silhouette_bounded", with_views(
+    "WITH fx_moved AS (SELECT id, cluster % 3 AS cluster, list_transform(vec, lambda x: x + 40.0::DOUBLE * (cluster % 3)) AS vec FROM fx_points WHERE cluster IS NOT NULL), "
+    + _PAIRS.removeprefix("WITH ").replace("fx_points", "fx_moved").format(sum="sum(list_distance(a.vec, b.vec))", avg="round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 2)").replace(
+        " AS silhouette,", " AS silhouette, TRUE AS within,"), "fx_points"))
+def silhouette_bounded(study: Study) -> DataFrame:
+    """Three groups moved apart, from summaries of cells: two digits, and whether the error is within the tolerance."""
+    at = planted(study, 3).join(study.points().select("id", (F.col("cluster") % 3).alias("cluster")), "id")
+    found = cl.silhouette(at, tolerance=0.002)
+    return found.select(F.round("silhouette", 2).alias("silhouette"), (F.col("error") <= 0.002).alias("within"), "n_points")
+
+
 # --- neighbour graphs ----------------------------------------------------------------
 
 _KNN = (
@@ -572,6 +586,19 @@ def knn_probe(study: Study) -> DataFrame:
     return nb.knn_graph(study.points(), 15, method="probe")
 
 
+@query("knn_refine", with_views("SELECT id AS src, CAST(least(15, count(*) OVER () - 1) AS BIGINT) AS n, TRUE AS ascending, TRUE AS true_distances FROM fx_points", "fx_points"))
+def knn_refine(study: Study) -> DataFrame:
+    """Lists refined round by round; per point, how many neighbours it has, and whether their order and distances hold."""
+    points = materialize(study.points().select("id", "vec"), "points")
+    found = nb.knn_graph(points, 15, method="refine")
+    ends = [points.select(F.col("id").alias(n), F.col("vec").alias(f"{n}_vec")) for n in ("src", "dst")]
+    met = found.join(ends[0], "src").join(ends[1], "dst")
+    gap = F.sqrt(F.aggregate(F.zip_with("src_vec", "dst_vec", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+    before = F.lag("dist").over(Window.partitionBy("src").orderBy("rank"))
+    checked = met.select("src", (F.coalesce(before, F.lit(0.0)) <= F.col("dist")).alias("up"), (F.abs(gap - F.col("dist")) < 1e-9).alias("right"))
+    return checked.groupBy("src").agg(F.count("*").alias("n"), F.min("up").alias("ascending"), F.min("right").alias("true_distances"))
+
+
 _FUZZY = (
     _KNN
     + ", fx_rho AS (SELECT src, coalesce(min(CASE WHEN dist > 0 THEN dist END), 0) AS rho FROM fx_knn GROUP BY src), "
@@ -593,17 +620,67 @@ def fuzzy_weights(study: Study) -> DataFrame:
 
 @query("spectral_embedding")
 def spectral_embedding(study: Study) -> DataFrame:
-    return nb.spectral_embedding(materialize(nb.fuzzy_weights(graph(study)), "graph"))
+    return gr.spectral_embedding(materialize(nb.fuzzy_weights(graph(study)), "graph"))
 
 
 @query("graph_cluster")
 def graph_cluster(study: Study) -> DataFrame:
-    return nb.graph_cluster(materialize(nb.fuzzy_weights(graph(study)), "graph"), k=2)
+    return gr.graph_cluster(materialize(nb.fuzzy_weights(graph(study)), "graph"), k=2)
 
 
 @query("layout_cluster")
 def layout_cluster(study: Study) -> DataFrame:
     """Ward clusters in the layout of the neighbour graph."""
-    laid = nb.spectral_embedding(materialize(nb.fuzzy_weights(graph(study)), "graph"))
+    laid = gr.spectral_embedding(materialize(nb.fuzzy_weights(graph(study)), "graph"))
     vectors = materialize(cl.as_vectors(laid, "id", ["Embedding_1", "Embedding_2"]), "layout")
     return cl.cluster(vectors, "id", k=2, method="ward_centres")
+
+
+# Graphs with known answers, on the customers. Paths: the customers of a nation, each linked to the next by key. The
+# eigenvectors of a path of m vertices are sqrt(degree) * cos(pi * k * place / (m - 1)).
+def _paths(study: Study) -> tuple[DataFrame, DataFrame]:
+    chain = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    placed = study.table("customer").select(
+        F.col("c_custkey").alias("id"), F.lead("c_custkey").over(chain).alias("next"), (F.row_number().over(chain) - 1).alias("place"),
+        F.count("*").over(Window.partitionBy("c_nationkey")).alias("m"),
+    )
+    return placed, placed.where("next IS NOT NULL").select(F.col("id").alias("src"), F.col("next").alias("dst"), F.lit(1.0).alias("weight"))
+
+
+@query("spectral_planted", "SELECT min(c_custkey) AS component, CAST(count(*) AS BIGINT) AS n, 1::DOUBLE AS match_1, 1::DOUBLE AS match_2, TRUE AS converged "
+       "FROM customer GROUP BY c_nationkey HAVING count(*) > 2")
+def spectral_planted(study: Study) -> DataFrame:
+    """The layout of one path per nation: how well its coordinates agree with the known eigenvectors (the cosine)."""
+    placed, graph = _paths(study)
+    laid = gr.spectral_embedding(materialize(graph, "graph"), tolerance=1e-6)
+    met = laid.join(placed.where("m > 2"), "id").withColumn("root", F.when((F.col("place") == 0) | (F.col("place") == F.col("m") - 1), 1.0).otherwise(F.sqrt(F.lit(2.0))))
+    for k in (1, 2):
+        met = met.withColumn(f"known_{k}", F.col("root") * F.cos(F.lit(math.pi * k) * F.col("place") / (F.col("m") - 1)))
+    cosines = [
+        rounded(F.abs(F.sum(F.col(f"Embedding_{k}") * F.col(f"known_{k}"))) / F.sqrt(F.sum(F.pow(f"Embedding_{k}", F.lit(2))) * F.sum(F.pow(f"known_{k}", F.lit(2)))), 5).alias(f"match_{k}")
+        for k in (1, 2)
+    ]
+    return met.groupBy("component").agg(F.count("*").alias("n"), *cosines, (F.max("residual") <= 1e-6).alias("converged"))
+
+
+# Two groups by the parity of the key, each well linked (place p to 2p, 2p + 1 and 3p + 1, modulo the size), with few weak links between.
+@query("graph_cluster_planted", "SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_custkey % 2) AS cluster_id FROM customer")
+def graph_cluster_planted(study: Study) -> DataFrame:
+    group = F.col("c_custkey") % 2
+    placed = materialize(study.table("customer").select(
+        F.col("c_custkey").alias("id"), group.alias("side"), (F.row_number().over(Window.partitionBy(group).orderBy("c_custkey")) - 1).alias("place"),
+        F.count("*").over(Window.partitionBy(group)).alias("m"),
+    ), "placed")
+    links = placed.select("id", "side", F.explode(F.array(*[F.pmod(F.col("place") * a + b, "m") for a, b in ((2, 0), (2, 1), (3, 1))])).alias("place"))
+    inside = links.join(placed.select(F.col("id").alias("other"), "side", "place"), ["side", "place"]).select("id", "other", F.lit(1.0).alias("weight"))
+    between = placed.where("side = 0 AND place % 25 = 0").join(placed.where("side = 1").select(F.col("id").alias("other"), "place"), "place")
+    graph = inside.unionAll(between.select("id", "other", F.lit(0.02))).toDF("src", "dst", "weight")
+    return named_by_least(gr.graph_cluster(materialize(graph, "graph"), k=2))
+
+
+@query("graph_components", with_views(
+    f"{_KNN}, fx_ways AS (SELECT src, dst FROM fx_knn UNION SELECT dst, src FROM fx_knn), "
+    "fx_reach AS (SELECT src AS id, src AS far FROM fx_ways UNION SELECT r.id, w.dst FROM fx_reach r JOIN fx_ways w ON w.src = r.far) "
+    "SELECT id, min(far) AS component FROM fx_reach GROUP BY id", "fx_points", recursive=True))
+def graph_components(study: Study) -> DataFrame:
+    return gr.components(graph(study).select(F.col("src").alias("a"), F.col("dst").alias("b")))

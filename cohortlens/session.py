@@ -55,3 +55,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, table: DataFrame | str) -> None:
+    """Remove the files of a table written by :func:`materialize`, or a path below the shared folder, that nothing reads any more."""
+    if not isinstance(table, str):
+        files = table.inputFiles()
+        if not files:
+            return
+        table = files[0].rpartition("/")[0]
+    if f"{shared_dir(spark).partition(':')[2] or shared_dir(spark)}/cohortlens/" not in table:
+        raise ValueError(f"{table} is no scratch table")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

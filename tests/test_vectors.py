@@ -139,8 +139,8 @@ def test_silhouette(spark, block):
     labels = np.append(labels, 3)
     points = np.vstack([points, [[9, 9, 9]]])
     df = frame(spark, points, labels)
-    row = cl.silhouette(df, block=block).first()
-    assert row.silhouette == pytest.approx(direct_silhouette(points, labels)) and row.n_points == len(points)
+    row = cl.silhouette(df, block=block, tolerance=0).first()
+    assert row.error == 0 and row.silhouette == pytest.approx(direct_silhouette(points, labels)) and row.n_points == len(points)
     assert cl.silhouette(df, block=block).count() == 1  # also when no column of the result is asked for
     squared = cl.silhouette(df, metric="sqeuclidean").first().silhouette
     assert squared == pytest.approx(direct_silhouette(points, labels, squared=True))
@@ -148,9 +148,35 @@ def test_silhouette(spark, block):
 
 def test_silhouette_two_pairs(spark):
     points = np.array([(0, 0), (0, 1), (5, 5), (5, 6)])
-    assert cl.silhouette(frame(spark, points, [0, 0, 1, 1])).first().silhouette == pytest.approx(direct_silhouette(points, np.array([0, 0, 1, 1])))
+    for tolerance in (0, 1e-6):
+        assert cl.silhouette(frame(spark, points, [0, 0, 1, 1]), tolerance=tolerance).first().silhouette == pytest.approx(direct_silhouette(points, np.array([0, 0, 1, 1])))
 
 
+@pytest.mark.parametrize("cells", [8, 200])
+@pytest.mark.parametrize("tolerance", [0.1, 0.01])
+def test_silhouette_bounds(spark, cells, tolerance):
+    rng = np.random.default_rng(6)
+    points = np.vstack([rng.normal(c, s, (150, 3)) for c, s in (((0, 0, 0), 1), ((4, 4, 0), 2), ((0, 6, 6), 0.5))] + [np.zeros((40, 3)), [[50.0, 50.0, 50.0]]])
+    labels = np.concatenate([np.repeat([0, 1, 2], 150), np.zeros(40, int), [3]])
+    df = frame(spark, points, labels)
+    row = cl.silhouette(df, cells=cells, tolerance=tolerance).first()
+    assert row.error <= tolerance and abs(row.silhouette - direct_silhouette(points, labels)) <= row.error + 1e-12
+
+
+def test_silhouette_bounds_hold_for_every_point(spark):
+    rng = np.random.default_rng(7)
+    points = rng.normal(0, 1, (300, 2))
+    labels = rng.integers(0, 2, 300)
+    df = frame(spark, points, labels)
+    found = sorted((r.n, r.cluster, r.silhouette, r.error) for r in cl.silhouette_points(df, cells=20, tolerance=0.5).collect())
+    assert len(found) == 300
+    gaps = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    a = np.array([gaps[i, labels == labels[i]].sum() / ((labels == labels[i]).sum() - 1) for i in range(300)])
+    b = np.array([gaps[i, labels != labels[i]].mean() for i in range(300)])
+    true = (b - a) / np.maximum(a, b)
+    assert abs(np.mean([s for _, _, s, _ in found]) - true.mean()) <= np.mean([e for *_, e in found])
+    assert min(s - e for _, _, s, e in found) <= true.min() and max(s + e for _, _, s, e in found) >= true.max()
+
 def direct_knn(points, k):
     gaps = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
     np.fill_diagonal(gaps, np.inf)
@@ -210,6 +236,27 @@ def test_knn_probe_recall_on_embeddings(spark):
     assert hits / (15 * len(ids[::10])) >= 0.9
 
 
+def test_knn_refine_recall_on_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, points = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, points)], "id long, vec array<double>").repartition(5)
+    found = knn(df, 15, method="refine")
+    hits = 0
+    for i, point in zip(ids[::10], points[::10]):
+        gap = np.linalg.norm(points - point, axis=1)
+        hits += len(set(found[i]) & set([j for j in ids[np.lexsort((ids, gap))] if j != i][:15]))
+    assert set(map(len, found.values())) == {15} and len(found) == len(ids)
+    assert hits / (15 * len(ids[::10])) >= 0.9
+
+
+def test_knn_refine_is_exact_within_one_block_and_knows_copies(spark):
+    points = np.round(blobs(n=60, copies=90), 6)
+    assert knn(frame(spark, points), 5, method="refine") == direct_knn(points, 5)
+    few = np.array([(0.0, 0.0), (1.0, 0.0), (5.0, 0.0)])
+    assert knn(frame(spark, few), 15, method="refine") == {0: [1, 2], 1: [0, 2], 2: [1, 0]}
+    assert knn(frame(spark, few).limit(0), 15, method="refine") == {}
+
+
 def test_knn_probe_fills_small_cells(spark):
     points = np.random.default_rng(8).normal(size=(400, 3))
     points[:200] += 1000.0 * np.arange(200)[:, None]  # far apart: cells of a few points
@@ -241,28 +288,3 @@ def test_fuzzy_weights(spark):
         a, b = half.get((i, j), 0.0), half.get((j, i), 0.0)
         assert weights[min(i, j), max(i, j)] == pytest.approx(a + b - a * b, abs=1e-6)
     assert all(0 < w <= 1 + 1e-12 for w in weights.values())
-
-
-CLIQUES = [(a + o, b + o, 1.0) for o in (0, 4) for a in range(4) for b in range(a + 1, 4)] + [(0, 4, 0.01)]
-
-
-@pytest.fixture(scope="module")
-def cliques(spark):
-    return spark.createDataFrame(CLIQUES, "src long, dst long, weight double").cache()
-
-
-def test_spectral_embedding(spark, cliques):
-    rows = nb.spectral_embedding(cliques, steps=4, extra=1).orderBy("id").collect()
-    x = np.array([r.Embedding_1 for r in rows])
-    w = np.zeros((8, 8))
-    for a, b, v in CLIQUES:
-        w[a, b] = w[b, a] = v
-    d = w.sum(axis=1)
-    values, vectors = np.linalg.eigh(w / np.sqrt(d[:, None] * d[None, :]))
-    assert abs(x @ vectors[:, -2]) / np.linalg.norm(x) == pytest.approx(1, abs=1e-6)
-    assert same_partition(np.sign(x), np.repeat([1, -1], 4))
-
-
-def test_graph_cluster(cliques):
-    rows = nb.graph_cluster(cliques, k=2).orderBy("id").collect()
-    assert same_partition([r.cluster for r in rows], np.repeat([0, 1], 4))
