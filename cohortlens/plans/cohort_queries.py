@@ -12,6 +12,7 @@ from cohortlens.plans.registry import query, rounded, rounded_sql
 from cohortlens.plans.views import DIAGNOSES, LABS, Study, with_views
 from cohortlens.session import scratch_path
 from cohortlens.sources import tables as tb
+from cohortlens.sources.keyed_json import write_keyed_object
 
 _MAP = ["dx_id", "instance", "flag"]
 
@@ -241,6 +242,15 @@ def keyed_json_round_trip(study: Study) -> DataFrame:
     return back.select("key", F.replace("doc", F.lit(": "), F.lit(":")).alias("doc"))
 
 
+@query("keyed_json_objects", with_views("SELECT CAST(event_id AS VARCHAR) AS key, doc FROM fx_docs", "fx_docs").replace("doc FROM fx_docs", "replace(doc, ': ', ':') AS doc FROM fx_docs"))
+def keyed_json_objects(study: Study) -> DataFrame:
+    """The same from whole objects, with line breaks between records."""
+    path = scratch_path(study.spark, "objects")
+    write_keyed_object(study.documents(), path, "event_id")
+    back = tb.read_keyed_json(study.spark, path, form="object")
+    return back.select("key", F.replace("doc", F.lit(": "), F.lit(":")).alias("doc"))
+
+
 _DECIMAL = "regexp_replace(CAST(CAST({x} AS DECIMAL(38, 2)) AS VARCHAR), '0$', '')"
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.sources.keyed_json import read_keyed_object
+
 
 def read_table(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Scan a catalog table or view, all columns or the listed ones."""
@@ -57,10 +59,17 @@ def _json_key(col):
     return quoted.substr(F.lit(2), F.length(quoted) - 2)
 
 
-def read_keyed_json(spark: SparkSession, path: str) -> DataFrame:
+def read_keyed_json(spark: SparkSession, path: str, form: str = "lines") -> DataFrame:
     """Read ``{key: {..record..}}`` JSON as ``(key, doc)`` rows, ``doc`` being JSON text.
 
-    Each line is one such object with one or more records, so files of any size split.
+    In the form ``lines`` each line is one such object with one or more records, so files of any size split; blank lines
+    play no part, and a line that is no such object fails the job. In the form ``object`` a file is one such object, with
+    line breaks anywhere (:func:`read_keyed_object`).
     """
-    records = F.map_entries(F.from_json("value", "map<string,string>"))
-    return spark.read.text(path).select(F.explode(records).alias("e")).select(F.col("e.key").alias("key"), F.col("e.value").alias("doc"))
+    if form == "object":
+        return read_keyed_object(spark, path)
+    if form != "lines":
+        raise ValueError(f"unknown form {form!r}")
+    records = F.map_entries(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.explode(records).alias("e")).select(F.col("e.key").alias("key"), F.col("e.value").alias("doc"))

@@ -3,7 +3,8 @@
 import json
 
 import pytest
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from cohortlens.operators import cohort as co
@@ -120,6 +121,39 @@ def test_keyed_json(spark):
     assert {r.key for r in tb.read_keyed_json(spark, several).collect()} == {"p", "q"}
 
 
+@pytest.mark.parametrize("line", ["no json", '{"a": 1', '[1]'])
+def test_a_broken_line_of_keyed_json_fails(spark, line):
+    path = scratch_path(spark, "broken")
+    spark.createDataFrame([('{"p": {"x": 1}}',), ("",), (line,)], "value string").write.text(path)
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        tb.read_keyed_json(spark, path).collect()
+
+
+OBJECT = {f"k{i}": [{"a": i, "t": 'q" \\ , { é\n' * (i % 4), "l": [1, [2, {}], "}"]}, "text, \\" * i, None, 1.5, {}, "x" * 3000][i % 6] for i in range(60)}
+
+
+@pytest.mark.parametrize("size", [700, 10**7])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_whole_objects_are_read_in_blocks(spark, tmp_path, size, indent):
+    (tmp_path / "one.json").write_text(" " + json.dumps(OBJECT, indent=indent, ensure_ascii=bool(indent)) + "\n\n", encoding="utf-8")
+    (tmp_path / "two.json").write_text('{ }')
+    (tmp_path / "three.json").write_text('{"z" :\n{"b":\n[] }}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        rows = tb.read_keyed_json(spark, str(tmp_path), form="object").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 61 and {r.key: json.loads(r.doc) for r in rows} == {**OBJECT, "z": {"b": []}}
+
+
+@pytest.mark.parametrize("text", ['{"a": 1', '{"a": 1}}', '{"a": 1} {"b": 2}', '[{"a": 1}]', '{"a": 1,}', '{"a"}', '{1: 2}', '"a"', '{"a": "b}', '{"a": , "b": 1}'])
+def test_malformed_objects_fail(spark, tmp_path, text):
+    (tmp_path / "one.json").write_text(text)
+    with pytest.raises((ValueError, PySparkException, Py4JJavaError)):
+        tb.read_keyed_json(spark, str(tmp_path), form="object").collect()
+
+
 def test_tsv(spark):
     path = scratch_path(spark, "tsv")
     tb.write_tsv(spark.createDataFrame([(1, 2, 0.125)], "id int, n int, c double"), path)
