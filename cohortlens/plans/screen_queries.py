@@ -136,7 +136,7 @@ def _histogram_sql(source: str, integer: bool) -> str:
 
 
 def _histogram(df: DataFrame, column: str) -> DataFrame:
-    out = sc.auto_histogram(df, column)
+    out = sc.auto_histogram(df, column, filled=False)
     return out.select(F.col("bin").cast("int").alias("bin"), rounded(F.col("low")).alias("low"), rounded(F.col("high")).alias("high"), "n")
 
 
@@ -167,6 +167,13 @@ def price_histogram(study: Study) -> DataFrame:
     return _histogram(study.table("orders").select("o_totalprice"), "o_totalprice")
 
 
+@query("price_histogram_filled", "WITH fx_all AS (" + _histogram_sql("WITH fx_values AS (SELECT pow(o_totalprice / 1000, 4) AS v FROM orders)", False) + ") SELECT * FROM fx_all WHERE n > 0")
+def price_histogram_filled(study: Study) -> DataFrame:
+    """A heavy tail: the default, bins with rows only."""
+    out = sc.auto_histogram(study.table("orders").select(F.pow(F.col("o_totalprice") / 1000, F.lit(4)).alias("v")), "v")
+    return out.select(F.col("bin").cast("int").alias("bin"), rounded(F.col("low")).alias("low"), rounded(F.col("high")).alias("high"), "n")
+
+
 @query("high_low_counts", with_views(f"{_COUNTS} SELECT lab, cluster, high, low FROM fx_counts", *VIEWS))
 def high_low_counts(study: Study) -> DataFrame:
     return counts(study)

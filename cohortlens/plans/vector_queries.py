@@ -518,6 +518,24 @@ def screen_of_clusters(study: Study) -> DataFrame:
     return ranked.select(F.col("rank").cast("int").alias("rank"), "lab", *sc.CELLS, rounded(F.col("chi_stat"), 5).alias("chi_stat"))
 
 
+_THREE_LABS = [f"flag_{i}" for i in range(5)]
+
+
+@query("screen_of_three_clusters", with_views(
+    "WITH cells AS (" + " UNION ALL ".join(f"SELECT '{lab}' AS lab, cluster % 3 AS g, CASE WHEN ('0x' || substr(md5(id::VARCHAR || '/{i}'), 1, 4))::INT % {i + 2} = 0 THEN 1 ELSE 0 END AS v FROM fx_points WHERE cluster IS NOT NULL" for i, lab in enumerate(_THREE_LABS))
+    + "), o AS (SELECT lab, g, v, count(*)::DOUBLE AS o FROM cells GROUP BY ALL), e AS (SELECT lab, g, v, (SELECT sum(o) FROM o a WHERE a.lab = r.lab AND a.v = r.v) * (SELECT sum(o) FROM o a WHERE a.lab = r.lab AND a.g = s.g) "
+    "/ (SELECT sum(o) FROM o a WHERE a.lab = r.lab) AS e FROM (SELECT DISTINCT lab, v FROM o) r JOIN (SELECT DISTINCT lab, g FROM o) s USING (lab)), "
+    f"t AS (SELECT lab, sum(pow(coalesce(o, 0) - e, 2) / e) AS chi FROM e LEFT JOIN o USING (lab, g, v) GROUP BY lab) SELECT lab, {rounded_sql('chi')} AS chi_stat, 2 AS dof, {rounded_sql('exp(-chi / 2)')} AS pval FROM t", "fx_points"))
+def screen_of_three_clusters(study: Study) -> DataFrame:
+    """Flags screened between three clusters that were found, each against the rest at once."""
+    points = materialize(planted(study, 3), "planted")
+    labels = cl.cluster(points, "id", k=3, method="ward_centres")
+    key = F.col("id").cast("string")
+    flags = [(F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{i}"))), 1, 4), 16, 10).cast("int") % (i + 2) == 0).cast("int").alias(lab) for i, lab in enumerate(_THREE_LABS)]
+    counts = sc.high_low_counts(labels.select("cluster", *flags), "cluster", _THREE_LABS)
+    return sc.chi2_groups(counts, "cluster").select("lab", rounded(F.col("chi_stat")).alias("chi_stat"), "dof", rounded(F.col("pval")).alias("pval"))
+
+
 @query("overlay_of_clusters", with_views(
     _CHAIN + " SELECT cluster, CASE WHEN dx_urgent = 1 AND dx_low = 1 THEN 'both' WHEN dx_urgent = 1 THEN 'urgent' WHEN dx_low = 1 THEN 'low' END AS marker, "
     "count(*) AS n FROM named JOIN fx_diag USING (patient_id) GROUP BY ALL", "fx_diag"))

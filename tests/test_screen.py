@@ -86,7 +86,7 @@ def test_histogram_matches_numpy(spark, kind):
     }[kind]
     dtype = "long" if kind == "integers" else "double"
     frame = spark.createDataFrame([(x.item(),) for x in values], f"x {dtype}")
-    rows = sorted(sc.auto_histogram(frame, "x").collect())
+    rows = sorted(sc.auto_histogram(frame, "x", filled=False).collect())
     counts, edges = np.histogram(values, bins=automatic_bins(values))
     assert [r.n for r in rows] == counts.tolist()
     assert np.allclose([r.low for r in rows] + [rows[-1].high], edges)
@@ -106,15 +106,55 @@ def test_histogram_leaves_out_what_is_not_finite(spark, odd):
 
 def test_histogram_of_subnormal_and_heavy_tailed_values(spark):
     tiny = spark.createDataFrame([(i * TINY,) for i in range(7)], "x double")
-    assert sum(r.n for r in sc.auto_histogram(tiny, "x").collect()) == 7
+    assert sum(r.n for r in sc.auto_histogram(tiny, "x", filled=False).collect()) == 7
     close = spark.createDataFrame([(1.0,), (math.nextafter(1.0, 2.0),)] * 5, "x double")
     assert sum(r.n for r in sc.auto_histogram(close, "x").collect()) == 10
     tail = [float(i % 10) for i in range(400)] + [1e15]
-    rows = sc.auto_histogram(spark.createDataFrame([(v,) for v in tail], "x double"), "x", filled=True).collect()
+    rows = sc.auto_histogram(spark.createDataFrame([(v,) for v in tail], "x double"), "x").collect()
     assert sum(r.n for r in rows) == 401 and len(rows) <= 11
     assert sc.auto_histogram(spark.createDataFrame([(INF,), (None,)], "x double"), "x").count() == 0
 
 
+def test_histogram_with_one_far_value_returns_at_once(spark):
+    frame = spark.range(1000).selectExpr("CAST(id AS DOUBLE) AS x").unionAll(spark.sql("SELECT 1e10D AS x"))
+    rows = sc.auto_histogram(frame, "x").collect()
+    assert sum(r.n for r in rows) == 1001 and len(rows) < 1002
+    with pytest.raises(ValueError, match="bins"):
+        sc.auto_histogram(frame, "x", filled=False)
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 7, 401, 30_011])
+def test_quartiles_are_exact(spark, n):
+    values = np.random.default_rng(n).lognormal(0, 3, n).round(2)
+    frame = spark.createDataFrame([(float(x),) for x in values], "x double")
+    rows = sorted(sc.auto_histogram(frame, "x").collect())
+    counts, edges = np.histogram(values, bins=automatic_bins(values))
+    assert [r.n for r in rows] == [c for c in counts.tolist() if c]
+    assert rows[0].high - rows[0].low == pytest.approx(edges[1] - edges[0])
+
+
+@pytest.mark.parametrize("stat, dof, p", [(3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (18.307038053275146, 10, 0.05), (124.34211340400407, 100, 0.05),
+                                           (0.0, 3, 1.0), (1e-9, 2, math.exp(-5e-10)), (60.0, 2, math.exp(-30)), (0.3, 2, math.exp(-0.15)), (1400.0, 1000, None)])
+def test_tails(spark, stat, dof, p):
+    found = spark.range(1).select(sc.chi2_tail(F.lit(stat), F.lit(dof))).first()[0]
+    if p is None:  # even degrees of freedom: a finite sum
+        log = [i * math.log(stat / 2) - stat / 2 - math.lgamma(i + 1) for i in range(dof // 2)]
+        p = math.fsum(map(math.exp, log))
+    assert found == pytest.approx(p, rel=1e-9)
+
+
+def test_tables_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    for r, c in ((2, 2), (2, 3), (4, 5)):
+        o = rng.integers(0, 30, (r, c)) + 1
+        o[0, 0] = 0
+        cells = spark.createDataFrame([("t", i, j, int(o[i, j])) for i in range(r) for j in range(c) if o[i, j]] + [("one", 0, j, 3) for j in range(3)] + [("empty", i, j, 3 * i) for i in range(2) for j in range(2)], "lab string, row int, col int, n long")
+        rows = {x.lab: x for x in sc.chi2_tables(cells, "lab", "row", "col", "n").collect()}
+        e = o.sum(axis=1, keepdims=True) * o.sum(axis=0) / o.sum()
+        assert rows["t"].chi_stat == pytest.approx(((o - e) ** 2 / e).sum()) and rows["t"].dof == (r - 1) * (c - 1) and 0 < rows["t"].pval < 1
+        assert all((rows[x].chi_stat, rows[x].dof, rows[x].pval, rows[x].status) == (None, None, None, "degenerate") for x in ("one", "empty"))
+
+
 def test_order_statistics(spark):
     rng = np.random.default_rng(3)
     values = np.sort(np.concatenate([rng.lognormal(0, 4, 300), np.full(150, 2.0)]))
