@@ -14,6 +14,7 @@ counts. ``combine="sum"`` adds the statements up and uses every column.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -205,18 +206,79 @@ _STATEMENT = T.StructType([
 ])
 
 
+class _Whole(float):
+    """A whole number of a document. One beyond the range of reals is infinite, and then has a vector of zeros."""
+
+
 def _is_kept(value) -> bool:
     """Whole numbers and booleans always, reals unless 0, texts, lists and objects unless empty; never null."""
     if value is None:
         return False
-    if isinstance(value, int):
+    if isinstance(value, (bool, _Whole)):
         return True
     return value != 0 if isinstance(value, float) else len(value) > 0
 
 
+def _parsed(text: str):
+    """A JSON document as dicts and lists; the standard parser's, or for a document too deep for it :func:`_parsed_deep`'s."""
+    try:
+        return json.loads(text, parse_int=_Whole, parse_constant=_refuse)
+    except RecursionError:
+        return _parsed_deep(text)
+
+
+_TOKENS = re.compile(r'\s*(?:([{}\[\],:])|("(?:[^"\\]|\\.)*"|[^\s{}\[\],:"]+))', re.DOTALL)
+
+
+def _parsed_deep(text: str):
+    """The same without recursion, token by token: containers that are open wait in a list."""
+    # What is open, outermost first: container and the key that waits for its value; what may come next.
+    stack: list[list] = []
+    top, expect, at = None, "value", 0
+    while expect != "end":
+        token = _TOKENS.match(text, at)
+        if not token:
+            raise ValueError(f"no JSON at character {at}")
+        at = token.end()
+        mark, scalar = token.groups()
+        if scalar is not None and expect in ("key", "key or }"):
+            stack[-1][1], expect = json.loads(scalar), ":"
+            if not isinstance(stack[-1][1], str):
+                raise ValueError(f"no key at character {at}")
+            continue
+        if mark == ":" and expect == ":":
+            expect = "value"
+            continue
+        if mark == "," and expect == ", or close":
+            expect = "key" if isinstance(stack[-1][0], dict) else "value"
+            continue
+        if mark and mark in "}]":
+            if expect not in (", or close", "key or }" if mark == "}" else "value or ]") or isinstance(stack[-1][0], dict) != (mark == "}"):
+                raise ValueError(f"{mark} too early at character {at}")
+            stack.pop()
+        elif expect in ("value", "value or ]") and (scalar is not None or mark in ("{", "[")):
+            value = json.loads(scalar, parse_int=_Whole, parse_constant=_refuse) if scalar is not None else {} if mark == "{" else []
+            if not stack:
+                top = value
+            elif isinstance(stack[-1][0], dict):
+                stack[-1][0][stack[-1][1]] = value
+            else:
+                stack[-1][0].append(value)
+            if scalar is None:
+                stack.append([value, None])
+                expect = "key or }" if mark == "{" else "value or ]"
+                continue
+        else:
+            raise ValueError(f"{mark or scalar!r} too early at character {at}")
+        expect = ", or close" if stack else "end"
+    if text[at:].strip():
+        raise ValueError(f"more than one value at character {at}")
+    return top
+
+
 def _document_levels(text: str) -> list[list[tuple]]:
     """Kept statements of each level, walked once; a level's objects stand in the order of the level before."""
-    top = json.loads(text, parse_constant=_refuse)
+    top = _parsed(text)
     if not isinstance(top, dict):
         raise ValueError(f"not a JSON object: {text[:80]!r}")
     levels, objects = [], [("root", top)]
@@ -256,8 +318,9 @@ def nested_statements(df: DataFrame, key: str, doc: str) -> DataFrame:
     An object met as a value is replaced by the number of its own kept fields;
     lists are leaves without a number or text. At the outermost level the order
     is that of the document, and a repeated key keeps its first place and its
-    last value. Documents are parsed once and walked level by level in linear time, to any depth the parser
-    takes. Text that is no JSON object fails the job; a null document has a null result.
+    last value. Documents are parsed once and walked level by level in linear time, to any depth. A number of any length
+    is one: beyond the range of reals it is infinite, is kept, and has a value vector of zeros. Text that is no JSON object fails
+    the job; a null document has a null result.
     """
     return df.select(key, _levels(F.col(doc)).alias("levels"))
 

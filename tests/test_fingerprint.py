@@ -5,6 +5,8 @@ import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -134,6 +136,37 @@ def test_deep_documents(spark):
     assert len(rows) == 600 and max(r.depth for r in rows) == 299
 
 
+def test_long_numbers_and_very_deep_documents(spark):
+    deep = "{\"k\": " * 12_000 + "{\"leaf\": 0}" + "}" * 12_000
+    docs = [(1, "{\"n\": " + "9" * 400 + ", \"m\": 1}"), (2, "{\"n\": " + "-" + "9" * 5000 + "}"), (3, deep), (4, "{\"r\": 1e999}")]
+    frame = spark.createDataFrame(docs, "id int, doc string")
+    triples = {}
+    for r in fp.nested_triples(frame, "id", "doc").collect():
+        triples.setdefault(r.id, []).append((r.depth, r.parent, r.name, r.num))
+    assert triples[1] == [(0, "root", "n", float("inf")), (0, "root", "m", 1.0)] and triples[2] == [(0, "root", "n", float("-inf"))]
+    assert triples[4] == [(0, "root", "r", float("inf"))]
+    assert len(triples[3]) == 12_001 and (12_000, "k", "leaf", 0.0) in triples[3]
+    rows = {r.id: r for r in fp.fingerprint_nested(frame, "id", "doc", combine="sum", decimals=None).collect()}
+    assert np.allclose(rows[1].fp, expected([(None, "n", None), (None, "m", 1)], "sum")) and rows[3].statements == 12_001
+
+
+SCALARS = st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False, allow_infinity=False), st.text(max_size=6))
+ANY_JSON = st.recursive(SCALARS, lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.text(max_size=3), x, max_size=3)), max_leaves=12)
+
+
+@settings(max_examples=300, deadline=None)
+@given(ANY_JSON, st.sampled_from([None, 1]))
+def test_the_parser_without_recursion_agrees(value, indent):
+    text = json.dumps(value, indent=indent)
+    assert fp._parsed_deep(text) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "{", "}", "[1,]", "{,}", '{"a" 1}', '{"a":}', "[1 2]", "{1: 2}", "[}", "1 2", '{"a": 1,}', "[1]]", '"open', "NaN", "nul"])
+def test_the_parser_without_recursion_refuses(text):
+    with pytest.raises(ValueError):
+        fp._parsed_deep(text)
+
+
 def test_time_is_linear_in_fields(spark):
     def seconds(m):
         text = json.dumps({f"o{i}": {"a": i, "b": "x"} for i in range(m)})
