@@ -32,12 +32,15 @@ def cluster(df: DataFrame, key: str, k: int = 2, method: str = "bisecting", vect
     ``ward`` merges by the same measure, exactly, at every size: the distinct positions and
     their counts go to the driver, so more than ``most`` of them is an error.
     ``ward_centres`` is for any number of rows: Ward on ``micro`` distributed k-means centres
-    weighted by their size. Which of the two runs is the caller's choice alone.
+    weighted by their size. ``ward_summaries`` is for any number of rows too, in one pass and without a seed: Ward on ``micro``
+    :func:`summaries`, whose loss is known. Which of them runs is the caller's choice alone.
     """
     if method == "ward":
         return _ward(df, key, k, vector, most)
     if method == "ward_centres":
         return _ward_centres(df, key, k, vector, seed, micro)
+    if method == "ward_summaries":
+        return _ward_summaries(df, key, k, vector, micro)
     if method != "bisecting":
         raise ValueError(f"unknown method {method!r}")
     ready = df.select(key, array_to_vector(vector).alias("features"))
@@ -73,6 +76,105 @@ def _ward_centres(df: DataFrame, key: str, k: int, vector: str, seed: int, micro
     return placed.select(key, lookup([int(x) for x in labels], F.col("centre")).alias("cluster"))
 
 
+def _ward_summaries(df: DataFrame, key: str, k: int, vector: str, micro: int) -> DataFrame:
+    found = sorted((r["centre"], r["n"]) for r in summaries(df, vector, micro).collect())
+    if not found:
+        return df.select(key, F.lit(None).cast("int").alias("cluster"))
+    centres = np.array([c for c, _ in found])
+    labels = ward_labels(centres, np.array([n for _, n in found], dtype=float), k)
+    placed = blocks.with_nearest(df.select(key, vector), centres, vector)
+    return placed.select(key, lookup([int(x) for x in labels], F.col("centre")).alias("cluster"))
+
+
+# Summaries of so many tasks are merged in one.
+MERGED = 16
+
+
+def summaries(df: DataFrame, vector: str = "vec", limit: int = 512) -> DataFrame:
+    """``(n, centre, loss)``: at most ``limit`` groups of points, their size, mean and sum of squares about it, from one pass.
+
+    A task keeps counts, sums and sums of squares of groups (clustering features, which add up). A point joins the nearest
+    group if it is no farther than the groups are wide by now, else it begins one; beyond ``2 * limit`` they are merged to ``limit`` by Ward's
+    measure. The tasks' groups are merged the same way, ``MERGED`` tasks at a time, until one list is left. The total of ``loss`` is the
+    within-group sum of squares that a clustering of the groups cannot see: 0 where there are at most ``limit`` different points,
+    which are then groups of their own.
+    """
+    schema = "part int, n double, sums array<double>, squares double"
+    rows = df.select(F.col(vector).alias("vec"))
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = Features(limit)
+        for pdf in batches:
+            for at in range(0, len(pdf), blocks.BLOCK):
+                x = blocks.matrix(pdf["vec"].iloc[at : at + blocks.BLOCK])
+                features.add(np.ones(len(x)), x, (x**2).sum(axis=1))
+        yield features.frame(0)
+
+    parts = rows.mapInPandas(first, schema).withColumn("part", F.spark_partition_id())
+    parts = materialize(parts, "summaries")
+
+    def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        features = Features(limit)
+        features.add(pdf["n"].to_numpy(), blocks.matrix(pdf["sums"]), pdf["squares"].to_numpy())
+        return features.frame(key[0])
+
+    while True:
+        most = parts.agg(F.max("part")).first()[0]
+        group = F.floor(F.col("part") / MERGED).cast("int")
+        parts = materialize(parts.groupBy(group.alias("group")).applyInPandas(merged, schema), "summaries")
+        if not most or most < MERGED:
+            break
+    square = F.aggregate("sums", F.lit(0.0), lambda t, x: t + x * x)
+    return parts.select(F.col("n").cast("long").alias("n"), F.transform("sums", lambda x: x / F.col("n")).alias("centre"), F.greatest(F.lit(0.0), F.col("squares") - square / F.col("n")).alias("loss"))
+
+
+class Features:
+    """Counts, sums and sums of squares of at most twice ``limit`` groups of points."""
+
+    def __init__(self, limit: int):
+        self.limit, self.reach = limit, 0.0
+        self.n: np.ndarray = np.zeros(0)
+        self.sums: np.ndarray | None = None
+        self.squares: np.ndarray = np.zeros(0)
+
+    def add(self, n: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> None:
+        for at in range(0, len(n), self.limit):
+            self._add(n[at : at + self.limit], sums[at : at + self.limit], squares[at : at + self.limit])
+
+    def _add(self, n: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> None:
+        means, owner = np.unique(sums / n[:, None], axis=0, return_inverse=True)
+        owner = owner.ravel()
+        if self.sums is not None and len(self.sums):
+            near, gap = blocks.nearest(means, self.sums / self.n[:, None])
+            fresh = gap > self.reach
+        else:
+            self.sums, near, fresh = np.zeros((0, sums.shape[1])), np.zeros(len(means), dtype=int), np.ones(len(means), dtype=bool)
+        place = np.where(fresh, len(self.n) + np.cumsum(fresh) - 1, near)[owner]
+        total = len(self.n) + int(fresh.sum())
+        for name, values in (("n", n), ("squares", squares)):
+            setattr(self, name, np.concatenate([getattr(self, name), np.zeros(total - len(getattr(self, name)))]) + np.bincount(place, values, total))
+        self.sums = np.concatenate([self.sums, np.zeros((total - len(self.sums), self.sums.shape[1]))])
+        np.add.at(self.sums, place, sums)
+        if total > 2 * self.limit:
+            self._merge()
+
+    def _merge(self) -> None:
+        labels = ward_labels(self.sums / self.n[:, None], self.n, self.limit)
+        n, squares = np.bincount(labels, self.n), np.bincount(labels, self.squares)
+        sums = np.zeros((len(n), self.sums.shape[1]))
+        np.add.at(sums, labels, self.sums)
+        self.n, self.sums, self.squares = n, sums, squares
+        # The root mean square distance of points from their mean, over all groups: wider ones are not made by joining.
+        spread = np.maximum(0.0, squares - (sums**2).sum(axis=1) / n).sum() / n.sum()
+        self.reach = max(self.reach, float(np.sqrt(spread)))
+
+    def frame(self, part: int) -> pd.DataFrame:
+        if len(self.n) > self.limit:
+            self._merge()
+        sums = list(self.sums) if self.sums is not None else []
+        return pd.DataFrame({"part": np.full(len(self.n), part, dtype="int32"), "n": self.n, "sums": sums, "squares": self.squares})
+
+
 def ward_labels(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
     """Merge weighted points until ``k`` groups are left; a bounded table.
 

@@ -234,6 +234,15 @@ def parquet_round_trip(study: Study) -> DataFrame:
     return tb.read_parquet(study.spark, path).select("patient_id", F.col("cluster").cast("int").alias("cluster"))
 
 
+@query("replaced_round_trip", with_views("SELECT patient_id, cluster FROM fx_groups", "fx_groups"))
+def replaced_round_trip(study: Study) -> DataFrame:
+    """Clusters in the place of an older version of them."""
+    path = scratch_path(study.spark, "replaced")
+    tb.replace_parquet(study.groups().where("cluster = 0"), path)
+    tb.replace_parquet(study.groups(), path)
+    return tb.read_replaced(study.spark, path).select("patient_id", "cluster")
+
+
 @query("keyed_json_round_trip", with_views("SELECT CAST(event_id AS VARCHAR) AS key, doc FROM fx_docs", "fx_docs").replace("doc FROM fx_docs", "replace(doc, ': ', ':') AS doc FROM fx_docs"))
 def keyed_json_round_trip(study: Study) -> DataFrame:
     path = scratch_path(study.spark, "keyed")

@@ -462,6 +462,11 @@ def cluster_ward_three_planted(study: Study) -> DataFrame:
     return named_by_least(cl.cluster(materialize(planted(study, 3), "planted"), "id", k=3, method="ward_centres"))
 
 
+@query("cluster_summaries_planted", _planted_sql(3))
+def cluster_summaries_planted(study: Study) -> DataFrame:
+    return named_by_least(cl.cluster(materialize(planted(study, 3), "planted"), "id", k=3, method="ward_summaries", micro=64))
+
+
 @query("cluster_points_planted", with_views(
     "SELECT id, cluster_id, " + ", ".join(rounded_sql(f"vec[{i + 1}] + 40{_C} * (cluster % 2) + {_noise_sql('id', i, -0.1, 0.1, 7)}") + f" AS x{i}" for i in range(2))
     + " FROM (SELECT *, min(id) OVER (PARTITION BY cluster % 2) AS cluster_id FROM fx_points WHERE cluster IS NOT NULL)", "fx_points"))

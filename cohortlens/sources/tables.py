@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from cohortlens.sources.keyed_json import read_keyed_object
 
+# Names the current version of a result; readers of whole folders pass over names that begin like this.
+_POINTER = "_current"
+
 
 def read_table(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Scan a catalog table or view, all columns or the listed ones."""
@@ -43,6 +47,51 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partiti
     writer.parquet(path)
 
 
+def replace_parquet(df: DataFrame, path: str) -> None:
+    """Put a new version of a result in the place of the old one, which stays readable until the new one is complete.
+
+    The version is written beside the others below ``path``; a pointer file then names it, put in place by one rename, and older
+    versions go. A job that ends before that leaves the old result as it was. ``df`` may read the old version. One
+    writer at a time. Read with :func:`read_replaced`.
+    """
+    spark = df.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    files, root = _file_system(spark, path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    fresh = hadoop.fs.Path(root, f"_{version}")
+    out = files.create(fresh, True)
+    out.write(version.encode())
+    out.close()
+    # Unlike a plain rename this one may replace a file, and does so at once.
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.fs.Options.Rename, 1)
+    overwrite[0] = hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.fs.FileContext.getFileContext(root.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, hadoop.fs.Path(root, _POINTER), overwrite)
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.lstrip("_").startswith("version-") and name != version:
+            files.delete(status.getPath(), True)
+
+
+def read_replaced(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a result written by :func:`replace_parquet`; an error if there is none yet."""
+    files, root = _file_system(spark, path)
+    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, _POINTER)
+    if not files.exists(pointer):
+        raise FileNotFoundError(f"no complete version in {path}")
+    stream = files.open(pointer)
+    version = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The store of a path, and the path in it."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files, files.makeQualified(root)
+
+
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write a flat frame (for example a wide fingerprint table) as tab-separated text."""
     df.write.mode(mode).option("sep", "\t").option("header", False).csv(path)

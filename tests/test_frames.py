@@ -103,6 +103,22 @@ def test_parquet_modes(spark):
     assert tb.read_parquet(spark, path).count() == 5
 
 
+def test_a_result_is_replaced_as_a_whole(spark):
+    path = scratch_path(spark, "replaced")
+    with pytest.raises(FileNotFoundError):
+        tb.read_replaced(spark, path)
+    tb.replace_parquet(spark.range(3), path)
+    assert tb.read_replaced(spark, path).count() == 3
+    broken = spark.range(100_000, numPartitions=8).select(F.when(F.col("id") == 99_999, F.raise_error(F.lit("stopped"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        tb.replace_parquet(broken, path)
+    assert tb.read_replaced(spark, path).count() == 3
+    tb.replace_parquet(tb.read_replaced(spark, path).union(spark.range(4)), path)
+    assert tb.read_replaced(spark, path).count() == 7
+    files, root = tb._file_system(spark, path)
+    assert sorted(x.getPath().getName()[:8] for x in files.listStatus(root)) == ["_current", "version-"]
+
+
 def test_named_tables(spark):
     tb.register(spark.range(2).selectExpr("id", "id * 2 AS twice"), "named")
     assert tb.read_table(spark, "named", ["twice"]).columns == ["twice"]

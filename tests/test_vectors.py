@@ -110,6 +110,26 @@ def test_ward_on_many_positions(spark):
         cl.cluster(frame(spark, points), "id", k=3, method="ward", most=2999)
 
 
+def test_ward_on_summaries(spark):
+    points = blobs(n=15, copies=20)
+    rows = cl.cluster(frame(spark, points).repartition(7), "id", k=3, method="ward_summaries").orderBy("id").collect()
+    assert same_partition([r.cluster for r in rows], direct_ward(points, 3))  # few positions: exact
+    points = np.vstack([np.random.default_rng(1).normal(c, 1, (1000, 3)) for c in (0, 20, 60)])
+    df = frame(spark, points).repartition(20)
+    rows = cl.cluster(df, "id", k=3, method="ward_summaries", micro=30).orderBy("id").collect()
+    assert same_partition([r.cluster for r in rows], np.repeat([0, 1, 2], 1000))
+    found = cl.summaries(df, limit=30).collect()
+    assert len(found) <= 30 and sum(r.n for r in found) == 3000
+    assert np.allclose(sum(np.array(r.centre) * r.n for r in found), points.sum(axis=0))
+    # All squares about the mean are those between the groups and those the groups hide.
+    mean = points.mean(axis=0)
+    between = sum(r.n * ((np.array(r.centre) - mean) ** 2).sum() for r in found)
+    assert between + sum(r.loss for r in found) == pytest.approx(((points - mean) ** 2).sum())
+    assert sum(r.loss for r in found) < 0.5 * sum(((points[a : a + 1000] - points[a : a + 1000].mean(axis=0)) ** 2).sum() for a in (0, 1000, 2000))
+    assert sum(r.loss for r in cl.summaries(frame(spark, points[:200]).repartition(3), limit=300).collect()) == pytest.approx(0, abs=1e-6)
+    assert cl.cluster(df.limit(0), "id", k=3, method="ward_summaries").count() == 0
+
+
 def test_bisecting(spark):
     points = np.vstack([blobs()[:40], blobs()[40:80]])
     rows = cl.cluster(frame(spark, points), "id", k=2).orderBy("id").collect()
