@@ -6,12 +6,14 @@ columns of the input, whatever their names, never meet its own.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.session import materialize
@@ -52,6 +54,12 @@ def drop_table(df: DataFrame) -> None:
             where.delete_file(path)
 
 
+def one_each(files: DataFrame, order: str) -> DataFrame:
+    """A stored list of files, a short row each, with a partition of its own for each row, which adaptive execution keeps."""
+    numbered = files.withColumn("__place", (F.row_number().over(Window.orderBy(order)) - 1).cast("int"))
+    return numbered.repartitionById(max(1, files.count()), F.col("__place")).drop("__place")
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys from batches sorted by the keys (no null keys), one table per run."""
     held: list[pa.Table] = []
@@ -101,10 +109,35 @@ def remembered(name, make):
     """
     if name not in _REMEMBERED:
         _REMEMBERED.clear()
+        released()
         _REMEMBERED[name] = make()
     return _REMEMBERED[name]
 
 
+def released() -> None:
+    """Give memory that is no longer used back to the machine, which neither Arrow nor the C library does at once."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(Exception):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forgetting(run):
+    """``run`` over batches, for a Python worker that forgets its table and gives memory back when the task ends.
+
+    A worker that idles in a later stage, or serves one of another kind, then holds nothing of this one.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _REMEMBERED.clear()
+            released()
+
+    return task
+
+
 class Forest:
     """Groups of rows that links have joined so far, for a block of bounded size."""
 

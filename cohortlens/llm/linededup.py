@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import GOLDEN, mix, pick, remembered
+from cohortlens.llm.common import GOLDEN, forgetting, mix, pick
 from cohortlens.session import materialize
 
 # Words of the shortest run that counts as repeated, and of the shortest that is found without fail.
@@ -85,7 +85,6 @@ def sketches(docs: DataFrame, least: int, sure: int) -> DataFrame:
     kind = pa.list_(pa.struct([("at", pa.int32()), ("gram", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered("lines", dict)  # lets go of what another operator has left
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
@@ -100,7 +99,7 @@ def sketches(docs: DataFrame, least: int, sure: int) -> DataFrame:
                     names=["id", "th", "hashes", "words", "prints"],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(forgetting(run), schema)
 
 
 def _filled(hashes: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import GOLDEN, Forest, components, groups, in_blocks, mix, pick, remembered
+from cohortlens.llm.common import GOLDEN, Forest, components, forgetting, groups, in_blocks, mix, pick, remembered
 from cohortlens.session import materialize
 
 # Minima per document, those of one band, and the low bits that are kept of each.
@@ -125,7 +125,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                     names=["id", "n_shingles", "digest", "sig", "bands"],
                 )
 
-    return docs.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, sig binary, bands array<bigint>")
+    return docs.mapInArrow(forgetting(run), f"id {kind}, n_shingles bigint, digest binary, sig binary, bands array<bigint>")
 
 
 def _signatures(table: pa.Table) -> np.ndarray:
@@ -177,7 +177,7 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
                 yield _edges(ids, pairs)
 
     dealt = placed.select("key", "first", "second", "own", "id", "sig").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+    return dealt.mapInArrow(forgetting(run), "a bigint, b bigint").where("a <> b").distinct()
 
 
 def confirmed_links(docs: DataFrame, candidates: DataFrame, sigs: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -221,7 +221,7 @@ def confirmed_links(docs: DataFrame, candidates: DataFrame, sigs: DataFrame, n:
                 yield _edges(ids, pairs)
 
     dealt = placed.select("component", "first", "second", "own", "id", "sig", "text").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b")
+    return dealt.mapInArrow(forgetting(run), "a bigint, b bigint").where("a <> b")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

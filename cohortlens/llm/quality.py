@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import mix, pick, remembered
+from cohortlens.llm.common import forgetting, mix, pick
 from cohortlens.llm.labelled import Sample, held_out, labelled_sample
 
 BUCKETS, DIMENSIONS, EPOCHS = 1 << 16, 16, 6
@@ -91,7 +91,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 n.append(times.astype("<u4").tobytes())
             yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "buckets": pa.array(buckets, pa.binary()), "n": pa.array(n, pa.binary())})
 
-    return docs.select("text", "label").mapInArrow(run, "label int, buckets binary, n binary")
+    return docs.select("text", "label").mapInArrow(forgetting(run), "label int, buckets binary, n binary")
 
 
 def fit(labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], epochs: int = EPOCHS, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -142,9 +142,7 @@ def score(model: tuple[np.ndarray, float], text: Column) -> Column:
     """A number between 0 and 1 from a whole text alone; a null text counts as empty, and an empty one has the bias alone."""
     kept = pickle.dumps((model[0].astype(np.float32), model[1]))
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        remembered("quality", dict)  # lets go of what another operator has left
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         value, bias = pickle.loads(kept)
         for batch in batches:
             out = np.empty(len(batch))
@@ -157,6 +155,10 @@ def score(model: tuple[np.ndarray, float], text: Column) -> Column:
                 out[i] = 1.0 / (1.0 + np.exp(-min(50.0, max(-50.0, z))))
             yield pd.Series(out)
 
+    @F.pandas_udf(T.DoubleType())
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from forgetting(run)(batches)
+
     return scored(text)
 
 

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from cohortlens.llm.common import pick, remembered
+from cohortlens.llm.common import forgetting, pick, remembered
 
 # Words whose ids a Python worker remembers, beyond which it starts anew; bytes of text taken at once; marks that end words.
 REMEMBERED_WORDS, PORTION, MARKS = 400_000, 8 << 20, ".,!?"
@@ -189,4 +189,4 @@ def token_pieces(
                     columns.append(pa.array(held, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(forgetting(run), schema).withColumnRenamed("key", key)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import pick, remembered
+from cohortlens.llm.common import forgetting, pick, remembered
 from cohortlens.llm.labelled import FIT_ROWS, Sample, held_out, labelled_sample
 
 SLOTS = 1 << 20
@@ -63,7 +63,7 @@ def term_slots(docs: DataFrame) -> DataFrame:
                 out.append(np.array(sorted(found), dtype="<i4").tobytes())
             yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "slots": pa.array(out, pa.binary())})
 
-    return docs.select("text", "label").mapInArrow(run, "label int, slots binary")
+    return docs.select("text", "label").mapInArrow(forgetting(run), "label int, slots binary")
 
 
 class Machine:
@@ -150,8 +150,7 @@ def score(machine: Machine, text: Column) -> Column:
     kept = pickle.dumps((machine.slots, machine.bias, machine.w, machine.v))
     name = xxhash.xxh3_64_hexdigest(kept)
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Machine(*pickle.loads(kept))
         place = own.position
         known = remembered(("toxicity", name), lambda: Remembered(lambda chunk: tuple(place[s] for s in chunk_terms(chunk) if s in place)))
@@ -166,6 +165,10 @@ def score(machine: Machine, text: Column) -> Column:
                 out[i] = own.score(sorted(found))
             yield pd.Series(out)
 
+    @F.pandas_udf(T.DoubleType())
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from forgetting(run)(parts)
+
     return scored(text)
 
 
