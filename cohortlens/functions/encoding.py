@@ -7,6 +7,8 @@ weights are then shifted to minimum 0 and scaled to sum 1.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -170,6 +172,13 @@ def text_vectors(texts: pa.Array, length: int = LENGTH, decay: float = STRING_DE
     return table[coded.indices.fill_null(-1).to_numpy(zero_copy_only=False) + 1]
 
 
+@lru_cache(8)
+def _response(keep: float) -> np.ndarray:
+    """How much of each character of a block is left at each later one."""
+    lag = np.arange(_BLOCK)[:, None] - np.arange(_BLOCK)[None, :]
+    return np.where(lag >= 0, keep ** np.maximum(lag, 0), 0.0)
+
+
 def _running_mean(codes: np.ndarray, decay: float) -> np.ndarray:
     keep = 1.0 - decay
     inputs = codes * decay
@@ -177,9 +186,7 @@ def _running_mean(codes: np.ndarray, decay: float) -> np.ndarray:
     blocks = -(-len(codes) // _BLOCK)
     grid = np.zeros(blocks * _BLOCK)
     grid[: len(codes)] = inputs
-    lag = np.arange(_BLOCK)[:, None] - np.arange(_BLOCK)[None, :]
-    response = np.where(lag >= 0, keep ** np.maximum(lag, 0), 0.0)
-    local = grid.reshape(blocks, _BLOCK) @ response.T
+    local = grid.reshape(blocks, _BLOCK) @ _response(keep).T
     carry = 0.0
     starts = np.empty(blocks)
     fade = keep**_BLOCK

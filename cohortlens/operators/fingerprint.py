@@ -63,7 +63,8 @@ def _cell(df: DataFrame, pos: int, name: str, dtype: str) -> Column:
     ))
 
 
-def _cells(df: DataFrame, key: str) -> tuple[list[str], Column]:
+def _names(df: DataFrame, key: str) -> list[str]:
+    """The columns that may have cells."""
     names = [c for c in df.columns if c != key]
     if not names:
         raise ValueError("no column left to fingerprint")
@@ -73,10 +74,22 @@ def _cells(df: DataFrame, key: str) -> tuple[list[str], Column]:
     for name in names:
         if types[name].startswith(("struct", "map")):
             raise ValueError(f"column {name} is nested; use fingerprint_nested")
+    return names
+
+
+def _cells(df: DataFrame, key: str) -> tuple[list[str], Column]:
+    names, types = _names(df, key), dict(df.dtypes)
     cells = F.array(*[_cell(df, i, n, types[n]) for i, n in enumerate(names)])
     return names, F.filter(cells, lambda c: c.isNotNull())
 
 
+def _last_cell(df: DataFrame, names: list[str]) -> tuple[Column, Column]:
+    """How many cells are kept, and the last of them, without a list of all."""
+    types = dict(df.dtypes)
+    size = sum((kept(F.col(f"`{n}`"), types[n]).cast("int") for n in names[1:]), kept(F.col(f"`{names[0]}`"), types[names[0]]).cast("int"))
+    return size, F.coalesce(*[_cell(df, i, n, types[n]) for i, n in reversed(list(enumerate(names)))])
+
+
 def statements(df: DataFrame, key: str) -> DataFrame:
     """One row per kept cell: ``(key, pos, parent, name, num, txt)``."""
     names, cells = _cells(df, key)
@@ -109,17 +122,16 @@ def fingerprint(
     Column names are known before the job starts, so their vectors are part of
     the plan (``length`` numbers per column) and only values cost per row.
     """
-    names, cells = _cells(df, key)
+    names = _names(df, key)
     key_vectors = np.array([text_vector(n, length, decay) for n in names])
-    rows = df.select(key, cells.alias("cells"))
-    size = F.size("cells").alias("statements")
     options = (key_vectors, exp_weight, decay, decimals, numeric)
     if combine == "last":
-        last = F.try_element_at("cells", F.lit(-1))
-        rows = rows.select(key, size, last["pos"].alias("pos"), last["num"].alias("num"), last["txt"].alias("txt"))
+        size, last = _last_cell(df, names)
+        rows = df.select(key, size.alias("statements"), last.alias("cell")).select(key, "statements", "cell.pos", "cell.num", "cell.txt")
         vectors = _last_cells(*options)("pos", "num", "txt")
     elif combine == "sum":
-        rows = rows.select(key, size, *[F.transform("cells", lambda c: c[f]).alias(f) for f in ("pos", "num", "txt")])
+        rows = df.select(key, _cells(df, key)[1].alias("cells"))
+        rows = rows.select(key, F.size("cells").alias("statements"), *[F.transform("cells", lambda c: c[f]).alias(f) for f in ("pos", "num", "txt")])
         vectors = _summed_cells(*options)("pos", "num", "txt")
     else:
         raise ValueError(f"unknown combine {combine!r}")
