@@ -92,7 +92,7 @@ def least_equal(similarity: float) -> float:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """``(id, n_shingles, digest, sig, bands)`` of ``docs(id, text)``; ``digest`` stands for the whole set.
+    """``(id, th, n_shingles, digest, sig, bands)`` of ``docs(id, th, text)``; ``digest`` stands for the whole set.
 
     Only documents with shingles have a signature and bands.
     """
@@ -121,11 +121,11 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                         key = mix(key + np.arange(BANDS, dtype=np.uint64))
                     bands.append(key.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["id", "n_shingles", "digest", "sig", "bands"],
+                    [part.column("id"), part.column("th"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["id", "th", "n_shingles", "digest", "sig", "bands"],
                 )
 
-    return docs.mapInArrow(forgetting(run), f"id {kind}, n_shingles bigint, digest binary, sig binary, bands array<bigint>")
+    return docs.mapInArrow(forgetting(run), f"id {kind}, th bigint, n_shingles bigint, digest binary, sig binary, bands array<bigint>")
 
 
 def _signatures(table: pa.Table) -> np.ndarray:
@@ -180,8 +180,10 @@ def candidate_links(classes: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(forgetting(run), "a bigint, b bigint").where("a <> b").distinct()
 
 
-def confirmed_links(docs: DataFrame, candidates: DataFrame, sigs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """``(a, b)``: links enough to connect all documents that whole sets link, within groups of candidates.
+def confirmed_links(docs: DataFrame, candidates: DataFrame, classes: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``(a, b)``: links enough to connect all classes that whole sets link, within groups of candidates.
+
+    ``classes`` are ``(id, doc, th, sig)``, ``doc`` and ``th`` being id and hash of a text of the class in ``docs(id, th, text)``.
 
     The members of a candidate group come together, in blocks that meet pair by pair, and the most promising
     pairs are looked at first; a pair whose documents are connected already tells nothing new.
@@ -190,14 +192,16 @@ def confirmed_links(docs: DataFrame, candidates: DataFrame, sigs: DataFrame, n:
     bound = least_equal(similarity)
     group = materialize(components(candidates, "candidates"), "groups")
     size = group.groupBy("component").agg(F.count("*").alias("size"))
-    members = group.join(size, "component").join(sigs, "id")
-    texts = members.join(docs, "id")
+    members = group.join(size, "component").join(classes, "id")
+    texts = members.join(docs.select(F.col("id").alias("doc"), "th", "text"), ["doc", "th"])
     keys = ["component", "first", "second"]
     placed = in_blocks(texts, F.col("size"), GROUP_BLOCK, F.col("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = remembered("words", WordHashes)
         for table in groups(batches, keys):
+            # A row that is repeated brings the text of its class more than once.
+            table = table.take(pa.array(np.unique(table["id"].to_numpy(), return_index=True)[1]))
             left, right = _sides(table)
             sig, ids = _signatures(table), table["id"].to_pylist()
             sets = [shingles(t, n, known) for t in table["text"].to_pylist()]
@@ -237,16 +241,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, similarity: float = 0.8, key: s
     Sets hold 64-bit hashes of shingles.
 
     A null or empty text has no shingles and links with nothing. A null id has a null component and is kept.
-    Repeated rows have one id and so one fate; ids must be whole numbers.
+    Rows of one id, whether their texts are equal or not, have one component, linked by all their texts; ids must be whole numbers.
     """
-    rows = pick(docs, id=key, text=text).withColumn("id", F.col("id").cast("long"))
+    rows = pick(docs, id=key, text=text).withColumns({"id": F.col("id").cast("long"), "th": F.xxhash64("text")}).select("id", "th", "text")
     found = materialize(sketches(rows, n), "sketches")
     known = found.where("id IS NOT NULL AND digest IS NOT NULL")
-    classes = known.groupBy("digest").agg(F.min(F.struct("id", "sig", "bands")).alias("one")).select("digest", "one.*")
-    classes = materialize(classes, "classes")
+    classes = known.groupBy("digest").agg(F.min(F.struct("id", "th", "sig", "bands")).alias("one")).select("digest", "one.*")
+    # Classes have numbers of their own: an id that is repeated with another text stands for several.
+    classes = materialize(classes.withColumnRenamed("id", "doc").withColumn("id", F.monotonically_increasing_id()), "classes")
     candidates = candidate_links(classes, similarity)
-    links = confirmed_links(rows, candidates, classes.groupBy("id").agg(F.min("sig").alias("sig")), n, similarity)
-    copies = known.join(classes.select("digest", F.col("id").alias("rep")), "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    linked = confirmed_links(rows, candidates, classes.select("id", "doc", "th", "sig"), n, similarity)
+    ends = [classes.select(F.col("id").alias(c), F.col("doc").alias(f"doc_{c}")) for c in ("a", "b")]
+    links = linked.join(ends[0], "a").join(ends[1], "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    copies = known.join(classes.select("digest", F.col("doc").alias("rep")), "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     whole = components(links.union(copies), "duplicates")
     out = found.select("id", "n_shingles").join(whole, "id", "left")
     component = F.coalesce("component", "id")
