@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import pick
+from cohortlens.llm.common import one_each, pick
 from cohortlens.session import materialize, scratch_path
 
 # Fixed values of the formats: skippable frame that holds the dictionary, and record syntax.
@@ -260,7 +260,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield made(rows)
 
-    return archives.select("path").repartition("path").mapInArrow(run, schema)
+    return one_each(archives.select("path"), "path").mapInArrow(run, schema)
 
 
 def archive_folder(spark) -> str:

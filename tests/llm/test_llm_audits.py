@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cohortlens.llm import filteraudit, simple8b, tokens, turnrepair
+from cohortlens.llm import filteraudit, minhash, simple8b, tokens, turnrepair, warc
 from cohortlens.llm.registry import table
 
 DATA = "/root/testdata/sf0.01"
@@ -290,3 +290,43 @@ def test_audit_of_documents(spark):
     got = filteraudit.document_audit(df, marks).collect()
     assert {tuple(r)[:3]: tuple(r)[3:] for r in got} == run_filters(rows, "ABCDE") and len(got) == 600 * len({r[0] for r in rows})
     assert filteraudit.document_audit(df.limit(0), marks).count() == 0
+
+
+# --- 9: ids with several texts -----------------------------------------------------------
+
+
+def test_ids_with_several_texts_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    base = [" ".join(f"g{g}w{i}" for i in range(60)) for g in range(30)]
+    near = [b.replace("w30 ", "x30 ") for b in base]
+    rows = [(g, base[g]) for g in range(30)] + [(100 + g, near[g]) for g in range(30)]
+    rows += [(200 + int(i), base[g]) for g, i in enumerate(rng.integers(0, 12, 30))] + [(200 + int(i), near[(g + 7) % 30]) for g, i in enumerate(rng.integers(0, 12, 30))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, n=4).collect()}
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+
+    sets = [(k, grams(t)) for k, t in rows]
+    root = {k: k for k, _ in rows}
+    for _ in range(len(root)):
+        before = dict(root)
+        for (a, x), (b, y) in itertools.combinations(sets, 2):
+            if 100 * len(x & y) >= 80 * len(x | y):
+                root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert got == root and len(set(root.values())) < 30
+
+
+# --- 10: reading side by side --------------------------------------------------------------
+
+
+def test_archives_are_read_side_by_side(spark):
+    df = spark.range(4000).selectExpr("id AS page_id", "'http://a/' || id AS url", "repeat(md5(CAST(id AS STRING)), 20) AS html").repartition(8)
+    folder = warc.archive_folder(spark)
+    archives = warc.write(df, folder)
+    assert archives.count() > 4
+    tasks = warc.read(archives, folder).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(tasks) == archives.count() and sum(r["count"] for r in tasks) == 4000
