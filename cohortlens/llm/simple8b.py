@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import pick
+from cohortlens.llm.common import one_each, pick
 from cohortlens.llm.tokens import portions, tokenizer_path, word_ids
 from cohortlens.session import materialize, scratch_path
 
@@ -308,8 +308,7 @@ def read(files: DataFrame, folder: str, ids: bool = False) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield from _documents(IdFileReader(where, path), base, ids)
 
-    # A count of partitions, which adaptive execution keeps: one file for each task.
-    return listed.repartition(max(1, listed.count())).mapInArrow(run, schema)
+    return one_each(listed, "path").mapInArrow(run, schema)
 
 
 def _documents(file: IdFileReader, base: int, ids: bool) -> Iterator[pa.RecordBatch]:
