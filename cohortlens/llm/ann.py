@@ -16,14 +16,13 @@ from cohortlens.session import materialize
 
 # Projections, and the share of them a vector must collide in.
 PROJECTIONS, COLLIDING = 160, 0.6
-# Half width of the first window, its largest growth per round, and the half width beyond which all rows are verified.
-# Lengths are in units of the ring's longest vector.
-WIDTH, GROWTH, WIDEST = 0.6, 1.4, 4.0
+# Half width of the first window and its largest growth per round, in units of the ring's longest vector.
+WIDTH, GROWTH = 0.6, 1.4
 # A query is done when its windows are so many times as wide as the distance of its k-th verified vector. Each window then
 # holds a vector at that distance with probability 0.683, and at least COLLIDING of all windows with probability 0.988.
 REACH = 1.0
-# The shortest vector of a ring, in units of its longest; rings of at most so many vectors are verified whole.
-RING, SMALL = 0.85, 512
+# The shortest vector of a ring, in units of its longest; a ring goes on to shorter ones until it has so many vectors.
+RING, LEAST = 0.85, 512
 # Rows, and queries, that meet in one task.
 ROW_BLOCK, QUERY_BLOCK = 1 << 16, 512
 
@@ -35,11 +34,11 @@ def lengths(x: np.ndarray) -> np.ndarray:
 
 
 def rings(length: np.ndarray) -> list[np.ndarray]:
-    """Rows dealt by length, the longest first, into rings of similar length, but of at least ``SMALL`` rows if there are."""
+    """Rows dealt by length, the longest first, into rings of similar length, but of at least ``LEAST`` rows if there are."""
     order = np.argsort(-length, kind="stable")
     falling, out, at = -length[order], [], 0
     while at < len(order):
-        end = max(int(np.searchsorted(falling, falling[at] * RING, side="right")), at + SMALL)
+        end = max(int(np.searchsorted(falling, falling[at] * RING, side="right")), at + LEAST)
         out.append(order[at:end])
         at = end
     return out
@@ -104,7 +103,7 @@ class Block:
         self.rings = []
         for rows in rings(length):
             longest = float(length[rows[0]])
-            self.rings.append((rows, longest, Collisions(x[rows], longest) if len(rows) > SMALL else None))
+            self.rings.append((rows, longest, Collisions(x[rows], longest)))
 
     def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> Iterator[np.ndarray]:
         """For each query the rows, but for its own, that hold the ``k`` largest products found.
@@ -129,17 +128,15 @@ class Block:
                     best[i].add(fresh, rough)
                     return math.sqrt(max(0.0, 2.0 * (1.0 - best[i].bound / length[i] / longest)))
 
-                if not index:
-                    verify(np.arange(len(rows)))
-                    continue
                 at, width, seen, apart = unit[i] @ index.a[:-1], start / GROWTH, np.zeros(len(rows), dtype=bool), math.inf
                 while width < REACH * apart and not seen.all():
                     width = min(width * GROWTH, REACH * apart)
-                    fresh = (index.colliding(at, width) if width < WIDEST else True) & ~seen
+                    fresh = index.colliding(at, width) & ~seen
                     seen |= fresh
                     apart = verify(np.flatnonzero(fresh))
                 # The next query begins about where the ones before it ended.
-                start = max(WIDTH, min((start + 1.03 * REACH * apart) / 2, WIDEST / GROWTH))
+                if math.isfinite(apart):
+                    start = max(WIDTH, (start + 1.03 * REACH * apart) / 2)
         for b in best:
             yield b.rows
 
