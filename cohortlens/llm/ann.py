@@ -158,7 +158,7 @@ def nearest(
     vectors' lengths, a row that belongs to the ``k`` is missed with a probability of about 0.012 at most (``REACH``).
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without an
-    id; only vectors of one length meet. Repeated rows count once.
+    id, which must be a whole number; only vectors of one length meet. Repeated rows count once. An empty table gives an empty result.
     """
     rows = materialize(sound_vectors(df, key, vector).withColumn("dim", F.size("vec")), "vectors")
     n = rows.count()

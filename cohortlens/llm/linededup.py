@@ -185,9 +185,10 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, sure: int = SURE_WORD
 
     A null text stays null and an empty one empty. Rows that repeat an id and a text are cut
     alike, as one document; a null id comes last. Ids must be whole numbers. Other columns are kept as they
-    are (names that begin with ``lines_deleted`` or ``words_deleted`` are replaced).
+    are; those named ``lines_deleted`` or ``words_deleted``, in whatever case of letters, are replaced. An empty table gives an
+    empty result.
     """
-    columns = [c for c in docs.columns if c not in ("lines_deleted", "words_deleted")]
+    columns = [c for c in docs.columns if c.lower() not in ("lines_deleted", "words_deleted")]
     identity = F.coalesce(docs[key].cast("long"), F.lit(2**63 - 1)), F.xxhash64(docs[text])
     rows = docs.select(identity[0].alias("id"), identity[1].alias("th"), docs[text].alias("text")).where("text IS NOT NULL AND text <> ''")
     cut = repeated_runs(rows, least, sure).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "ranges")

@@ -163,7 +163,11 @@ def score(model: tuple[np.ndarray, float], text: Column) -> Column:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, held_out, score, predicted`` for every row; repeated rows give repeated results, a null id is kept."""
+    """``key, held_out, score, predicted`` for every row; repeated rows give repeated results, a null id is kept.
+
+    Whole texts are scored, however long; the score of a null or empty text is the bias. Without labels every
+    score is 0.5, with labels of one kind only all scores are one number. A score equal to ``threshold`` is predicted 1. An empty table gives an empty result.
+    """
     model = train(docs, labels, "quality", rows, key, text)
     out = pick(docs, key=key, text=text).select("key", held_out("key").alias("held_out"), score(model, F.col("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnRenamed("key", key)

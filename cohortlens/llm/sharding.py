@@ -75,7 +75,9 @@ def shard_documents(df: DataFrame, shards: Mapping[int, float], grown: Mapping[i
     """``doc_id, size, text_crc32, shard, grown_shard, slot`` for every row of ``df``, by key.
 
     ``size`` is the UTF-8 length of the text plus 16, ``text_crc32`` its unsigned checksum; a null text counts
-    as empty. Texts are read once; what is stored and shuffled afterwards is one short row per document.
+    as empty. Texts are read once; what is stored and shuffled afterwards is one short row per document. Rows that repeat a key
+    share its shard, each with a slot of its own; rows without a key are placed like those of one key more; an empty table gives an
+    empty result.
     """
     rows = pick(df, key=key, text=text).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("best", choose(F.col("key"), shards))

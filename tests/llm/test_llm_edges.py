@@ -102,6 +102,8 @@ def test_line_dedup(docs, nothing):
     assert {r["doc_id"]: r["text"] for r in rows if r["doc_id"] in (3, 4, 6)} == {3: None, 4: "", 6: LONG}
     assert set(CLASHES) <= set(linededup.dedup_lines(docs).columns)
     assert linededup.dedup_lines(nothing).count() == 0
+    again = linededup.dedup_lines(docs.withColumn("Lines_Deleted", F.lit("x")))
+    assert [c.lower() for c in again.columns].count("lines_deleted") == 1 and again.count() == len(DOCS)
 
 
 def test_near_duplicates(docs, nothing):
