@@ -20,13 +20,21 @@ TOXIC_FROM, GOOD_FROM = 0.7, 0.5
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below ``TOXIC_FROM``."""
+    """Documents whose toxicity is below ``TOXIC_FROM``.
+
+    A null or empty text has the score of no terms, the bias that the labels give. Repeated rows, rows without an id and very
+    long texts, scored whole, are judged like any other; without labels every score is 0.5 and all stay.
+    """
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.score(machine, docs["text"]) < TOXIC_FROM)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality is at least ``GOOD_FROM``."""
+    """Documents whose quality is at least ``GOOD_FROM``.
+
+    A null or empty text has the score of the bias alone. Repeated rows, rows without an id and very long texts, scored
+    whole, are judged like any other; without labels every score is 0.5 and all stay.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality.score(model, docs["text"]) >= GOOD_FROM)
 
@@ -47,7 +55,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents in sequences of 4096."""
+    """Token pieces of all documents in sequences of 4096.
+
+    A null or empty text is one piece, the end id alone; a very long one is cut; repeated rows and rows without an id
+    have pieces of their own; no document gives no row.
+    """
     return packing.pack_documents(docs)
 
 
