@@ -20,6 +20,8 @@ from cohortlens.session import discard, materialize, scratch_path
 
 # Growth of the wanted directions over the rest in one cycle: its square must leave digits in a Gram matrix.
 GROWTH = 1e5
+# Edges of a bucket, at least, where there are several.
+BUCKET_EDGES = 250_000
 # Products of a cycle at most; products between two looks at the change; values that a clustering of one coordinate works on.
 CYCLE, LOOK, BINS = 64, 4, 2048
 
@@ -27,9 +29,10 @@ CYCLE, LOOK, BINS = 64, 4, 2048
 class Bucketed:
     """Tables of one computation, bucketed by a vertex, whose files go when they are no longer read."""
 
-    def __init__(self, spark):
-        self.spark = spark
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, edges: DataFrame):
+        self.spark = edges.sparkSession
+        # As many as shuffles have partitions, so that sums arrive where they are needed; fewer for few edges.
+        self.buckets = max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // BUCKET_EDGES)))
         self.held: dict[str, str] = {}
 
     def store(self, df: DataFrame, key: str, label: str) -> DataFrame:
@@ -105,7 +108,7 @@ def spectral_embedding(
     degree = materialize(edges.groupBy("src").agg(F.sum("weight").alias("degree")), "degree")
     far = degree.select(F.col("src").alias("dst"), F.col("degree").alias("far"))
     scaled = edges.join(degree, "src").join(far, "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("degree") * F.col("far"))).alias("w"))
-    tables, kept = Bucketed(spark), Bucketed(spark)
+    tables, kept = Bucketed(edges), Bucketed(edges)
     scaled = kept.store(scaled, "dst", "scaled")
     noise = [f"pmod(xxhash64(id, {i}), 1048576) / 1048576D - 0.5D AS x{i}" for i in range(width)]
     start = degree.withColumnRenamed("src", "id").join(components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "id")
@@ -265,8 +268,8 @@ def graph_cluster(graph: DataFrame, k: int = 2, change: float = 1e-5, most_produ
     and sums are in double precision, so labels do not depend on how rows are partitioned, but for values within rounding of a
     cut. Fewer labels come out if there are fewer different values.
     """
-    spark, tables, kept = graph.sparkSession, Bucketed(graph.sparkSession), Bucketed(graph.sparkSession)
     edges = materialize(both_ways(graph), "edges")
+    tables, kept = Bucketed(edges), Bucketed(edges)
     degree = materialize(edges.groupBy("src").agg(F.sum("weight").alias("degree")), "degree")
     scaled = kept.store(edges.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("w")), "dst", "scaled")
     if degree.isEmpty():
