@@ -101,7 +101,8 @@ def spectral_embedding(
     that is small on ``[-1, m]``, ``m`` being the block's least value so far, and large above; then the best combinations
     (Rayleigh-Ritz) from the inner products of the vectors and their products, a small matrix per component. The degree follows from how
     far the values lie apart. A product is one join of stored buckets and one sum per vertex, partial before
-    the only shuffle, and is written out. Sums are taken in double precision, so the partitioning changes last digits only.
+    the only shuffle, and is written out. Sums are taken in double precision, so the
+    partitioning changes last digits only; but where several values are equal, any mixture of their vectors is as good, and rounding chooses.
     """
     spark, width = graph.sparkSession, dims + extra
     edges = materialize(both_ways(graph), "edges")
