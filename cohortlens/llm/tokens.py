@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from cohortlens.llm.common import forgetting, pick, remembered
 
 # Words whose ids a Python worker remembers, beyond which it starts anew; bytes of text taken at once; marks that end words.
-REMEMBERED_WORDS, PORTION, MARKS = 400_000, 8 << 20, ".,!?"
+REMEMBERED_WORDS, PORTION, MARKS = 400_000, 2 << 20, ".,!?"
 # The tokenizer's own splitting rule: a fixed value.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
