@@ -171,7 +171,8 @@ class Features:
     def frame(self, part: int) -> pd.DataFrame:
         if len(self.n) > self.limit:
             self._merge()
-        sums = list(self.sums) if self.sums is not None else []
+        # Of a task without rows an empty column of lists, which without a type would be one of numbers.
+        sums = pd.Series(list(self.sums) if self.sums is not None else [], dtype=object)
         return pd.DataFrame({"part": np.full(len(self.n), part, dtype="int32"), "n": self.n, "sums": sums, "squares": self.squares})
 
 

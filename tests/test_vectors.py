@@ -130,6 +130,13 @@ def test_ward_on_summaries(spark):
     assert cl.cluster(df.limit(0), "id", k=3, method="ward_summaries").count() == 0
 
 
+def test_summaries_of_tasks_without_rows(spark):
+    df = frame(spark, [[0, 0], [0, 1], [9, 9]]).repartition(40)
+    rows = cl.cluster(df.where("id <> 1"), "id", k=2, method="ward_summaries").orderBy("id").collect()
+    assert [r.cluster for r in rows] in ([0, 1], [1, 0])
+    assert sum(r.n for r in cl.summaries(df).collect()) == 3
+
+
 def test_bisecting(spark):
     points = np.vstack([blobs()[:40], blobs()[40:80]])
     rows = cl.cluster(frame(spark, points), "id", k=2).orderBy("id").collect()
