@@ -18,6 +18,11 @@ from pyspark.sql import types as T
 
 # Points per block: two blocks of this size and their distances take tens of megabytes.
 BLOCK = 2048
+# Where all meet all, points of a block on the one side and on the other at most; a point is sent once to each block of the other side, so that
+# larger blocks mean less to send. Fewer points give smaller blocks on the one side, about ``SIDES`` of them, so that there are tasks enough.
+OWN, OTHERS, SIDES = 16_384, 65_536, 24
+# Rows and columns of a product of two blocks that are looked at together.
+ROWS, COLUMNS = 512, 4096
 
 
 def block_count(rows: int, block: int) -> int:
@@ -44,6 +49,109 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total, out=total)
 
 
+def own_block(rows: int) -> int:
+    """Points of a block on the one side, for so many in all."""
+    return max(1024, min(OWN, rows // SIDES))
+
+
+def products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """``(left, right, margin, scale)``: ``left @ right.T`` are squared distances of two blocks of finite points, times ``scale ** 2``.
+
+    One product of matrices is many times faster than sums by coordinate, and loses digits of small distances: a row is off by at most its ``margin``.
+    """
+    top = max(np.abs(a).max(initial=0.0), np.abs(b).max(initial=0.0))
+    scale = 2.0 ** -float(np.clip(np.frexp(top)[1], 0, 1000))
+    a, b = a * scale, b * scale
+    centre = b.mean(axis=0) if len(b) else np.zeros(b.shape[1])
+    a, b = a - centre, b - centre
+    square_a, square_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    margin = 8 * np.finfo(float).eps * (a.shape[1] + 8) * (np.sqrt(square_a) + np.sqrt(square_b.max(initial=0.0))) ** 2
+    left = np.column_stack([-2.0 * a, square_a, np.ones(len(a))])
+    right = np.column_stack([b, np.ones(len(b)), square_b])
+    return left, right, margin, scale
+
+
+def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distance of each row of the one to the same row of the other, with the same digits as :func:`distances`."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        gap = a[:, i] - b[:, i]
+        gap *= gap
+        total += gap
+    return np.sqrt(total, out=total)
+
+
+def nearest_others(names: np.ndarray, mine: np.ndarray, ids: np.ndarray, theirs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row of mine, row of theirs, distance)`` of the ``k`` nearest with another id, ties by the lower row of theirs.
+
+    Products find what may be near enough, margins included; that alone is measured by coordinate. Points that are not finite have no neighbours and are none.
+    """
+    own, other = np.flatnonzero(np.isfinite(mine).all(axis=1)), np.flatnonzero(np.isfinite(theirs).all(axis=1))
+    if not len(own) or not len(other):
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    x, y = mine[own], theirs[other]
+    left, right, margin, scale = products(x, y)
+    # Rows of theirs that a row of mine may have to leave out.
+    copies = int(pd.Series(ids).value_counts(dropna=False).max())
+    out = []
+    for at in range(0, len(x), ROWS):
+        part, slack = left[at : at + ROWS], margin[at : at + ROWS]
+        bound = np.full(len(part), np.inf)
+        rows, cols, dist = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        for to in range(0, len(y), COLUMNS):
+            gaps = part @ right[to : to + COLUMNS].T
+            if not to and gaps.shape[1] > k + copies:
+                bound = np.partition(gaps, k + copies - 1, axis=1)[:, k + copies - 1] + 2 * slack
+            r, c = np.nonzero(gaps <= bound[:, None])
+            apart = names[own[at + r]] != ids[other[to + c]]
+            r, c = r[apart], c[apart] + to
+            if not len(r):
+                continue
+            gap = pair_distances(x[at + r], y[c])
+            sound = np.isfinite(gap)
+            rows, cols, dist = np.concatenate([rows, r[sound]]), np.concatenate([cols, c[sound]]), np.concatenate([dist, gap[sound]])
+            order = np.lexsort((cols, dist, rows))
+            rows, cols, dist = rows[order], cols[order], dist[order]
+            first = np.searchsorted(rows, np.arange(len(part) + 1))
+            kept = np.arange(len(rows)) - first[rows] < k
+            full = np.flatnonzero(np.diff(first) >= k)
+            bound[full] = np.minimum(bound[full], (dist[first[full] + k - 1] * scale) ** 2 * (1 + 1e-12) + slack[full])
+            rows, cols, dist = rows[kept], cols[kept], dist[kept]
+        out.append((own[at + rows], other[cols], dist))
+    return tuple(np.concatenate(v) for v in zip(*out))
+
+
+def sums_by_label(a: np.ndarray, b: np.ndarray, weight: np.ndarray, label: np.ndarray, labels: int) -> np.ndarray:
+    """Per row of ``a`` and label, the weighted sum of the distances to the rows of ``b`` with that label (``0 .. labels - 1``).
+
+    Distances that are small beside the coordinates are measured by coordinate, the others by products, to some eleven digits of the largest.
+    """
+    out = np.zeros((len(a), labels))
+    order = np.argsort(label, kind="stable")
+    b, weight, label = b[order], weight[order], label[order]
+    if not (np.isfinite(a).all() and np.isfinite(b).all()):
+        for to in range(0, len(b), ROWS):
+            for at in range(0, len(a), ROWS):
+                gaps = distances(a[at : at + ROWS], b[to : to + ROWS]) * weight[to : to + ROWS]
+                starts = np.flatnonzero(np.diff(label[to : to + ROWS], prepend=-1))
+                out[at : at + ROWS, label[to + starts]] += np.add.reduceat(gaps, starts, axis=1)
+        return out
+    left, right, margin, scale = products(a, b)
+    for to in range(0, len(b), COLUMNS):
+        starts = np.flatnonzero(np.diff(label[to : to + COLUMNS], prepend=-1))
+        for at in range(0, len(a), ROWS):
+            gaps = left[at : at + ROWS] @ right[to : to + COLUMNS].T
+            r, c = np.nonzero(gaps <= 1e7 * margin[at : at + ROWS, None])
+            np.sqrt(np.maximum(gaps, 0.0, out=gaps), out=gaps)
+            gaps /= scale
+            for some in range(0, len(r), COLUMNS * 16):
+                i, j = r[some : some + COLUMNS * 16], c[some : some + COLUMNS * 16]
+                gaps[i, j] = pair_distances(a[at + i], b[to + j])
+            gaps *= weight[to : to + COLUMNS]
+            out[at : at + ROWS, label[to + starts]] += np.add.reduceat(gaps, starts, axis=1)
+    return out
+
+
 def nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of, and distance to, the nearest centre; the lowest index wins ties."""
     gaps = distances(vectors, centres)

@@ -218,7 +218,7 @@ def ward_labels(centres: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def silhouette_points(
-    df: DataFrame, cluster: str = "cluster", vector: str = "vec", metric: str = "euclidean", block: int = blocks.BLOCK, tolerance: float = 0.005,
+    df: DataFrame, cluster: str = "cluster", vector: str = "vec", metric: str = "euclidean", block: int | None = None, tolerance: float = 0.005,
     cells: int = CELLS,
 ) -> DataFrame:
     """``(position, cluster, n, silhouette, error)``: one row per distinct labelled position, ``n`` points on it.
@@ -229,7 +229,7 @@ def silhouette_points(
     variance about it): the mean distance to a cell's points is at least the distance to their mean, and at most the root of its square plus
     the variance. That is linear for a number of ``cells``. Positions whose value is left open by more than ``tolerance``, all of
     them with a tolerance of 0, are compared with every position, block against block; each task sends on one
-    partial sum per position and cluster.
+    partial sum per position and cluster. ``block`` is the most positions of a block, if not those that keep what is sent small.
     """
     counted = df.groupBy(F.col(cluster).alias("cluster"), F.col(vector).alias("vec")).agg(F.count("*").alias("n"))
     positions = materialize(counted.withColumn("position", F.monotonically_increasing_id()), "positions")
@@ -240,7 +240,7 @@ def silhouette_points(
         raise ValueError(f"unknown metric {metric!r}")
     if tolerance <= 0:
         return _scored(_distance_sums(positions, positions, block)).select(*exact)
-    bounded = materialize(_scored(_bounded_sums(positions, cells, block)).withColumn("error", (F.col("high") - F.col("low")) / 2), "bounds")
+    bounded = materialize(_scored(_bounded_sums(positions, cells, block or blocks.BLOCK)).withColumn("error", (F.col("high") - F.col("low")) / 2), "bounds")
     wide = positions.join(bounded.where(F.col("error") > tolerance).select("position"), "position", "left_semi")
     settled = bounded.where(F.col("error") <= tolerance).select("position", "cluster", "n", ((F.col("low") + F.col("high")) / 2).alias("silhouette"), "error")
     return settled.unionAll(_scored(_distance_sums(wide, positions, block)).select(*exact))
@@ -267,7 +267,7 @@ def _scored(sums: DataFrame) -> DataFrame:
 
 
 def silhouette(
-    df: DataFrame, cluster: str = "cluster", vector: str = "vec", metric: str = "euclidean", block: int = blocks.BLOCK, tolerance: float = 0.005,
+    df: DataFrame, cluster: str = "cluster", vector: str = "vec", metric: str = "euclidean", block: int | None = None, tolerance: float = 0.005,
     cells: int = CELLS,
 ) -> DataFrame:
     """Mean silhouette over all points, as one row ``(silhouette, error, n_points)``; the true mean is within ``error``."""
@@ -366,9 +366,10 @@ def _squared_sums(positions: DataFrame) -> DataFrame:
     return met.select("position", "cluster", "n", F.transform("clusters", total).alias("per"))
 
 
-def _distance_sums(asked: DataFrame, positions: DataFrame, block: int) -> DataFrame:
+def _distance_sums(asked: DataFrame, positions: DataFrame, block: int | None) -> DataFrame:
     """Distance sums of the asked positions to each cluster, block against block."""
-    ours, theirs = blocks.block_count(asked.count(), block), blocks.block_count(positions.count(), block)
+    total = positions.count()
+    ours, theirs = blocks.block_count(asked.count(), block or blocks.own_block(total)), blocks.block_count(total, block or blocks.OTHERS)
     left = asked.withColumn("a", blocks.block_of(F.col("position"), ours)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))))
     # Both sides read one table: new names on this side keep its columns apart from the other's.
     right = positions.select(
@@ -383,11 +384,15 @@ def _distance_sums(asked: DataFrame, positions: DataFrame, block: int) -> DataFr
     def sums(rows: pd.DataFrame, against: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(against):
             return pd.DataFrame({name: [] for name in names})
-        gaps = blocks.distances(blocks.matrix(rows["vec"]), blocks.matrix(against["place"])) * against["weight"].to_numpy()
-        parts = []
-        for label, members in against.groupby("other").indices.items():
-            parts.append(rows[["position", "cluster", "n"]].assign(other=label, total=gaps[:, members].sum(axis=1)))
-        return pd.concat(parts)
+        groups = against.groupby("other").indices
+        label = np.full(len(against), -1)
+        for at, members in enumerate(groups.values()):
+            label[members] = at
+        named = label >= 0
+        if not named.any():
+            return pd.DataFrame({name: [] for name in names})
+        found = blocks.sums_by_label(blocks.matrix(rows["vec"]), blocks.matrix(against["place"])[named], against["weight"].to_numpy(dtype=float)[named], label[named], len(groups))
+        return pd.concat([rows[["position", "cluster", "n"]].assign(other=name, total=found[:, at]) for at, name in enumerate(groups)])
 
     partial = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(sums, schema)
     return _per_position(partial.withColumn("most", F.col("total")), positions)

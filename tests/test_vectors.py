@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
+from cohortlens.operators import blocks
 from cohortlens.operators import cluster as cl
 from cohortlens.operators import neighbors as nb
 from cohortlens.operators import reduce as rd
@@ -204,6 +205,22 @@ def test_silhouette_bounds_hold_for_every_point(spark):
     assert abs(np.mean([s for _, _, s, _ in found]) - true.mean()) <= np.mean([e for *_, e in found])
     assert min(s - e for _, _, s, e in found) <= true.min() and max(s + e for _, _, s, e in found) >= true.max()
 
+def test_sums_by_label_keep_the_digits_of_small_distances():
+    rng = np.random.default_rng(2)
+    label = rng.integers(0, 7, 5000)
+    points = rng.normal(0, 1e-4, (5000, 3)) + 1000.0 * label[:, None]
+    weight = rng.integers(1, 5, 5000).astype(float)
+    found = blocks.sums_by_label(points[:300], points, weight, label, 7)
+    gaps = blocks.distances(points[:300], points) * weight
+    assert np.allclose(found, np.stack([gaps[:, label == c].sum(axis=1) for c in range(7)], axis=1), rtol=1e-10, atol=0)
+
+
+def test_blocks_of_all_pairs_grow_with_the_points():
+    # What is sent is a copy of every point for each block of the other side.
+    for rows in (10_000, 600_000):
+        assert blocks.block_count(rows, blocks.own_block(rows)) <= 60 and blocks.block_count(rows, blocks.OTHERS) <= 12
+
+
 def direct_knn(points, k):
     gaps = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
     np.fill_diagonal(gaps, np.inf)
@@ -235,6 +252,34 @@ def test_knn_skips_far_cells(spark):
     assert nb._route(placed, placed_pivots, reach, 0).count() < 2 * len(points)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e160, 1e-200])
+def test_nearest_others_are_those_of_all_distances(scale):
+    rng = np.random.default_rng(0)
+    points = np.round(rng.normal(size=(1500, 4)), 1) * scale
+    points[5], points[9] = np.nan, np.inf
+    ids = np.where(np.arange(1500) < 1400, np.arange(1500), np.arange(1500) - 1400)  # some ids twice
+    with np.errstate(all="ignore"):
+        gaps = blocks.distances(points, points)
+        gaps[ids[:, None] == ids[None, :]] = np.inf
+        order = np.argsort(gaps, axis=1, kind="stable")[:, :7]
+        dist = np.take_along_axis(gaps, order, axis=1)
+        found = blocks.nearest_others(ids, points, ids, points, 7)
+    keep = np.isfinite(dist)
+    for got, true in zip(found, (np.repeat(np.arange(1500), keep.sum(axis=1)), order[keep], dist[keep])):
+        assert np.array_equal(got, true)
+
+
+def test_knn_sends_a_candidate_once_to_cells_that_share_a_block(spark):
+    points = np.random.default_rng(8).normal(size=(300, 6))
+    pivots = points[::10]
+    placed = blocks.with_nearest(frame(spark, points), pivots, "vec", "cell", "gap").cache()
+    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    bundle = nb._bundles(pivots, counts, 100)
+    assert sorted(set(bundle)) == list(range(bundle.max() + 1)) and 3 <= bundle.max() + 1 <= 6
+    reach = np.full(len(pivots), np.inf)
+    assert nb._route(placed, pivots, reach, 0, bundle=bundle).count() == 300 * (bundle.max() + 1)
+
+
 def test_knn_fewer_points_than_neighbours(spark):
     points = np.array([(0.0, 0.0), (1.0, 0.0), (5.0, 0.0)])
     assert knn(frame(spark, points), 15) == {0: [1, 2], 1: [0, 2], 2: [1, 0]}
