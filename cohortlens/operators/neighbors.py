@@ -24,7 +24,7 @@ SAMPLE = 256
 
 
 def knn_graph(
-    df: DataFrame, k: int = 15, method: str = "exact", vector: str = "vec", key: str = "id", probe: int = 4, block: int = blocks.BLOCK,
+    df: DataFrame, k: int = 15, method: str = "exact", vector: str = "vec", key: str = "id", probe: int = 4, block: int | None = None,
     pivots: int | None = None, recall: float = 0.9,
 ) -> DataFrame:
     """``(src, dst, dist, rank)``: the ``k`` nearest other points of every point, ties by lower key.
@@ -39,7 +39,8 @@ def knn_graph(
     around, so that a point lacks neighbours only where there are not ``k`` others. ``refine`` is approximate too, for many
     points in many dimensions: it improves lists round by round until they hardly change and ``recall`` is reached, with work that
     is bounded per point (:mod:`cohortlens.operators.refine`). The first two work block against block: a crowded cell is cut into blocks and no pair becomes
-    a row. ``pivots`` is the number of cells, at most ``MAX_PIVOTS``; a quarter of the
+    a row. Cells near each other share a block, and a candidate is sent to a block once, so that larger blocks send less. ``block`` is the most points of a
+    block, if not those that keep what is sent small; ``pivots`` is the number of cells, at most ``MAX_PIVOTS``; a quarter of the
     root of the number of points if not given.
 
     Of identical points only the ``k + 1`` with the lowest keys can be anyone's
@@ -60,21 +61,29 @@ def knn_graph(
 
     copies = Window.partitionBy("vec").orderBy("id")
     candidates = placed.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    # Cells in order along a path from each to the nearest one left, as many to a bundle as make a block.
+    size = block or blocks.own_block(total)
+    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    bundle = _bundles(pivots, counts, size)
     if method == "exact":
-        routed = _route(candidates, pivots, _reach(placed, candidates, pivots, k), probe)
+        routed = _route(candidates, pivots, _reach(placed, candidates, pivots, k), probe, bundle=bundle)
     else:
         candidates = materialize(candidates, "candidates")
         probe = _probe(placed, candidates, pivots, k, probe, recall)
         homes = {r["cell"]: r["count"] for r in candidates.groupBy("cell").count().collect()}
-        routed = _route(candidates, pivots, None, probe, _filled(homes, pivots, k))
-    routed = materialize(routed, "routed")
-
-    # Per cell: blocks of its own points, and blocks of the candidates sent to it. One row per cell.
-    own = {r["cell"]: blocks.block_count(r["count"], block) for r in placed.groupBy("cell").count().collect()}
-    sent = {r["target"]: blocks.block_count(r["count"], block) for r in routed.groupBy("target").count().collect()}
-    own_blocks = lookup([own.get(c, 1) for c in range(len(pivots))], F.col("cell"))
-    sent_blocks = lookup([sent.get(c, 1) for c in range(len(pivots))], F.col("cell"))
-    rows = placed.select("cell", "id", "vec").withColumn("a", blocks.block_of(F.col("id"), own_blocks))
+        routed = _route(candidates, pivots, None, probe, _filled(homes, pivots, k), bundle)
+
+    # Per bundle: blocks of its own points, and blocks of the candidates sent to it. One row per bundle.
+    mine = np.zeros(bundle.max(initial=0) + 1, dtype=int)
+    for cell, n in counts.items():
+        mine[bundle[cell]] += n
+    own = [blocks.block_count(int(n), 2 * size) for n in mine]
+    # Which bundles a candidate goes to is found twice, which is cheaper than to keep it with its vector.
+    sent = {r["target"]: blocks.block_count(r["count"], block or blocks.OTHERS) for r in routed.groupBy("target").count().collect()}
+    group = lookup([int(x) for x in bundle], F.col("cell"))
+    own_blocks = lookup(own, F.col("cell"))
+    sent_blocks = lookup([sent.get(c, 1) for c in range(len(own))], F.col("cell"))
+    rows = placed.select(group.alias("cell"), "id", "vec").withColumn("a", blocks.block_of(F.col("id"), own_blocks))
     rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0), sent_blocks - 1)))
     others = routed.select(F.col("target").alias("cell"), "id", "vec").withColumn("b", blocks.block_of(F.col("id"), sent_blocks))
     others = others.withColumn("a", F.explode(F.sequence(F.lit(0), own_blocks - 1)))
@@ -88,6 +97,22 @@ def knn_graph(
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _bundles(pivots: np.ndarray, counts: dict[int, int], size: int) -> np.ndarray:
+    """The bundle of each cell: cells along a path through the pivots, until they hold ``size`` points."""
+    out, left, at, held, number = np.zeros(len(pivots), dtype=int), np.ones(len(pivots), dtype=bool), 0, 0, 0
+    while left.any():
+        left[at] = False
+        own = counts.get(at, 0)
+        if held and held + own > size:
+            number, held = number + 1, 0
+        out[at], held = number, held + own
+        away = np.where(left, blocks.distances(pivots[at : at + 1], pivots)[0], np.inf)
+        at = int(away.argmin())
+        if not left[at] and left.any():  # no distance is a number
+            at = int(np.flatnonzero(left)[0])
+    return out
+
+
 def _reach(placed: DataFrame, candidates: DataFrame, pivots: np.ndarray, k: int) -> np.ndarray:
     """Per cell, a radius around its pivot outside which no candidate can be a neighbour of its points."""
     radius = np.zeros(len(pivots))
@@ -156,8 +181,8 @@ def _filled(homes: dict[int, int], pivots: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _route(candidates: DataFrame, pivots: np.ndarray, reach: np.ndarray | None, probe: int, filled: np.ndarray | None = None) -> DataFrame:
-    """Send each candidate to every cell that may need it."""
+def _route(candidates: DataFrame, pivots: np.ndarray, reach: np.ndarray | None, probe: int, filled: np.ndarray | None = None, bundle: np.ndarray | None = None) -> DataFrame:
+    """Send each candidate to every cell that may need it, or once to each bundle of cells."""
     id_type = candidates.schema["id"].dataType.simpleString()
 
     def send(batches):
@@ -166,12 +191,14 @@ def _route(candidates: DataFrame, pivots: np.ndarray, reach: np.ndarray | None,
                 part = pdf.iloc[at : at + blocks.BLOCK]
                 gaps = blocks.distances(blocks.matrix(part["vec"]), pivots)
                 if reach is not None:
-                    rows, targets = np.nonzero(gaps <= reach[None, :])
+                    sent = gaps <= reach[None, :]
                 else:
                     order = np.argsort(gaps, axis=1, kind="stable")
                     sent = filled[order[:, 0]] if filled is not None else np.zeros(gaps.shape, dtype=bool)
                     np.put_along_axis(sent, order[:, :probe], True, axis=1)
-                    rows, targets = np.nonzero(sent)
+                rows, targets = np.nonzero(sent)
+                if bundle is not None:
+                    rows, targets = np.divmod(np.unique(rows * len(pivots) + bundle[targets]), len(pivots))
                 yield pd.DataFrame({
                     "target": targets.astype("int32"),
                     "id": part["id"].to_numpy()[rows],
@@ -185,22 +212,13 @@ def _best(k: int):
     """The k nearest candidates of each point within one pair of blocks."""
 
     def best(points: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = {"src": [], "dst": [], "dist": []}
-        if len(points) and len(others):
-            others = others.sort_values("id")
-            theirs, ids = blocks.matrix(others["vec"]), others["id"].to_numpy()
-            mine, names = blocks.matrix(points["vec"]), points["id"].to_numpy()
-            for at in range(0, len(mine), 256):
-                gaps = blocks.distances(mine[at : at + 256], theirs)
-                gaps[names[at : at + 256, None] == ids[None, :]] = np.inf
-                # Candidates are in key order, so a stable sort settles ties by key.
-                order = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-                dist = np.take_along_axis(gaps, order, axis=1)
-                keep = np.isfinite(dist)
-                out["src"].append(np.repeat(names[at : at + 256], keep.sum(axis=1)))
-                out["dst"].append(ids[order[keep]])
-                out["dist"].append(dist[keep])
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
+        if not len(points) or not len(others):
+            return pd.DataFrame({"src": [], "dst": [], "dist": []})
+        # Candidates are in key order, which settles ties.
+        others = others.sort_values("id")
+        names, ids = points["id"].to_numpy(), others["id"].to_numpy()
+        rows, near, dist = blocks.nearest_others(names, blocks.matrix(points["vec"]), ids, blocks.matrix(others["vec"]), k)
+        return pd.DataFrame({"src": names[rows], "dst": ids[near], "dist": dist})
 
     return best
 
