@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators import frames as fr
 from cohortlens.operators import screen as sc
+from cohortlens.plans.views import Study
 
 
 def tables(spark, *rows):
@@ -169,3 +170,18 @@ def test_profile_and_rank(spark):
     assert {tuple(r) for r in fr.column_profile(frame).collect()} == {("a", 2), ("b", 1), ("c", 1)}
     ranked = fr.rank_desc(spark.createDataFrame([("p", 1.0), ("q", None), ("r", 1.0), ("s", 9.0)], "lab string, chi double"), "chi", "lab")
     assert [(r.rank, r.lab) for r in ranked.orderBy("rank").collect()] == [(0, "s"), (1, "p"), (2, "r"), (3, "q")]
+
+
+def test_labs_are_not_widened_before_their_patient_is_known(spark, tmp_path):
+    lines = [(1, 1, 50.0, "2024-01-02"), (1, 1, 10.0, "2024-01-01"), (2, 1, 20.0, "2024-01-05"), (3, 2, None, "2024-02-01"), (4, 2, 45.0, None), (9, 1, 1.0, "2024-01-01")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_quantity double, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, 7), (2, 7), (2, 7), (3, None), (4, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "Brand#1"), (2, "Brand#2")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    labs = Study(spark, str(tmp_path)).labs()
+    rows = {r.patient_id: r for r in labs.collect()}
+    assert {k: r.n_encounters for k, r in rows.items()} == {7: 2, None: 1, 8: 1}
+    assert (rows[7].lab_Brand1, rows[7].lab_Brand1_neg, rows[7].lab_Brand1_pos, str(rows[7].lab_Brand1_first), str(rows[7].lab_Brand1_last)) == (1, 3, 1, "2024-01-01", "2024-01-05")
+    assert (rows[None].lab_Brand2, rows[8].lab_Brand2, rows[8].lab_Brand2_pos, rows[8].lab_Brand2_first) == (None, 1, 1, None)
+    # Under the aggregate by patient there is the shuffle by patient and no other aggregate, which would hold a wide row for each line or order.
+    plan = labs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.index("Aggregate [") < plan.index("RepartitionByExpression [patient_id") and "distinct" not in plan
