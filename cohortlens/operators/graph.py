@@ -22,6 +22,8 @@ from cohortlens.session import discard, materialize, scratch_path
 GROWTH = 1e5
 # Edges of a bucket, at least, where there are several.
 BUCKET_EDGES = 250_000
+# Residual of coordinates beside the distance of their values, at most; values nearer to each other are equal.
+NEAR, EQUAL = 1e-3, 1e-9
 # Products of a cycle at most; products between two looks at the change; values that a clustering of one coordinate works on.
 CYCLE, LOOK, BINS = 64, 4, 2048
 
@@ -103,17 +105,31 @@ def spectral_embedding(
     far the values lie apart. A product is one join of stored buckets and one sum per vertex, partial before
     the only shuffle, and is written out. Sums are taken in double precision, so the
     partitioning changes last digits only; but where several values are equal, any mixture of their vectors is as good, and rounding chooses.
+
+    A component whose edges fit a bucket (``BUCKET_EDGES``) goes through the same cycles in the one task that holds it, where a product is no
+    job of its own; there it goes on until the residual is small beside the distance of the values as well, which close values need to be told apart.
     """
     spark, width = graph.sparkSession, dims + extra
     edges = materialize(both_ways(graph), "edges")
     degree = materialize(edges.groupBy("src").agg(F.sum("weight").alias("degree")), "degree")
     far = degree.select(F.col("src").alias("dst"), F.col("degree").alias("far"))
     scaled = edges.join(degree, "src").join(far, "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("degree") * F.col("far"))).alias("w"))
+    noise = [f"pmod(xxhash64(id, {i}), 1048576) / 1048576D - 0.5D AS x{i}" for i in range(width)]
+    names = [f"{prefix}{i + 1}" for i in range(dims)]
+    parts = materialize(components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "parts")
+    start = degree.withColumnRenamed("src", "id").join(parts, "id").selectExpr("id", "component", "sqrt(degree) AS root", *noise)
+    owned = scaled.join(parts.withColumnRenamed("id", "src"), "src")
+    sizes = materialize(owned.groupBy("component").agg(F.count("*").alias("links")), "sizes")
+    small, large = (sizes.where(f"links {sign} {BUCKET_EDGES}").select("component") for sign in ("<=", ">"))
+    near = materialize(_near(start.join(small, "component", "left_semi"), owned.join(small, "component", "left_semi"), width, dims, tolerance, most_products, names), "layout")
+    if large.isEmpty():
+        for table in (edges, degree, parts, sizes):
+            discard(spark, table)
+        return _signed(near, names)
+    start, scaled = start.join(large, "component", "left_semi"), owned.join(large, "component", "left_semi").select("src", "dst", "w")
     tables, kept = Bucketed(edges), Bucketed(edges)
     scaled = kept.store(scaled, "dst", "scaled")
-    noise = [f"pmod(xxhash64(id, {i}), 1048576) / 1048576D - 0.5D AS x{i}" for i in range(width)]
-    start = degree.withColumnRenamed("src", "id").join(components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "id")
-    state = tables.store(start.selectExpr("id", "component", "sqrt(degree) AS root", *noise), "id", "vectors")
+    state = tables.store(start, "id", "vectors")
     products = 0
     while True:
         xs, ys = [f"x{i}" for i in range(width)], [f"y{i}" for i in range(width)]
@@ -125,13 +141,12 @@ def spectral_embedding(
         worst = turns.agg(F.max("residual")).first()[0]
         turned = _turned(state, turns, width)
         if worst is None or worst <= tolerance or products >= most_products:
-            names = [f"{prefix}{i + 1}" for i in range(dims)]
             laid = materialize(turned.select("id", "component", "residual", *[F.col(f"x{i}").alias(n) for i, n in enumerate(names)]), "layout")
             tables.drop()
             kept.drop()
-            for table in (turns, edges, degree):
+            for table in (turns, edges, degree, parts, sizes):
                 discard(spark, table)
-            return _signed(laid, names)
+            return _signed(laid.unionByName(near), names)
         # Rows of a component whose degree is reached stay as they are. The first product is known already.
         first = [f"(y{i} - centre * x{i}) / half AS z{i}" for i in range(width)]
         state = tables.store(turned.selectExpr("id", "component", "root", "centre", "half", "degree", *xs, *first), "id", "vectors")
@@ -182,25 +197,66 @@ def _turns(state: DataFrame, width: int, dims: int) -> DataFrame:
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         gram = np.zeros(len(columns) ** 2)
         gram[pdf["at"].to_numpy()] = pdf["v"].to_numpy()
-        off, turn, residual, least, top = ritz(gram.reshape(len(columns), -1), width, dims)
-        half = (1.0 + least) / 2.0
-        apart = math.acosh(1.0 + 2.0 * max(top - least, 1e-12) / (1.0 + least))
-        # What rounding leaves of the trivial vector grows faster than the rest, and must stay small as well.
-        trivial = math.acosh(1.0 + 2.0 * (1.0 - least) / (1.0 + least))
-        degree = int(np.clip(min(math.log(GROWTH) / apart, math.log(1e12) / max(trivial, 1e-6)), 1, CYCLE))
+        off, turn, residual, least, top, _ = ritz(gram.reshape(len(columns), -1), width, dims)
+        centre, half, degree = polynomial(least, top)
         return pd.DataFrame({
             "component": [pdf["component"].iloc[0]], "off": [off.tolist()], "turn": [turn.ravel().tolist()], "residual": [residual],
-            "centre": [(least - 1.0) / 2.0], "half": [half], "degree": [degree],
+            "centre": [centre], "half": [half], "degree": [degree],
         })
 
     return cells.groupBy("component").applyInPandas(best, schema)
 
 
-def ritz(gram: np.ndarray, width: int, dims: int) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+def polynomial(least: float, top: float) -> tuple[float, float, int]:
+    """Centre, half width and degree of the next Chebyshev polynomial, from the least and the greatest value of a block."""
+    apart = math.acosh(1.0 + 2.0 * max(top - least, 1e-12) / (1.0 + least))
+    # What rounding leaves of the trivial vector grows faster than the rest, and must stay small as well.
+    trivial = math.acosh(1.0 + 2.0 * (1.0 - least) / (1.0 + least))
+    degree = int(np.clip(min(math.log(GROWTH) / apart, math.log(1e12) / max(trivial, 1e-6)), 1, CYCLE))
+    return (least - 1.0) / 2.0, (1.0 + least) / 2.0, degree
+
+
+def _near(vertices: DataFrame, links: DataFrame, width: int, dims: int, tolerance: float, most: int, names: list[str]) -> DataFrame:
+    """``(id, component, residual, <names>)`` of components whose edges fit a task: the cycles of :func:`spectral_embedding` on arrays."""
+
+    def lay(own: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("id")
+        ids = pd.Index(own["id"])
+        src, dst = ids.get_indexer(edges["src"]), ids.get_indexer(edges["dst"])
+        order = np.lexsort((dst, src))
+        w, dst = edges["w"].to_numpy()[order, None], dst[order]
+        # Every vertex has an edge.
+        starts = np.searchsorted(src[order], np.arange(len(own)))
+        root, x = own["root"].to_numpy()[:, None], own[[f"x{i}" for i in range(width)]].to_numpy()
+        products = 0
+        while True:
+            y = np.add.reduceat(w * x[dst], starts, axis=0)
+            products += 1
+            z = np.hstack([root, x, y])
+            off, turn, residual, least, top, gap = ritz(z.T @ z, width, dims)
+            x, y = (x - root * off) @ turn, (y - root * off) @ turn
+            if residual <= min(tolerance, NEAR * gap) or products >= most:
+                coordinates = dict(zip(names, x.T))
+                return pd.DataFrame({"id": own["id"], "component": own["component"], "residual": residual, **coordinates})
+            centre, half, degree = polynomial(least, top)
+            z = (y - centre * x) / half
+            for _ in range(2, degree + 1):
+                x, z = z, 2.0 * (np.add.reduceat(w * z[dst], starts, axis=0) - centre * z) / half - x
+                products += 1
+            x = z
+
+    fields = {f.name: f.dataType.simpleString() for f in vertices.schema.fields}
+    schema = f"id {fields['id']}, component {fields['component']}, residual double, " + ", ".join(f"{n} double" for n in names)
+    # Both sides come from one table: new names keep their columns apart.
+    return vertices.groupBy("component").cogroup(links.selectExpr("component AS of", "src", "dst", "w").groupBy("of")).applyInPandas(lay, schema)
+
+
+def ritz(gram: np.ndarray, width: int, dims: int) -> tuple[np.ndarray, np.ndarray, float, float, float, float]:
     """Best combinations of vectors ``X`` from the inner products of ``root | X | AX``.
 
     Returns the share of ``root`` in each vector, which is taken off first (``A`` leaves ``root`` as it is), the weights of the
-    combinations in order of falling value (zeros where there are none), the greatest residual of the first ``dims``, and the least and greatest value.
+    combinations in order of falling value (zeros where there are none), the greatest residual of the first ``dims``, the least and greatest value,
+    and how far the first ``dims`` values lie from each other and the next, but for those that are equal.
     """
     x, y = slice(1, width + 1), slice(width + 1, None)
     off = gram[0, x] / gram[0, 0]
@@ -211,7 +267,7 @@ def ritz(gram: np.ndarray, width: int, dims: int) -> tuple[np.ndarray, np.ndarra
     values, vectors = np.linalg.eigh(g / scale[:, None] / scale)
     sound = values > max(values[-1] * 1e-12, 1e-13)
     if not sound.any() or np.diag(g).max() <= 1e-18 * gram[0, 0]:
-        return off, np.zeros((width, width)), 0.0, 0.0, 1.0
+        return off, np.zeros((width, width)), 0.0, 0.0, 1.0, 1.0
     base = vectors[:, sound] / np.sqrt(values[sound]) / scale[:, None]
     found, mixed = np.linalg.eigh(base.T @ h @ base)
     weights = (base @ mixed)[:, ::-1]
@@ -220,7 +276,8 @@ def ritz(gram: np.ndarray, width: int, dims: int) -> tuple[np.ndarray, np.ndarra
     gaps = [max(w @ (k - 2 * t * h + t * t * g) @ w, 0.0) ** 0.5 for w, t in zip(weights.T[:wanted], found)]
     turn = np.zeros((width, width))
     turn[:, : weights.shape[1]] = weights
-    return off, turn, max(gaps), float(max(found[-1], -0.99)), float(found[0])
+    steps = -np.diff(found[: dims + 1])
+    return off, turn, max(gaps), float(max(found[-1], -0.99)), float(found[0]), float(steps[steps > EQUAL].min(initial=1.0))
 
 
 def _turned(state: DataFrame, turns: DataFrame, width: int) -> DataFrame:

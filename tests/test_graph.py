@@ -109,3 +109,17 @@ def test_least_squares_cuts():
 
     for k in (1, 2, 3, 4):
         assert loss(gr.least_squares_cuts(x, w, k)) == pytest.approx(min(map(loss, itertools.combinations(range(1, 9), k - 1))))
+
+
+def test_long_path_is_laid_out_in_the_task_that_holds_it(spark, monkeypatch):
+    # Close values: only a residual far below their distance tells the two vectors apart.
+    n = 1500
+    path = [(i, i + 1, 1.0) for i in range(n - 1)]
+    monkeypatch.setattr(gr, "Bucketed", None)  # no product is a job of its own
+    rows = gr.spectral_embedding(frame(spark, path), tolerance=1e-4).orderBy("id").collect()
+    place = np.arange(n)
+    root = np.where((place == 0) | (place == n - 1), 1.0, np.sqrt(2.0))
+    for k in (1, 2):
+        known = root * np.cos(np.pi * k * place / (n - 1))
+        found = np.array([r[f"Embedding_{k}"] for r in rows])
+        assert abs(found @ known) / np.linalg.norm(found) / np.linalg.norm(known) > 0.99999
