@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import forgetting, mix, pick
+from cohortlens.llm.common import forgetting, mix, pick, released
 from cohortlens.llm.labelled import Sample, held_out, labelled_sample
 
 BUCKETS, DIMENSIONS, EPOCHS = 1 << 16, 16, 6
@@ -135,7 +135,11 @@ def fit(labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], epochs: i
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float]:
     """Fit on a bounded sample; what reaches the driver is at most ``rows`` lists of bucket counts."""
     sample = Sample(counts(labelled_sample(docs, labels, label, rows, key, text)), ["buckets", "n"])
-    return fit(sample.labels, [(sample.numbers(0, i, "<u2"), sample.numbers(1, i, "<u4")) for i in range(len(sample))])
+    model = fit(sample.labels, [(sample.numbers(0, i, "<u2"), sample.numbers(1, i, "<u4")) for i in range(len(sample))])
+    # The driver goes on to later steps and holds nothing of the sample there.
+    del sample
+    released()
+    return model
 
 
 def score(model: tuple[np.ndarray, float], text: Column) -> Column:

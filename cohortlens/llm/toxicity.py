@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.llm.common import forgetting, pick, remembered
+from cohortlens.llm.common import forgetting, pick, released, remembered
 from cohortlens.llm.labelled import FIT_ROWS, Sample, held_out, labelled_sample
 
 SLOTS = 1 << 20
@@ -142,7 +142,11 @@ def fit(labels: np.ndarray, slots: list[np.ndarray], terms: int = TERMS, factors
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> Machine:
     """Fit on a bounded sample; what reaches the driver is at most ``rows`` lists of term slots."""
     sample = Sample(term_slots(labelled_sample(docs, labels, label, rows, key, text)), ["slots"])
-    return fit(sample.labels, [sample.numbers(0, i, "<i4") for i in range(len(sample))])
+    machine = fit(sample.labels, [sample.numbers(0, i, "<i4") for i in range(len(sample))])
+    # The driver goes on to later steps and holds nothing of the sample there.
+    del sample
+    released()
+    return machine
 
 
 def score(machine: Machine, text: Column) -> Column:
