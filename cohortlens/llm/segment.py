@@ -50,8 +50,11 @@ class Vocabulary:
         self.hashes = np.array(hashes, dtype=np.uint64)[order]
         self.id = np.array(normal)[order]
         self.weight = np.exp(sharpness * np.array([scores[i] for i in normal]))[order]
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        # Where the hashes of equal leading bits begin, -1 for none; how many follow each other at most.
+        leading = (self.hashes >> np.uint64(44)).astype(np.int64)
+        filled, begin, sizes = np.unique(leading, return_index=True, return_counts=True)
+        self.filter, self.begin, self.crowd = np.zeros(1 << 20, dtype=bool), np.full(1 << 20, -1, dtype=np.int32), int(sizes.max(initial=0))
+        self.filter[filled], self.begin[filled] = True, begin
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = self.model.unk_id()
         self.byte_weight = float(self.weight.min())
@@ -89,10 +92,16 @@ class Vocabulary:
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash among the pieces, -1 for none."""
         out = np.full(len(hashes), -1, dtype=np.int64)
-        maybe = np.flatnonzero(self.filter[(hashes >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes[maybe]
-        out[maybe[hit]] = at[hit]
+        leading = (hashes >> np.uint64(44)).view(np.int64)
+        maybe = np.flatnonzero(self.filter[leading])
+        at, wanted = self.begin[leading[maybe]], hashes[maybe]
+        for _ in range(self.crowd):
+            hit = self.hashes[at] == wanted
+            out[maybe[hit]] = at[hit]
+            rest = np.flatnonzero(~hit & (at + 1 < len(self.hashes)))
+            if not len(rest):
+                break
+            maybe, wanted, at = maybe[rest], wanted[rest], at[rest] + 1
         return out
 
 
@@ -111,6 +120,14 @@ def prefix_sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(points.astype(np.uint64)) * forth[:-1])]), back
 
 
+def counted(flags: np.ndarray) -> np.ndarray:
+    """How many flags of each row hold."""
+    if flags.shape[1] % 8:
+        return flags.sum(axis=1)
+    words = np.bitwise_count(flags.view(np.uint64)).astype(np.int64)
+    return words.sum(axis=1) if words.shape[1] > 2 else words[:, 0] + words[:, -1] * (words.shape[1] - 1)
+
+
 class Lattices:
     """The lattices of the distinct runs of some texts side by side.
 
@@ -154,22 +171,30 @@ class Lattices:
         size = 1 + (self.points[raw] >= 0x80) + (self.points[raw] >= 0x800) + (self.points[raw] >= 0x10000)
         self.p[raw, 0] = vocabulary_.byte_weight ** size.astype(float)
         ways = np.ones(n)
+        # As many columns as whole 64-bit words of flags; what is beyond the last length is above every draw.
+        self.cdf = np.full((n, -(-wide // 8) * 8), 2.0, dtype=np.float32)
         for d in range(1, longest + 1):
             at, m = int(self.level[d]), int(reach[d])
-            here = self.p[at : at + m]
+            # One length after the other, each a row of its own.
+            here = np.ascontiguousarray(self.p[at : at + m, : min(d, wide)].T)
             sum_ = np.zeros(m)
-            for i in range(min(d, wide)):
+            for i, row in enumerate(here):
                 on = int(self.level[d - i - 1])
-                here[:, i] *= ways[on : on + m]
-                sum_ += here[:, i]
-            here /= sum_[:, None]
+                row *= ways[on : on + m]
+                sum_ += row
+            here /= sum_
+            self.p[at : at + m, : len(here)] = here.T
             ways[at : at + m] = sum_
+            shares = here.astype(np.float32)
+            for i in range(1, len(shares)):
+                shares[i] += shares[i - 1]
+            self.cdf[at : at + m, : len(shares)] = shares.T
+            self.cdf[at : at + m, len(shares) : wide] = shares[-1][:, None]
             low = np.flatnonzero(sum_ < 1e-150)
             if len(low):  # only the next ``wide`` positions are still read
                 for i in range(min(d, wide) + 1):
                     ways[int(self.level[d - i]) + low] *= 1e150
-        self.cdf = np.cumsum(self.p, axis=1, dtype=np.float32)
-        self.choices = (self.p > 0).sum(axis=1)
+        self.choices = counted(self.p > 0)
 
     def draw(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one random path per start node to its run's end: path number and edge, in order."""
@@ -183,7 +208,7 @@ class Lattices:
                 break
             with np.errstate(over="ignore"):
                 u = uniforms(mix(seeds[owner] + np.uint64(step) * GOLDEN))
-            size = (self.cdf[node] <= u[:, None].astype(np.float32)).sum(axis=1)
+            size = counted(self.cdf[node] <= u[:, None].astype(np.float32))
             over = np.flatnonzero(size >= self.wide)
             for i in over:  # the sum of the shares fell short of u by rounding
                 size[i] = np.flatnonzero(self.p[node[i]])[-1]

@@ -36,3 +36,29 @@ def test_released_memory_goes_back_to_the_machine():
     del kept
     released()
     assert private_mb() < before + 40
+
+
+def test_flags_are_counted_by_row():
+    rng = np.random.default_rng(1)
+    for shape in ((0, 16), (7, 8), (50, 16), (9, 24), (5, 13)):
+        flags = rng.random(shape) < 0.4
+        assert segment.counted(flags).tolist() == flags.sum(axis=1).tolist()
+
+
+def test_pieces_are_found_by_their_hashes():
+    voc = segment.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), "rank", 1.0)
+    assert voc.crowd > 1  # some hashes share their leading bits
+    assert voc.find(voc.hashes).tolist() == list(range(len(voc.hashes)))
+    near = np.concatenate([voc.hashes + np.uint64(1), voc.hashes ^ np.uint64(1 << 50), np.array([0, 2**64 - 1], dtype=np.uint64)])
+    place = {int(h): i for i, h in enumerate(voc.hashes)}
+    assert voc.find(near).tolist() == [place.get(int(h), -1) for h in near]
+
+
+def test_shares_of_a_lattice_add_up():
+    voc = segment.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), "rank", 1.0)
+    lattices = segment.Lattices(voc, ["▁segmentation", "▁of", "▁☃words", "a"])
+    inner = lattices.left > 0
+    wide = lattices.wide
+    assert (lattices.cdf[inner, :wide] == np.cumsum(lattices.p[inner], axis=1, dtype=np.float32)).all()
+    assert lattices.cdf.shape[1] % 8 == 0 and (lattices.cdf[:, wide:] > 1).all()
+    assert lattices.choices.tolist() == (lattices.p > 0).sum(axis=1).tolist()
