@@ -327,21 +327,26 @@ def graph_cluster(graph: DataFrame, k: int = 2, change: float = 1e-5, most_produ
     cut. Fewer labels come out if there are fewer different values.
     """
     edges = materialize(both_ways(graph), "edges")
-    tables, kept = Bucketed(edges), Bucketed(edges)
+    kept = Bucketed(edges)
     degree = materialize(edges.groupBy("src").agg(F.sum("weight").alias("degree")), "degree")
-    scaled = kept.store(edges.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("w")), "dst", "scaled")
     if degree.isEmpty():
         return degree.select(F.col("src").alias("id"), F.lit(0).alias("cluster"))
+    # A loop without weight, which edges never are, hands each vertex its last values along with the sum.
+    loops = degree.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("w"))
+    scaled = edges.join(degree, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("w")).unionAll(loops)
+    scaled = kept.store(scaled, "dst", "scaled")
     # Averages keep the range of the start, values between 0 and 1; their sum is about n / 2 throughout.
-    state = tables.store(degree.selectExpr("src AS id", "pmod(xxhash64(src), 1048576) / 1048576D AS v", "0D AS step", "1D AS speed"), "id", "values")
-    for product in range(1, most_products + 1):
-        moved = state.join(_pulled(scaled, state, ["v"], ["next"]), "id")
-        state = tables.store(moved.selectExpr("id", "next AS v", "abs(next - v) AS step", "abs(abs(next - v) - step) AS speed"), "id", "values")
-        tables.drop(keep=1)
-        if product % LOOK == 0 and state.agg(F.max("speed")).first()[0] <= change / 2:
+    values = materialize(degree.selectExpr("src AS id", "pmod(xxhash64(src), 1048576) / 1048576D AS v"), "values")
+    for done in range(0, most_products, LOOK):
+        steps = min(LOOK, most_products - done)
+        moved = values.select("id", "v")
+        for step in range(steps):
+            moved = _averaged(scaled, moved, keep=steps - step <= 2)
+        fresh = materialize(moved, "values")
+        discard(values.sparkSession, values)
+        values = fresh
+        if steps == LOOK and values.agg(F.max(F.abs(F.abs(F.col("v") - F.col("last")) - F.abs(F.col("last") - F.col("older"))))).first()[0] <= change / 2:
             break
-    values = materialize(state.select("id", "v"), "values")
-    tables.drop()
     kept.drop()
     low, high = values.agg(F.min("v"), F.max("v")).first()
     if high <= low:
@@ -353,6 +358,12 @@ def graph_cluster(graph: DataFrame, k: int = 2, change: float = 1e-5, most_produ
     return values.select("id", label.cast("int").alias("cluster"))
 
 
+def _averaged(scaled: DataFrame, state: DataFrame, keep: bool) -> DataFrame:
+    """``(id, v)``: each vertex's average over its neighbours, and to ``keep`` them its value before as ``last`` and that one's ``last`` as ``older``."""
+    own = [F.max(F.when(F.col("src") == F.col("dst"), F.col(c))).alias(n) for c, n in (("v", "last"), ("last", "older")) if keep and c in state.columns]
+    return scaled.join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("v")).alias("v"), *own)
+
+
 def least_squares_cuts(x: np.ndarray, weight: np.ndarray, k: int) -> list[int]:
     """Where to cut ascending weighted values into at most ``k`` ranges with the least sum of squares about their means."""
     n, k = len(x), min(k, len(x))

@@ -123,3 +123,25 @@ def test_long_path_is_laid_out_in_the_task_that_holds_it(spark, monkeypatch):
         known = root * np.cos(np.pi * k * place / (n - 1))
         found = np.array([r[f"Embedding_{k}"] for r in rows])
         assert abs(found @ known) / np.linalg.norm(found) / np.linalg.norm(known) > 0.99999
+
+
+def test_products_of_a_clustering_are_stored_once_per_look(spark, monkeypatch):
+    cliques = [(a + 10 * c, b + 10 * c, 1.0) for c in (0, 1) for a in range(5) for b in range(a)]
+    edges = spark.createDataFrame([*cliques, (0, 10, 0.01)], "src long, dst long, weight double")
+    stored, store = [], gr.Bucketed.store
+    monkeypatch.setattr(gr.Bucketed, "store", lambda self, df, key, label: stored.append(label) or store(self, df, key, label))
+    found = {r["id"]: r["cluster"] for r in gr.graph_cluster(edges).collect()}
+    assert stored == ["scaled"]
+    assert len({found[i] for i in range(5)}) == len({found[10 + i] for i in range(5)}) == 1 and found[0] != found[10]
+
+
+def test_averages_keep_the_values_before(spark):
+    w = [(1, 2, 0.5), (1, 3, 0.5), (2, 1, 1.0), (3, 1, 1.0), (1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)]
+    scaled = spark.createDataFrame(w, "src long, dst long, w double")
+    state = spark.createDataFrame([(1, 0.25), (2, 0.5), (3, 1.0)], "id long, v double")
+    once = gr._averaged(scaled, state, keep=False)
+    assert {tuple(r) for r in once.collect()} == {(1, 0.75), (2, 0.25), (3, 0.25)}
+    twice = gr._averaged(scaled, once, keep=True)
+    assert {tuple(r) for r in twice.collect()} == {(1, 0.25, 0.75), (2, 0.75, 0.25), (3, 0.75, 0.25)}
+    thrice = gr._averaged(scaled, twice, keep=True)
+    assert {(r["id"], r["v"], r["last"], r["older"]) for r in thrice.collect()} == {(1, 0.75, 0.25, 0.75), (2, 0.25, 0.75, 0.25), (3, 0.25, 0.75, 0.25)}
