@@ -19,7 +19,7 @@ from cohortlens.llm.common import GOLDEN, mix, pick, remembered, uniforms
 # Sampled segmentations per text; how sharply they follow the piece weights.
 SAMPLES, SHARPNESS = 2, 1.0
 # Characters of text sampled side by side.
-SLICE = 1_000_000
+SLICE = 2_000_000
 _BASE, _BACK = int(GOLDEN), pow(int(GOLDEN), -1, 1 << 64)
 
 
@@ -131,10 +131,10 @@ def counted(flags: np.ndarray) -> np.ndarray:
 class Lattices:
     """The lattices of the distinct runs of some texts side by side.
 
-    A node is a position in a run, its end included; edge ``node * wide + length - 1`` leads ``length``
-    characters on. Its probability is conditional: weight of all ways on through it over weight of all ways on from
-    the node. Those sums run from the ends to the starts of all runs at once and are rescaled on the way, so
-    runs of any length are safe.
+    A node is a position in a run, its end included; positions with the same characters up to the end are one node. Edge
+    ``node * wide + length - 1`` leads ``length`` characters on, to ``on[node, length - 1]``. Its probability is conditional: weight
+    of all ways on through it over weight of all ways on from the node. Those sums run from the ends to the starts of all runs at
+    once and are rescaled on the way, so runs of any length are safe.
     """
 
     def __init__(self, vocabulary_: Vocabulary, runs: list[str]):
@@ -143,18 +143,32 @@ class Lattices:
         lengths = np.array([len(r) for r in distinct], dtype=np.int64)
         longest, wide = int(lengths.max(initial=0)), vocabulary_.longest
         self.wide = wide
-        # Nodes are numbered by their distance to the run's end, and by run, the longest first, within a distance:
-        # node ``level[d] + r``. Everything at one distance then lies together.
-        reach = np.searchsorted(-lengths, -np.arange(longest + 1), side="right")  # runs of at least that length
-        self.level = np.concatenate([[0], np.cumsum(reach)])
-        n = int(self.level[-1])
-        self.left = np.repeat(np.arange(longest + 1), reach)
-        run = np.arange(n) - self.level[self.left]
-        self.first = dict(zip(distinct, (self.level[lengths] + np.arange(len(distinct))).tolist()))
         points = np.frombuffer("\0".join([*distinct, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         stop = np.cumsum(lengths + 1) - 1
-        place = stop[run] - self.left if n else run  # of each node in ``points``
+        # Nodes are numbered by their distance to the run's end, so that everything at one distance lies together.
+        reach = np.searchsorted(-lengths, -np.arange(longest + 1), side="right")  # runs of at least that length
+        at, ends, next_, places = np.zeros(len(distinct), dtype=np.int64), np.zeros(len(distinct), dtype=np.int64), [], []
+        level = [0, min(1, len(distinct))]
+        if len(distinct):
+            next_.append(np.zeros(1, dtype=np.int64)), places.append(stop[:1])
+        for d in range(1, longest + 1):
+            here = at[: reach[d]]
+            _, one, which = np.unique(here << 21 | points[stop[: reach[d]] - d], return_index=True, return_inverse=True)
+            next_.append(here[one]), places.append(stop[one] - d)
+            here[:] = level[d] + which
+            level.append(level[d] + len(one))
+            ends[reach[d + 1] if d < longest else 0 : reach[d]] = here[reach[d + 1] if d < longest else 0 :]
+        self.level = np.array(level)
+        n = level[-1]
+        self.left = np.repeat(np.arange(longest + 1), np.diff(self.level[: longest + 2]))
+        self.first = dict(zip(distinct, ends.tolist()))
+        place = np.concatenate([*places, np.zeros(0, dtype=np.int64)])  # of each node in ``points``
         self.points = points[place]
+        self.on = np.zeros((n, wide), dtype=np.int32)
+        for d in range(1, longest + 1):
+            here = slice(level[d], level[d + 1])
+            self.on[here, 0] = next_[d]
+            self.on[here, 1:] = self.on[next_[d], :-1]
         total, back = prefix_sums(points)
         start, back = total[place], back[place]
         self.p = np.zeros((n, wide))
@@ -170,17 +184,23 @@ class Lattices:
         raw = np.flatnonzero((self.piece[:, 0] < 0) & (self.left > 0))
         size = 1 + (self.points[raw] >= 0x80) + (self.points[raw] >= 0x800) + (self.points[raw] >= 0x10000)
         self.p[raw, 0] = vocabulary_.byte_weight ** size.astype(float)
-        ways = np.ones(n)
+        # A node's ways on are ``ways * 1e-150 ** scale``.
+        ways, scale = np.ones(n), np.zeros(n, dtype=np.int64)
         # As many columns as whole 64-bit words of flags; what is beyond the last length is above every draw.
         self.cdf = np.full((n, -(-wide // 8) * 8), 2.0, dtype=np.float32)
         for d in range(1, longest + 1):
-            at, m = int(self.level[d]), int(reach[d])
+            at, m = level[d], level[d + 1] - level[d]
             # One length after the other, each a row of its own.
             here = np.ascontiguousarray(self.p[at : at + m, : min(d, wide)].T)
+            on = np.ascontiguousarray(self.on[at : at + m, : len(here)].T)
+            base = 0
+            if scale[level[max(0, d - wide)] : at].any():
+                lower = np.where(here > 0, scale[on], np.iinfo(np.int64).max)
+                base = lower.min(axis=0)
+                here *= 1e-150 ** np.minimum(lower - base, 3).astype(float)
             sum_ = np.zeros(m)
-            for i, row in enumerate(here):
-                on = int(self.level[d - i - 1])
-                row *= ways[on : on + m]
+            for to, row in zip(on, here):
+                row *= ways[to]
                 sum_ += row
             here /= sum_
             self.p[at : at + m, : len(here)] = here.T
@@ -190,10 +210,10 @@ class Lattices:
                 shares[i] += shares[i - 1]
             self.cdf[at : at + m, : len(shares)] = shares.T
             self.cdf[at : at + m, len(shares) : wide] = shares[-1][:, None]
-            low = np.flatnonzero(sum_ < 1e-150)
-            if len(low):  # only the next ``wide`` positions are still read
-                for i in range(min(d, wide) + 1):
-                    ways[int(self.level[d - i]) + low] *= 1e150
+            low = sum_ < 1e-150
+            if low.any() or np.any(base):
+                scale[at : at + m] = base + low
+                ways[at : at + m][low] *= 1e150
         self.choices = counted(self.p > 0)
 
     def draw(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +228,7 @@ class Lattices:
                 break
             with np.errstate(over="ignore"):
                 u = uniforms(mix(seeds[owner] + np.uint64(step) * GOLDEN))
-            size = counted(self.cdf[node] <= u[:, None].astype(np.float32))
+            size = counted(np.take(self.cdf, node, axis=0) <= u[:, None].astype(np.float32))
             over = np.flatnonzero(size >= self.wide)
             for i in over:  # the sum of the shares fell short of u by rounding
                 size[i] = np.flatnonzero(self.p[node[i]])[-1]
@@ -225,24 +245,29 @@ class Lattices:
 
     def after(self, node: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The node ``size`` characters on."""
-        d = self.left[node]
-        return self.level[d - size] + node - self.level[d]
+        return self.on[node, size - 1]
 
     def ends(self, edges: np.ndarray) -> np.ndarray:
         return self.after(edges // self.wide, edges % self.wide + 1)
 
-    def packed(self, edges: np.ndarray) -> bytes:
-        """Ids of a path as little-endian 32-bit numbers."""
+    def packed(self, paths: list[np.ndarray]) -> list[bytes]:
+        """Ids of each path as little-endian 32-bit numbers."""
+        edges = np.concatenate([*paths, np.zeros(0, dtype=np.int64)])
         ids = self.piece.ravel()[edges]
         raw = np.flatnonzero(ids < 0)
-        if not len(raw):
-            return ids.astype("<u4").tobytes()
-        out, done = [], 0
-        for i in raw.tolist():
-            out.append(ids[done:i])
-            out.append(self.vocabulary.spelled(chr(int(self.points[edges[i] // self.wide]))))
-            done = i + 1
-        return np.concatenate([*out, ids[done:]]).astype("<u4").tobytes()
+        chars, which = np.unique(self.points[edges[raw] // self.wide], return_inverse=True)
+        spelled = [self.vocabulary.spelled(chr(c)) for c in chars.tolist()]
+        sizes = np.array([len(s) for s in spelled], dtype=np.int64)[which]
+        # Where each edge's ids begin.
+        room = np.ones(len(ids) + 1, dtype=np.int64)
+        room[raw] = sizes
+        begin = np.cumsum(room) - room
+        out = np.repeat(ids.astype("<u4"), room[:-1])
+        for i in range(int(sizes.max(initial=0))):
+            own = np.flatnonzero(sizes > i)
+            out[begin[raw[own]] + i] = np.array([s[i] if i < len(s) else 0 for s in spelled], dtype="<u4")[which[own]]
+        stops = begin[np.cumsum([0, *map(len, paths)])].tolist()
+        return [out[a:b].tobytes() for a, b in zip(stops, stops[1:])]
 
 
 def gumbel_below(mass: np.ndarray, u: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -299,7 +324,8 @@ def top_k(lattices: Lattices, free: list[tuple[np.ndarray, np.ndarray]], first:
             mass = before + np.log(np.maximum(0.0, 1.0 - gone))
         # An edge without alternative leaves nothing, whatever rounding makes of it; nor do edges of the set's fixed beginning.
         mass[(used >= lattices.choices[edges // lattices.wide]) | (position < from_[text])] = -np.inf
-        values = gumbel_below(mass, uniforms(mix(own[number][text] ^ mix(position.astype(np.uint64)))), bound[text])
+        values, some = np.full(len(mass), -np.inf), np.flatnonzero(mass > -np.inf)
+        values[some] = gumbel_below(mass[some], uniforms(mix(own[number][text[some]] ^ mix(position[some].astype(np.uint64)))), bound[text[some]])
         rounds.append((values, begin, paths, runs, from_.copy(), barred))
         best = np.full((number + 1, n), -np.inf)
         for j, (v, b, *_) in enumerate(rounds):
@@ -367,22 +393,21 @@ def segmentations(
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, sample int, ids binary, n_pieces bigint, log_prob double, perturbed double, inclusion double"
 
-    def sampled(names: list, texts: list[str | None]) -> Iterator[tuple]:
+    def sampled(names: list, texts: list[str | None]) -> list[tuple]:
         voc = vocabulary(path, prior, sharpness)
         split = [voc.split(t) if t else [] for t in texts]
         every = [r for s in split for r in s]
         lattices = Lattices(voc, every)
         seeds = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{n}".encode()) for n in names], dtype=np.uint64)
         counts = np.array([len(s) for s in split], dtype=np.int64)
-        nodes = np.array([lattices.first[r] for r in every], dtype=np.int64)
+        nodes = np.array(list(map(lattices.first.__getitem__, every)), dtype=np.int64)
         first = np.concatenate([[0], np.cumsum(counts)])
         within = np.arange(len(every)) - np.repeat(first[:-1], counts)
         own = np.repeat(seeds, counts)
         free = [lattices.draw(nodes, mix(own ^ mix(within.astype(np.uint64) * np.uint64(k) + np.uint64(number)))) for number in range(k)]
-        for i, samples in enumerate(top_k(lattices, free, first, k, seeds)):
-            for number, (edges, logp, g, inclusion) in enumerate(samples):
-                data = lattices.packed(edges) if len(edges) else b""
-                yield i, number + 1, data, len(data) // 4, logp, g, inclusion
+        drawn = [(i, number, *sample) for i, samples in enumerate(top_k(lattices, free, first, k, seeds)) for number, sample in enumerate(samples, 1)]
+        packed = lattices.packed([edges for _, _, edges, *_ in drawn])
+        return [(i, number, data, len(data) // 4, *rest) for (i, number, _, *rest), data in zip(drawn, packed)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -62,3 +62,29 @@ def test_shares_of_a_lattice_add_up():
     assert (lattices.cdf[inner, :wide] == np.cumsum(lattices.p[inner], axis=1, dtype=np.float32)).all()
     assert lattices.cdf.shape[1] % 8 == 0 and (lattices.cdf[:, wide:] > 1).all()
     assert lattices.choices.tolist() == (lattices.p > 0).sum(axis=1).tolist()
+
+
+def test_equal_endings_are_one_node():
+    voc = segment.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), "rank", 1.0)
+    runs = ["▁walking", "▁talking", "king", "☃" * 900 + "king", "a" + "☃" * 900 + "king", "▁" * 3]
+    lattices = segment.Lattices(voc, runs)
+    assert len(lattices.left) == len({r[i:] for r in runs for i in range(len(r) + 1)})
+    inner = lattices.left > 0
+    assert np.allclose(lattices.p[inner].sum(axis=1), 1.0, atol=1e-12)
+    for run in runs:  # as in a lattice of its own
+        alone, node = segment.Lattices(voc, [run]), lattices.first[run]
+        own = alone.first[run]
+        while lattices.left[node] > 0:
+            assert np.allclose(lattices.p[node], alone.p[own], atol=1e-12) and (lattices.piece[node] == alone.piece[own]).all()
+            node, own = int(lattices.after(np.array([node]), np.array([1]))[0]), int(alone.after(np.array([own]), np.array([1]))[0])
+
+
+def test_paths_are_packed_together():
+    voc = segment.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), "rank", 1.0)
+    runs = ["▁some", "☃\U0001f600é", "▁กwords"]
+    lattices = segment.Lattices(voc, runs)
+    owner, edges = lattices.draw(np.array([lattices.first[r] for r in runs]), np.arange(3, dtype=np.uint64))
+    paths = [edges[owner == i] for i in range(3)]
+    packed = lattices.packed([paths[0], edges[:0], paths[1], paths[2]])
+    assert packed[1] == b"" and [voc.model.decode(np.frombuffer(b, "<u4").tolist()) for b in packed] == [r.replace("▁", " ").strip() for r in (runs[0], "", *runs[1:])]
+    assert lattices.packed([]) == []
