@@ -152,6 +152,22 @@ def sums_by_label(a: np.ndarray, b: np.ndarray, weight: np.ndarray, label: np.nd
     return out
 
 
+def bundles(pivots: np.ndarray, counts: dict[int, int], size: int) -> np.ndarray:
+    """The bundle of each cell: cells along a path through the pivots, until they hold ``size`` points."""
+    out, left, at, held, number = np.zeros(len(pivots), dtype=int), np.ones(len(pivots), dtype=bool), 0, 0, 0
+    while left.any():
+        left[at] = False
+        own = counts.get(at, 0)
+        if held and held + own > size:
+            number, held = number + 1, 0
+        out[at], held = number, held + own
+        away = np.where(left, distances(pivots[at : at + 1], pivots)[0], np.inf)
+        at = int(away.argmin())
+        if not left[at] and left.any():  # no distance is a number
+            at = int(np.flatnonzero(left)[0])
+    return out
+
+
 def nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of, and distance to, the nearest centre; the lowest index wins ties."""
     gaps = distances(vectors, centres)

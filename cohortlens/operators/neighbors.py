@@ -21,6 +21,7 @@ from cohortlens.session import materialize
 MAX_PIVOTS = 2048
 # Points whose true neighbours are found by brute force, to choose how many cells ``probe`` looks into.
 SAMPLE = 256
+_bundles = blocks.bundles
 
 
 def knn_graph(
@@ -97,22 +98,6 @@ def knn_graph(
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _bundles(pivots: np.ndarray, counts: dict[int, int], size: int) -> np.ndarray:
-    """The bundle of each cell: cells along a path through the pivots, until they hold ``size`` points."""
-    out, left, at, held, number = np.zeros(len(pivots), dtype=int), np.ones(len(pivots), dtype=bool), 0, 0, 0
-    while left.any():
-        left[at] = False
-        own = counts.get(at, 0)
-        if held and held + own > size:
-            number, held = number + 1, 0
-        out[at], held = number, held + own
-        away = np.where(left, blocks.distances(pivots[at : at + 1], pivots)[0], np.inf)
-        at = int(away.argmin())
-        if not left[at] and left.any():  # no distance is a number
-            at = int(np.flatnonzero(left)[0])
-    return out
-
-
 def _reach(placed: DataFrame, candidates: DataFrame, pivots: np.ndarray, k: int) -> np.ndarray:
     """Per cell, a radius around its pivot outside which no candidate can be a neighbour of its points."""
     radius = np.zeros(len(pivots))

@@ -1,7 +1,8 @@
 """Nearest neighbours by refinement: lists from sorted blocks, then neighbours of neighbours, until few lists change.
 
 The work per point is bounded: a few blocks it is compared within, and per round the pairs among one point's neighbours
-and those that name it. No step compares all points with all, whatever their number or dimension.
+and those that name it. No step compares all points with all, whatever their number or dimension. A round sends a point's
+vector once to each home, a group of points near each other, in which something new is to be compared with it.
 """
 
 from __future__ import annotations
@@ -14,13 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.columns import lookup
 from cohortlens.operators import blocks
 from cohortlens.session import discard, materialize
 
 # Points of a sorted block; orders to begin with; projections of an order and cuts of each; points the cuts are chosen on.
 BLOCK, ORDERS, PROJECTIONS, CUTS, SAMPLE = 512, 3, 8, 15, 4096
+# Numbers in the vectors of a home at most, its least points, most cells that homes are made of.
+HOME, LEAST, CELLS = 1 << 19, 512, 1024
 # Rounds at most; share of list entries that a last round changes; points whose true neighbours are looked up to measure recall.
 ROUNDS, FEW, ASKED = 12, 0.005, 256
+# An entry of a list: ``dst`` at home ``there`` is near ``id`` at home ``home``.
+ENTRY = ("id", "home", "dst", "there", "dist", "new")
 
 
 def refined_knn(points: DataFrame, k: int, recall: float = 0.9) -> DataFrame:
@@ -37,7 +43,7 @@ def refined_knn(points: DataFrame, k: int, recall: float = 0.9) -> DataFrame:
     spark = points.sparkSession
     copies = Window.partitionBy("vec").orderBy("id")
     numbered = materialize(points.select("id", "vec").withColumn("copy", F.row_number().over(copies)), "points")
-    few = materialize(numbered.where(F.col("copy") <= k + 1).select("id", "vec"), "points")
+    few = _at_home(numbered.where(F.col("copy") <= k + 1).select("id", "vec"))
     truth = _true_lists(few, k)
     lists, orders, fresh = None, 0, ORDERS
     while True:
@@ -61,6 +67,34 @@ def refined_knn(points: DataFrame, k: int, recall: float = 0.9) -> DataFrame:
     return ranked.unionAll(more.select("src", "dst", F.lit(0.0).alias("dist"), "rank"))
 
 
+def _at_home(points: DataFrame) -> DataFrame:
+    """``(id, vec, home)``: points of neighbouring cells share a home; components as floats where that changes none of them."""
+    exact, total = points.agg(F.min(F.forall("vec", lambda x: x.cast("float").cast("double").eqNullSafe(x))), F.count("*")).first()
+    if exact:
+        points = points.withColumn("vec", F.col("vec").cast("array<float>"))
+    sample = points.orderBy(F.xxhash64("id", F.lit(-2)), "id").limit(max(1, min(CELLS, math.isqrt(total) // 2))).collect()
+    if not sample:
+        return points.withColumn("home", F.lit(0))
+    pivots = np.unique(np.array([r["vec"] for r in sample], dtype=float), axis=0)
+    size = max(LEAST, min(HOME // max(1, pivots.shape[1]), total // blocks.SIDES))
+    kind = points.schema["id"].dataType.simpleString()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            cell = [blocks.nearest(x[at : at + blocks.BLOCK], pivots)[0] for at in range(0, len(x), blocks.BLOCK)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*cell, np.zeros(0, int)]), pa.int32())], names=["id", "vec", "cell"])
+
+    placed = materialize(points.mapInArrow(near, f"id {kind}, vec {points.schema['vec'].dataType.simpleString()}, cell int"), "points")
+    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    bundle = blocks.bundles(pivots, counts, size)
+    held = np.bincount(bundle, [counts.get(c, 0) for c in range(len(bundle))])
+    parts = np.maximum(1, -(-held // size)).astype(int)
+    first = np.cumsum(parts) - parts
+    begin, share = (lookup([int(v[b]) for b in bundle], F.col("cell")) for v in (first, parts))
+    return placed.select("id", "vec", (begin + F.pmod(F.xxhash64("id"), share)).cast("int").alias("home"))
+
+
 def _replace(old: DataFrame | None, new: DataFrame) -> DataFrame:
     stored = materialize(new, "lists")
     if old is not None:
@@ -69,8 +103,9 @@ def _replace(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def _merged(entries: DataFrame, k: int) -> DataFrame:
-    """Lists of the ``k`` nearest, as rows ``(id, dst, dist, new)``; an entry that was known before is not new."""
-    each = entries.repartition("id").groupBy("id", "dst").agg(F.min("dist").alias("dist"), F.min("new").alias("new"))
+    """Lists of the ``k`` nearest, as rows ``(id, home, dst, there, dist, new)``; an entry that was known before is not new."""
+    least = [F.min(c).alias(c) for c in ("home", "there", "dist", "new")]
+    each = entries.repartition("id").groupBy("id", "dst").agg(*least).select(*ENTRY)
     nearest = Window.partitionBy("id").orderBy("dist", "dst")
     return each.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n")
 
@@ -79,7 +114,7 @@ def _merged(entries: DataFrame, k: int) -> DataFrame:
 
 
 def _in_sorted_blocks(points: DataFrame, k: int, number: int) -> DataFrame:
-    """Entries ``(id, dst, dist, new)``: the nearest within blocks of points that are neighbours along the ``number``-th curve.
+    """Entries: the nearest within blocks of points that are neighbours along the ``number``-th curve.
 
     A curve sorts points by the interleaved bits of ``PROJECTIONS`` random projections, each cut at the ``CUTS`` inner quantiles
     of a sample, after rotating the roles of the projections.
@@ -87,7 +122,7 @@ def _in_sorted_blocks(points: DataFrame, k: int, number: int) -> DataFrame:
     sample = np.array([r[0] for r in points.orderBy(F.xxhash64("id", F.lit(number)), "id").limit(SAMPLE).select("vec").collect()])
     kind = points.schema["id"].dataType.simpleString()
     if not len(sample):
-        return points.sparkSession.createDataFrame([], f"id {kind}, dst {kind}, dist double, new boolean")
+        return points.sparkSession.createDataFrame([], f"id {kind}, home int, dst {kind}, there int, dist double, new boolean")
     axes = np.random.default_rng(number).normal(size=(sample.shape[1], PROJECTIONS))
     cuts = np.quantile(sample @ axes, np.arange(1, CUTS + 1) / (CUTS + 1), axis=0)
 
@@ -99,22 +134,27 @@ def _in_sorted_blocks(points: DataFrame, k: int, number: int) -> DataFrame:
             for bit in reversed(range(4)):
                 for j in range(PROJECTIONS):
                     key = key << 1 | cells[:, j] >> bit & 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key)], names=["id", "vec", "key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], names=["id", "vec", "home", "key"])
 
-    placed = points.mapInArrow(keyed, f"id {kind}, vec array<double>, key long")
+    wide = points.schema["vec"].dataType.simpleString()
+    placed = points.mapInArrow(keyed, f"id {kind}, vec {wide}, home int, key long")
     parts = max(1, math.ceil(points.count() / (16 * BLOCK)))
     dealt = placed.repartitionByRange(parts, "key", F.xxhash64("id")).sortWithinPartitions("key", F.xxhash64("id"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in _blocks(batches):
+        for ids, x, homes in _blocks(batches):
             near, dist = _nearest_in_block(ids, x, k)
-            own = np.repeat(np.arange(len(ids)), near.shape[1])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), ids.take(pa.array(near.ravel())), pa.array(dist.ravel())], names=["id", "dst", "dist"])
+            yield pa.RecordBatch.from_arrays(_entries(ids, homes, np.repeat(np.arange(len(ids)), near.shape[1]), near.ravel(), dist.ravel()), names=ENTRY[:-1])
+
+    return dealt.select("id", "vec", "home").mapInArrow(search, f"id {kind}, home int, dst {kind}, there int, dist double").withColumn("new", F.lit(True))
 
-    return dealt.select("id", "vec").mapInArrow(search, f"id {kind}, dst {kind}, dist double").withColumn("new", F.lit(True))
 
+def _entries(ids: pa.Array, homes: pa.Array, src: np.ndarray, dst: np.ndarray, dist: np.ndarray) -> list[pa.Array]:
+    src, dst = pa.array(src), pa.array(dst)
+    return [ids.take(src), homes.take(src), ids.take(dst), homes.take(dst), pa.array(dist)]
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, pa.Array]]:
     """Consecutive rows in blocks of ``BLOCK``; the last one of a task takes what is left, up to half a block more."""
     held, rows = [], 0
     for batch in batches:
@@ -128,12 +168,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
         yield _block(pa.Table.from_batches(held).combine_chunks())
 
 
-def _block(table: pa.Table) -> tuple[pa.Array, np.ndarray]:
-    return table.column(0).combine_chunks(), _matrix(table.column(1).combine_chunks())
+def _block(table: pa.Table) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    ids, vectors, homes = (_whole(table, i) for i in range(3))
+    return ids, _matrix(vectors), homes
+
+
+def _whole(table: pa.Table, column: int | str) -> pa.Array:
+    found = table.column(column).combine_chunks()
+    return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) else found
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
     return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
 
 
@@ -149,62 +195,86 @@ def _nearest_in_block(ids: pa.Array, x: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def _compared(lists: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """Entries ``(id, dst, dist, new)``: pairs found nearer than the farthest of their lists, around points with something new in theirs."""
+    """Entries: pairs found nearer than the farthest of their lists, around points with something new in theirs."""
     kind = points.schema["id"].dataType.simpleString()
-    entries = lists.select(F.col("id").alias("at"), F.col("dst").alias("member"), "dist", "new")
-    named = entries.select(F.col("member").alias("at"), F.col("at").alias("member"), "dist", "new")
+    around, sent = _sent(lists, points, k)
+    found = around.groupBy("home").cogroup(sent.groupBy("to")).applyInArrow(_pairs(k), f"id {kind}, home int, dst {kind}, there int, dist double")
+    return found.withColumn("new", F.lit(True))
+
+
+def _sent(lists: DataFrame, points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """``(home, at, member, new)``, the points to be compared around each, and ``(to, name, vec, there, worst)``, what is sent to a home for it.
+
+    The lists of a home's points meet in one task, with the vector of each point in them once, however many of them hold it.
+    """
+    entries = lists.select("home", F.col("id").alias("at"), F.col("dst").alias("member"), "new")
+    named = lists.select(F.col("there").alias("home"), F.col("dst").alias("at"), F.col("id").alias("member"), "dist", "new")
     # The rank's limit is applied before the shuffle as well, so that a point that many name costs no more than others.
     nearest = Window.partitionBy("at").orderBy(F.desc("new"), "dist", "member")
-    named = named.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n")
-    around = entries.unionAll(named.select("at", "member", "dist", "new")).groupBy("at", "member").agg(F.max("new").alias("new"))
-    active = around.groupBy("at").agg(F.max("new").alias("any")).where("any").select("at")
-    worst = lists.groupBy(F.col("id").alias("member")).agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("worst"))
-    members = around.join(active, "at").join(worst, "member").join(points.select(F.col("id").alias("member"), "vec"), "member")
-    grouped = members.repartition("at").sortWithinPartitions("at", "member").select("at", "member", "new", "worst", "vec")
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
-            at = table.column(0).to_numpy()
-            ids = table.column(1).combine_chunks()
-            x = _matrix(table.column(4).combine_chunks())
-            new, worst = table.column(2).to_numpy(), table.column(3).to_numpy()
-            starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            sizes = np.diff(np.append(starts, len(at)))
-            src, dst, gap = [], [], []
-            for size in np.unique(sizes[sizes > 1]):  # groups of one size side by side
-                own = starts[sizes == size][:, None] + np.arange(size)
-                for part in np.array_split(own, -(-len(own) * size * size * x.shape[1] // (1 << 24)) or 1):
-                    diff = x[part][:, :, None, :] - x[part][:, None, :, :]
-                    dist = np.sqrt(np.einsum("gijd,gijd->gij", diff, diff))
-                    worth = (new[part][:, :, None] | new[part][:, None, :]) & (dist < worst[part][:, :, None])
-                    worth[:, np.arange(size), np.arange(size)] = False
-                    g, i, j = np.nonzero(worth)
-                    src.append(part[g, i])
-                    dst.append(part[g, j])
-                    gap.append(dist[g, i, j])
-            if src and sum(map(len, src)):
-                src, dst, gap = np.concatenate(src), np.concatenate(dst), np.concatenate(gap)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(src)), ids.take(pa.array(dst)), pa.array(gap)], names=["id", "dst", "dist"])
-
-    return grouped.mapInArrow(pairs, f"id {kind}, dst {kind}, dist double").withColumn("new", F.lit(True))
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows in order, never part of a group (equal first column, a bounded number of rows) apart from the rest of it."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-        at = held.column(0).to_numpy()
-        change = np.flatnonzero(at[1:] != at[:-1])
-        if len(change):
-            cut = int(change[-1]) + 1
-            yield held.slice(0, cut).combine_chunks()
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield held.combine_chunks()
+    named = named.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).select(*entries.columns)
+    dealt = entries.unionAll(named).repartition("home").withColumn("any", F.max("new").over(Window.partitionBy("home", "at")))
+    around = dealt.where("any").drop("any")
+    worst = lists.groupBy(F.col("id").alias("name")).agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("worst"))
+    known = points.select(F.col("id").alias("name"), "vec", F.col("home").alias("there")).join(worst, "name")
+    sent = around.select(F.col("home").alias("to"), F.col("member").alias("name")).distinct().join(known, "name")
+    return around, sent
+
+
+def _pairs(k: int):
+    """Pairs of a home, of each point the ``k`` nearest only, since no list takes more."""
+
+    def pairs(around: pa.Table, sent: pa.Table) -> pa.Table:
+        names = _whole(sent, "name").to_numpy(zero_copy_only=False)
+        order = np.argsort(names, kind="stable")
+        names, sent = names[order], sent.take(pa.array(order))
+        member = _whole(around, "member").to_numpy(zero_copy_only=False)
+        # A key may have several rows.
+        one = np.append(True, names[1:] != names[:-1])[: len(names)]
+        code, begin = np.cumsum(one) - 1, np.searchsorted(names, member)
+        rows = np.searchsorted(names, member, side="right") - begin
+        of = np.repeat(np.arange(len(member)), rows)
+        place = np.arange(len(of)) + np.repeat(begin - (np.cumsum(rows) - rows), rows)
+        at = np.unique(_whole(around, "at").to_numpy(zero_copy_only=False), return_inverse=True)[1].reshape(-1)[of]
+        new = _whole(around, "new").to_numpy(zero_copy_only=False).astype(bool)[of]
+        # A member may be in a point's list and name it as well.
+        order = np.lexsort((~new, place, at))
+        at, place, new = at[order], place[order], new[order]
+        once = np.append(True, (at[1:] != at[:-1]) | (place[1:] != place[:-1]))[: len(at)]
+        at, place, new = at[once], place[once], new[once]
+        x, worst = _matrix(_whole(sent, "vec")), _whole(sent, "worst").to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+        sizes = np.diff(np.append(starts, len(at)))
+        found, held = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))], 0
+        for size in np.unique(sizes[sizes > 1]):  # groups of one size side by side
+            own = starts[sizes == size][:, None] + np.arange(size)
+            for part in np.array_split(own, -(-len(own) * size * size * x.shape[1] // (1 << 22)) or 1):
+                row, fresh = place[part], new[part]
+                diff = x[row][:, :, None, :] - x[row][:, None, :, :]
+                dist = np.sqrt(np.einsum("gijd,gijd->gij", diff, diff))
+                worth = (fresh[:, :, None] | fresh[:, None, :]) & (dist < worst[row][:, :, None])
+                worth[:, np.arange(size), np.arange(size)] = False
+                g, i, j = np.nonzero(worth)
+                found.append((code[row[g, i]], code[row[g, j]], dist[g, i, j]))
+                held += len(g)
+                if held > HOME:
+                    found, held = [_nearest_each(found, k)], 0
+        first = sent.filter(pa.array(one))
+        return pa.Table.from_arrays(_entries(_whole(first, "name"), _whole(first, "there"), *_nearest_each(found, k)), names=ENTRY[:-1])
+
+    return pairs
+
+
+def _nearest_each(found: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs ``(src, dst, dist)``, each once, the ``k`` nearest of every ``src``; ties by lower ``dst``."""
+    src, dst, dist = (np.concatenate(v) for v in zip(*found))
+    order = np.lexsort((dist, dst, src))
+    src, dst, dist = src[order], dst[order], dist[order]
+    once = np.append(True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1]))[: len(src)]
+    src, dst, dist = src[once], dst[once], dist[once]
+    order = np.lexsort((dst, dist, src))
+    src, dst, dist = src[order], dst[order], dist[order]
+    near = np.arange(len(src)) - np.searchsorted(src, src) < k
+    return src[near], dst[near], dist[near]
 
 
 # --- recall --------------------------------------------------------------------------

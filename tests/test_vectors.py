@@ -360,3 +360,40 @@ def test_fuzzy_weights(spark):
         a, b = half.get((i, j), 0.0), half.get((j, i), 0.0)
         assert weights[min(i, j), max(i, j)] == pytest.approx(a + b - a * b, abs=1e-6)
     assert all(0 < w <= 1 + 1e-12 for w in weights.values())
+
+
+def test_knn_refine_round_sends_a_vector_once_to_a_home(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from cohortlens.operators import refine
+
+    monkeypatch.setattr(refine, "LEAST", 32)
+    rng, k = np.random.default_rng(4), 4
+    centres = rng.normal(size=(6, 5)) * 20
+    at = (centres[np.arange(240) % 6] + rng.normal(size=(240, 5))).astype(np.float32).astype(float)
+    few = refine._at_home(frame(spark, at)).cache()
+    home = {r["id"]: r["home"] for r in few.collect()}
+    assert few.schema["vec"].dataType.simpleString() == "array<float>" and len(set(home.values())) > 4
+    gap = lambda a, b: float(np.sqrt(((at[a] - at[b]) ** 2).sum()))
+    lists = {a: {int(b): bool(rng.random() < 0.2) for b in rng.choice(np.flatnonzero((np.arange(240) % 6 == a % 6) & (np.arange(240) != a)), k, replace=False)} for a in range(240)}
+    rows = [(a, home[a], b, home[b], gap(a, b), new) for a, own in lists.items() for b, new in own.items()]
+    table = spark.createDataFrame(rows, "id long, home int, dst long, there int, dist double, new boolean")
+    around, sent = refine._sent(table, few, k)
+    pairs = [(r["to"], r["name"]) for r in sent.select("to", "name").collect()]
+    assert len(pairs) == len(set(pairs)) and 2 * len(pairs) < around.count()
+    named = {}
+    for a, own in lists.items():
+        for b, new in own.items():
+            named.setdefault(b, []).append((not new, gap(a, b), a))
+    found = {a: {(gap(a, b), b): False for b in own} for a, own in lists.items()}
+    for a, own in lists.items():
+        members = dict(own)
+        for old, _, b in sorted(named.get(a, []))[:k]:
+            members[b] = members.get(b, False) or not old
+        for x, y in ((x, y) for x in members for y in members if x != y and (members[x] or members[y])):
+            if gap(x, y) < max(gap(x, b) for b in lists[x]):
+                found[x].setdefault((gap(x, y), y), True)
+    expected = {(a, b, new) for a, own in found.items() for (_, b), new in sorted(own.items())[:k]}
+    merged = refine._merged(refine._compared(table, few, k).unionAll(table.withColumn("new", F.lit(False))), k)
+    assert {(r["id"], r["dst"], r["new"]) for r in merged.collect()} == expected
+    assert all((r["home"], r["there"]) == (home[r["id"]], home[r["dst"]]) for r in merged.collect())
