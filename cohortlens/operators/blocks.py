@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ BLOCK = 2048
 # Where all meet all, points of a block on the one side and on the other at most; a point is sent once to each block of the other side, so that
 # larger blocks mean less to send. Fewer points give smaller blocks on the one side, about ``SIDES`` of them, so that there are tasks enough.
 OWN, OTHERS, SIDES = 16_384, 65_536, 24
+# Rounding of single precision.
+_ROUGH = float(np.finfo(np.float32).eps)
 # Rows and columns of a product of two blocks that are looked at together.
 ROWS, COLUMNS = 512, 4096
 
@@ -39,6 +42,15 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, 0))
 
 
+def arrow_matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The same of an Arrow column of lists, all equally long; a null component is NaN."""
+    whole = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = whole.value_lengths()
+    if sizes.null_count or len(sizes.unique()) > 1:
+        raise ValueError("vectors are null or differ in length")
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(whole), -1) if len(whole) else np.zeros((0, 0))
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of two blocks, summed coordinate by coordinate (no cancellation)."""
     total = np.zeros((len(a), len(b)))
@@ -84,43 +96,68 @@ def pair_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def nearest_others(names: np.ndarray, mine: np.ndarray, ids: np.ndarray, theirs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row of mine, row of theirs, distance)`` of the ``k`` nearest with another id, ties by the lower row of theirs.
 
-    Products find what may be near enough, margins included; that alone is measured by coordinate. Points that are not finite have no neighbours and are none.
+    Products find what may be near enough, margins included, in single precision where its margin is small beside the distances; only what is left
+    at the end is measured by coordinate. Points that are not finite have no neighbours and are none.
     """
     own, other = np.flatnonzero(np.isfinite(mine).all(axis=1)), np.flatnonzero(np.isfinite(theirs).all(axis=1))
     if not len(own) or not len(other):
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     x, y = mine[own], theirs[other]
     left, right, margin, scale = products(x, y)
+    rough, rough_right, rough_margin = left.astype(np.float32), right.astype(np.float32), margin * (_ROUGH / np.finfo(float).eps) + 1e-30
     # Rows of theirs that a row of mine may have to leave out.
     copies = int(pd.Series(ids).value_counts(dropna=False).max())
     out = []
     for at in range(0, len(x), ROWS):
-        part, slack = left[at : at + ROWS], margin[at : at + ROWS]
+        part, against, slack = left[at : at + ROWS], right, margin[at : at + ROWS]
         bound = np.full(len(part), np.inf)
-        rows, cols, dist = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        rows, cols, gap = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         for to in range(0, len(y), COLUMNS):
-            gaps = part @ right[to : to + COLUMNS].T
+            gaps = part @ against[to : to + COLUMNS].T
             if not to and gaps.shape[1] > k + copies:
                 bound = np.partition(gaps, k + copies - 1, axis=1)[:, k + copies - 1] + 2 * slack
-            r, c = np.nonzero(gaps <= bound[:, None])
+            # Rounded up, where products are in single precision.
+            r, c = np.nonzero(gaps <= (bound * (1 + _ROUGH)).astype(gaps.dtype)[:, None])
             apart = names[own[at + r]] != ids[other[to + c]]
-            r, c = r[apart], c[apart] + to
-            if not len(r):
-                continue
-            gap = pair_distances(x[at + r], y[c])
-            sound = np.isfinite(gap)
-            rows, cols, dist = np.concatenate([rows, r[sound]]), np.concatenate([cols, c[sound]]), np.concatenate([dist, gap[sound]])
-            order = np.lexsort((cols, dist, rows))
-            rows, cols, dist = rows[order], cols[order], dist[order]
-            first = np.searchsorted(rows, np.arange(len(part) + 1))
-            kept = np.arange(len(rows)) - first[rows] < k
-            full = np.flatnonzero(np.diff(first) >= k)
-            bound[full] = np.minimum(bound[full], (dist[first[full] + k - 1] * scale) ** 2 * (1 + 1e-12) + slack[full])
-            rows, cols, dist = rows[kept], cols[kept], dist[kept]
+            r, c = r[apart], c[apart]
+            if len(r):
+                rows, cols, gap = np.concatenate([rows, r]), np.concatenate([cols, c + to]), np.concatenate([gap, gaps[r, c]])
+                # Who is measured k-th is no farther than who is k-th by products, but for the slack of either.
+                rows, cols, gap, last = _first(rows, cols, gap, len(part), k, 2 * slack)
+                bound = np.minimum(bound, last + 2 * slack)
+                if len(rows) > 8 * k * len(part):
+                    rows, cols, dist = _measured(x, y, at, rows, cols, k)
+                    gap = (dist * scale) ** 2
+            if not to and np.median(rough_margin[at : at + ROWS]) <= 1e-2 * np.median(bound):
+                part, against, slack = rough[at : at + ROWS], rough_right, rough_margin[at : at + ROWS]
+                bound = bound + 2 * slack
+        rows, cols, dist = _measured(x, y, at, rows, cols, k)
         out.append((own[at + rows], other[cols], dist))
     return tuple(np.concatenate(v) for v in zip(*out))
 
 
+def _first(rows: np.ndarray, cols: np.ndarray, gap: np.ndarray, n: int, k: int, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of ``n`` rows, what is at most ``more`` beyond the ``k``-th gap, and that gap (infinite where there are fewer)."""
+    order = np.lexsort((gap, rows))
+    rows, cols, gap = rows[order], cols[order], gap[order]
+    first = np.searchsorted(rows, np.arange(n + 1))
+    full = np.flatnonzero(np.diff(first) >= k)
+    last = np.full(n, np.inf)
+    last[full] = gap[first[full] + k - 1]
+    kept = gap <= (last + more)[rows]
+    return rows[kept], cols[kept], gap[kept], last
+
+
+def _measured(x: np.ndarray, y: np.ndarray, at: int, rows: np.ndarray, cols: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row, the ``k`` nearest measured by coordinate, ties by the lower column; rows count from ``at``."""
+    dist = np.concatenate([pair_distances(x[at + rows[i : i + COLUMNS]], y[cols[i : i + COLUMNS]]) for i in range(0, len(rows), COLUMNS)] or [np.zeros(0)])
+    sound = np.flatnonzero(np.isfinite(dist))
+    order = sound[np.lexsort((cols[sound], dist[sound], rows[sound]))]
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], cols[kept], dist[kept]
+
+
 def sums_by_label(a: np.ndarray, b: np.ndarray, weight: np.ndarray, label: np.ndarray, labels: int) -> np.ndarray:
     """Per row of ``a`` and label, the weighted sum of the distances to the rows of ``b`` with that label (``0 .. labels - 1``).
 

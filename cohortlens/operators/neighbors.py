@@ -60,27 +60,29 @@ def knn_graph(
     pivots = np.unique(pivots, axis=0)
     placed = materialize(blocks.with_nearest(points, pivots, "vec", "cell", "gap"), "cells")
 
-    copies = Window.partitionBy("vec").orderBy("id")
-    candidates = placed.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    # By a hash first, as numbers are sorted faster than vectors.
+    copies = Window.partitionBy(F.xxhash64("vec"), "vec").orderBy("id")
+    candidates = materialize(placed.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy"), "candidates")
     # Cells in order along a path from each to the nearest one left, as many to a bundle as make a block.
     size = block or blocks.own_block(total)
     counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
     bundle = _bundles(pivots, counts, size)
+    reach, filled = None, None
     if method == "exact":
-        routed = _route(candidates, pivots, _reach(placed, candidates, pivots, k), probe, bundle=bundle)
+        reach = _reach(placed, candidates, pivots, k)
     else:
-        candidates = materialize(candidates, "candidates")
         probe = _probe(placed, candidates, pivots, k, probe, recall)
         homes = {r["cell"]: r["count"] for r in candidates.groupBy("cell").count().collect()}
-        routed = _route(candidates, pivots, None, probe, _filled(homes, pivots, k), bundle)
+        filled = _filled(homes, pivots, k)
+    routed = _route(candidates, pivots, reach, probe, filled, bundle)
 
     # Per bundle: blocks of its own points, and blocks of the candidates sent to it. One row per bundle.
     mine = np.zeros(bundle.max(initial=0) + 1, dtype=int)
     for cell, n in counts.items():
         mine[bundle[cell]] += n
     own = [blocks.block_count(int(n), 2 * size) for n in mine]
-    # Which bundles a candidate goes to is found twice, which is cheaper than to keep it with its vector.
-    sent = {r["target"]: blocks.block_count(r["count"], block or blocks.OTHERS) for r in routed.groupBy("target").count().collect()}
+    # Which bundles a candidate goes to is found twice, the first time only to count them, which is cheaper than to keep it with its vector.
+    sent = {r["target"]: blocks.block_count(r["n"], block or blocks.OTHERS) for r in _sent(candidates, pivots, reach, probe, filled, bundle).collect()}
     group = lookup([int(x) for x in bundle], F.col("cell"))
     own_blocks = lookup(own, F.col("cell"))
     sent_blocks = lookup([sent.get(c, 1) for c in range(len(own))], F.col("cell"))
@@ -92,7 +94,7 @@ def knn_graph(
     found = (
         rows.groupBy("cell", "a", "b")
         .cogroup(others.groupBy("cell", "a", "b"))
-        .applyInPandas(_best(k), f"src {id_type}, dst {id_type}, dist double")
+        .applyInArrow(_best(k), f"src {id_type}, dst {id_type}, dist double")
     )
     order = Window.partitionBy("src").orderBy("dist", "dst")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -166,44 +168,68 @@ def _filled(homes: dict[int, int], pivots: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _targets(pivots: np.ndarray, reach: np.ndarray | None, probe: int, filled: np.ndarray | None, bundle: np.ndarray | None):
+    """For an Arrow batch of candidates, part by part: the part, and which of its rows go to which cell, or bundle of cells."""
+
+    def targets(batch: pa.RecordBatch):
+        for at in range(0, batch.num_rows, blocks.BLOCK):
+            part = batch.slice(at, blocks.BLOCK)
+            gaps = blocks.distances(blocks.arrow_matrix(part.column("vec")), pivots)
+            if reach is not None:
+                sent = gaps <= reach[None, :]
+            else:
+                order = np.argsort(gaps, axis=1, kind="stable")
+                sent = filled[order[:, 0]] if filled is not None else np.zeros(gaps.shape, dtype=bool)
+                np.put_along_axis(sent, order[:, :probe], True, axis=1)
+            rows, to = np.nonzero(sent)
+            if bundle is not None:
+                rows, to = np.divmod(np.unique(rows * len(pivots) + bundle[to]), len(pivots))
+            yield part, rows, to
+
+    return targets
+
+
 def _route(candidates: DataFrame, pivots: np.ndarray, reach: np.ndarray | None, probe: int, filled: np.ndarray | None = None, bundle: np.ndarray | None = None) -> DataFrame:
     """Send each candidate to every cell that may need it, or once to each bundle of cells."""
     id_type = candidates.schema["id"].dataType.simpleString()
+    targets = _targets(pivots, reach, probe, filled, bundle)
 
     def send(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), blocks.BLOCK):
-                part = pdf.iloc[at : at + blocks.BLOCK]
-                gaps = blocks.distances(blocks.matrix(part["vec"]), pivots)
-                if reach is not None:
-                    sent = gaps <= reach[None, :]
-                else:
-                    order = np.argsort(gaps, axis=1, kind="stable")
-                    sent = filled[order[:, 0]] if filled is not None else np.zeros(gaps.shape, dtype=bool)
-                    np.put_along_axis(sent, order[:, :probe], True, axis=1)
-                rows, targets = np.nonzero(sent)
-                if bundle is not None:
-                    rows, targets = np.divmod(np.unique(rows * len(pivots) + bundle[targets]), len(pivots))
-                yield pd.DataFrame({
-                    "target": targets.astype("int32"),
-                    "id": part["id"].to_numpy()[rows],
-                    "vec": part["vec"].to_numpy()[rows],
-                })
+        for batch in batches:
+            for part, rows, to in targets(batch):
+                for some in range(0, len(rows), 8 * blocks.BLOCK):
+                    sent = part.take(pa.array(rows[some : some + 8 * blocks.BLOCK]))
+                    yield pa.RecordBatch.from_arrays([pa.array(to[some : some + 8 * blocks.BLOCK], pa.int32()), *sent.columns], names=["target", "id", "vec"])
+
+    return candidates.select("id", "vec").mapInArrow(send, f"target int, id {id_type}, vec array<double>")
+
+
+def _sent(candidates: DataFrame, pivots: np.ndarray, reach: np.ndarray | None, probe: int, filled: np.ndarray | None = None, bundle: np.ndarray | None = None) -> DataFrame:
+    """``target, n``: how many candidates :func:`_route` sends there."""
+    targets = _targets(pivots, reach, probe, filled, bundle)
+
+    def count(batches):
+        total = np.zeros(len(pivots), dtype=np.int64)
+        for batch in batches:
+            for _, _, to in targets(batch):
+                total += np.bincount(to, minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["target", "n"])
 
-    return candidates.select("id", "vec").mapInPandas(send, f"target int, id {id_type}, vec array<double>")
+    return candidates.select("vec").mapInArrow(count, "target int, n bigint").groupBy("target").agg(F.sum("n").alias("n"))
 
 
 def _best(k: int):
     """The k nearest candidates of each point within one pair of blocks."""
 
-    def best(points: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        if not len(points) or not len(others):
-            return pd.DataFrame({"src": [], "dst": [], "dist": []})
+    def best(points: pa.Table, others: pa.Table) -> pa.Table:
         # Candidates are in key order, which settles ties.
-        others = others.sort_values("id")
-        names, ids = points["id"].to_numpy(), others["id"].to_numpy()
-        rows, near, dist = blocks.nearest_others(names, blocks.matrix(points["vec"]), ids, blocks.matrix(others["vec"]), k)
-        return pd.DataFrame({"src": names[rows], "dst": ids[near], "dist": dist})
+        ids = others.column("id").to_pandas().sort_values()
+        others, ids, names = others.take(pa.array(ids.index.to_numpy())), ids.to_numpy(), points.column("id").to_pandas().to_numpy()
+        rows, near, dist = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        if len(names) and len(ids):
+            rows, near, dist = blocks.nearest_others(names, blocks.arrow_matrix(points.column("vec")), ids, blocks.arrow_matrix(others.column("vec")), k)
+        return pa.table({"src": points.column("id").take(pa.array(rows)), "dst": others.column("id").take(pa.array(near)), "dist": dist})
 
     return best
 

@@ -269,6 +269,40 @@ def test_nearest_others_are_those_of_all_distances(scale):
         assert np.array_equal(got, true)
 
 
+def test_nearest_others_measures_little_more_than_it_returns(monkeypatch):
+    points = np.random.default_rng(3).normal(size=(20_000, 16)).astype(np.float32).astype(float)
+    measured, plain = [], blocks.pair_distances
+    monkeypatch.setattr(blocks, "pair_distances", lambda a, b: measured.append(len(a)) or plain(a, b))
+    ids = np.arange(len(points))
+    rows, near, dist = blocks.nearest_others(ids[:600], points[:600], ids, points, 10)
+    gaps = blocks.distances(points[:600], points)
+    gaps[ids[:600], ids[:600]] = np.inf
+    true = np.argsort(gaps, axis=1, kind="stable")[:, :10]
+    assert np.array_equal(near, true.ravel()) and np.array_equal(dist, np.take_along_axis(gaps, true, axis=1).ravel())
+    assert sum(measured) < 1.5 * len(rows)
+
+
+@pytest.mark.parametrize("spread", [1e-9, 1e-5, 1e-2])
+def test_nearest_others_in_crowds_far_from_each_other(spread):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(5, 8))[rng.integers(0, 5, 9000)] + spread * rng.normal(size=(9000, 8))
+    ids = np.arange(9000)
+    rows, near, dist = blocks.nearest_others(ids[:700], points[:700], ids, points, 6)
+    gaps = blocks.distances(points[:700], points)
+    gaps[ids[:700], ids[:700]] = np.inf
+    assert np.array_equal(near, np.argsort(gaps, axis=1, kind="stable")[:, :6].ravel())
+
+
+def test_knn_counts_candidates_without_sending_them(spark):
+    points = np.random.default_rng(8).normal(size=(300, 6))
+    pivots = points[::10]
+    bundle = np.arange(len(pivots)) // 8
+    placed = frame(spark, points)
+    for reach, filled in ((np.linspace(0.5, 3.0, len(pivots)), None), (None, np.zeros((len(pivots), len(pivots)), dtype=bool))):
+        sent = {r["target"]: r["count"] for r in nb._route(placed, pivots, reach, 3, filled, bundle).groupBy("target").count().collect()}
+        assert {r["target"]: r["n"] for r in nb._sent(placed, pivots, reach, 3, filled, bundle).collect()} == sent
+
+
 def test_knn_sends_a_candidate_once_to_cells_that_share_a_block(spark):
     points = np.random.default_rng(8).normal(size=(300, 6))
     pivots = points[::10]
