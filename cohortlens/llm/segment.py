@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -42,10 +43,11 @@ class Vocabulary:
         if prior == "rank":
             ranked = sorted(normal, key=lambda i: (-scores[i], i))
             scores = {i: -math.log(rank + 2.0) for rank, i in enumerate(ranked)}
-        hashes = []
+        hashes, beginnings = [], []
         for i in normal:
             total, _ = prefix_sums(np.frombuffer(names[i].encode("utf-32-le"), dtype="<u4"))
             hashes.append(total[-1])
+            beginnings.append(total[1:-1])
         order = np.argsort(np.array(hashes, dtype=np.uint64), kind="stable")
         self.hashes = np.array(hashes, dtype=np.uint64)[order]
         self.id = np.array(normal)[order]
@@ -53,8 +55,10 @@ class Vocabulary:
         # Where the hashes of equal leading bits begin, -1 for none; how many follow each other at most.
         leading = (self.hashes >> np.uint64(44)).astype(np.int64)
         filled, begin, sizes = np.unique(leading, return_index=True, return_counts=True)
-        self.filter, self.begin, self.crowd = np.zeros(1 << 20, dtype=bool), np.full(1 << 20, -1, dtype=np.int32), int(sizes.max(initial=0))
-        self.filter[filled], self.begin[filled] = True, begin
+        # Whether a piece has such a hash (1), and whether the beginning of a longer one has (2).
+        self.filter, self.begin, self.crowd = np.zeros(1 << 20, dtype=np.uint8), np.full(1 << 20, -1, dtype=np.int32), int(sizes.max(initial=0))
+        self.filter[filled], self.begin[filled] = 1, begin
+        self.filter[np.unique(np.concatenate([*beginnings, np.zeros(0, np.uint64)]) >> np.uint64(44)).astype(np.int64)] |= 2
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = self.model.unk_id()
         self.byte_weight = float(self.weight.min())
@@ -93,7 +97,7 @@ class Vocabulary:
         """Place of each hash among the pieces, -1 for none."""
         out = np.full(len(hashes), -1, dtype=np.int64)
         leading = (hashes >> np.uint64(44)).view(np.int64)
-        maybe = np.flatnonzero(self.filter[leading])
+        maybe = np.flatnonzero(self.filter[leading] & 1)
         at, wanted = self.begin[leading[maybe]], hashes[maybe]
         for _ in range(self.crowd):
             hit = self.hashes[at] == wanted
@@ -139,8 +143,11 @@ class Lattices:
 
     def __init__(self, vocabulary_: Vocabulary, runs: list[str]):
         self.vocabulary = vocabulary_
-        distinct = sorted(dict.fromkeys(runs), key=len, reverse=True)
-        lengths = np.array([len(r) for r in distinct], dtype=np.int64)
+        # The distinct runs, the longest first, and which of them each run is.
+        which, found = pd.factorize(np.array([*runs, None], dtype=object)[:-1])
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        order = np.argsort(-lengths, kind="stable")
+        distinct, lengths = found[order].tolist(), lengths[order]
         longest, wide = int(lengths.max(initial=0)), vocabulary_.longest
         self.wide = wide
         points = np.frombuffer("\0".join([*distinct, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
@@ -153,15 +160,20 @@ class Lattices:
             next_.append(np.zeros(1, dtype=np.int64)), places.append(stop[:1])
         for d in range(1, longest + 1):
             here = at[: reach[d]]
-            _, one, which = np.unique(here << 21 | points[stop[: reach[d]] - d], return_index=True, return_inverse=True)
+            same, keys = pd.factorize(here << 21 | points[stop[: reach[d]] - d])
+            one = np.zeros(len(keys), dtype=np.int64)
+            one[same[::-1]] = np.arange(len(same))[::-1]  # where each stands first
             next_.append(here[one]), places.append(stop[one] - d)
-            here[:] = level[d] + which
+            here[:] = level[d] + same
             level.append(level[d] + len(one))
             ends[reach[d + 1] if d < longest else 0 : reach[d]] = here[reach[d + 1] if d < longest else 0 :]
         self.level = np.array(level)
         n = level[-1]
         self.left = np.repeat(np.arange(longest + 1), np.diff(self.level[: longest + 2]))
-        self.first = dict(zip(distinct, ends.tolist()))
+        self._begin = distinct, ends
+        placed = np.zeros(len(distinct), dtype=np.int64)
+        placed[order] = ends
+        self.starts = placed[which]  # the node each run starts at
         place = np.concatenate([*places, np.zeros(0, dtype=np.int64)])  # of each node in ``points``
         self.points = points[place]
         self.on = np.zeros((n, wide), dtype=np.int32)
@@ -170,16 +182,24 @@ class Lattices:
             self.on[here, 0] = next_[d]
             self.on[here, 1:] = self.on[next_[d], :-1]
         total, back = prefix_sums(points)
-        start, back = total[place], back[place]
         self.p = np.zeros((n, wide))
         self.piece = np.full((n, wide), -1, dtype=np.int32)
+        # Nodes from which a piece of that length or a longer one may go on.
+        going = np.arange(int(self.level[1]), n)
+        at = place[going]
+        start, back = total[at], back[at]
         for size in range(1, min(wide, longest) + 1):
-            at = int(self.level[size])
             with np.errstate(over="ignore"):
-                hit = vocabulary_.find((total[place[at:] + size] - start[at:]) * back[at:])
+                hashes = (total[at + size] - start) * back
+            flags = vocabulary_.filter[(hashes >> np.uint64(44)).view(np.int64)]
+            maybe = np.flatnonzero(flags & 1)
+            hit = vocabulary_.find(hashes[maybe])
             good = np.flatnonzero(hit >= 0)
-            self.p[at + good, size - 1] = vocabulary_.weight[hit[good]]
-            self.piece[at + good, size - 1] = vocabulary_.id[hit[good]]
+            edges = going[maybe[good]] * wide + (size - 1)
+            self.p.ravel()[edges], self.piece.ravel()[edges] = vocabulary_.weight[hit[good]], vocabulary_.id[hit[good]]
+            if size < longest:
+                more = np.flatnonzero((flags & 2).astype(bool) & (going >= self.level[size + 1]))
+                going, at, start, back = going[more], at[more], start[more], back[more]
         # A character that is no piece is written as bytes.
         raw = np.flatnonzero((self.piece[:, 0] < 0) & (self.left > 0))
         size = 1 + (self.points[raw] >= 0x80) + (self.points[raw] >= 0x800) + (self.points[raw] >= 0x10000)
@@ -214,14 +234,19 @@ class Lattices:
             if low.any() or np.any(base):
                 scale[at : at + m] = base + low
                 ways[at : at + m][low] *= 1e150
-        self.choices = counted(self.p > 0)
+        self.choices = counted(self.p > 0).astype(np.int32)
+
+    @cached_property
+    def first(self) -> dict[str, int]:
+        """The node each distinct run starts at."""
+        return dict(zip(self._begin[0], self._begin[1].tolist()))
 
     def draw(self, nodes: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of one random path per start node to its run's end: path number and edge, in order."""
-        owner, node, step = np.arange(len(nodes)), nodes.copy(), 0
-        owners, edges = [], []
+        owner, node, step = np.arange(len(nodes)), nodes, 0
+        steps = []
         while True:
-            going = self.left[node] > 0
+            going = node > 0  # the one node at the end of all runs
             if not going.all():
                 owner, node = owner[going], node[going]
             if not len(node):
@@ -232,13 +257,17 @@ class Lattices:
             over = np.flatnonzero(size >= self.wide)
             for i in over:  # the sum of the shares fell short of u by rounding
                 size[i] = np.flatnonzero(self.p[node[i]])[-1]
-            owners.append(owner), edges.append(node * self.wide + size)
-            node, step = self.after(node, size + 1), step + 1
-        if not owners:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        o, e = np.concatenate(owners), np.concatenate(edges)
-        order = np.argsort(o, kind="stable")
-        return o[order], e[order]
+            edge = node * self.wide + size
+            steps.append((owner, edge))
+            node, step = self.on.ravel()[edge], step + 1
+        # A path's edges follow each other, and none of its steps is left out.
+        long = np.zeros(len(nodes), dtype=np.int64)
+        for step, (owner, _) in enumerate(steps, 1):
+            long[owner] = step
+        begin, out = np.cumsum(long) - long, np.zeros(int(long.sum()), dtype=np.int64)
+        for step, (owner, edge) in enumerate(steps):
+            out[begin[owner] + step] = edge
+        return np.repeat(np.arange(len(nodes)), long), out
 
     def log_p(self, edges: np.ndarray) -> np.ndarray:
         return np.log(self.p.ravel()[edges])
@@ -270,10 +299,10 @@ class Lattices:
         return [out[a:b].tobytes() for a, b in zip(stops, stops[1:])]
 
 
-def gumbel_below(mass: np.ndarray, u: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """Gumbel variables with location ``mass`` (a log), truncated at ``bound``; -inf where there is no mass."""
+def gumbel_below(mass: np.ndarray, u: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Gumbel variables with location ``mass`` (a log), truncated at a bound, given as ``below``, the exponential of its negative; -inf where there is no mass."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        out = -np.log(np.exp(-bound) - np.log(u) / np.exp(mass))
+        out = -np.log(below - np.log(u) / np.exp(mass))
     out[~(mass > -np.inf)] = -np.inf
     return out
 
@@ -309,23 +338,24 @@ def top_k(lattices: Lattices, free: list[tuple[np.ndarray, np.ndarray]], first:
         begin = np.concatenate([[0], np.cumsum(sizes)])
         edges = np.concatenate([p for p, on in zip(paths, live) if on] or [np.zeros(0, dtype=np.int64)])
         text = np.repeat(np.arange(n), sizes)
-        position = np.arange(len(edges)) - begin[text]
+        position = np.arange(len(edges)) - np.repeat(begin[:-1], sizes)
         p = lattices.p.ravel()[edges]
         logp = np.log(p)
         total = np.concatenate([[0.0], np.cumsum(logp)])
-        before = total[:-1] - total[begin[text]]
+        before = total[:-1] - np.repeat(total[begin[:-1]], sizes)
         gone, used = p.copy(), np.ones(len(p), dtype=np.int64)
         for i in np.flatnonzero(live):
             out[i].append((paths[i], float(total[begin[i + 1]] - total[begin[i]]), float(bound[i])))
             if len(barred[i]):
                 gone[begin[i] + from_[i]] += lattices.p.ravel()[list(barred[i])].sum()
                 used[begin[i] + from_[i]] += len(barred[i])
-        with np.errstate(divide="ignore"):
-            mass = before + np.log(np.maximum(0.0, 1.0 - gone))
         # An edge without alternative leaves nothing, whatever rounding makes of it; nor do edges of the set's fixed beginning.
-        mass[(used >= lattices.choices[edges // lattices.wide]) | (position < from_[text])] = -np.inf
-        values, some = np.full(len(mass), -np.inf), np.flatnonzero(mass > -np.inf)
-        values[some] = gumbel_below(mass[some], uniforms(mix(own[number][text[some]] ^ mix(position[some].astype(np.uint64)))), bound[text[some]])
+        some = np.flatnonzero((used < lattices.choices[edges // lattices.wide]) & (position >= from_[text]))
+        with np.errstate(divide="ignore", over="ignore"):
+            mass, below = before[some] + np.log(np.maximum(0.0, 1.0 - gone[some])), np.exp(-bound)
+        mixed = mix(np.arange(int(sizes.max(initial=0))).astype(np.uint64))
+        values, of = np.full(len(edges), -np.inf), text[some]
+        values[some] = gumbel_below(mass, uniforms(mix(own[number][of] ^ mixed[position[some]])), below[of])
         rounds.append((values, begin, paths, runs, from_.copy(), barred))
         best = np.full((number + 1, n), -np.inf)
         for j, (v, b, *_) in enumerate(rounds):
@@ -400,7 +430,7 @@ def segmentations(
         lattices = Lattices(voc, every)
         seeds = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{n}".encode()) for n in names], dtype=np.uint64)
         counts = np.array([len(s) for s in split], dtype=np.int64)
-        nodes = np.array(list(map(lattices.first.__getitem__, every)), dtype=np.int64)
+        nodes = lattices.starts
         first = np.concatenate([[0], np.cumsum(counts)])
         within = np.arange(len(every)) - np.repeat(first[:-1], counts)
         own = np.repeat(seeds, counts)

@@ -88,3 +88,22 @@ def test_paths_are_packed_together():
     packed = lattices.packed([paths[0], edges[:0], paths[1], paths[2]])
     assert packed[1] == b"" and [voc.model.decode(np.frombuffer(b, "<u4").tolist()) for b in packed] == [r.replace("▁", " ").strip() for r in (runs[0], "", *runs[1:])]
     assert lattices.packed([]) == []
+
+
+def test_lattices_look_up_only_what_may_be_a_piece(monkeypatch):
+    voc = segment.vocabulary(public_tokenizers.path("piece_bpe_32k.model"), "rank", 1.0)
+    runs = ["▁segmentations", "▁of", "▁xqzjvkwpyqzxjkvw", "▁of", "▁internationalization", "▁segmentations", "ß☃x"]
+    asked, plain = [], voc.find
+    monkeypatch.setattr(voc, "find", lambda hashes: asked.append(len(hashes)) or plain(hashes))
+    lattices = segment.Lattices(voc, runs)
+    pieces = int((lattices.piece >= 0).sum())
+    assert sum(asked) < 2 * pieces < np.minimum(lattices.left, voc.longest).sum()
+    assert lattices.starts.tolist() == [lattices.first[r] for r in runs]
+    # Every substring that is a piece is an edge.
+    known = {voc.model.id_to_piece(int(i)) for i in voc.id}
+    for run in dict.fromkeys(runs):
+        node, length = lattices.first[run], len(run)
+        for at in range(length):
+            found = {size + 1 for size in np.flatnonzero(lattices.piece[node] >= 0)}
+            assert found == {size for size in range(1, min(voc.longest, length - at) + 1) if run[at : at + size] in known}
+            node = int(lattices.on[node, 0])
