@@ -1,13 +1,14 @@
 """What operators hold and how they look things up, beside plain computation."""
 
 import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from cohortlens.llm import quality, segment, toxicity
+from cohortlens.llm import neardup_vectors, quality, segment, toxicity
 
 
 def private_mb() -> float:
@@ -107,3 +108,48 @@ def test_lattices_look_up_only_what_may_be_a_piece(monkeypatch):
             found = {size + 1 for size in np.flatnonzero(lattices.piece[node] >= 0)}
             assert found == {size for size in range(1, min(voc.longest, length - at) + 1) if run[at : at + size] in known}
             node = int(lattices.on[node, 0])
+
+
+def test_a_vector_is_sent_once_to_a_task_that_holds_cells_it_visits(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    sent, linked = [], neardup_vectors.linked
+    monkeypatch.setattr(neardup_vectors, "linked", lambda placed, *a: sent.append(placed.count()) or linked(placed, *a))
+    monkeypatch.setattr(neardup_vectors, "BLOCK", 100)
+    neardup_vectors.near_duplicates(df, centres=4).count()
+    # A cell that many visit is not cut into blocks that meet pair by pair, which sent 11,331.
+    assert sent[0] <= 4 * 1200
+
+
+@pytest.mark.parametrize("block", [7, 100, 10_000])
+def test_links_count_once_wherever_vectors_meet(spark, monkeypatch, block):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12, 8))[rng.integers(0, 12, 400)] + rng.normal(size=(400, 8)) * 0.15
+    rows = [(int(i // 2 * 2 if i % 10 == 1 else i), v.tolist()) for i, v in enumerate(x)]  # some ids with two vectors
+    rows += [(1000 + i, [1.0, float(i) / 50]) for i in range(20)]  # and another length
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(neardup_vectors, "BLOCK", block)
+    monkeypatch.setattr(neardup_vectors, "TILE", 64 * block)
+    found = sorted((r["vec_id"], r["n_links"]) for r in neardup_vectors.near_duplicates(df, recall=1.0, centres=3).collect())
+    want = Counter()
+    for i, (a, v) in enumerate(rows):
+        for b, w in rows[:i]:
+            if len(v) == len(w) and np.dot(v, w) >= 0.9 * np.linalg.norm(v) * np.linalg.norm(w):
+                want.update((a, b))
+    # Both rows of an id bear the links of both.
+    assert sum(n for _, n in found) > 2000
+    assert all(n == want[i] for i, n in found)
+
+
+def test_links_join_groups():
+    rng = np.random.default_rng(2)
+    for n, links in ((1, 0), (9, 4), (50, 45), (50, 400)):
+        root, i, j = np.arange(n), rng.integers(0, n, links), rng.integers(0, n, links)
+        new, told = neardup_vectors.united(root, i, j)
+        whole, some = list(range(n)), list(range(n))
+        for group, chosen in ((whole, range(links)), (some, told)):
+            for at in chosen:
+                a, b = sorted((group[i[at]], group[j[at]]))
+                group[:] = [a if g == b else g for g in group]
+        assert new.tolist() == whole == some and len(told) == n - len(set(whole))
