@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ BUCKET_EDGES = 250_000
 NEAR, EQUAL = 1e-3, 1e-9
 # Products of a cycle at most; products between two looks at the change; values that a clustering of one coordinate works on.
 CYCLE, LOOK, BINS = 64, 4, 2048
+# Buckets that the edges of a component laid out in one task may fill; vertices of one that need no elimination; solutions at most, and vectors of one.
+TASK_BUCKETS, CORE, MOST_SOLVES, AT_ONCE = 2, 256, 100, 4
 
 
 class Bucketed:
@@ -106,8 +108,9 @@ def spectral_embedding(
     the only shuffle, and is written out. Sums are taken in double precision, so the
     partitioning changes last digits only; but where several values are equal, any mixture of their vectors is as good, and rounding chooses.
 
-    A component whose edges fit a bucket (``BUCKET_EDGES``) goes through the same cycles in the one task that holds it, where a product is no
+    A component whose edges fit ``TASK_BUCKETS`` buckets goes through the same cycles in the one task that holds it, where a product is no
     job of its own; there it goes on until the residual is small beside the distance of the values as well, which close values need to be told apart.
+    Paths, trees and what else is left with few vertices by :class:`Elimination` there take a few exact solutions in place of cycles, whatever their length.
     """
     spark, width = graph.sparkSession, dims + extra
     edges = materialize(both_ways(graph), "edges")
@@ -120,7 +123,7 @@ def spectral_embedding(
     start = degree.withColumnRenamed("src", "id").join(parts, "id").selectExpr("id", "component", "sqrt(degree) AS root", *noise)
     owned = scaled.join(parts.withColumnRenamed("id", "src"), "src")
     sizes = materialize(owned.groupBy("component").agg(F.count("*").alias("links")), "sizes")
-    small, large = (sizes.where(f"links {sign} {BUCKET_EDGES}").select("component") for sign in ("<=", ">"))
+    small, large = (sizes.where(f"links {sign} {TASK_BUCKETS * BUCKET_EDGES}").select("component") for sign in ("<=", ">"))
     near = materialize(_near(start.join(small, "component", "left_semi"), owned.join(small, "component", "left_semi"), width, dims, tolerance, most_products, names), "layout")
     if large.isEmpty():
         for table in (edges, degree, parts, sizes):
@@ -224,10 +227,15 @@ def _near(vertices: DataFrame, links: DataFrame, width: int, dims: int, toleranc
         ids = pd.Index(own["id"])
         src, dst = ids.get_indexer(edges["src"]), ids.get_indexer(edges["dst"])
         order = np.lexsort((dst, src))
-        w, dst = edges["w"].to_numpy()[order, None], dst[order]
+        w, src, dst = edges["w"].to_numpy()[order, None], src[order], dst[order]
         # Every vertex has an edge.
-        starts = np.searchsorted(src[order], np.arange(len(own)))
+        starts = np.searchsorted(src, np.arange(len(own)))
         root, x = own["root"].to_numpy()[:, None], own[[f"x{i}" for i in range(width)]].to_numpy()
+        solver = Elimination(src, dst, w[:, 0] * root[src, 0] * root[dst, 0], len(own)) if len(own) > CORE else None
+        if solver is not None and solver.whole:
+            # D^1/2 L^-1 D^1/2 is the inverse of 1 - A.
+            x, residual = smoothest(solver, lambda x: np.add.reduceat(w * x[dst], starts, axis=0), root, x, dims, tolerance)
+            return pd.DataFrame({"id": own["id"], "component": own["component"], "residual": residual, **dict(zip(names, x.T))})
         products = 0
         while True:
             y = np.add.reduceat(w * x[dst], starts, axis=0)
@@ -251,6 +259,119 @@ def _near(vertices: DataFrame, links: DataFrame, width: int, dims: int, toleranc
     return vertices.groupBy("component").cogroup(links.selectExpr("component AS of", "src", "dst", "w").groupBy("of")).applyInPandas(lay, schema)
 
 
+class Elimination:
+    """Exact solutions of ``L u = b``, ``L`` being a connected graph's Laplacian, by elimination in rounds.
+
+    A round takes out vertices with one or two neighbours, no two of them neighbours, and links the two by an edge that stands for the way through;
+    some third of a path goes, so that rounds grow with the logarithm of its length. At most ``CORE`` vertices that are left are solved for as a
+    dense matrix; ``whole`` is false if more stay, all well linked. Takes each edge in both directions, ordered by ``src`` and ``dst``.
+    """
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int):
+        self.rounds: list[tuple[np.ndarray, ...]] = []
+        src, dst, w = _merged(src, dst, w, n)
+        left, rng = np.arange(n), np.random.default_rng(1)
+        while len(left) > CORE:
+            starts = np.searchsorted(src, left)
+            links = np.diff(starts, append=len(src))
+            # The greatest lot among its neighbours that may go: a lot of 0 stays.
+            lot = np.zeros(n)
+            lot[left] = np.where(links <= 2, 1.0 + rng.random(len(left)), 0.0)
+            go = (lot[left] > 0) & (lot[left] > np.maximum.reduceat(lot[dst], starts))
+            if go.sum() < len(left) // 100:
+                break
+            at, two = starts[go], links[go] == 2
+            gone, a, b = left[go], dst[at], dst[at + two]
+            wa, wb = w[at], np.where(two, w[at + two], 0.0)
+            whole = wa + wb
+            # What each gives to its neighbours, by neighbour.
+            to, of, share = np.concatenate([a, b[two]]), np.concatenate([gone, gone[two]]), np.concatenate([wa / whole, (wb / whole)[two]])
+            order = np.argsort(to, kind="stable")
+            to, of, share = to[order], of[order], share[order]
+            first = np.flatnonzero(np.diff(to, prepend=-1))
+            self.rounds.append((gone, a, b, (wa / whole)[:, None], (wb / whole)[:, None], whole[:, None], to[first], first, of, share[:, None]))
+            stay = np.ones(n, dtype=bool)
+            stay[gone] = False
+            kept, through = stay[src] & stay[dst], (wa / whole * wb)[two]
+            if not through.all():  # too small for a number
+                break
+            a, b = a[two], b[two]
+            src, dst, w = _merged(np.concatenate([src[kept], a, b]), np.concatenate([dst[kept], b, a]), np.concatenate([w[kept], through, through]), n)
+            left = left[~go]
+        self.left, self.whole = left, len(left) <= CORE
+        if self.whole and len(left) > 1:
+            core = np.zeros((len(left), len(left)))
+            core[np.searchsorted(left, src), np.searchsorted(left, dst)] = -w
+            np.fill_diagonal(core, -core.sum(axis=1))
+            self.inverse = np.linalg.inv(core[1:, 1:])  # the first of them is held at 0
+
+    def solve(self, b: np.ndarray) -> np.ndarray:
+        b = b.copy()
+        for *_, to, first, of, share in self.rounds:
+            b[to] += np.add.reduceat(share * b[of], first, axis=0)
+        u = np.zeros_like(b)
+        if len(self.left) > 1:
+            u[self.left[1:]] = self.inverse @ b[self.left[1:]]
+        for gone, one, two, share_one, share_two, whole, *_ in reversed(self.rounds):
+            u[gone] = b[gone] / whole + share_one * u[one] + share_two * u[two]
+        return u
+
+
+def _merged(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges in order, parallel ones as one."""
+    key = src * n + dst
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first] // n, key[first] % n, np.add.reduceat(w[order], first)
+
+
+def smoothest(
+    solver: Elimination, product: Callable[[np.ndarray], np.ndarray], root: np.ndarray, x: np.ndarray, dims: int, tolerance: float
+) -> tuple[np.ndarray, float]:
+    """The ``dims`` leading eigenvectors of the normalised adjacency ``A`` after ``root``, from a block of vectors to begin with, and their residual.
+
+    The block goes through the inverse of ``1 - A`` again and again, in which the wanted vectors grow beside the rest by the ratio of their
+    distances from 1, however small these are, until residuals are small beside the distance of the inverse's values, and at most ``tolerance`` in ``A``.
+    """
+    root = root / np.linalg.norm(root)
+    # All but a few vectors stays in place, by portions of rows.
+    rows = np.array_split(np.arange(len(x)), -(-len(x) // 65_536))
+    portions = [slice(int(r[0]), int(r[-1]) + 1) for r in rows]
+
+    def upright(x: np.ndarray) -> np.ndarray:
+        """At right angles to ``root`` and each other, of length 1."""
+        for _ in range(2):
+            share, parts = root.T @ x, []
+            for p in portions:
+                x[p], part = np.linalg.qr(x[p] - root[p] * share)
+                parts.append(part)
+            turns = np.split(np.linalg.qr(np.vstack(parts))[0], len(portions))
+            for p, turn in zip(portions, turns):
+                x[p] = x[p] @ turn
+        return x
+
+    x, y = upright(x.copy()), np.empty_like(x)
+    for _ in range(MOST_SOLVES):
+        for at in range(0, x.shape[1], AT_ONCE):
+            few = root * solver.solve(root * x[:, at : at + AT_ONCE])
+            y[:, at : at + AT_ONCE] = few - root * (root.T @ few)
+        h = x.T @ y
+        values, mixed = np.linalg.eigh((h + h.T) / 2)
+        values, mixed = values[::-1], mixed[:, ::-1]
+        best = x @ mixed[:, :dims]
+        inverse = np.linalg.norm(y @ mixed[:, :dims] - best * values[:dims], axis=0).max()
+        moved = product(best)
+        residual = float(np.linalg.norm(moved - best * (best * moved).sum(axis=0), axis=0).max())
+        steps = -np.diff(values[: dims + 1])
+        if residual <= tolerance and inverse <= NEAR * steps[steps > EQUAL * values[0]].min(initial=values[0]):
+            break
+        for p in portions:
+            y[p] = y[p] @ mixed
+        x, y = upright(y), x
+    return best, residual
+
+
 def ritz(gram: np.ndarray, width: int, dims: int) -> tuple[np.ndarray, np.ndarray, float, float, float, float]:
     """Best combinations of vectors ``X`` from the inner products of ``root | X | AX``.
 

@@ -145,3 +145,60 @@ def test_averages_keep_the_values_before(spark):
     assert {tuple(r) for r in twice.collect()} == {(1, 0.25, 0.75), (2, 0.75, 0.25), (3, 0.75, 0.25)}
     thrice = gr._averaged(scaled, twice, keep=True)
     assert {(r["id"], r["v"], r["last"], r["older"]) for r in thrice.collect()} == {(1, 0.75, 0.25, 0.75), (2, 0.25, 0.75, 0.25), (3, 0.25, 0.75, 0.25)}
+
+
+def both_ways(n, edges):
+    src, dst, w = (np.array(x) for x in zip(*edges, *[(b, a, v) for a, b, v in edges]))
+    order = np.lexsort((dst, src))
+    laplacian = np.zeros((n, n))
+    np.add.at(laplacian, (src, dst), -w)
+    np.fill_diagonal(laplacian, -laplacian.sum(axis=1))
+    return src[order], dst[order], w[order], laplacian
+
+
+@pytest.mark.parametrize("kind", ["path", "cycle", "star", "tree", "chords", "doubled"])
+def test_elimination_solves_exactly(monkeypatch, kind):
+    rng = np.random.default_rng(7)
+    n, ends = 700, {"path": [(i, i + 1) for i in range(699)], "star": [(300, i) for i in range(700) if i != 300]}
+    ends["cycle"] = [*ends["path"], (699, 0)]
+    ends["tree"] = [(i, int(rng.integers(0, i))) for i in range(1, n)]
+    ends["chords"] = [*ends["path"], *[(int(a), int(b)) for a, b in rng.integers(0, n, (30, 2)) if a != b]]
+    ends["doubled"] = ends["path"] * 2
+    src, dst, w, laplacian = both_ways(n, [(a, b, float(v)) for (a, b), v in zip(ends[kind], rng.random(2000) + 0.1)])
+    monkeypatch.setattr(gr, "CORE", 80 if kind == "chords" else 1 + (kind == "cycle"))
+    solver = gr.Elimination(src, dst, w, n)
+    assert solver.whole and len(solver.left) <= 80
+    b = rng.normal(size=(n, 3))
+    b -= b.mean(axis=0)
+    assert np.allclose(laplacian @ solver.solve(b), b, atol=1e-8)
+
+
+def test_well_linked_vertices_are_left():
+    n = 400
+    src, dst, w, _ = both_ways(n, [(i, (i + d) % n, 1.0) for i in range(n) for d in (1, 2)])
+    assert not gr.Elimination(src, dst, w, n).whole
+
+
+def test_a_path_longer_than_the_products_allowed_is_laid_out(spark):
+    n = 20_000
+    ends = spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst", "1D AS weight")
+    rows = gr.spectral_embedding(ends, tolerance=1e-6).orderBy("id").collect()
+    place = np.arange(n)
+    root = np.where((place == 0) | (place == n - 1), 1.0, np.sqrt(2.0))
+    for k in (1, 2):
+        known = root * np.cos(np.pi * k * place / (n - 1))
+        found = np.array([r[f"Embedding_{k}"] for r in rows])
+        assert abs(found @ known) / np.linalg.norm(found) / np.linalg.norm(known) > 0.999999
+    assert rows[0].residual <= 1e-6
+
+
+def test_trees_are_laid_out_as_by_direct_computation(spark):
+    rng = np.random.default_rng(4)
+    edges = [(i, int(rng.integers(max(0, i - 30), i)), float(rng.random() + 0.1)) for i in range(1, 900)]
+    rows = {r.id: r for r in gr.spectral_embedding(frame(spark, edges), tolerance=1e-6).collect()}
+    ids, a = normalised(edges)
+    values, vectors = np.linalg.eigh(a)
+    for k in (1, 2):
+        x = np.array([rows[i][f"Embedding_{k}"] for i in ids])
+        assert abs(x @ vectors[:, -1 - k]) > 0.99999
+        assert np.linalg.norm(a @ x - (x @ a @ x) * x) <= rows[0].residual + 1e-12 <= 1e-6 + 1e-12
