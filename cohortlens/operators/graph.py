@@ -111,6 +111,7 @@ def spectral_embedding(
     A component whose edges fit ``TASK_BUCKETS`` buckets goes through the same cycles in the one task that holds it, where a product is no
     job of its own; there it goes on until the residual is small beside the distance of the values as well, which close values need to be told apart.
     Paths, trees and what else is left with few vertices by :class:`Elimination` there take a few exact solutions in place of cycles, whatever their length.
+    A larger one that :class:`Reduced` brings down so far takes them as well, as jobs.
     """
     spark, width = graph.sparkSession, dims + extra
     edges = materialize(both_ways(graph), "edges")
@@ -129,7 +130,18 @@ def spectral_embedding(
         for table in (edges, degree, parts, sizes):
             discard(spark, table)
         return _signed(near, names)
-    start, scaled = start.join(large, "component", "left_semi"), owned.join(large, "component", "left_semi").select("src", "dst", "w")
+    start, owned = start.join(large, "component", "left_semi"), owned.join(large, "component", "left_semi")
+    if (long := Reduced(edges.join(parts.withColumnRenamed("id", "src"), "src").join(large, "component", "left_semi"))).rounds:
+        solved, rest = (start.join(long.solved, "component", how) for how in ("left_semi", "left_anti"))
+        near = near.unionByName(_far(solved, owned, long, width, dims, tolerance, names))
+        start, owned = rest, owned.join(long.solved, "component", "left_anti")
+        if start.isEmpty():
+            near = materialize(near, "layout")
+            long.drop()
+            for table in (edges, degree, parts, sizes):
+                discard(spark, table)
+            return _signed(near, names)
+    scaled = owned.select("src", "dst", "w")
     tables, kept = Bucketed(edges), Bucketed(edges)
     scaled = kept.store(scaled, "dst", "scaled")
     state = tables.store(start, "id", "vectors")
@@ -181,20 +193,7 @@ def _turns(state: DataFrame, width: int, dims: int) -> DataFrame:
     columns = ["root", *[f"x{i}" for i in range(width)], *[f"y{i}" for i in range(width)]]
     kind = state.schema["component"].dataType.simpleString()
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            coded = batch.column(0).dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            z = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(columns))])
-            order = np.argsort(codes, kind="stable")
-            bounds = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
-            grams = [(z[order[a:b]].T @ z[order[a:b]]).ravel() for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array([g.tolist() for g in grams], pa.list_(pa.float64()))], names=["component", "gram"])
-
-    parts = state.select("component", *columns).mapInArrow(partial, f"component {kind}, gram array<double>")
-    cells = parts.select("component", F.posexplode("gram").alias("at", "v")).groupBy("component", "at").agg(F.sum("v").alias("v"))
+    cells = _grams(state, columns)
     schema = f"component {kind}, off array<double>, turn array<double>, residual double, centre double, half double, degree int"
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -210,6 +209,26 @@ def _turns(state: DataFrame, width: int, dims: int) -> DataFrame:
     return cells.groupBy("component").applyInPandas(best, schema)
 
 
+def _grams(state: DataFrame, columns: list[str]) -> DataFrame:
+    """``(component, at, v)``: inner products of the columns, cell by cell."""
+    kind = state.schema["component"].dataType.simpleString()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            z = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(columns))])
+            order = np.argsort(codes, kind="stable")
+            bounds = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+            grams = [(z[order[a:b]].T @ z[order[a:b]]).ravel() for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array([g.tolist() for g in grams], pa.list_(pa.float64()))], names=["component", "gram"])
+
+    parts = state.select("component", *columns).mapInArrow(partial, f"component {kind}, gram array<double>")
+    return parts.select("component", F.posexplode("gram").alias("at", "v")).groupBy("component", "at").agg(F.sum("v").alias("v"))
+
+
 def polynomial(least: float, top: float) -> tuple[float, float, int]:
     """Centre, half width and degree of the next Chebyshev polynomial, from the least and the greatest value of a block."""
     apart = math.acosh(1.0 + 2.0 * max(top - least, 1e-12) / (1.0 + least))
@@ -271,7 +290,7 @@ class Elimination:
         self.rounds: list[tuple[np.ndarray, ...]] = []
         src, dst, w = _merged(src, dst, w, n)
         left, rng = np.arange(n), np.random.default_rng(1)
-        while len(left) > CORE:
+        while len(left) > CORE and w.all():
             starts = np.searchsorted(src, left)
             links = np.diff(starts, append=len(src))
             # The greatest lot among its neighbours that may go: a lot of 0 stays.
@@ -293,17 +312,19 @@ class Elimination:
             stay = np.ones(n, dtype=bool)
             stay[gone] = False
             kept, through = stay[src] & stay[dst], (wa / whole * wb)[two]
-            if not through.all():  # too small for a number
-                break
             a, b = a[two], b[two]
             src, dst, w = _merged(np.concatenate([src[kept], a, b]), np.concatenate([dst[kept], b, a]), np.concatenate([w[kept], through, through]), n)
             left = left[~go]
-        self.left, self.whole = left, len(left) <= CORE
+        # A product of weights may be too small for a number.
+        self.left, self.whole = left, len(left) <= CORE and bool(w.all())
         if self.whole and len(left) > 1:
             core = np.zeros((len(left), len(left)))
             core[np.searchsorted(left, src), np.searchsorted(left, dst)] = -w
             np.fill_diagonal(core, -core.sum(axis=1))
-            self.inverse = np.linalg.inv(core[1:, 1:])  # the first of them is held at 0
+            try:
+                self.inverse = np.linalg.inv(core[1:, 1:])  # the first of them is held at 0
+            except np.linalg.LinAlgError:
+                self.whole = False
 
     def solve(self, b: np.ndarray) -> np.ndarray:
         b = b.copy()
@@ -372,6 +393,168 @@ def smoothest(
     return best, residual
 
 
+class Reduced:
+    """Components too large for a task, brought down by the rounds of :class:`Elimination`, each a few joins, until their edges fit one.
+
+    ``rounds`` holds ``(component, id, a, b, share_a, share_b, whole)`` of the vertices of a round, ``core`` the edges between those left, ``solved`` the
+    components whose core the task that holds it reduces further to its end.
+    """
+
+    def __init__(self, edges: DataFrame):
+        self.spark, self.rounds, limit = edges.sparkSession, [], TASK_BUCKETS * BUCKET_EDGES
+        kind = edges.schema["component"].dataType.simpleString()
+        found = edges.select("component").distinct()
+        self.core = materialize(edges.groupBy("component", "src", "dst").agg(F.sum("weight").alias("w")), "core")
+        while True:
+            if (self.core.groupBy("component").count().agg(F.max("count")).first()[0] or 0) <= limit:
+                break
+            ends = self.core.groupBy("component", F.col("src").alias("id")).agg(
+                F.count("*").alias("links"), F.min("dst").alias("a"), F.max("dst").alias("b"), F.expr("min_by(w, dst)").alias("wa"), F.expr("max_by(w, dst)").alias("wb"),
+            ).where("links <= 2").withColumn("lot", F.xxhash64("id", F.lit(len(self.rounds))))
+            ends = materialize(ends, "ends")
+            lots = ends.select("id", "lot")
+            met = ends.join(lots.toDF("a", "lot_a"), "a", "left").join(lots.toDF("b", "lot_b"), "b", "left")
+            met = met.where("coalesce(lot > lot_a, true) AND coalesce(lot > lot_b, true)")
+            gone = materialize(met.selectExpr(
+                "component", "id", "a", "b", "if(links = 2, wa / (wa + wb), 1D) AS share_a", "if(links = 2, wb / (wa + wb), 0D) AS share_b",
+                "if(links = 2, wa + wb, wa) AS whole",
+            ), "gone")
+            discard(self.spark, ends)
+            through = gone.where("a <> b").selectExpr("component", "a AS src", "b AS dst", "share_a * share_b * whole AS w")
+            ids = gone.select("id")
+            left = self.core.join(ids.toDF("src"), "src", "left_anti").join(ids.toDF("dst"), "dst", "left_anti").select("component", "src", "dst", "w")
+            fresh = left.unionAll(through).unionAll(through.select("component", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+            fresh = materialize(fresh.groupBy("component", "src", "dst").agg(F.sum("w").alias("w")), "core")
+            before, after = self.core.count(), fresh.count()
+            self.rounds.append(gone)
+            discard(self.spark, self.core)
+            self.core = fresh
+            if after > 0.99 * before or not through.where("NOT w > 0").isEmpty():
+                break
+
+        def ends_well(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"component": pdf["component"].iloc[:1], "fits": [_core_solver(pdf).whole]})
+
+        sizes = self.core.groupBy("component").agg(F.count("*").alias("n"))
+        small = sizes.where(f"n <= {limit}").select("component")
+        left = self.core.join(small, "component", "left_semi").groupBy("component").applyInPandas(ends_well, f"component {kind}, fits boolean")
+        unfit = sizes.where(f"n > {limit}").select("component").unionAll(left.where("NOT fits").select("component"))
+        self.solved = materialize(found.join(unfit, "component", "left_anti"), "solved")
+        if self.solved.isEmpty():
+            self.drop()
+
+    def drop(self) -> None:
+        for table in (*self.rounds, self.core, self.solved):
+            discard(self.spark, table)
+        self.rounds = []
+
+    def solve(self, b: DataFrame, width: int) -> DataFrame:
+        """``(id, component, v0 ..)``: solutions for the right sides in the same columns."""
+        vs = [f"v{i}" for i in range(width)]
+        kinds = {f.name: f.dataType.simpleString() for f in b.schema.fields}
+        levels = [materialize(b, "down")]
+        for gone in self.rounds:
+            mine = levels[-1].join(gone.drop("component"), "id")
+            given = [mine.select(F.col(n).alias("id"), "component", *[(F.col(f"share_{n}") * F.col(v)).alias(v) for v in vs]) for n in ("a", "b")]
+            stay = levels[-1].join(gone.select("id"), "id", "left_anti")
+            levels.append(materialize(stay.unionByName(given[0]).unionByName(given[1]).groupBy("id", "component").agg(*[F.sum(v).alias(v) for v in vs]), "down"))
+
+        def solved(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+            out = own.sort_values("id")
+            if len(out) > 1:
+                solver = _core_solver(links)
+                out[vs] = solver.solve(out[vs].to_numpy())
+            else:
+                out[vs] = 0.0
+            return out
+
+        links = self.core.selectExpr("component AS of", "src", "dst", "w").groupBy("of")
+        schema = ", ".join(f"{n} {kinds[n]}" for n in ("id", "component", *vs))
+        u = materialize(levels[-1].select("id", "component", *vs).groupBy("component").cogroup(links).applyInPandas(solved, schema), "up")
+        for gone, level in zip(reversed(self.rounds), reversed(levels[:-1])):
+            mine = gone.drop("component").join(level, "id")
+            for n in ("a", "b"):
+                mine = mine.join(u.select(F.col("id").alias(n), *[F.col(v).alias(f"{n}_{v}") for v in vs]), n)
+            new = mine.select("id", "component", *[F.expr(f"{v} / whole + share_a * a_{v} + share_b * b_{v}").alias(v) for v in vs])
+            fresh = materialize(u.unionByName(new), "up")
+            discard(self.spark, u)
+            u = fresh
+        for level in levels:
+            discard(self.spark, level)
+        return u
+
+
+def _core_solver(links: pd.DataFrame) -> Elimination:
+    ids = pd.Index(np.unique(links["src"]))
+    src, dst = ids.get_indexer(links["src"]), ids.get_indexer(links["dst"])
+    return Elimination(src, dst, links["w"].to_numpy(), len(ids))
+
+
+def _far(vertices: DataFrame, links: DataFrame, long: Reduced, width: int, dims: int, tolerance: float, names: list[str]) -> DataFrame:
+    """``(id, component, residual, <names>)`` of components that :class:`Reduced` solves for: the iteration of :func:`smoothest`, a solution some jobs."""
+    spark, xs, ys, vs = vertices.sparkSession, *([f"{c}{i}" for i in range(width)] for c in "xyv")
+    kind = vertices.schema["component"].dataType.simpleString()
+    links = links.select("src", "dst", "w")
+
+    def upright(df: DataFrame, columns: list[str]) -> DataFrame:
+        shares = df.groupBy("component").agg(*[F.expr(f"sum(root * {c}) / sum(root * root)").alias(f"off_{c}") for c in columns])
+        return df.join(shares, "component").selectExpr(*[c for c in df.columns if c not in columns], *[f"{c} - root * off_{c} AS {c}" for c in columns])
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = 2 * width
+        gram = np.zeros(size * size)
+        gram[pdf["at"].to_numpy()] = pdf["v"].to_numpy()
+        gram = gram.reshape(size, size)
+        g, h, k = gram[:width, :width], gram[:width, width:], gram[width:, width:]
+        h, scale = (h + h.T) / 2, np.sqrt(np.maximum(np.diag(g), 1e-300))
+        values, vectors = np.linalg.eigh(g / scale[:, None] / scale)
+        sound = values > values[-1] * 1e-12
+        base = vectors[:, sound] / np.sqrt(values[sound]) / scale[:, None]
+        found, mixed = np.linalg.eigh(base.T @ h @ base)
+        found, weights = found[::-1], (base @ mixed)[:, ::-1]
+        gaps = [max(w @ (k - 2 * t * h + t * t * g) @ w, 0.0) ** 0.5 for w, t in zip(weights.T[:dims], found)]
+        steps = -np.diff(found[: dims + 1])
+        turn, onward = np.zeros((2, width, width))
+        turn[:, : weights.shape[1]] = weights
+        onward[:, : weights.shape[1]] = weights / np.maximum(found, found[0] * 1e-15)
+        # Sums of squares tell residuals from rounding down to the root of a double's.
+        done = max(gaps) <= max(NEAR * steps[steps > EQUAL * found[0]].min(initial=found[0]), 1e-7 * found[0])
+        return pd.DataFrame({"component": [pdf["component"].iloc[0]], "turn": [turn.ravel().tolist()], "onward": [onward.ravel().tolist()], "done": [bool(done)]})
+
+    state = materialize(upright(vertices.select("id", "component", "root", *xs), xs), "vectors")
+    for step in range(1, MOST_SOLVES + 1):
+        u = long.solve(state.select("id", "component", *[(F.col("root") * F.col(x)).alias(v) for x, v in zip(xs, vs)]), width)
+        met = state.join(u.drop("component"), "id").selectExpr("id", "component", "root", *xs, *[f"root * {v} AS {y}" for v, y in zip(vs, ys)])
+        both = materialize(upright(met, ys), "vectors")
+        schema = f"component {kind}, turn array<double>, onward array<double>, done boolean"
+        turns = materialize(_grams(both, [*xs, *ys]).groupBy("component").applyInPandas(best, schema), "turns")
+        for table in (state, u):
+            discard(spark, table)
+
+        def mixed(of: list[str], by: str, to: list[str]) -> list[str]:
+            return [" + ".join(f"{c} * {by}[{i * width + j}]" for i, c in enumerate(of)) + f" AS {n}" for j, n in enumerate(to)]
+
+        turned = both.join(turns, "component")
+        if turns.where("NOT done").isEmpty() or step == MOST_SOLVES:
+            laid = materialize(turned.selectExpr("id", "component", *mixed(xs, "turn", names)), "layout")
+            moved = links.join(laid.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(*[F.expr(f"sum(w * {n})").alias(f"to_{n}") for n in names])
+            met = materialize(laid.join(moved, "id"), "layout")
+            value = met.groupBy("component").agg(*[F.expr(f"sum({n} * to_{n})").alias(f"value_{n}") for n in names])
+            off = met.join(value, "component").groupBy("component").agg(F.greatest(*[F.expr(f"sqrt(sum(pow(to_{n} - value_{n} * {n}, 2D)))") for n in names], F.lit(0.0)).alias("residual"))
+            off = materialize(off, "turns")
+            discard(spark, met)
+            if step == MOST_SOLVES or off.where(f"residual > {tolerance!r}").isEmpty():
+                out = materialize(laid.join(off, "component").select("id", "component", "residual", *names), "layout")
+                for table in (laid, off, both, turns):
+                    discard(spark, table)
+                return out
+            for table in (laid, off):
+                discard(spark, table)
+        state = materialize(turned.selectExpr("id", "component", "root", *mixed(ys, "onward", xs)), "vectors")
+        for table in (both, turns):
+            discard(spark, table)
+
+
 def ritz(gram: np.ndarray, width: int, dims: int) -> tuple[np.ndarray, np.ndarray, float, float, float, float]:
     """Best combinations of vectors ``X`` from the inner products of ``root | X | AX``.
 

@@ -202,3 +202,24 @@ def test_trees_are_laid_out_as_by_direct_computation(spark):
         x = np.array([rows[i][f"Embedding_{k}"] for i in ids])
         assert abs(x @ vectors[:, -1 - k]) > 0.99999
         assert np.linalg.norm(a @ x - (x @ a @ x) * x) <= rows[0].residual + 1e-12 <= 1e-6 + 1e-12
+
+
+def test_chains_in_components_too_large_for_a_task(spark, monkeypatch):
+    # A path, a star, a cycle and a tree brought down by jobs; a ring of cliques has nothing to take out and goes through the cycles.
+    monkeypatch.setattr(gr, "BUCKET_EDGES", 100)
+    monkeypatch.setattr(gr, "CORE", 4)
+    rng = np.random.default_rng(6)
+    parts = [
+        [(i, i + 1, 1.0) for i in range(249)], [(1000, 1000 + i, 1.0) for i in range(1, 150)], [(2000 + i, 2000 + (i + 1) % 130, 2.0) for i in range(130)],
+        [(3000 + i, 3000 + int(rng.integers(max(0, i - 9), i)), float(rng.random() + 0.1)) for i in range(1, 150)], [(9000 + a, 9000 + b, w) for a, b, w in RING],
+    ]
+    rows = {r.id: r for r in gr.spectral_embedding(frame(spark, sum(parts, [])), tolerance=1e-6).collect()}
+    for own in parts:
+        ids, a = normalised(own)
+        values, vectors = np.linalg.eigh(a)
+        for k in (1, 2):
+            x = np.array([rows[i][f"Embedding_{k}"] for i in ids])
+            assert rows[ids[0]].component == ids[0] and np.linalg.norm(x) == pytest.approx(1) and x[np.abs(x).argmax()] > 0
+            assert rows[ids[0]].residual <= 1e-6 and np.linalg.norm(a @ x - (x @ a @ x) * x) <= rows[ids[0]].residual * 1.01 + 1e-7
+            alike = np.abs(values - values[-1 - k]) < 1e-7
+            assert np.linalg.norm(vectors[:, alike].T @ x) > 0.9999
