@@ -411,7 +411,10 @@ class Reduced:
             ends = self.core.groupBy("component", F.col("src").alias("id")).agg(
                 F.count("*").alias("links"), F.min("dst").alias("a"), F.max("dst").alias("b"), F.expr("min_by(w, dst)").alias("wa"), F.expr("max_by(w, dst)").alias("wb"),
             ).where("links <= 2").withColumn("lot", F.xxhash64("id", F.lit(len(self.rounds))))
-            ends = materialize(ends, "ends")
+            ends, before = materialize(ends, "ends"), self.core.count()
+            if ends.count() * 100 < before:
+                discard(self.spark, ends)
+                break
             lots = ends.select("id", "lot")
             met = ends.join(lots.toDF("a", "lot_a"), "a", "left").join(lots.toDF("b", "lot_b"), "b", "left")
             met = met.where("coalesce(lot > lot_a, true) AND coalesce(lot > lot_b, true)")
@@ -425,11 +428,10 @@ class Reduced:
             left = self.core.join(ids.toDF("src"), "src", "left_anti").join(ids.toDF("dst"), "dst", "left_anti").select("component", "src", "dst", "w")
             fresh = left.unionAll(through).unionAll(through.select("component", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
             fresh = materialize(fresh.groupBy("component", "src", "dst").agg(F.sum("w").alias("w")), "core")
-            before, after = self.core.count(), fresh.count()
             self.rounds.append(gone)
             discard(self.spark, self.core)
             self.core = fresh
-            if after > 0.99 * before or not through.where("NOT w > 0").isEmpty():
+            if fresh.count() > 0.99 * before or not through.where("NOT w > 0").isEmpty():
                 break
 
         def ends_well(pdf: pd.DataFrame) -> pd.DataFrame:
